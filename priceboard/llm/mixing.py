@@ -204,7 +204,8 @@ def mix(rows: DataFrame, seed: int = 0, block: int = BLOCK, shard_slots: int = S
     first, last = F.floor(F.col("__from") / block), F.floor((F.col("__from") + F.col("__size") - 1) / block)
     cut = placed.withColumn("__block", F.explode(F.sequence(first, last)))
     same = F.col("p.__source").eqNullSafe(F.col("s.__source")) & (F.col("p.__block") == F.col("s.__block"))
-    joined = cut.alias("p").join(slots(sources, block, shard_slots, seed).alias("s"), same).select("p.*", "s.__shard", "s.__pass", "s.__take")
+    # slots come from few short rows, so their number is underestimated: without the hint they would be broadcast
+    joined = cut.alias("p").join(slots(sources, block, shard_slots, seed).hint("merge").alias("s"), same).select("p.*", "s.__shard", "s.__pass", "s.__take")
     start = F.greatest(F.col("__from"), F.col("__block") * block)
     end = F.least(F.col("__from") + F.col("__size"), F.col("__block") * block + F.col("__take"))
     spans = joined.withColumns({"__first": start - F.col("__from"), "__words": end - start}).filter("__words > 0")
