@@ -7,43 +7,69 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import decontamination, language_model, line_dedup, mixing, near_duplicates, pii, quality_rules, resampling, sharding, toxicity
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .mixing import taken
+    return mixing.taken(_table(spark, sf_dir, "documents"))
 
-    return taken(_table(spark, sf_dir, "documents"))
 
+def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(_table(spark, sf_dir, "documents"))
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.cleaned(_table(spark, sf_dir, "documents"))
+    return done.select(F.col("__id").alias("doc_id"), F.col("__lines").alias("n_lines"), F.col("__removed").alias("n_removed"), F.md5(F.coalesce("__text", F.lit(""))).alias("text_md5"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    weights = toxicity.train(docs, labels.filter(~held))
+    scored = toxicity.score(docs, weights)
+    scored = scored.withColumnRenamed("id", "doc_id").withColumn("held_out", F.coalesce(held, F.lit(False)))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
-def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .decontamination import contamination
 
-    found = contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "covered", "item_words", "slots", "changed", "verbatim")
 
 
-def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .quality_rules import judge
+def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = pii.replaced(_table(spark, sf_dir, "documents"))
+    return done.select(F.col("__id").alias("doc_id"), F.col("__n").alias("n_entities"), F.col("__text").alias("text"))
+
 
-    judged = judge(_table(spark, sf_dir, "documents"), columns=["doc_id"])
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge(_table(spark, sf_dir, "documents"), columns=["doc_id"])
     names = {"__nw": "n_words", "__wc": "word_chars", "__sym": "n_symbols", "__dup": "n_dup_lines", "__rep": "n_repeat_words", "__fail": "base_failed", "__kept": "kept"}
     return judged.select("__row.doc_id", *(F.col(k).alias(v) for k, v in names.items()))
 
 
 def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .sharding import shard
+    return sharding.shard(_table(spark, sf_dir, "documents")).select("doc_id", "slot", "shard")
 
-    return shard(_table(spark, sf_dir, "documents")).select("doc_id", "slot", "shard")
 
+def op9_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return out.select(F.col("id").alias("doc_id"), "log_weight", F.col("key").alias("sample_key"), "selected")
 
-def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .near_duplicates import near_duplicates
 
-    return near_duplicates(_table(spark, sf_dir, "documents"))
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op5_decontaminate, op7_quality_rules, op8_shard, op10_near_duplicates)}
-SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_mix_sources, op2_language_model, op3_line_dedup, op4_toxicity, op5_decontaminate,
+        op6_surrogates, op7_quality_rules, op8_shard, op9_resample, op10_near_duplicates,
+    )
+}
+SQL: dict[str, str] = {"op3_line_dedup": line_dedup.SQL}
