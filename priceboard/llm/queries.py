@@ -30,8 +30,8 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
-    weights = toxicity.train(docs, labels.filter(~held))
-    scored = toxicity.score(docs, weights)
+    model = toxicity.train(docs, labels.filter(~held))
+    scored = toxicity.score(docs, model)
     scored = scored.withColumnRenamed("id", "doc_id").withColumn("held_out", F.coalesce(held, F.lit(False)))
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
