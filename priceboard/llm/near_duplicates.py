@@ -6,12 +6,13 @@ process whose rate is its weight; every arrival falls in one of M components, an
 the shingle that arrived first.  A process stops once its next arrival is later than all that its
 text has kept.  Two texts agree in a component with the probability that is their index.
 
-BANDS bands of ROWS components give buckets; at an index of 0.8 a pair shares no bucket with a
-probability of 1.3e-7.  Texts of a bucket are compared with its first and last member, exactly and
+Each of BANDS bands reads ROWS components, chosen at random among the M, and gives a bucket; at an
+index of 0.8 a pair shares no bucket with a probability below 1e-5, and at 0.25 it shares one with
+0.3 %, so groups of loosely related texts do not fill buckets with pairs.  Texts of a bucket are compared with its first and last member, exactly and
 over whole texts; links are folded to classes; then, in those buckets whose members are not yet all
 of one class, each member outside the largest class is compared with the members of other classes.
 So every pair that shares a bucket is compared or known to be of one class, without all pairs of a
-large group.  Equal texts meet by their hash alone and are compared once.
+large group.  Equal texts meet by their 64-bit hash alone and are compared once.
 
 Defined cases: a null text counts as an empty one; empty or blank texts have no shingles and are copies of equal texts only;
 a text of one to four words is one shingle; class_id is the least id of the class (null ids count
@@ -31,7 +32,7 @@ from .common import WordHash, mix, packed, stored, windows
 
 SHINGLE = 5
 THRESHOLD = 0.8
-BANDS, ROWS = 40, 5
+COMPONENTS, BANDS, ROWS = 256, 56, 7
 #: Bytes of text that a task hashes at once.
 BLOCK_BYTES = 4_000_000
 
@@ -87,10 +88,11 @@ def prob_min_hash(elements: np.ndarray, weights: np.ndarray, doc: np.ndarray, n_
 def bands(texts: list[bytes], words: WordHash) -> list[list[int]]:
     """Bucket numbers of each text; none for a text without words."""
     h, w, doc = shingles(texts, words)
-    sig = prob_min_hash(h, w, doc, len(texts), BANDS * ROWS).reshape(len(texts), BANDS, ROWS)
+    sig = prob_min_hash(h, w, doc, len(texts), COMPONENTS)
+    chosen = np.argsort(np.random.default_rng(0).random((BANDS, COMPONENTS)), axis=1)[:, :ROWS]
     out = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(texts), BANDS)).copy()
     for r in range(ROWS):
-        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, r])
+        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + sig[:, chosen[:, r]])
     has = np.bincount(doc, minlength=len(texts)) > 0
     return [row.tolist() if ok else [] for row, ok in zip(out.view(np.int64), has, strict=True)]
 
@@ -116,7 +118,7 @@ def _hashed(docs: DataFrame, text: str, key: str) -> DataFrame:
     """__row, __id, __text (bytes), __k (hash of the text), __idk (the id as a text, never null)."""
     rows = packed(docs, __text=text, __id=key)
     rows = rows.withColumn("__text", F.coalesce(F.col("__text"), F.lit("")).cast("binary"))
-    return rows.withColumns({"__k": F.unhex(F.md5("__text")), "__idk": F.coalesce(F.concat(F.lit("="), F.col("__id").cast("string")), F.lit("null"))})
+    return rows.withColumns({"__k": F.xxhash64("__text"), "__idk": F.coalesce(F.concat(F.lit("="), F.col("__id").cast("string")), F.lit("null"))})
 
 
 def _sketched(batches):
@@ -127,14 +129,14 @@ def _sketched(batches):
         for b in range(1, len(texts) + 1):
             size += len(texts[b - 1])
             if size >= BLOCK_BYTES or b == len(texts):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[a:b], pa.binary()), pa.array(bands(texts[a:b], words), pa.list_(pa.int64()))], ["k", "bands"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[a:b], pa.int64()), pa.array(bands(texts[a:b], words), pa.list_(pa.int64()))], ["k", "bands"])
                 a, size = b, 0
 
 
 def _verified(batches):
     words, known = WordHash(), {}
 
-    def sets(k: bytes, text: bytes):
+    def sets(k: int, text: bytes):
         if k not in known:
             if len(known) >= 256:
                 known.clear()
@@ -144,7 +146,7 @@ def _verified(batches):
     for batch in batches:
         a, b, ta, tb = (c.to_pylist() for c in batch.columns)
         sims = [similarity(*sets(x, tx), *sets(y, ty)) for x, y, tx, ty in zip(a, b, ta, tb, strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(sims, pa.float64())], ["a", "b", "similarity"])
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sims, pa.float64())], ["a", "b", "similarity"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -169,10 +171,10 @@ def links(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: f
     """(a row per row of docs: id, idk, k; for the k that are linked to others: k, c)."""
     rows = _hashed(docs, text, key)
     members = stored(rows.select(F.col("__id").alias("id"), F.col("__idk").alias("idk"), F.col("__k").alias("k")), "members")
-    sketches = rows.select("__k", "__text").mapInArrow(_sketched, "k binary, bands array<bigint>")
-    rows_of = stored(sketches.select("k", F.explode("bands").alias("bucket")).distinct(), "bands")
+    sketches = rows.select("__k", "__text").mapInArrow(_sketched, "k bigint, bands array<bigint>")
+    rows_of = stored(sketches, "bands").select("k", F.explode("bands").alias("bucket"))
     ends = rows_of.groupBy("bucket").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).filter("lo <> hi")
-    shared = stored(rows_of.join(ends, "bucket"), "buckets")
+    shared = stored(rows_of.join(ends, "bucket").distinct(), "buckets")
     # one row of docs for each text that shares a bucket
     needed = members.groupBy("k").agg(F.min("idk").alias("idk")).join(shared.select("k").distinct(), "k")
     texts = rows.select(F.col("__k").alias("k"), F.col("__idk").alias("idk"), F.col("__text").alias("text"))
@@ -181,7 +183,7 @@ def links(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: f
     def verified(pairs: DataFrame) -> DataFrame:
         with_a = pairs.join(texts.withColumnsRenamed({"k": "a", "text": "ta"}), "a")
         both = with_a.join(texts.withColumnsRenamed({"k": "b", "text": "tb"}), "b").select("a", "b", "ta", "tb")
-        return both.mapInArrow(_verified, "a binary, b binary, similarity double").filter(F.col("similarity") >= threshold)
+        return both.mapInArrow(_verified, "a bigint, b bigint, similarity double").filter(F.col("similarity") >= threshold)
 
     stars = shared.filter("k <> lo").select(F.col("lo").alias("a"), F.col("k").alias("b"))
     stars = stars.union(shared.filter("k <> hi and k <> lo").select(F.col("k").alias("a"), F.col("hi").alias("b")))
