@@ -46,6 +46,8 @@ from .elias_fano import EliasFano, mapped
 HELD_OUT = (7, 2)
 PRIOR = 0.4
 HOT = 1 << 16
+#: Shards at least: enough for the cores of a small cluster.
+SHARDS = 32
 #: Tokens of a shard and of what a task packs at once.
 SHARD_TOKENS = 4_000_000
 PACK_TOKENS = 3_000_000
@@ -142,7 +144,8 @@ def level_one(rows: DataFrame) -> tuple[int, int, int, dict[int, int]]:
     parts = rows.mapInArrow(lambda b: _count(b, shards), "shard long, blob binary, tokens long")
     parts = stored(parts.groupBy("shard").applyInArrow(_counted, "n long, v long, tokens long, word array<long>, count array<long>"), "level1")
     n, v, tokens = parts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
-    pairs = parts.select(F.explode(F.arrays_zip("word", "count")).alias("x")).select("x.word", "x.count").filter(F.col("count") * HOT >= max(n, 1))
+    hot = F.filter(F.arrays_zip("word", "count"), lambda x: x["count"] * HOT >= max(n, 1))
+    pairs = parts.select(F.explode(hot).alias("x")).select("x.word", "x.count")
     return n, v, tokens, {int(r["word"]) & (2**64 - 1): r["count"] for r in pairs.collect()}  # HOT rows at most
 
 
@@ -311,7 +314,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", held_out: tu
 
     rows = _rows(docs, key, text, held_out)
     n, v, tokens, hot = level_one(rows)
-    shards = max(4, -(-tokens // SHARD_TOKENS))
+    shards = max(SHARDS, -(-tokens // SHARD_TOKENS))
     by_word = np.array(sorted(hot), _U)
     table = docs.sparkSession.sparkContext.broadcast((by_word, np.array([hot[int(w)] for w in by_word], np.int64)))
     kind_sql, kind = rows.schema["id"].dataType.simpleString(), to_arrow_type(rows.schema["id"].dataType)
