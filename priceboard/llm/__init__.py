@@ -1,8 +1 @@
 """Training-data operators over tables of documents.  Nothing else in the library imports this."""
-
-import sys
-
-from pyspark import cloudpickle
-
-# functions for Python workers travel with their code, so executors need not have this package
-cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -6,6 +6,8 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,7 +58,7 @@ def small(df: DataFrame, limit: int) -> bool:
 class WordHash(dict):
     """bytes -> 64-bit hash, remembered for the words met most lately; bounded."""
 
-    LIMIT = 400_000
+    LIMIT = 200_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
@@ -90,13 +92,12 @@ def windows(h: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
-def byte_blocks(pdf, column: str, limit: int = 8_000_000):
-    """Slices of a pandas frame with about limit bytes of text each, so that memory follows bytes and not rows."""
+def byte_blocks(texts: pa.Array, limit: int):
+    """Bounds (a, b) of runs of texts with about limit bytes, so that the memory of a task follows bytes and not rows."""
     start = size = 0
-    for i, t in enumerate(pdf[column]):
-        size += len(t) if t is not None else 0
-        if size >= limit:
-            yield pdf.iloc[start : i + 1]
-            start, size = i + 1, 0
-    if start < len(pdf):
-        yield pdf.iloc[start:]
+    lengths = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+    for b, n in enumerate(lengths, 1):
+        size += n
+        if size >= limit or b == len(lengths):
+            yield start, b
+            start, size = b, 0

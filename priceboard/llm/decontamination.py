@@ -30,14 +30,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, packed, small, stored, windows
+from .common import byte_blocks, mix, packed, small, stored, windows
 
 WINDOW = 8
 LITERAL = 4
 LEAST = 13
 BITS = 1 << 24
 MAX_BROADCAST_WINDOWS = 200_000
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 1_000_000
 #: Words that are units when a number is before them.
 UNITS = frozenset(
     "mm cm m km in inch inches ft foot feet yd yard yards mi mile miles mg g kg lb lbs oz gram grams kilogram kilograms ton tons tonne tonnes"
@@ -55,7 +55,7 @@ NUMBER, NAME, UNIT, QUANTITY = 1, 2, 3, 4
 class _Lexicon(dict):
     """token -> row of the arrays below; bounded between blocks."""
 
-    LIMIT = 400_000
+    LIMIT = 200_000
 
     def __init__(self):
         super().__init__()
@@ -149,12 +149,8 @@ def _windows(df: DataFrame, lengths: list[int], bits=None, whole: bool = False)
     def run(batches):
         lex, mask = _Lexicon(), bits.value if bits is not None else None
         for batch in batches:
-            texts, a, size = batch.column(1).to_pylist(), 0, 0
-            for b in range(1, len(texts) + 1):
-                size += len(texts[b - 1])
-                if size >= BLOCK_BYTES or b == len(texts):
-                    yield from _found(batch.column(0).slice(a, b - a), texts[a:b], lex, lengths, mask, whole)
-                    a, size = b, 0
+            for a, b in byte_blocks(batch.column(1), BLOCK_BYTES):
+                yield from _found(batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a).to_pylist(), lex, lengths, mask, whole)
 
     kind = df.schema["id"].dataType.simpleString()
     return df.mapInArrow(run, f"id {kind}, pos int, h bigint, words int, len int, slots array<struct<off:int,value:string>>")

@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, mix, packed, stored
+from .common import WordHash, byte_blocks, mix, packed, stored
 from .elias_fano import EliasFano, mapped
 
 HELD_OUT = (7, 2)
@@ -51,7 +51,7 @@ SHARDS = 32
 #: Tokens of a shard and of what a task packs at once.
 SHARD_TOKENS = 4_000_000
 PACK_TOKENS = 3_000_000
-BLOCK_BYTES = 3_000_000
+BLOCK_BYTES = 2_000_000
 #: Words of each counting shard that may be hot.
 TOP = 4096
 END = b"\n"
@@ -89,13 +89,10 @@ def _packs(batches):
         return pa.concat_arrays(ids), np.concatenate(held), np.concatenate(sizes), np.concatenate(hashes)
 
     for batch in batches:
-        texts, flags, a, size = batch.column(1).to_pylist(), batch.column(2).to_numpy(zero_copy_only=False).astype(bool), 0, 0
-        for b in range(1, len(texts) + 1):
-            size += len(texts[b - 1])
-            if size < BLOCK_BYTES and b < len(texts):
-                continue
+        flags = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
+        for a, b in byte_blocks(batch.column(1), BLOCK_BYTES):
             tokens, length = [], []
-            for t in texts[a:b]:
+            for t in batch.column(1).slice(a, b - a).to_pylist():
                 found = t.lower().split()
                 tokens += found
                 tokens.append(END)
@@ -105,7 +102,6 @@ def _packs(batches):
             sizes.append(np.array(length, np.int64))
             hashes.append(words.of(tokens))
             n += len(tokens)
-            a, size = b, 0
             if n >= PACK_TOKENS:
                 yield out()
                 ids, held, sizes, hashes, n = [], [], [], [], 0

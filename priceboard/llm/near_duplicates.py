@@ -28,13 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHash, mix, packed, stored, windows
+from .common import WordHash, byte_blocks, mix, packed, stored, windows
 
 SHINGLE = 5
 THRESHOLD = 0.8
 COMPONENTS, BANDS, ROWS = 256, 56, 7
 #: Bytes of text that a task hashes at once.
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 2_000_000
 
 
 def shingles(texts: list[bytes], words: WordHash, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -124,13 +124,9 @@ def _hashed(docs: DataFrame, text: str, key: str) -> DataFrame:
 def _sketched(batches):
     words = WordHash()
     for batch in batches:
-        keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        a = size = 0
-        for b in range(1, len(texts) + 1):
-            size += len(texts[b - 1])
-            if size >= BLOCK_BYTES or b == len(texts):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[a:b], pa.int64()), pa.array(bands(texts[a:b], words), pa.list_(pa.int64()))], ["k", "bands"])
-                a, size = b, 0
+        for a, b in byte_blocks(batch.column(1), BLOCK_BYTES):
+            found = bands(batch.column(1).slice(a, b - a).to_pylist(), words)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(found, pa.list_(pa.int64()))], ["k", "bands"])
 
 
 def _verified(batches):

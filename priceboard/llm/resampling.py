@@ -24,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, mix, packed, stored, windows
+from .common import WordHash, byte_blocks, mix, packed, stored, windows
 
 BUCKETS = 10_000
 MAX_TARGET = 20_000
 SCALE = 100.0
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 2_000_000
 BINS = 4096
 
 
@@ -47,15 +47,6 @@ def _buckets(texts: list[bytes], words: WordHash) -> tuple[np.ndarray, np.ndarra
     return (h % np.uint64(BUCKETS)).astype(np.int64), doc
 
 
-def _blocks(texts: list[bytes]):
-    a = size = 0
-    for b in range(1, len(texts) + 1):
-        size += len(texts[b - 1])
-        if size >= BLOCK_BYTES or b == len(texts):
-            yield a, b
-            a, size = b, 0
-
-
 def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
     return packed(docs, __id=key, __text=text).select(F.col("__id").alias("id"), F.coalesce("__text", F.lit("")).cast("binary").alias("text"))
 
@@ -69,9 +60,9 @@ def models(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     def counted(batches):
         words, sums = WordHash(), np.zeros((2, BUCKETS), np.int64)
         for batch in batches:
-            texts, is_good = batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False)
-            for a, b in _blocks(texts):
-                n, doc = _buckets(texts[a:b], words)
+            is_good = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            for a, b in byte_blocks(batch.column(0), BLOCK_BYTES):
+                n, doc = _buckets(batch.column(0).slice(a, b - a).to_pylist(), words)
                 sums[0] += np.bincount(n, minlength=BUCKETS)
                 sums[1] += np.bincount(n[is_good[a:b][doc]], minlength=BUCKETS)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS)), pa.array(sums[0]), pa.array(sums[1])], ["bucket", "raw", "target"])
@@ -93,9 +84,8 @@ def weigh(docs: DataFrame, ratio: np.ndarray, key: str = "doc_id", text: str = "
     def run(batches):
         words, r = WordHash(), held.value
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in _blocks(texts):
-                n, doc = _buckets(texts[a:b], words)
+            for a, b in byte_blocks(batch.column(1), BLOCK_BYTES):
+                n, doc = _buckets(batch.column(1).slice(a, b - a).to_pylist(), words)
                 count = np.bincount(doc, minlength=b - a)
                 total = np.bincount(doc, r[n], b - a)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(SCALE * total / np.maximum(count, 1))], ["id", "u", "log_weight"])

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed, stored
+from .common import byte_blocks, packed, stored
 
 MAX_LABELLED = 12_000
 MAX_FEATURES = 20_000
@@ -40,7 +40,7 @@ PREFIXES = (4, 5, 6)
 LEAST_DOCS, LEAST_G = 4, 30.0
 STEPS, RATE, L1, START = 1500, 20.0, 2e-4, -6.0
 OFFENDING = 0.5
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 2_000_000
 _MARKS = b".,;:!?\"'()[]{}<>*#%&$|"
 _LINE = b"\x01"
 
@@ -62,7 +62,7 @@ def _ends(token: bytes) -> bool:
 class _Tokens(dict):
     """token -> row of self.facts (made by fact(token)) and of self.ends (0, 1, or 2 for a line break); bounded between blocks."""
 
-    LIMIT = 400_000
+    LIMIT = 200_000
 
     def __init__(self, fact):
         super().__init__()
@@ -198,22 +198,18 @@ def score(docs: DataFrame, model: tuple[dict[int, float], float], key: str = "do
             return np.logaddexp(0, z), doc
 
         for batch in batches:
-            texts, a, size = batch.column(1).to_pylist(), 0, 0
-            for b in range(1, len(texts) + 1):
-                size += len(texts[b - 1])
-                if size < BLOCK_BYTES and b < len(texts):
-                    continue
-                cost, doc = parts(texts[a:b])
+            for a, b in byte_blocks(batch.column(1), BLOCK_BYTES):
+                texts = batch.column(1).slice(a, b - a).to_pylist()
+                cost, doc = parts(texts)
                 cols, names = [batch.column(0).slice(a, b - a), pa.array(-np.expm1(-np.bincount(doc, cost, b - a)))], ["id", "score"]
                 if spans:
                     hot, marks = set(doc[cost >= -math.log1p(-OFFENDING)].tolist()), []
                     for i in range(b - a):
-                        each = [(x, float(-np.expm1(-parts([x])[0].sum()))) for x in (_split(texts[a + i]) if i in hot else [])]
+                        each = [(x, float(-np.expm1(-parts([x])[0].sum()))) for x in (_split(texts[i]) if i in hot else [])]
                         marks.append([{"sentence": x.strip().decode("utf-8", "replace"), "score": p} for x, p in each if p >= OFFENDING])
                     cols.append(pa.array(marks, kind))
                     names.append("offending")
                 yield pa.RecordBatch.from_arrays(cols, names)
-                a, size = b, 0
 
     key_kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(run, f"id {key_kind}, score double" + (", offending array<struct<sentence:string,score:double>>" if spans else ""))
