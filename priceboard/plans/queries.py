@@ -761,3 +761,37 @@ def stream_rates_merge(spark, sf):
     q = li.select(F.col("l_suppkey").alias("brand_id"), F.to_date("l_shipdate").alias("rate_date"), F.when(F.col("l_tax") >= 0.01, price).alias("canonical"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
     jobs.for_each_batch(q, at, jobs.merge_step(out, lambda old, new: sinks.merge_rates(old, new, seq="seq"))).awaitTermination()
     return spark.read.parquet(f"{out}/v0")
+
+
+# ---- runs
+from . import runs  # noqa: E402
+
+RUN = f"""b AS (SELECT s_suppkey AS brand_id FROM supplier), l AS (SELECT brand_id, {D("CAST(8000 + brand_id % 2000 AS DOUBLE) / (CASE brand_id % 4 WHEN 0 THEN CAST(1 AS DOUBLE) WHEN 1 THEN CAST(22 AS DOUBLE)/24 WHEN 2 THEN CAST(0.75 AS DOUBLE) ELSE CAST(14 AS DOUBLE)/24 END)")} AS canonical FROM b WHERE brand_id % 6 <> 0),
+m AS (SELECT median(canonical) AS m, count(*) AS n FROM l)"""
+
+
+@query(f"""WITH {RUN} SELECT brand_id, DATE '2024-02-01' AS rate_date, canonical, CASE WHEN n >= 5 AND abs(canonical - m) / m > CAST(0.04 AS DOUBLE) THEN 'quarantined' ELSE 'published' END AS status, 'extracted' AS method FROM l, m
+UNION ALL SELECT brand_id, DATE '2024-02-01', {D('m')}, 'estimated', 'reference-median' FROM b, m WHERE brand_id % 6 = 0""")
+def rates_run(spark, sf):
+    k = F.col("s_suppkey")
+    karat = F.when(k % 4 == 0, "24").when(k % 4 == 1, "22").when(k % 4 == 2, "18").otherwise("14")
+    html = F.concat(F.lit("<table><tr><td>Gold "), karat, F.lit(" KT</td><td>₹ "), (8000 + k % 2000).cast("string"), F.lit("</td></tr></table>"))
+    s = table(spark, sf, "supplier")
+    pages_ = s.filter(k % 6 != 0).select(k.alias("page_id"), html.alias("html"))
+    brands = s.select(k.alias("brand_id"), F.lit(False).alias("includes_gst"))
+    stored = spark.createDataFrame([], "brand_id long, rate_date date, canonical double, status string, method string, seq long")
+    return runs.rates_run(pages_, brands, stored, _day("2024-02-01"))
+
+
+@query(f"""WITH x AS (SELECT p_brand AS brand, p_type AS category, p_partkey, row_number() OVER (PARTITION BY p_brand, p_type ORDER BY p_partkey) AS rn, count(*) OVER (PARTITION BY p_brand, p_type) AS pool,
+{D("CAST(5000 + p_partkey % 700 AS DOUBLE) / CAST(50000 + p_partkey % 1000 * 10 AS DOUBLE) * 100", 1)} AS pct FROM part), s AS (SELECT * FROM x WHERE rn <= CASE WHEN pool >= 500 THEN 150 WHEN pool >= 100 THEN 60 ELSE greatest(20, least(pool, 60)) END),
+t AS (SELECT *, row_number() OVER (PARTITION BY brand ORDER BY rn, category) AS turn FROM s), u AS (SELECT * FROM t WHERE turn <= 600),
+m AS (SELECT brand, category, median(pct) AS md, count(*) AS n FROM u GROUP BY ALL), d AS (SELECT u.*, md, n, abs(pct - md) AS dv FROM u JOIN m USING (brand, category)), a AS (SELECT brand, category, median(dv) AS mad FROM d GROUP BY ALL),
+k AS (SELECT d.*, CASE WHEN n < 4 OR mad = 0 THEN true ELSE abs(CAST(0.6745 AS DOUBLE) * (pct - md) / mad) <= CAST(3.5 AS DOUBLE) END AS kept FROM d JOIN a USING (brand, category))
+SELECT brand, category, count(*) FILTER (kept) AS items, {D('median(pct) FILTER (kept)', 1)} AS median_pct, {D('min(pct) FILTER (kept)', 1)} AS min_pct, {D('max(pct) FILTER (kept)', 1)} AS max_pct, count(*) FILTER (NOT kept) AS rejected,
+CASE WHEN count(*) FILTER (kept) >= 12 THEN 'high' WHEN count(*) FILTER (kept) >= 5 THEN 'medium' WHEN count(*) FILTER (kept) > 0 THEN 'low' ELSE 'none' END AS confidence FROM k GROUP BY brand, category""")
+def charges_run(spark, sf):
+    p = making_pages(spark, sf, MAKING_PAGES["json_flat"])
+    cat = table(spark, sf, "part").select(F.col("p_partkey").alias("page_id"), F.col("p_type").alias("category"), F.concat(F.lit("/products/"), F.col("p_partkey").cast("string")).alias("url"))
+    profiles = spark.createDataFrame([], readers.PROFILE)
+    return runs.charges_run(p.join(cat, "page_id"), profiles)["summary"]
