@@ -11,9 +11,10 @@ index of 0.8 a pair shares no bucket with a probability below 1e-5, and at 0.25
 0.3 %, so groups of loosely related texts do not fill buckets with pairs.  Texts of a bucket are compared with its first and last member, exactly and
 over whole texts; links are folded to classes; then, in those buckets whose members are not yet all
 of one class, each member outside the largest class is compared with the members of other classes:
-first by four bits of each component, within the join, so that pairs far below the threshold (beyond
-4.7 standard deviations of a pair at 0.8) never become rows, then exactly.  So every other pair that shares a bucket is compared or known to be of one class, without all pairs of a
-large group.  Equal texts meet by their 64-bit hash alone and are compared once.
+first by a second sketch of FINE components, one bit of each, within the join, so that pairs further
+from the threshold than 4.6 standard deviations of a pair at 0.8 never become rows, then exactly.  The
+second sketch is made for the texts of such buckets alone.  So every other pair that shares a bucket is
+compared or known to be of one class, without all pairs of a large group.  Equal texts meet by their 64-bit hash alone and are compared once.
 
 Defined cases: a null text counts as an empty one; empty or blank texts have no shingles and are copies of equal texts only;
 a text of one to four words is one shingle; class_id is the least id of the class (null ids count
@@ -35,10 +36,9 @@ SHINGLE = 5
 THRESHOLD = 0.8
 COMPONENTS, BANDS, ROWS = 256, 56, 7
 #: Bytes of text that a task hashes at once.
-BLOCK_BYTES = 2_000_000
-#: Components whose four bits differ in a pair at 0.8: 48 of 256 expected, 6.2 the standard deviation.
-MOST_DIFFERENT = 77
-NIBBLES = 0x1111111111111111
+BLOCK_BYTES, FINE_BYTES = 2_000_000, 250_000
+#: Components of the second sketch.  Their bits differ in a pair at 0.8 in 205 places, standard deviation 13.6.
+FINE, MOST_DIFFERENT = 2048, 268
 
 
 def shingles(texts: list[bytes], words: WordHash, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -89,8 +89,8 @@ def prob_min_hash(elements: np.ndarray, weights: np.ndarray, doc: np.ndarray, n_
     return who.reshape(n_docs, m)
 
 
-def bands(texts: list[bytes], words: WordHash) -> tuple[list[list[int]], list[list[int]]]:
-    """Bucket numbers of each text (none for a text without words), and four bits of each component, 16 to a number."""
+def bands(texts: list[bytes], words: WordHash) -> list[list[int]]:
+    """Bucket numbers of each text (none for a text without words)."""
     h, w, doc = shingles(texts, words)
     sig = prob_min_hash(h, w, doc, len(texts), COMPONENTS)
     chosen = np.argsort(np.random.default_rng(0).random((BANDS, COMPONENTS)), axis=1)[:, :ROWS]
@@ -98,9 +98,15 @@ def bands(texts: list[bytes], words: WordHash) -> tuple[list[list[int]], list[li
     for r in range(ROWS):
         out = mix(out * np.uint64(0x9E3779B97F4A7C15) + sig[:, chosen[:, r]])
     has = np.bincount(doc, minlength=len(texts)) > 0
-    four = (mix(sig) & np.uint64(15)).reshape(len(texts), COMPONENTS // 16, 16) << np.arange(0, 64, 4, dtype=np.uint64)
-    bits = np.bitwise_or.reduce(four, axis=2).view(np.int64).tolist()
-    return [row.tolist() if ok else [] for row, ok in zip(out.view(np.int64), has, strict=True)], bits
+    return [row.tolist() if ok else [] for row, ok in zip(out.view(np.int64), has, strict=True)]
+
+
+def fine_bits(texts: list[bytes], words: WordHash) -> np.ndarray:
+    """One bit of each component of the second sketch, 64 to a number: a row for each text."""
+    h, w, doc = shingles(texts, words)
+    sig = prob_min_hash(h, w, doc, len(texts), FINE)
+    sig = sig + np.arange(FINE, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)  # an element's bits differ by component
+    return np.packbits((mix(sig) & np.uint64(1)).astype(np.uint8), axis=1, bitorder="little").view(np.int64)
 
 
 def similarity(h1: np.ndarray, w1: np.ndarray, h2: np.ndarray, w2: np.ndarray) -> float:
@@ -131,9 +137,16 @@ def _sketched(batches):
     words = WordHash()
     for batch in batches:
         for a, b in byte_blocks(batch.column(1), BLOCK_BYTES):
-            found, bits = bands(batch.column(1).slice(a, b - a).to_pylist(), words)
-            kind = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(found, kind), pa.array(bits, kind)], ["k", "bands", "bits"])
+            found = bands(batch.column(1).slice(a, b - a).to_pylist(), words)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(found, pa.list_(pa.int64()))], ["k", "bands"])
+
+
+def _fine_sketched(batches):
+    words = WordHash()
+    for batch in batches:
+        for a, b in byte_blocks(batch.column(1), FINE_BYTES):
+            bits = fine_bits(batch.column(1).slice(a, b - a).to_pylist(), words)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(x) for x in bits.T.copy())], ["k", *(f"b{i}" for i in range(FINE // 64))])
 
 
 def _verified(batches):
@@ -174,7 +187,7 @@ def links(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: f
     """(a row per row of docs: id, idk, k; for the k that are linked to others: k, c)."""
     rows = _hashed(docs, text, key)
     members = stored(rows.select(F.col("__id").alias("id"), F.col("__idk").alias("idk"), F.col("__k").alias("k")), "members")
-    sketches = rows.select("__k", "__text").mapInArrow(_sketched, "k bigint, bands array<bigint>, bits array<bigint>")
+    sketches = rows.select("__k", "__text").mapInArrow(_sketched, "k bigint, bands array<bigint>")
     sketches = stored(sketches, "bands")
     rows_of = sketches.select("k", F.explode("bands").alias("bucket"))
     ends = rows_of.groupBy("bucket").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).filter("lo <> hi")
@@ -202,9 +215,10 @@ def links(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: f
         return rows.join(top.filter("classes > 1").select("bucket", F.col("top.c").alias("top")), "bucket")
 
     # what may be left: members of one bucket that are of different classes
-    open_ = still_open(classes)
-    bits = [F.col("bits")[i].alias(f"b{i}") for i in range(COMPONENTS // 16)]
-    open_ = stored(open_.join(sketches.select("k", *bits).dropDuplicates(["k"]), "k"), "open")
+    open_ = stored(still_open(classes), "open")
+    bits = ", ".join(f"b{i} bigint" for i in range(FINE // 64))
+    fine = texts.join(open_.select("k").distinct(), "k").select("k", "text").mapInArrow(_fine_sketched, f"k bigint, {bits}")
+    open_ = open_.join(stored(fine, "fine"), "k")
     pivots, others = open_.filter("c <> top").alias("p"), open_.alias("o")
     rest = pivots.join(others, F.expr("p.bucket = o.bucket and p.c <> o.c and (o.c = o.top or o.c < p.c)") & (_different("p", "o") <= MOST_DIFFERENT))
     rest = rest.select(F.least("p.k", "o.k").alias("a"), F.greatest("p.k", "o.k").alias("b")).distinct()
@@ -216,13 +230,8 @@ def links(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: f
 
 
 def _different(p: str, o: str):
-    """Components whose four bits differ."""
-    total = F.lit(0)
-    for i in range(COMPONENTS // 16):
-        x = F.col(f"{p}.b{i}").bitwiseXOR(F.col(f"{o}.b{i}"))
-        any_bit = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseOR(F.shiftrightunsigned(x, 3))
-        total = total + F.bit_count(any_bit.bitwiseAND(F.lit(NIBBLES)))
-    return total
+    """Components of the second sketch whose bits differ."""
+    return sum((F.bit_count(F.col(f"{p}.b{i}").bitwiseXOR(F.col(f"{o}.b{i}"))) for i in range(FINE // 64)), F.lit(0))
 
 
 def _labelled(members: DataFrame, classes: DataFrame) -> DataFrame:
