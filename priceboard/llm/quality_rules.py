@@ -4,7 +4,8 @@ Each document gets counts over its whole text, and from them a vector of transfo
 Per (lang, source) a minimum-covariance-determinant estimate is fitted by concentration steps: from
 medians and quartile ranges, the half of the documents nearest by Mahalanobis distance gives the next mean and
 covariance, a few times over, ending with a reweighted estimate.  A document whose squared distance
-exceeds the cutoff is rejected.  Only DataFrame functions are used; estimates are one row per group,
+exceeds its group's cutoff is rejected: a chi-square quantile, widened by the group's median distance where
+that is above the chi-square median.  Only DataFrame functions are used; estimates are one row per group,
 quantiles come from mergeable sketches and moments from partial sums, so a hot group never meets in
 one task.
 
@@ -17,7 +18,7 @@ Defined cases: a null text counts as empty (no words, base_failed).  Null lang o
 of its own.  A group of fewer than min_docs documents that pass the base rules is pooled with the
 other such groups of its language, and what is still too small with the rest of the corpus; without
 any passing document nothing is kept.  A variance below its floor is raised to the floor, so constant
-statistics and repeated rows give no singular matrix.  A distance equal to the cutoff keeps the document.
+statistics and repeated rows give no singular matrix; the same holds for what of a variance the statistics before it leave.  A distance equal to the cutoff keeps the document.
 Repeated rows get equal verdicts.  Extra columns pass through unread.
 """
 
@@ -35,9 +36,8 @@ FEATURES = {"word_len": 0.08, "symbols": 0.08, "dup_lines": 0.10, "repeats": 0.0
 HALF = 0.5
 STEPS = 3
 MIN_DOCS = 200
-#: Squared distance beyond which a document goes.  The 0.99999 quantile of chi-square with six degrees of freedom is 33;
-#: texts are no normal vectors, so the limit is twice that.
-CUTOFF = 66.0
+#: Squared distance beyond which a document goes: the 0.99999 quantile of chi-square with six degrees of freedom.
+CUTOFF = 33.107
 #: Median and 0.975 quantile of chi-square with six degrees of freedom: fixed values.
 MEDIAN_CHI2, REWEIGHT_CHI2 = 5.348, 14.449
 MAX_BROADCAST_GROUPS = 20_000
@@ -98,9 +98,9 @@ def _cholesky(df: DataFrame) -> DataFrame:
     p, floors = len(FEATURES), list(FEATURES.values())
     for j in range(p):
         for i in range(j, p):
-            cov = F.coalesce(F.col(f"c_{i}_{j}"), F.lit(0.0)) + (F.lit(floors[i] ** 2) if i == j else F.lit(0.0))
+            cov = F.coalesce(F.col(f"c_{i}_{j}"), F.lit(0.0))
             rest = cov - reduce(lambda a, k: a + F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}"), range(j), F.lit(0.0))
-            df = df.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(rest, F.lit(floors[i] ** 2 * 1e-3))) if i == j else rest / F.col(f"l_{j}_{j}"))
+            df = df.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(rest, F.lit(floors[i] ** 2))) if i == j else rest / F.col(f"l_{j}_{j}"))
     return df
 
 
@@ -180,9 +180,12 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     a, b = table.alias("a"), (F.broadcast(groups) if few else groups).alias("b")
     on = F.col("a.__lang").eqNullSafe(F.col("b.__lang")) & F.col("a.__source").eqNullSafe(F.col("b.__source"))
     table = a.join(b, on, "left").select("a.*", "b.g")
-    est = estimates(table.filter(~F.col("__fail")).select("g", *_names()), few)
-    out = _distance(_per_group(table, est, few))
-    return out.withColumn("__kept", ~F.col("__fail") & F.coalesce(F.col("d2") <= cutoff, F.lit(False)))
+    vectors = table.filter(~F.col("__fail")).select("g", *_names())
+    est = estimates(vectors, few)
+    near = _distance(_per_group(vectors, est, few))
+    cuts = near.groupBy("g").agg((cutoff * F.greatest(F.lit(1.0), F.percentile_approx("d2", 0.5, 2000) / MEDIAN_CHI2)).alias("cut"))
+    out = _distance(_per_group(table, stored(est.join(cuts, "g"), "cuts"), few))
+    return out.withColumn("__kept", ~F.col("__fail") & F.coalesce(F.col("d2") <= F.col("cut"), F.lit(False)))
 
 
 def quality_rules(docs: DataFrame, **how) -> DataFrame:

@@ -47,3 +47,14 @@ def test_pipeline_form_and_empty(make, prose):
 def test_clashing_columns(spark):
     docs = spark.createDataFrame([(1, "a b", "en", "s", 3, "x")], "doc_id long, text string, lang string, source string, g int, d2 string")
     assert qr.judge(docs).first()["__kept"] is False
+
+
+def test_junk_of_any_length_among_texts_without_symbols(make, prose):
+    rng = random.Random(8)
+    clean = [(i, prose(rng, rng.randint(12, 400)), "en", "a") for i in range(400)]
+    marked = lambda n, k: " ".join(w + "%%%&&&"[: (j + 1) * k // n - j * k // n] for j, w in enumerate(prose(rng, n).split()))
+    junk = [(1000, marked(34, 30)), (1001, marked(15, 15))] + [(1002 + i, " ".join(w + " |" for w in prose(rng, n).split())) for i, n in enumerate([40, 60, 90, 120])]
+    got = qr.judge(make(clean + [(*x, "en", "a") for x in junk]), columns=["doc_id"]).select("__row.doc_id", "__kept", "__fail").collect()
+    assert not [r for r in got if r["doc_id"] >= 1000 and r["__kept"]]
+    passed = [r for r in got if r["doc_id"] < 1000 and not r["__fail"]]
+    assert sum(r["__kept"] for r in passed) >= 0.99 * len(passed)
