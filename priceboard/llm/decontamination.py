@@ -5,12 +5,13 @@ has the same template.  Windows of WINDOW template words of documents and benchm
 hash-joined; hits of one document and item on one diagonal (same shift) are put together, and the
 slots that they cover must be filled consistently: equal values of the item by equal values in the
 document, different ones by different ones.  A document is contaminated by an item if consistent (or
-literally equal) windows cover LEAST words of it, or all of a shorter item.
+literally equal) windows cover LEAST words of it, or all of a shorter item.  Windows are also joined by
+their words as they are, so that a copy is found whatever it is made of.
 
 Canonical words: white space separates words; marks around a word go; case goes.  A number is digits
 with separators, sign, currency or percent; a unit is a word of UNITS after a number (or glued to
-it); a name is a capitalised word that does not begin a sentence or line.  A window needs LITERAL
-words that are no placeholders, since a window of placeholders alone says nothing.
+it); a name is a capitalised word that does not begin a sentence or line.  A template window needs LITERAL
+words that are no placeholders, since a window of placeholders alone says nothing; a literal one needs none.
 
 Before the join, documents are looked up in a bitmap of BITS bits of the benchmark's window hashes:
 its size is fixed, and when a benchmark fills it, more windows pass on to the join and none is lost.
@@ -88,8 +89,8 @@ class _Lexicon(dict):
 _PLACEHOLDER = np.array([0] + [xxhash.xxh3_64_intdigest(b"\x00slot%d" % i) for i in (NUMBER, NAME, UNIT, QUANTITY)], np.uint64)
 
 
-def templates(texts: list[bytes], lex: _Lexicon) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-    """(template word hash, slot type, number of the text, the words) for all words of the texts."""
+def templates(texts: list[bytes], lex: _Lexicon) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """(template word hash, literal word hash, slot type, number of the text, the words) for all words of the texts."""
     tokens, size = [], []
     for t in texts:
         found = t.replace(b"\n", b" \x01 ").split()
@@ -111,36 +112,38 @@ def templates(texts: list[bytes], lex: _Lexicon) -> tuple[np.ndarray, np.ndarray
     kind[(flags & 4 > 0) & after] = UNIT
     kind[flags & 8 > 0] = QUANTITY
     kind[number] = NUMBER
-    return np.where(kind == 0, literal, _PLACEHOLDER[kind]), kind, doc, [tokens[i] for i in words]
+    return np.where(kind == 0, literal, _PLACEHOLDER[kind]), literal, kind, doc, [tokens[i] for i in words]
 
 
 def _found(ids: pa.Array, texts: list[bytes], lex: _Lexicon, lengths: list[int], bits: np.ndarray | None, whole: bool):
-    """Windows as a record batch: id, pos, h, n (words of the text), slots.  whole: of a text shorter than WINDOW the whole."""
-    h, kind, doc, tokens = templates(texts, lex)
+    """Windows as record batches: id, pos, h, n (words of the text), slots, exact (h is of the words as they are; slots are of items only).  whole: items, of which one shorter than WINDOW is taken whole."""
+    h, literal, kind, doc, tokens = templates(texts, lex)
     size = np.bincount(doc, minlength=len(texts)) if len(doc) else np.zeros(len(texts), np.int64)
     start = np.cumsum(size) - size
     filled = np.concatenate([[0], np.cumsum(kind != 0)])
     for n in lengths:
         if len(h) < n:
             continue
-        w = mix(windows(h, n) + np.uint64(n))
-        ok = doc[: len(w)] == doc[n - 1 :]
-        ok &= n - (filled[n:] - filled[:-n]) >= min(LITERAL, n)
+        same = doc[: len(h) - n + 1] == doc[n - 1 :]
         if whole and n < WINDOW:
-            ok &= size[doc[: len(w)]] == n
-        if bits is not None:
-            b = w >> np.uint64(64 - BITS.bit_length() + 1)
-            ok &= (bits[b >> np.uint64(3)] >> (b & np.uint64(7)).astype(np.uint8)) & 1 > 0
-        at = np.flatnonzero(ok)
-        if not len(at):
-            continue
-        slots = [[{"off": int(j), "value": tokens[i + j].strip(_MARKS).lower().decode("utf-8", "replace")} for j in np.flatnonzero(kind[i : i + n])] for i in at]
-        d = doc[at]
-        kinds = pa.list_(pa.struct([("off", pa.int32()), ("value", pa.string())]))
-        yield pa.RecordBatch.from_arrays(
-            [ids.take(pa.array(d)), pa.array((at - start[d]).astype(np.int32)), pa.array(w[at].view(np.int64)), pa.array(size[d].astype(np.int32)), pa.array(np.full(len(at), n, np.int32)), pa.array(slots, kinds)],
-            names=["id", "pos", "h", "words", "len", "slots"],
-        )
+            same &= size[doc[: len(same)]] == n
+        enough = n - (filled[n:] - filled[:-n]) >= min(LITERAL, n)
+        for form, of in enumerate((h, literal)):
+            w = mix(windows(of, n) + np.uint64(n + (form << 8)))
+            ok = same if form else same & enough
+            if bits is not None:
+                b = w >> np.uint64(64 - BITS.bit_length() + 1)
+                ok = ok & ((bits[b >> np.uint64(3)] >> (b & np.uint64(7)).astype(np.uint8)) & 1 > 0)
+            at = np.flatnonzero(ok)
+            if not len(at):
+                continue
+            slots = [[] if form and not whole else [{"off": int(j), "value": tokens[i + j].strip(_MARKS).lower().decode("utf-8", "replace")} for j in np.flatnonzero(kind[i : i + n])] for i in at]
+            d = doc[at]
+            kinds = pa.list_(pa.struct([("off", pa.int32()), ("value", pa.string())]))
+            yield pa.RecordBatch.from_arrays(
+                [ids.take(pa.array(d)), pa.array((at - start[d]).astype(np.int32)), pa.array(w[at].view(np.int64)), pa.array(size[d].astype(np.int32)), pa.array(np.full(len(at), n, np.int32)), pa.array(slots, kinds), pa.array(np.full(len(at), form > 0))],
+                names=["id", "pos", "h", "words", "len", "slots", "exact"],
+            )
 
 
 def _windows(df: DataFrame, lengths: list[int], bits=None, whole: bool = False) -> DataFrame:
@@ -153,7 +156,7 @@ def _windows(df: DataFrame, lengths: list[int], bits=None, whole: bool = False)
                 yield from _found(batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a).to_pylist(), lex, lengths, mask, whole)
 
     kind = df.schema["id"].dataType.simpleString()
-    return df.mapInArrow(run, f"id {kind}, pos int, h bigint, words int, len int, slots array<struct<off:int,value:string>>")
+    return df.mapInArrow(run, f"id {kind}, pos int, h bigint, words int, len int, slots array<struct<off:int,value:string>>, exact boolean")
 
 
 def _covered(places, length: int = WINDOW):
@@ -180,11 +183,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     texts = rows.filter("__text is not null").select(F.struct(F.col("__key").alias("key"), F.col("__id").alias("id")).alias("id"), F.col("__text").cast("binary").alias("text"))
     hits = _windows(texts, used, spark.sparkContext.broadcast(marked))
     few = small(bench, MAX_BROADCAST_WINDOWS)
-    b = bench.select("h", F.col("len").alias("blen"), F.col("pos").alias("bpos"), F.col("id").alias("item"), F.col("words").alias("item_words"), F.col("slots").alias("bslots"))
-    hits = hits.select(F.col("id").alias("doc"), "pos", "h", "len", "slots")
-    joined = hits.join(F.broadcast(b) if few else b, "h").filter("len = blen")
+    b = bench.select("h", F.col("len").alias("blen"), F.col("pos").alias("bpos"), F.col("id").alias("item"), F.col("words").alias("item_words"), F.col("slots").alias("bslots"), F.col("exact").alias("bexact"))
+    hits = hits.select(F.col("id").alias("doc"), "pos", "h", "len", "slots", "exact")
+    joined = hits.join(F.broadcast(b) if few else b, "h").filter("len = blen and exact = bexact")
     pair = F.zip_with("bslots", "slots", lambda x, y: F.struct((F.col("bpos") + x["off"]).alias("at"), x["value"].alias("a"), y["value"].alias("b")))
-    joined = joined.withColumn("pairs", pair).withColumn("same", F.forall("pairs", lambda p: p["a"] == p["b"]))
+    kept = F.transform("bslots", lambda x: F.struct((F.col("bpos") + x["off"]).alias("at"), x["value"].alias("a"), x["value"].alias("b")))
+    joined = joined.withColumn("pairs", F.when(F.col("exact"), kept).otherwise(pair)).withColumn("same", F.forall("pairs", lambda p: p["a"] == p["b"]))
     place = F.struct(F.col("bpos").alias("pos"), "len")
     runs = joined.groupBy("doc", "item", "item_words", (F.col("pos") - F.col("bpos")).alias("shift")).agg(
         F.collect_set(place).alias("places"), F.collect_set(F.when(F.col("same"), place)).alias("equal"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs")

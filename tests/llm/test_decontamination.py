@@ -39,3 +39,11 @@ def test_empty_tables(spark, make):
 def test_a_full_bitmap_loses_nothing(spark, make, monkeypatch):
     monkeypatch.setattr(dc, "BITS", 8)
     assert (1, 1) in found(spark, make, [(1, ITEM)])
+
+
+def test_copies_rich_in_numbers_and_names(spark, make):
+    items = ["List primes: 2, 3, 5, 7, 11, 13, 17, 19", "What is 12 + 35?", "They met Anna Bob Clara Dora Emil in the old town"]
+    table = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    rows = [(10 + i, f"so then {x}\nand on") for i, x in enumerate(items)] + [(20, "List primes: 2, 3, 5, 7, 11, 13, 17, 23"), (21, "What is 12 + 36?")]
+    got = {(r["id"], r["item"]): r for r in dc.contamination(make(rows), table).collect()}
+    assert set(got) == {(10, 0), (11, 1), (12, 2)} and all(r["verbatim"] for r in got.values())
