@@ -5,7 +5,8 @@ names) are found by one pattern, in one pass that also clears texts without any.
 a type gets a surrogate from a keyed hash: digits become digits and letters letters in the value's
 own layout; an e-mail keeps its top domain, a phone its country code, an address part stays under 256.  A
 name is replaced word by word: a first name by one of the same gender and script, a last name by one
-of the same script, so a name and its short form stay together.
+of the same script, so a name and its short form stay together.  Further whole words of a text that
+are words of a name found in it get the same surrogates.
 
 Equal values have equal surrogates everywhere (coreference).  Where two values of a type would share
 a surrogate, or a surrogate is itself a value of the data, all but the least value are drawn again
@@ -103,7 +104,8 @@ def surrogate(kind: Column, value: Column, attempt: Column, key: str = KEY) -> C
     tail = F.when(kind == "email", F.regexp_extract(value, r"\.[A-Za-z]{2,}$", 0)).otherwise(F.lit(""))
     middle = F.substring(value, F.length(head) + 1, F.length(value) - F.length(head) - F.length(tail))
     script = _script(value)
-    parts = lambda s: F.concat(*(F.element_at(F.array(*map(F.lit, SYLLABLES[s])), F.pmod(code(F.lit(k)), F.lit(len(SYLLABLES[s]))) + 1) for k in range(4)))
+    # a syllable more at each attempt, so that there are always free names
+    parts = lambda s: F.array_join(F.transform(F.sequence(F.lit(0), attempt + 3), lambda k: F.element_at(F.array(*map(F.lit, SYLLABLES[s])), F.pmod(code(k), F.lit(len(SYLLABLES[s]))) + 1)), "")
     stem = F.when(script == "cyrillic", parts("cyrillic")).when(script == "greek", parts("greek")).otherwise(parts("latin"))
     end = reduce(lambda a, g: reduce(lambda b, s: b.when((kind == f"name_{g}") & (script == s), F.lit(ENDINGS[g][s])), SYLLABLES, a), ENDINGS, F.when(F.lit(False), F.lit("")))
     name = F.initcap(F.concat(stem, F.coalesce(end, F.lit(""))))
@@ -130,6 +132,15 @@ def table(values: DataFrame, key: str = KEY) -> DataFrame:
     raise ValueError(f"collisions are left after {ATTEMPTS} attempts: more values than surrogates of their layout")
 
 
+def _named(piece: Column, names: Column) -> Column:
+    """array<struct<text, hit>>: the words of a text and what is between them, with the row's own names replaced."""
+    tokens = F.split(piece, r"(?<![\p{L}'’-])(?=[\p{L}'’-])|(?<=[\p{L}'’-])(?![\p{L}'’-])")
+    # a word that is no name as it stands may hold one between marks, as in a possessive
+    inner = lambda x: F.when(F.element_at(names, x).isNull() & x.rlike("['’-]"), F.split(x, r"(?=['’]s?$)|(?<!\p{L})(?=\p{L})|(?<=\p{L})(?!\p{L})")).otherwise(F.array(x))
+    whole = F.flatten(F.transform(tokens, inner))
+    return F.transform(whole, lambda x: F.struct(F.coalesce(F.element_at(names, x), x).alias("text"), F.element_at(names, x).isNotNull().alias("hit")))
+
+
 def replaced(docs: DataFrame, key: str = "doc_id", text: str = "text", secret: str = KEY) -> DataFrame:
     """__row, __id, __text (with surrogates), __n (entities replaced)."""
     rows = packed(docs, __id=key, __text=text)
@@ -142,15 +153,23 @@ def replaced(docs: DataFrame, key: str = "doc_id", text: str = "text", secret: s
     spots = stored(spots, "entities")
     mapping = stored(table(spots.select("type", "value").distinct(), secret), "surrogates")
     new = spots.join(mapping, ["type", "value"], "left").withColumn("surrogate", F.coalesce("surrogate", "value"))
-    per_row = new.groupBy("rid").agg(F.array_sort(F.collect_set(F.struct("at", "part", "surrogate"))).alias("spots"))
+    per_row = new.groupBy("rid").agg(
+        F.array_sort(F.collect_set(F.struct("at", "part", "surrogate"))).alias("spots"),
+        # a last name's surrogate where a word is both
+        F.collect_set(F.when(F.col("type").startswith("name_"), F.struct("value", "type", "surrogate"))).alias("names"),
+    )
+    last = F.aggregate(F.array_sort("names"), F.create_map().cast("map<string,string>"), lambda m, x: F.map_concat(F.map_filter(m, lambda k, _: k != x["value"]), F.create_map(x["value"], x["surrogate"])))
+    per_row = per_row.withColumn("names", F.when(F.size("names") > 0, last))
     whole = rows.withColumn("rid", rid).join(per_row, "rid", "left")
     n = F.array_max(F.transform("spots", lambda s: s["at"])) + 1
     # the text between matches, then match and text in turn
     between = F.split("__text", ANY)
     at = lambda i: F.array_join(F.transform(F.filter("spots", lambda s: s["at"] == i), lambda s: s["surrogate"]), " ")
-    turn = F.transform(between, lambda x, i: F.when(i == 0, x).otherwise(F.concat(at(i - 1), x)))
+    named = F.transform(between, lambda x: F.when(F.col("names").isNull(), x).otherwise(F.array_join(F.transform(_named(x, F.col("names")), lambda w: w["text"]), "")))
+    more = F.when(F.col("names").isNotNull(), F.size(F.filter(F.flatten(F.transform(between, lambda x: _named(x, F.col("names")))), lambda w: w["hit"])))
+    turn = F.transform(named, lambda x, i: F.when(i == 0, x).otherwise(F.concat(at(i - 1), x)))
     out = F.when(F.col("spots").isNull(), F.col("__text")).otherwise(F.array_join(turn, ""))
-    return whole.select("__row", "__id", out.alias("__text"), F.coalesce(n, F.lit(0)).alias("__n"))
+    return whole.select("__row", "__id", out.alias("__text"), (F.coalesce(n, F.lit(0)) + F.coalesce(more, F.lit(0))).alias("__n"))
 
 
 def pseudonymize(docs: DataFrame, key: str = "doc_id", text: str = "text", secret: str = KEY) -> DataFrame:

@@ -45,3 +45,19 @@ def test_distinct_surrogates(spark):
 
 def test_empty(make):
     assert pii.pseudonymize(make([])).collect() == []
+
+
+def test_bare_mentions(make):
+    docs = make([(1, "Mr John Smith called. Smith left, then John; Smith's hat, Smithson and johnny stayed.\nSmith"), (2, "Smith is a trade and John a name."), (3, "Dr Anna Weber-Lang met Lang. Weber-Lang, Anna!")])
+    got = {r["__id"]: r for r in pii.replaced(docs).collect()}
+    m = re.fullmatch(r"Mr (\w+) (\w+) called\. (\w+) left, then (\w+); (\w+)'s hat, Smithson and johnny stayed\.\n(\w+)", got[1]["__text"])
+    assert m and m[2] == m[3] == m[5] == m[6] != "Smith" and m[1] == m[4] != "John" and got[1]["__n"] == 5
+    assert got[2]["__text"] == "Smith is a trade and John a name." and got[2]["__n"] == 0
+    m = re.fullmatch(r"Dr (\w+) (\w+) met Lang\. (\w+), (\w+)!", got[3]["__text"])
+    assert m and m[2] == m[3] and m[1] == m[4]
+
+
+def test_more_names_than_four_syllables_give(spark, monkeypatch):
+    monkeypatch.setitem(pii.SYLLABLES, "greek", ["βα", "γε"])
+    values = spark.createDataFrame([("name_s", "Α" + chr(945 + i // 10) + chr(945 + i % 10)) for i in range(80)], "type string, value string")
+    assert len({r["surrogate"] for r in pii.table(values).collect()}) == 80
