@@ -31,9 +31,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
     model = toxicity.train(docs, labels.filter(~held))
-    scored = toxicity.score(docs, model)
+    scored = toxicity.score(docs, model, spans=True)
     scored = scored.withColumnRenamed("id", "doc_id").withColumn("held_out", F.coalesce(held, F.lit(False)))
-    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    digest = F.md5(F.concat_ws("\n", "offending.sentence").cast("binary"))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("offending").alias("n_offending"), digest.alias("offending_md5"))
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

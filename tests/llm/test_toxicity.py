@@ -36,3 +36,14 @@ def test_without_labels(spark, make):
     model = tx.train(make([(1, "a b c")]), spark.createDataFrame([], "doc_id long, toxic int"))
     assert 0 <= tx.score(make([(1, "a b c")]), model).first()["score"] < 0.5
     assert tx.score(make([]), model).collect() == []
+
+
+def test_query_locates_sentences(spark, make, prose, tmp_path):
+    from priceboard.llm import queries
+
+    docs, labels = corpus(prose)
+    make(docs).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = queries.op4_toxicity(spark, str(tmp_path)).collect()
+    bad = [r for r in got if r["predicted"] and labels[r["doc_id"]][1]]
+    assert bad and any(r["n_offending"] for r in bad) and len({r["offending_md5"] for r in got}) > 1
