@@ -7,14 +7,21 @@ the shingle that arrived first.  A process stops once its next arrival is later
 text has kept.  Two texts agree in a component with the probability that is their index.
 
 Each of BANDS bands reads ROWS components, chosen at random among the M, and gives a bucket; at an
-index of 0.8 a pair shares no bucket with a probability below 1e-5, and at 0.25 it shares one with
-0.3 %, so groups of loosely related texts do not fill buckets with pairs.  Texts of a bucket are compared with its first and last member, exactly and
-over whole texts; links are folded to classes; then, in those buckets whose members are not yet all
-of one class, each member outside the largest class is compared with the members of other classes:
-first by a second sketch of FINE components, one bit of each, within the join, so that pairs further
-from the threshold than 4.6 standard deviations of a pair at 0.8 never become rows, then exactly.  The
-second sketch is made for the texts of such buckets alone.  So every other pair that shares a bucket is
-compared or known to be of one class, without all pairs of a large group.  Equal texts meet by their 64-bit hash alone and are compared once.
+index of 0.8 a pair shares no bucket with a probability of 5.1e-5 (the bands share components, so this is summed over
+the number of components that agree), and at 0.25 it shares one with 0.3 %, so groups of loosely related texts
+do not fill buckets with pairs.  Texts of a bucket are compared with its first and last member, exactly and
+over whole texts; links are folded to classes.
+
+What is left are buckets whose members are not yet all of one class: their texts are joined exactly, by their rare
+shingles, without all pairs of a group.  Shingles are ordered by their number among these texts, rarest first.  Let a
+and b be the shares of weight that two texts have before their first common shingle: none of it is common, so
+their index is at most (1 - a)(1 - b) / (1 - a b).  Therefore a pair at the threshold has its first common shingle
+where each text has at most 1 - threshold before it, and texts are joined by such shingles, with that bound in the
+join; pairs of one class and pairs that meet at the shingle just before as well are left out.  Where a shingle
+is frequent, each text brings PARITY bits too, each the parity of the number of its shingles that fall there: bits
+that differ are shingles of one text alone, which gives least values of a and b in the same bound.
+Texts that share a frequent passage or are looser copies of one text have more than that share of their own, and so do
+not meet at all.  Equal texts meet by their 64-bit hash alone and are compared once.
 
 Defined cases: a null text counts as an empty one; empty or blank texts have no shingles and are copies of equal texts only;
 a text of one to four words is one shingle; class_id is the least id of the class (null ids count
@@ -27,7 +34,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WordHash, byte_blocks, mix, packed, stored, windows
@@ -36,9 +43,12 @@ SHINGLE = 5
 THRESHOLD = 0.8
 COMPONENTS, BANDS, ROWS = 256, 56, 7
 #: Bytes of text that a task hashes at once.
-BLOCK_BYTES, FINE_BYTES = 2_000_000, 250_000
-#: Components of the second sketch.  Their bits differ in a pair at 0.8 in 205 places, standard deviation 13.6.
-FINE, MOST_DIFFERENT = 2048, 268
+BLOCK_BYTES, PARITY_BYTES = 2_000_000, 500_000
+#: Bits of a text's parities, and texts of a shingle from which they are used.
+PARITY, FREQUENT = 1024, 32
+#: What sums of shares may be off by.
+ROUNDING = 1e-9
+_BITS = [f"b{i}" for i in range(PARITY // 64)]
 
 
 def shingles(texts: list[bytes], words: WordHash, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -101,14 +111,6 @@ def bands(texts: list[bytes], words: WordHash) -> list[list[int]]:
     return [row.tolist() if ok else [] for row, ok in zip(out.view(np.int64), has, strict=True)]
 
 
-def fine_bits(texts: list[bytes], words: WordHash) -> np.ndarray:
-    """One bit of each component of the second sketch, 64 to a number: a row for each text."""
-    h, w, doc = shingles(texts, words)
-    sig = prob_min_hash(h, w, doc, len(texts), FINE)
-    sig = sig + np.arange(FINE, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)  # an element's bits differ by component
-    return np.packbits((mix(sig) & np.uint64(1)).astype(np.uint8), axis=1, bitorder="little").view(np.int64)
-
-
 def similarity(h1: np.ndarray, w1: np.ndarray, h2: np.ndarray, w2: np.ndarray) -> float:
     """Probability Jaccard index of two weighted sets (hashes sorted)."""
     if not len(h1) or not len(h2):
@@ -141,12 +143,30 @@ def _sketched(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(found, pa.list_(pa.int64()))], ["k", "bands"])
 
 
-def _fine_sketched(batches):
+def _shares(batches):
+    words = WordHash()
+    for batch in batches:
+        for a, b in byte_blocks(batch.column(1), BLOCK_BYTES):
+            h, w, doc = shingles(batch.column(1).slice(a, b - a).to_pylist(), words)
+            total = np.bincount(doc, w, b - a)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).take(pa.array(doc)), pa.array(h.view(np.int64)), pa.array(w / total[doc])], ["k", "h", "share"])
+
+
+def parities(h: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
+    """PARITY bits of each text, 64 to a number: the parity of the number of its distinct shingles that fall on a bit."""
+    bit = (mix(h) >> np.uint64(40)).astype(np.int64) % PARITY
+    odd = np.bincount(doc * PARITY + bit, minlength=n_docs * PARITY) & 1
+    return np.packbits(odd.reshape(n_docs, PARITY).astype(np.uint8), axis=1, bitorder="little").view(np.int64)
+
+
+def _summed_up(batches):
     words = WordHash()
     for batch in batches:
-        for a, b in byte_blocks(batch.column(1), FINE_BYTES):
-            bits = fine_bits(batch.column(1).slice(a, b - a).to_pylist(), words)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(x) for x in bits.T.copy())], ["k", *(f"b{i}" for i in range(FINE // 64))])
+        for a, b in byte_blocks(batch.column(1), PARITY_BYTES):
+            h, w, doc = shingles(batch.column(1).slice(a, b - a).to_pylist(), words)
+            bits = parities(h, doc, b - a)
+            columns = [np.bincount(doc, w, b - a), np.bincount(doc, minlength=b - a).astype(float), *bits.T.copy()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *map(pa.array, columns)], ["k", "weight", "distinct", *_BITS])
 
 
 def _verified(batches):
@@ -185,6 +205,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """(a row per row of docs: id, idk, k; for the k that are linked to others: k, c)."""
+    if threshold < THRESHOLD:
+        raise ValueError(f"the bands are made for a threshold of {THRESHOLD} or more")
     rows = _hashed(docs, text, key)
     members = stored(rows.select(F.col("__id").alias("id"), F.col("__idk").alias("idk"), F.col("__k").alias("k")), "members")
     sketches = rows.select("__k", "__text").mapInArrow(_sketched, "k bigint, bands array<bigint>")
@@ -208,30 +230,50 @@ def links(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: f
     found = stored(verified(tried), "links")
     classes = components(found)
 
-    def still_open(classes: DataFrame) -> DataFrame:
-        """bucket, k, c, top: members of buckets of several classes, with their class and the bucket's largest."""
-        rows = shared.select("bucket", "k").join(classes, "k", "left").withColumn("c", F.coalesce("c", "k"))
-        top = rows.groupBy("bucket", "c").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "c")).alias("top"), F.count("*").alias("classes"))
-        return rows.join(top.filter("classes > 1").select("bucket", F.col("top.c").alias("top")), "bucket")
-
-    # what may be left: members of one bucket that are of different classes
-    open_ = stored(still_open(classes), "open")
-    bits = ", ".join(f"b{i} bigint" for i in range(FINE // 64))
-    fine = texts.join(open_.select("k").distinct(), "k").select("k", "text").mapInArrow(_fine_sketched, f"k bigint, {bits}")
-    open_ = open_.join(stored(fine, "fine"), "k")
-    pivots, others = open_.filter("c <> top").alias("p"), open_.alias("o")
-    rest = pivots.join(others, F.expr("p.bucket = o.bucket and p.c <> o.c and (o.c = o.top or o.c < p.c)") & (_different("p", "o") <= MOST_DIFFERENT))
-    rest = rest.select(F.least("p.k", "o.k").alias("a"), F.greatest("p.k", "o.k").alias("b")).distinct()
-    rest = stored(rest.join(tried, ["a", "b"], "left_anti"), "pairs")
+    # what may be left: texts of buckets of several classes
+    classed = shared.select("bucket", "k").join(classes, "k", "left").withColumn("c", F.coalesce("c", "k"))
+    several = classed.groupBy("bucket").agg(F.min("c").alias("least"), F.max("c").alias("most")).filter("least <> most").select("bucket")
+    open_ = stored(classed.join(several, "bucket").select("k", "c").distinct(), "open")
+    rest = stored(rare_pairs(texts, open_, threshold).join(tried, ["a", "b"], "left_anti"), "pairs")
     more = stored(verified(rest), "links")
     if more.isEmpty():
         return members, classes
     return members, components(classes.select(F.col("c").alias("a"), F.col("k").alias("b")).union(more.select("a", "b")))
 
 
-def _different(p: str, o: str):
-    """Components of the second sketch whose bits differ."""
-    return sum((F.bit_count(F.col(f"{p}.b{i}").bitwiseXOR(F.col(f"{o}.b{i}"))) for i in range(FINE // 64)), F.lit(0))
+def rare_pairs(texts: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """texts: k, text; classes: k, c.  The pairs a, b of these texts, of different classes, that may reach the threshold."""
+    shares = texts.join(classes.select("k"), "k").select("k", "text").mapInArrow(_shares, "k bigint, h bigint, share double")
+    shares = stored(shares, "shares")
+    number = shares.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
+    # shingles of one text alone come first and meet nothing
+    by_rarity = Window.partitionBy("k").orderBy(F.coalesce("n", F.lit(1)), "h")
+    before = F.coalesce(F.sum("share").over(by_rarity.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    ranked = shares.join(number, "h", "left").withColumns({"before": before, "earlier": F.coalesce(F.lag("h").over(by_rarity), "k")})
+    prefix = ranked.filter((F.col("n").isNotNull()) & (F.col("before") <= 1 - threshold + ROUNDING))
+    prefix = stored(prefix.join(classes, "k").select("h", "k", "c", "before", "earlier", (F.col("n") > FREQUENT).alias("frequent")), "prefix")
+    by_earlier = prefix.groupBy("h", "earlier").agg(F.count("*").alias("n"), F.min("c").alias("least"), F.max("c").alias("most"))
+    usual = by_earlier.groupBy("h").agg(F.max(F.struct("n", "earlier")).alias("top"), F.min("least").alias("least"), F.max("most").alias("most"))
+    met = prefix.join(usual.filter("least <> most").select("h", F.col("top.earlier").alias("usual")), "h")
+    # texts with the same shingle before have met there: those with the usual one are met by the others, and these in order
+    once = F.expr("p.h = o.h and p.earlier <> o.earlier and (o.earlier = o.usual or o.k < p.k) and p.c <> o.c")
+    once &= _may_reach(F.col("p.before"), F.col("o.before"), threshold)
+    few, many = met.filter(~F.col("frequent")), met.filter("frequent")
+    pairs = few.filter("earlier <> usual").alias("p").join(few.alias("o"), once).select("p.k", F.col("o.k").alias("l"))
+    fields = ", ".join(f"{b} bigint" for b in _BITS)
+    looked_at = texts.join(many.select("k").distinct(), "k").select("k", "text")
+    sums = stored(looked_at.mapInArrow(_summed_up, f"k bigint, weight double, distinct double, {fields}"), "parities")
+    many = many.join(sums, "k")
+    differ = sum((F.bit_count(F.col(f"p.{b}").bitwiseXOR(F.col(f"o.{b}"))) for b in _BITS), F.lit(0)).cast("double")
+    alone = (differ + F.col("p.distinct") - F.col("o.distinct")) / 2, (differ + F.col("o.distinct") - F.col("p.distinct")) / 2
+    close = _may_reach(F.greatest(alone[0], F.lit(0.0)) / F.col("p.weight"), F.greatest(alone[1], F.lit(0.0)) / F.col("o.weight"), threshold)
+    pairs = pairs.union(many.filter("earlier <> usual").alias("p").join(many.alias("o"), once & close).select("p.k", F.col("o.k").alias("l")))
+    return pairs.select(F.least("k", "l").alias("a"), F.greatest("k", "l").alias("b")).distinct()
+
+
+def _may_reach(a: Column, b: Column, threshold: float) -> Column:
+    """Whether texts whose shares a and b are not common may be as similar as the threshold."""
+    return (1 - a) * (1 - b) >= threshold * (1 - a * b) - ROUNDING
 
 
 def _labelled(members: DataFrame, classes: DataFrame) -> DataFrame:

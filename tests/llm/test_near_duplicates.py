@@ -92,3 +92,68 @@ def test_components_of_a_path_and_a_star(spark, n):
     star = [(1000, 1000 + i) for i in range(1, n + 1)]
     got = {r["k"]: r["c"] for r in nd.components(spark.createDataFrame(path + star, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(1, n + 1)} | {1000 + i: 1000 for i in range(1, n + 1)}
+
+
+def partition(rows, least=0.8):
+    """Least id of the class of each row, by all pairs."""
+    parent = list(range(len(rows)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            a, b = rows[i][1] or "", rows[j][1] or ""
+            if root(i) != root(j) and (a == b or (a.split() and b.split() and exact(a, b) >= least)):
+                parent[root(i)] = root(j)
+    low = {}
+    for i, r in enumerate(rows):
+        low[root(i)] = min(low.get(root(i), r[0]), r[0])
+    return sorted((r[0], low[root(i)]) for i, r in enumerate(rows))
+
+
+@pytest.mark.parametrize("frequent", [2, 1000])
+def test_groups_around_the_threshold_against_all_pairs(make, prose, monkeypatch, frequent):
+    """A passage that all share with more or less of their own, and looser and closer copies of one text."""
+    monkeypatch.setattr(nd, "FREQUENT", frequent)
+    rng = random.Random(5)
+    passage, base, rows = prose(rng, 45), prose(rng, 60).split(" "), []
+    for i in range(60):
+        rows.append((i, f"{prose(rng, rng.randint(1, 12))} {passage} {prose(rng, rng.randint(1, 6))}"))
+    for i in range(60, 110):
+        t = list(base)
+        for _ in range(rng.randint(1, 3)):
+            t[rng.randrange(len(t))] = f"new{i}x{rng.randint(0, 99)}"
+        rows.append((i, " ".join(t)))
+    got = nd.near_duplicates(make(rows)).collect()
+    want = partition(rows)
+    assert 20 < len({c for _, c in want}) < 110
+    assert sorted((r["doc_id"], r["class_id"]) for r in got) == want
+
+
+def test_rare_pairs_are_all_pairs(spark, prose):
+    """Without any sketch: every pair at the threshold is met, and only few others."""
+    rng = random.Random(8)
+    passage, texts = prose(rng, 40), []
+    for i in range(80):
+        texts.append(f"{prose(rng, rng.randint(0, 9))} {passage} {'again and again ' * rng.choice([0, 0, 1, 2])}x{i} y{i}")
+    frame = spark.createDataFrame([(i, bytearray(t.encode())) for i, t in enumerate(texts)], "k long, text binary")
+    got = {(r["a"], r["b"]) for r in nd.rare_pairs(frame, frame.selectExpr("k", "k as c"), 0.8).collect()}
+    want = {(i, j) for j in range(80) for i in range(j) if exact(texts[i], texts[j]) >= 0.8}
+    assert want and want <= got
+
+
+def test_clashing_columns_and_a_low_threshold(spark):
+    wide = spark.createDataFrame([(1, "a b c d e f", 1, 2, "x"), (2, "a b c d e f", 3, 4, "y")], "doc_id long, text string, k long, c long, __row string")
+    assert [r["class_id"] for r in nd.near_duplicates(wide).collect()] == [1, 1]
+    assert nd.one_of_each(wide).collect() == wide.filter("doc_id = 1").collect()
+    with pytest.raises(ValueError):
+        nd.near_duplicates(wide, threshold=0.5)
+
+
+def test_very_long_text(make, prose):
+    t = prose(random.Random(2), 60_000)
+    got = nd.near_duplicates(make([(1, t), (2, t + " end"), (3, "other words than these are")])).collect()
+    assert sorted((r["doc_id"], r["class_id"]) for r in got) == [(1, 1), (2, 1), (3, 3)]
