@@ -2,26 +2,31 @@
 
 Entities (e-mail, phone, card, IPv4, social-security and bank numbers, secrets, titled or listed
 names) are found by one pattern, in one pass that also clears texts without any.  Each distinct value of
-a type gets a surrogate from a keyed hash: digits become digits and letters letters in the value's
-own layout; an e-mail keeps its top domain, a phone its country code, an address part stays under 256.  A
-name is replaced word by word: a first name by one of the same gender and script, a last name by one
+a type gets a surrogate from a keyed hash (HMAC-SHA-256 of a secret that the caller gives): digits become digits and letters letters in the value's
+own layout; an e-mail keeps its top domain, a phone its country code, a secret its prefix, a card its first
+digit and a right check digit, a bank number its country and right check digits, an address part stays under 256; so
+each surrogate is found again as its type.  A name is replaced word by word: a first name by one of the same gender and
+script (of neither gender where title and first name tell none), a last name by one
 of the same script, so a name and its short form stay together.  Further whole words of a text that
 are words of a name found in it get the same surrogates.
 
 Equal values have equal surrogates everywhere (coreference).  Where two values of a type would share
 a surrogate, or a surrogate is itself a value of the data, all but the least value are drawn again
-with the next attempt number until no collision is left (distinctness).
+with the next attempt number until no collision is left (distinctness).  A name grows with each attempt, an e-mail or
+a phone that has not found a free surrogate after WIDEN attempts too, so layouts of few values do not run full.
 
 Only DataFrame functions are used.  Distinct values are found by aggregation, so a value that a third of
 all rows hold is one row; occurrences join their surrogates by value, and texts are put together by row.
 
 Defined cases: a null text stays null; a text without entities stays as it is; repeated rows are
 treated alike; a null key column is fine; an empty table gives an empty result; other columns pass
-through unread; very long texts are searched whole.
+through unread; very long texts are searched whole, and repetitions in the patterns are bounded, so that no text
+exhausts the stack of the search.
 """
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -29,8 +34,8 @@ from pyspark.sql import functions as F
 
 from .common import packed, stored
 
-KEY = "surrogates-1"
-ATTEMPTS = 20
+#: Attempts before a layout is widened, and rounds without any progress after which an error is raised.
+WIDEN, STALLED = 6, 40
 #: Titles by gender, and first names by gender and script, which begin a name.
 MALE_TITLES = ["Mr", "Herr", "Monsieur", "M", "Señor", "Sr", "Sir", "Don"]
 FEMALE_TITLES = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Doña"]
@@ -43,13 +48,16 @@ SYLLABLES = {
     "cyrillic": ["ба", "ве", "го", "да", "жо", "за", "ки", "ла", "ме", "но", "па", "ре", "са", "ти", "фе", "ха"],
     "greek": ["βα", "γε", "δο", "ζα", "θε", "κα", "λε", "μα", "νο", "πα", "ρε", "σα", "τε", "φα", "χο", "ψα"],
 }
-ENDINGS = {"m": {"latin": "n", "cyrillic": "н", "greek": "ς"}, "f": {"latin": "lia", "cyrillic": "ня", "greek": "ία"}, "s": {"latin": "rt", "cyrillic": "ров", "greek": "κης"}}
+ENDINGS = {"n": {"latin": "ry", "cyrillic": "ль", "greek": "ις"}, "m": {"latin": "n", "cyrillic": "н", "greek": "ς"}, "f": {"latin": "lia", "cyrillic": "ня", "greek": "ία"}, "s": {"latin": "rt", "cyrillic": "ров", "greek": "κης"}}
+
+#: What secrets of known issuers begin with.
+PREFIX = "^(?:sk|pk|ghp|AKIA)[-_]?"
 
 _TITLE = "|".join(MALE_TITLES + FEMALE_TITLES + OTHER_TITLES)
 _FIRST = "|".join(MALE + FEMALE)
 _NAME_WORD = r"\p{Lu}[\p{Ll}'’]+(?:-\p{Lu}\p{Ll}+)?"
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,126}[A-Za-z]{2,63}",
     "secret": r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|(?:sk|pk|ghp|AKIA)[-_]?[A-Za-z0-9]{16,64})(?![A-Za-z0-9])",
     "ipv4": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.]*\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
@@ -71,7 +79,8 @@ def _words_of_names(value: Column) -> Column:
     w = F.split(value, " ")
     bare = F.rtrim(w[0], F.lit("."))
     titled = bare.isin(MALE_TITLES + FEMALE_TITLES + OTHER_TITLES)
-    gender = F.when(bare.isin(MALE_TITLES + MALE), F.lit("m")).when(bare.isin(FEMALE_TITLES + FEMALE), F.lit("f")).otherwise(F.lit("m"))
+    given = F.when(titled, F.when(F.size(w) > 2, w[1])).otherwise(bare)
+    gender = F.when(bare.isin(MALE_TITLES) | given.isin(MALE), F.lit("m")).when(bare.isin(FEMALE_TITLES) | given.isin(FEMALE), F.lit("f")).otherwise(F.lit("n"))
 
     def word(x, i):
         first = F.when(titled, (i == 1) & (F.size(w) > 2)).otherwise(i == 0)
@@ -85,10 +94,37 @@ def _script(value: Column) -> Column:
     return F.when(value.rlike(r"\p{IsCyrillic}"), F.lit("cyrillic")).when(value.rlike(r"\p{IsGreek}"), F.lit("greek")).otherwise(F.lit("latin"))
 
 
-def surrogate(kind: Column, value: Column, attempt: Column, key: str = KEY) -> Column:
+def _hmac(secret: str, message: Column) -> Column:
+    """HMAC-SHA-256 as hex digits."""
+    key = secret.encode()
+    key = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    inner, outer = (F.lit(bytearray(x ^ pad for x in key)) for pad in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, message.cast("binary")), 256))), 256)
+
+
+def _digits(value: Column) -> Column:
+    return F.transform(F.split(F.regexp_replace(value, "[^0-9]", ""), ""), lambda c: c.cast("int"))
+
+
+def luhn(value: Column) -> Column:
+    """The digit that a card number, whose last digit is yet to come, ends with."""
+    d = F.reverse(_digits(value))
+    double = F.transform(d, lambda x, i: F.when(i % 2 == 0, x * 2 - F.when(x > 4, 9).otherwise(0)).otherwise(x))
+    return F.pmod(F.negative(F.aggregate(double, F.lit(0), lambda a, x: a + x)), F.lit(10)).cast("string")
+
+
+def iban_check(value: Column) -> Column:
+    """The two check digits of a bank number, whatever it has in their place."""
+    bare = F.replace(value, F.lit(" "), F.lit(""))
+    turned = F.concat(F.substring(bare, F.lit(5), F.length(bare)), F.substring(bare, 1, 2), F.lit("00"))
+    step = lambda a, c: F.pmod(F.when(c.rlike("[0-9]"), a * 10 + c.cast("int")).otherwise(a * 100 + F.ascii(c) - 55), F.lit(97))
+    return F.lpad((98 - F.aggregate(F.split(turned, ""), F.lit(0), step)).cast("string"), 2, "0")
+
+
+def surrogate(kind: Column, value: Column, attempt: Column, secret: str) -> Column:
     """The replacement for a value of a type."""
-    seed = F.concat_ws("\x1f", F.lit(key), kind, value, attempt.cast("string"))
-    stream = F.concat(*(F.sha2(F.concat(F.lit(f"{i}\x1f"), seed), 256) for i in range(3)))  # 192 hex digits
+    seed = F.concat_ws("\x1f", kind, value, attempt.cast("string"))
+    stream = F.concat(*(_hmac(secret, F.concat(F.lit(f"{i}\x1f"), seed)) for i in range(3)))  # 192 hex digits
     code = lambda i: F.conv(F.substring(stream, F.pmod(i * 2, F.lit(190)) + 1, F.lit(2)), 16, 10).cast("int")
     hexed = kind == "secret"
 
@@ -99,8 +135,9 @@ def surrogate(kind: Column, value: Column, attempt: Column, key: str = KEY) -> C
 
     layout = lambda text: F.array_join(F.transform(F.split(text, ""), char), "")
     octets = F.concat_ws(".", *(F.pmod(code(F.lit(i)), F.lit(254)) + 1 for i in range(4)))
-    # what is kept: country code and bank country, top domain
-    head = F.when(kind == "phone", F.regexp_extract(value, r"^\+\d{1,3}(?=[ .-])", 0)).when(kind == "iban", F.substring(value, 1, 2)).otherwise(F.lit(""))
+    # what is kept: country code and bank country, a card's first digit, the prefix of a secret, top domain
+    head = F.when(kind == "phone", F.regexp_extract(value, r"^\+\d{1,3}(?=[ .-])", 0)).when(kind == "iban", F.substring(value, 1, 2)).when(kind == "card", F.substring(value, 1, 1))
+    head = head.when(kind == "secret", F.regexp_extract(value, PREFIX, 0)).otherwise(F.lit(""))
     tail = F.when(kind == "email", F.regexp_extract(value, r"\.[A-Za-z]{2,}$", 0)).otherwise(F.lit(""))
     middle = F.substring(value, F.length(head) + 1, F.length(value) - F.length(head) - F.length(tail))
     script = _script(value)
@@ -109,14 +146,25 @@ def surrogate(kind: Column, value: Column, attempt: Column, key: str = KEY) -> C
     stem = F.when(script == "cyrillic", parts("cyrillic")).when(script == "greek", parts("greek")).otherwise(parts("latin"))
     end = reduce(lambda a, g: reduce(lambda b, s: b.when((kind == f"name_{g}") & (script == s), F.lit(ENDINGS[g][s])), SYLLABLES, a), ENDINGS, F.when(F.lit(False), F.lit("")))
     name = F.initcap(F.concat(stem, F.coalesce(end, F.lit(""))))
-    return F.when(kind == "title", value).when(kind.startswith("name_"), name).when(kind == "ipv4", octets).otherwise(F.concat(head, layout(middle), tail))
-
-
-def table(values: DataFrame, key: str = KEY) -> DataFrame:
+    wide, laid = F.greatest(attempt - WIDEN + 1, F.lit(0)), layout(middle)
+    more = F.array_join(F.transform(F.sequence(F.lit(1), wide), lambda k: F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), F.pmod(code(k + 40), F.lit(26)) + 1, F.lit(1))), "")
+    # the local part grows up to the 64 characters that it may have
+    email = F.when((wide > 0) & (F.length(F.substring_index(value, "@", 1)) + wide <= 64), F.concat(more, laid, tail)).otherwise(F.concat(laid, tail))
+    phone = F.when((wide > 0) & value.startswith("+"), F.concat(head, laid, F.lit("-"), F.lpad(F.pmod(code(F.lit(60)), F.lit(100)).cast("string"), 2, "0"))).otherwise(F.concat(head, laid))
+    iban = F.concat(F.substring(value, 1, 2), F.lit("00"), layout(F.substring(value, F.lit(5), F.length(value))))
+    iban = F.concat(F.substring(value, 1, 2), iban_check(iban), F.substring(iban, F.lit(5), F.length(iban)))
+    card = F.concat(head, laid)
+    card = F.substring(card, F.lit(1), F.length(card) - 1)
+    made = F.when(kind == "title", value).when(kind.startswith("name_"), name).when(kind == "ipv4", octets).when(kind == "email", email).when(kind == "phone", phone)
+    return made.when(kind == "iban", iban).when(kind == "card", F.concat(card, luhn(card))).otherwise(F.concat(head, laid, tail))
+
+
+def table(values: DataFrame, secret: str) -> DataFrame:
     """values: type, value (distinct).  type, value, surrogate; one to one within a type, and no surrogate a value of the type."""
     todo, done = stored(values.filter("type <> 'title'").withColumn("attempt", F.lit(0)), "values"), None
-    for _ in range(ATTEMPTS):
-        drawn = todo.withColumn("surrogate", surrogate(F.col("type"), F.col("value"), F.col("attempt"), key))
+    left, stalled = None, 0
+    while stalled < STALLED:
+        drawn = todo.withColumn("surrogate", surrogate(F.col("type"), F.col("value"), F.col("attempt"), secret))
         pool = drawn.withColumn("old", F.lit(1))
         if done is not None:
             pool = pool.unionByName(done.withColumn("old", F.lit(0)))
@@ -127,9 +175,11 @@ def table(values: DataFrame, key: str = KEY) -> DataFrame:
         judged = stored(judged.select("type", "value", "attempt", "surrogate", "ok"), "drawn")
         done = judged.filter("ok").drop("ok")
         todo = judged.filter("not ok").select("type", "value", (F.col("attempt") + 1).alias("attempt"))
-        if todo.isEmpty():
+        was, left = left, todo.count()
+        if not left:
             return done.select("type", "value", "surrogate")
-    raise ValueError(f"collisions are left after {ATTEMPTS} attempts: more values than surrogates of their layout")
+        stalled = 0 if was is None or left < was else stalled + 1
+    raise ValueError(f"{left} values have found no free surrogate in {STALLED} rounds: more values than surrogates of their layout")
 
 
 def _named(piece: Column, names: Column) -> Column:
@@ -141,8 +191,10 @@ def _named(piece: Column, names: Column) -> Column:
     return F.transform(whole, lambda x: F.struct(F.coalesce(F.element_at(names, x), x).alias("text"), F.element_at(names, x).isNotNull().alias("hit")))
 
 
-def replaced(docs: DataFrame, key: str = "doc_id", text: str = "text", secret: str = KEY) -> DataFrame:
+def replaced(docs: DataFrame, secret: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """__row, __id, __text (with surrogates), __n (entities replaced)."""
+    if not secret:
+        raise ValueError("a secret is needed: without one anybody can draw the same surrogates")
     rows = packed(docs, __id=key, __text=text)
     found = F.when(F.col("__text").rlike(ANY), F.regexp_extract_all("__text", F.lit(ANY), F.lit(0)))
     rid = F.concat_ws("/", F.col("__id").cast("string"), F.md5(F.coalesce(F.col("__text"), F.lit("")).cast("binary")))
@@ -153,26 +205,28 @@ def replaced(docs: DataFrame, key: str = "doc_id", text: str = "text", secret: s
     spots = stored(spots, "entities")
     mapping = stored(table(spots.select("type", "value").distinct(), secret), "surrogates")
     new = spots.join(mapping, ["type", "value"], "left").withColumn("surrogate", F.coalesce("surrogate", "value"))
-    per_row = new.groupBy("rid").agg(
-        F.array_sort(F.collect_set(F.struct("at", "part", "surrogate"))).alias("spots"),
-        # a last name's surrogate where a word is both
-        F.collect_set(F.when(F.col("type").startswith("name_"), F.struct("value", "type", "surrogate"))).alias("names"),
-    )
-    last = F.aggregate(F.array_sort("names"), F.create_map().cast("map<string,string>"), lambda m, x: F.map_concat(F.map_filter(m, lambda k, _: k != x["value"]), F.create_map(x["value"], x["surrogate"])))
-    per_row = per_row.withColumn("names", F.when(F.size("names") > 0, last))
+    # match by match first, so that the i-th of a row's texts is that of its i-th match (repeated rows count once)
+    name = F.when(F.col("type").startswith("name_"), F.struct("value", "type", "surrogate"))
+    by_match = new.groupBy("rid", "at").agg(F.array_sort(F.collect_set(F.struct("part", "surrogate"))).alias("parts"), F.collect_set(name).alias("names"))
+    by_match = by_match.withColumn("text", F.array_join(F.transform("parts", lambda x: x["surrogate"]), " "))
+    per_row = by_match.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("at", "text"))).alias("spots"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("names")))).alias("names"))
+    # a last name's surrogate where a word is both: the last entry of a word is taken
+    only = F.filter("names", lambda x, i: ~F.coalesce(F.get(F.col("names"), i + 1)["value"] == x["value"], F.lit(False)))
+    names = F.map_from_entries(F.transform(only, lambda x: F.struct(x["value"], x["surrogate"])))
+    per_row = per_row.withColumn("names", F.when(F.size("names") > 0, names))
     whole = rows.withColumn("rid", rid).join(per_row, "rid", "left")
-    n = F.array_max(F.transform("spots", lambda s: s["at"])) + 1
+    n = F.size("spots")
     # the text between matches, then match and text in turn
     between = F.split("__text", ANY)
-    at = lambda i: F.array_join(F.transform(F.filter("spots", lambda s: s["at"] == i), lambda s: s["surrogate"]), " ")
+    at = lambda i: F.get(F.col("spots"), i)["text"]
     named = F.transform(between, lambda x: F.when(F.col("names").isNull(), x).otherwise(F.array_join(F.transform(_named(x, F.col("names")), lambda w: w["text"]), "")))
     more = F.when(F.col("names").isNotNull(), F.size(F.filter(F.flatten(F.transform(between, lambda x: _named(x, F.col("names")))), lambda w: w["hit"])))
     turn = F.transform(named, lambda x, i: F.when(i == 0, x).otherwise(F.concat(at(i - 1), x)))
     out = F.when(F.col("spots").isNull(), F.col("__text")).otherwise(F.array_join(turn, ""))
-    return whole.select("__row", "__id", out.alias("__text"), (F.coalesce(n, F.lit(0)) + F.coalesce(more, F.lit(0))).alias("__n"))
+    return whole.select("__row", "__id", out.alias("__text"), (F.when(F.col("spots").isNull(), 0).otherwise(n) + F.coalesce(more, F.lit(0))).alias("__n"))
 
 
-def pseudonymize(docs: DataFrame, key: str = "doc_id", text: str = "text", secret: str = KEY) -> DataFrame:
+def pseudonymize(docs: DataFrame, secret: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with surrogates in its texts."""
-    done = replaced(docs, key, text, secret)
+    done = replaced(docs, secret, key, text)
     return done.select(*(F.col("__text").alias(c) if c == text else F.col(f"__row.`{c}`").alias(c) for c in docs.columns))
