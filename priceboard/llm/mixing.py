@@ -15,7 +15,8 @@ tasks, and the join key includes the block.  Per-source tables have one row per
 
 Defined cases: a null or blank text has size 0 and is never taken; a null source is a source of its
 own, last in order; a source without words has target 0; an empty table gives an empty mix; repeated
-rows are rows of their own, interchangeable with one another; reruns agree, whatever the
+rows are rows of their own, and so are equal ids and texts of different sources; columns of other names, whatever
+they are called, pass through; a text of any length is cut into blocks; reruns agree, whatever the
 partitioning, since order and draws come from hashes of the rows and a seed.
 """
 
@@ -38,6 +39,8 @@ SHARD_SLOTS = 131_072
 BUCKETS = 4096
 #: Sources are names that people weigh by hand; their shares go to the tasks that draw.  More than this many is an error.
 MAX_SOURCES = 100_000
+#: Tasks that make slots, at most; each makes its slots shard by shard.
+MAKERS = 20_000
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -63,19 +66,28 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
     return t.withColumn("__target", target).select("__source", "__total", "__target")
 
 
-def permutation(j: np.ndarray, n: int, seed: int) -> np.ndarray:
-    """Position j of a pseudorandom permutation of 0..n-1: a four-round Feistel network on the next even number of
-    bits, walking on while the result is n or more."""
+def _network(n: int, seed: int) -> tuple[np.uint64, np.uint64, np.ndarray]:
+    """Half the bits of a four-round Feistel network over 0..n-1, their mask, and the keys of its rounds."""
     bits = max(1, (max(1, int(n) - 1).bit_length() + 1) // 2)
-    mask, keys = np.uint64((1 << bits) - 1), np.random.default_rng(seed).integers(1 << 62, size=4, dtype=np.uint64)
+    return np.uint64(bits), np.uint64((1 << bits) - 1), np.random.default_rng(seed).integers(1 << 62, size=4, dtype=np.uint64)
+
+
+def _round(half: np.ndarray, key: np.uint64, mask: np.uint64) -> np.ndarray:
+    f = (half + key) * np.uint64(0x9E3779B97F4A7C15)
+    f = (f ^ (f >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (f >> np.uint64(32)) & mask
+
+
+def permutation(j: np.ndarray, n: int, seed: int, inverse: bool = False) -> np.ndarray:
+    """Position j of a pseudorandom permutation of 0..n-1 (or where its value j is): a Feistel network on the next even
+    number of bits, walking on while the result is n or more."""
+    bits, mask, keys = _network(n, seed)
 
     def rounds(x):
-        left, right = x >> np.uint64(bits), x & mask
-        for k in keys:
-            f = (right + k) * np.uint64(0x9E3779B97F4A7C15)
-            f = (f ^ (f >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-            left, right = right, left ^ ((f >> np.uint64(32)) & mask)
-        return (left << np.uint64(bits)) | right
+        left, right = x >> bits, x & mask
+        for k in keys[::-1] if inverse else keys:
+            left, right = (right ^ _round(left, k, mask), left) if inverse else (right, left ^ _round(right, k, mask))
+        return (left << bits) | right
 
     out = rounds(j.astype(np.uint64))
     while (far := out >= n).any():
@@ -166,23 +178,14 @@ def slots(sources: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS
                             take = np.clip(rest - done, 0, take)
                         yield pd.DataFrame({"__shard": s, "__source": pd.Series([source] * len(b), dtype=object), "__pass": int(e), "__block": b, "__take": take})
 
+    # a source's draws met in one task for their sums; its slots are made by shard
+    ranges = ranges.repartition(max(1, min(4 * shards, MAKERS)), "__shard", "__k")
     return ranges.mapInPandas(dealt, "__shard long, __source string, __pass int, __block long, __take long").filter("__take > 0")
 
 
-_PLACES: dict[tuple[int, int], int] = {}
-
-
 def _place(n: int, key: int) -> int:
-    """Where the permutation has the last block: walked in slices, remembered."""
-    if (n, key) not in _PLACES:
-        if len(_PLACES) > 10_000:
-            _PLACES.clear()
-        for lo in range(0, n, 1 << 20):
-            hit = np.flatnonzero(permutation(np.arange(lo, min(n, lo + (1 << 20))), n, key) == n - 1)
-            if len(hit):
-                _PLACES[n, key] = lo + int(hit[0])
-                break
-    return _PLACES[n, key]
+    """Where the permutation has the last block."""
+    return int(permutation(np.array([n - 1]), n, key, inverse=True)[0])
 
 
 def _words(k: int, n: int, block: int, tail: int, key: int) -> int:
@@ -235,16 +238,16 @@ def mixed_documents(docs: DataFrame, text: str = "text", source: str = "source",
     (unchanged if all are).  An integer column n_chars, if docs has one, is brought up to date."""
     import re
 
-    full = sized(docs, text, source, key)
+    # rows of one source, id and text may differ in other columns; their order must be the same in each run
+    full = sized(docs, text, source, key).withColumn("__tie", F.xxhash64(F.to_json("__row") if "map<" in docs.schema.simpleString() else "__row"))
     rows = stored(full.select("__source", "__id", "__key", "__size"), "sizes")
     _, spans = mix(rows, **how)
     cuts = spans.groupBy("__id", "__key", "__from", "__source", "__pass").agg(F.array_sort(F.collect_list(F.struct("__first", "__words"))).alias("__cuts"))
-    cuts = cuts.select("__id", "__key", "__from", "__pass", "__cuts")
-    # equal rows are interchangeable: the key alone joins, and each copy's spans go to one of them
-    nth = Window.partitionBy("__id", "__key").orderBy("__from")
-    cuts = cuts.withColumn("__nth", F.dense_rank().over(nth))
-    numbered = full.withColumn("__nth", F.row_number().over(Window.partitionBy("__id", "__key").orderBy("__size")))
-    same = F.col("r.__id").eqNullSafe(F.col("c.__id")) & (F.col("r.__key") == F.col("c.__key")) & (F.col("r.__nth") == F.col("c.__nth"))
+    # each row of a source, id and text gets the spans of one place
+    nth = Window.partitionBy("__source", "__id", "__key").orderBy("__from")
+    cuts = cuts.select("__source", "__id", "__key", "__pass", "__cuts", F.dense_rank().over(nth).alias("__nth"))
+    numbered = full.withColumn("__nth", F.row_number().over(Window.partitionBy("__source", "__id", "__key").orderBy("__tie")))
+    same = F.col("r.__source").eqNullSafe(F.col("c.__source")) & F.col("r.__id").eqNullSafe(F.col("c.__id")) & (F.col("r.__key") == F.col("c.__key")) & (F.col("r.__nth") == F.col("c.__nth"))
     joined = numbered.alias("r").join(cuts.alias("c"), same).select("r.__row", "r.__text", "r.__size", "c.__cuts")
     word = re.compile(r"[^\x20\x09-\x0D]+")
 

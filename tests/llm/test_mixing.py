@@ -71,7 +71,9 @@ def test_permutation_is_one_to_one():
     import numpy as np
 
     for n in (1, 2, 3, 17, 1000, 4097):
-        assert sorted(mixing.permutation(np.arange(n), n, 5).tolist()) == list(range(n))
+        there = mixing.permutation(np.arange(n), n, 5)
+        assert sorted(there.tolist()) == list(range(n))
+        assert mixing.permutation(there, n, 5, inverse=True).tolist() == list(range(n)) and there[mixing._place(n, 5)] == n - 1
 
 
 def test_clashing_columns(spark):
@@ -84,3 +86,42 @@ def test_seed_changes_the_last_pass_only(make, seed):
     docs = make([(i, "x " * 50, "en", "a" if i % 2 else "b") for i in range(40)])
     got = mixing.taken(docs, block=8, seed=seed).collect()
     assert sum(r["taken"] for r in got) == 3000
+
+
+def test_one_text_in_two_sources(spark):
+    """The same id and text in two sources: each source's rows carry its own spans, whatever the order of the rows."""
+    text = " ".join(f"w{i}" for i in range(10))
+    rows = [(1, text, "A", 1), (1, text, "B", 2), (1, text, "B", 3), (2, "other words here", "C", 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, __nth int")
+    _, spans = mixing.mix(mixing.sized(docs, "text", "source", "doc_id"), block=4)
+    want = {r["__source"]: r["n"] for r in spans.groupBy("__source").agg({"__words": "sum"}).withColumnRenamed("sum(__words)", "n").collect()}
+    runs = []
+    for part in (1, 3):
+        got = mixing.mixed_documents(docs.repartition(part), block=4).collect()
+        by_source = {}
+        for r in got:
+            by_source[r["source"]] = by_source.get(r["source"], 0) + len(r["text"].split())
+        assert by_source == want and set(want) == {"A", "B", "C"}
+        runs.append(sorted(map(tuple, got)))
+    assert runs[0] == runs[1]
+
+
+def test_slots_against_brute_force(spark):
+    """Every visit of every block once in each whole pass, and the last pass ends at the target's word."""
+    rows = [("a", 100, 170.0), ("b", 33, 66.0), (None, 7, 3.0), ("empty", 0, 0.0)]
+    sources = spark.createDataFrame(rows, "__source string, __total long, __target double")
+    got = mixing.slots(sources, block=8, shard_slots=6, seed=3).collect()
+    for name, total, target in rows:
+        mine = [r for r in got if r["__source"] == name]
+        assert sum(r["__take"] for r in mine) == round(target)
+        blocks = [min(8, total - at) for at in range(0, total, 8)]
+        for lap in range(int(target) // total if total else 0):
+            assert sorted(r["__block"] for r in mine if r["__pass"] == lap) == list(range(len(blocks)))
+        assert len({(r["__pass"], r["__block"]) for r in mine}) == len(mine) and all(r["__take"] <= blocks[r["__block"]] for r in mine)
+
+
+def test_very_long_text(make):
+    n = 200_000
+    docs = make([(1, "word " * n, "en", "a"), (2, "x y", "en", "b")])
+    got = {r["doc_id"]: r["taken"] for r in mixing.taken(docs).collect()}
+    assert got[2] == 4 and got[1] == round(1.5 * (n + 2)) - 4
