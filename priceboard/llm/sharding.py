@@ -21,6 +21,8 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import packed
+
 N_SHARDS = 64
 N_SLOTS = 65_537
 MAX_SLOTS = 1 << 20
@@ -66,8 +68,9 @@ def shard(docs: DataFrame, n_shards: int = N_SHARDS, n_slots: int = N_SLOTS, key
     """All rows of docs, with slot and shard."""
     table = lookup_table(docs.sparkSession, [f"shard-{i}" for i in range(n_shards)], n_slots)
     table = table.select(F.col("slot").alias("__slot"), F.col("shard").alias("__shard"))
-    kept = [docs[f"`{c}`"] for c in docs.columns if c.lower() not in ("slot", "shard")]
-    placed = docs.select(*kept, slot_of(docs[f"`{key}`"], docs[f"`{text}`"], n_slots).alias("__slot"))
+    placed = packed(docs, __key=key, __text=text)
+    placed = placed.select("__row", slot_of(F.col("__key"), F.col("__text"), n_slots).alias("__slot"))
     # n_slots <= MAX_SLOTS rows of two ints: a proven bound
     joined = placed.join(F.broadcast(table), "__slot")
-    return joined.select(*(placed[f"`{c}`"] for c in placed.columns if c != "__slot"), F.col("__slot").alias("slot"), F.col("__shard").alias("shard"))
+    kept = [F.col("__row")[c].alias(c) for c in docs.columns if c.lower() not in ("slot", "shard")]
+    return joined.select(*kept, F.col("__slot").alias("slot"), F.col("__shard").alias("shard"))

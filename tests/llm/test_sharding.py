@@ -37,3 +37,14 @@ def test_placement_against_the_table(spark, make):
 def test_no_python_in_the_plan(make):
     plan = sh.shard(make([(1, "a")]))._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "Python" not in plan
+
+
+def test_clashing_columns(spark):
+    rows = spark.createDataFrame([(1, "a", 7, 8, "r", 1.5)], "doc_id long, text string, __slot int, __shard int, __row string, `a.b` double")
+    got = sh.shard(rows, 5, 101)
+    assert got.columns == [*rows.columns, "slot", "shard"] and tuple(got.first())[:6] == (1, "a", 7, 8, "r", 1.5)
+
+
+def test_very_long_text_and_ties(make):
+    got = sh.shard(make([(None, "word " * 400_000), (None, "word " * 400_000), (5, None), (5, "x")]), 5, 101).collect()
+    assert got[0]["slot"] == got[1]["slot"] and len({r["slot"] for r in got if r["doc_id"] == 5}) == 1
