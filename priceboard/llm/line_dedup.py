@@ -58,9 +58,12 @@ def cleaned(docs: DataFrame, key: str = "doc_id", text: str = "text", site: str
     found = stored(lines(rows), "lines")
     bad = stored(boilerplate(found, sites), "boilerplate")
     marked = found.join(bad, "h", "left_semi").groupBy("__key").agg(F.collect_set("at").alias("__out"))
-    joined = rows.join(marked, "__key", "left")
-    parts = F.split("__text", "\n")
-    kept = F.when(F.col("__out").isNull(), F.col("__text")).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("__out", i)), "\n"))
+    # read more than once below, which keeps the optimizer from splitting the text anew for each line
+    joined = rows.join(marked, "__key", "left").withColumn("__parts", F.split("__text", "\n"))
+    parts = F.col("__parts")
+    # positions that stay: a hashed set difference, so a text of many removed lines costs no more than its lines
+    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "__out")
+    kept = F.when(F.col("__out").isNull(), F.col("__text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n"))
     return joined.select(
         "__row", "__id", kept.alias("__text"), F.coalesce(F.size(parts), F.lit(0)).alias("__lines"), F.coalesce(F.size("__out"), F.lit(0)).alias("__removed")
     )

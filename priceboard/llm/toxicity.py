@@ -15,7 +15,7 @@ Sentences end with . ! ? (closing marks may follow) or a line break.  Words are
 lose marks around them.
 
 Defined cases: a null or empty text has no sentence and gets score 0; labels without a document and
-null labels are left out; without any labelled row, or any feature that passes the test, scores come from the
+null labels are left out, and of labels of one document that disagree the greater counts; without any labelled row, or any feature that passes the test, scores come from the
 bias alone (below 0.5 for texts of less than some hundred sentences); equal texts get equal scores;
 other columns are not read.
 """
@@ -126,7 +126,7 @@ def fit(labels: np.ndarray, sizes: np.ndarray, doc: np.ndarray, sentence: np.nda
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", most: int = MAX_LABELLED) -> tuple[dict[int, float], float]:
     """(weight of each feature that has one, bias)."""
-    sample = packed(labels, __id=key, __label=label).filter("__id is not null and __label is not null").select("__id", (F.col("__label") > 0).alias("__label")).dropDuplicates(["__id"])
+    sample = packed(labels, __id=key, __label=label).filter("__id is not null and __label is not null").groupBy("__id").agg((F.max("__label") > 0).alias("__label"))
     sample = sample.orderBy(F.xxhash64("__id"), "__id").limit(most)  # at most that many rows: may be broadcast
     rows = packed(docs, __id=key, __text=text).select("__id", F.coalesce("__text", F.lit("")).cast("binary").alias("__text"))
     rows = rows.join(F.broadcast(sample), "__id").select("__id", "__text", "__label")
