@@ -4,8 +4,8 @@ Every line is hashed; per hash a HyperLogLog sketch of the sites that show it is
 aggregation.  Estimates well above or below SITES decide; lines whose estimate is near it get an exact
 distinct count.  Lines shown by SITES sites or more leave every document.
 
-A line counts as its words joined by one space, and only lines of WORDS words or more are looked at:
-shorter ones recur by chance.  Equality of lines is equality of 64-bit hashes.
+A line counts as its words joined by one space.  Lines of fewer than WORDS words recur by chance sooner, so they need
+SITES_SHORT sites.  Equality of lines is equality of 64-bit hashes.
 
 Defined cases: a null text stays null and has no lines; empty lines stay; a null site is a site of its
 own; repeated rows show a line at one site once; an empty table gives an empty result; other columns
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, SPACE_CHARS, packed, stored
 
-SITES = 5
+SITES, SITES_SHORT = 5, 10
 WORDS = 4
 LG_K = 10
 #: Four standard errors of a sketch with 2**10 registers, and one site more.
@@ -35,28 +35,29 @@ def _rows(docs: DataFrame, key: str, text: str, site: str) -> DataFrame:
 
 
 def lines(rows: DataFrame) -> DataFrame:
-    """__key, __site, at (0, 1, ... in the text), h."""
+    """__key, __site, at (0, 1, ... in the text), h, short."""
     one = rows.select("__key", "__site", F.posexplode(F.split("__text", "\n")).alias("at", "line"))
     plain = F.regexp_replace(F.btrim("line", F.lit(SPACE_CHARS)), SPACE + "+", " ")
     one = one.withColumn("plain", plain)
-    long = F.length("plain") - F.length(F.replace("plain", F.lit(" "), F.lit(""))) >= WORDS - 1
-    return one.filter(long).select("__key", "__site", "at", F.xxhash64("plain").alias("h"))
+    short = F.length("plain") - F.length(F.replace("plain", F.lit(" "), F.lit(""))) < WORDS - 1
+    return one.filter("plain <> ''").select("__key", "__site", "at", F.xxhash64("plain").alias("h"), short.alias("short"))
 
 
-def boilerplate(found: DataFrame, sites: int = SITES) -> DataFrame:
+def boilerplate(found: DataFrame, sites: int = SITES, sites_short: int = SITES_SHORT) -> DataFrame:
     """h of the lines shown by that many sites or more."""
-    spread = found.groupBy("h").agg(F.hll_sketch_estimate(F.hll_sketch_agg("__site", F.lit(LG_K))).alias("n"))
-    spread = stored(spread.filter(F.col("n") >= sites * (1 - BAND) - 1), "spread")
-    sure = F.col("n") > sites * (1 + BAND) + 1
-    exact = found.join(spread.filter(~sure).select("h"), "h").groupBy("h", "__site").count().groupBy("h").count()
-    return spread.filter(sure).select("h").union(exact.filter(F.col("count") >= sites).select("h"))
+    need = F.when(F.col("short"), sites_short).otherwise(sites)
+    spread = found.groupBy("h", "short").agg(F.hll_sketch_estimate(F.hll_sketch_agg("__site", F.lit(LG_K))).alias("n"))
+    spread = stored(spread.filter(F.col("n") >= need * (1 - BAND) - 1), "spread")
+    sure = F.col("n") > need * (1 + BAND) + 1
+    exact = found.join(spread.filter(~sure).select("h"), "h").groupBy("h", "short", "__site").count().groupBy("h", "short").count()
+    return spread.filter(sure).select("h").union(exact.filter(F.col("count") >= need).select("h"))
 
 
-def cleaned(docs: DataFrame, key: str = "doc_id", text: str = "text", site: str = "source", sites: int = SITES) -> DataFrame:
+def cleaned(docs: DataFrame, key: str = "doc_id", text: str = "text", site: str = "source", sites: int = SITES, sites_short: int = SITES_SHORT) -> DataFrame:
     """__row, __id, __text (without boilerplate lines), n_lines, n_removed."""
     rows = _rows(docs, key, text, site)
     found = stored(lines(rows), "lines")
-    bad = stored(boilerplate(found, sites), "boilerplate")
+    bad = stored(boilerplate(found, sites, sites_short), "boilerplate")
     marked = found.join(bad, "h", "left_semi").groupBy("__key").agg(F.collect_set("at").alias("__out"))
     # read more than once below, which keeps the optimizer from splitting the text anew for each line
     joined = rows.join(marked, "__key", "left").withColumn("__parts", F.split("__text", "\n"))
@@ -69,9 +70,9 @@ def cleaned(docs: DataFrame, key: str = "doc_id", text: str = "text", site: str
     )
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", site: str = "source", sites: int = SITES) -> DataFrame:
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", site: str = "source", sites: int = SITES, sites_short: int = SITES_SHORT) -> DataFrame:
     """docs with the lines taken out."""
-    done = cleaned(docs, key, text, site, sites)
+    done = cleaned(docs, key, text, site, sites, sites_short)
     return done.select(*(F.col("__text").alias(c) if c == text else F.col(f"__row.`{c}`").alias(c) for c in docs.columns))
 
 
@@ -81,8 +82,8 @@ WITH l AS (
   SELECT doc_id, source, pos, trim(regexp_replace(line, '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS plain, line
   FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)
 ), b AS (
-  SELECT plain FROM l WHERE length(plain) - length(replace(plain, ' ', '')) >= {WORDS - 1}
-  GROUP BY plain HAVING count(DISTINCT coalesce('=' || source, 'null')) >= {SITES}
+  SELECT plain FROM l WHERE plain <> ''
+  GROUP BY plain HAVING count(DISTINCT coalesce('=' || source, 'null')) >= CASE WHEN len(string_split(plain, ' ')) < {WORDS} THEN {SITES_SHORT} ELSE {SITES} END
 ), k AS (SELECT l.*, b.plain IS NOT NULL AS gone FROM l LEFT JOIN b USING (plain))
 SELECT d.doc_id, count(k.pos)::INT AS n_lines, count_if(k.gone)::INT AS n_removed,
        md5(coalesce(string_agg(CASE WHEN NOT k.gone THEN k.line END, chr(10) ORDER BY k.pos), '')) AS text_md5
