@@ -10,20 +10,25 @@ their words as they are, so that a copy is found whatever it is made of.
 
 Canonical words: white space separates words; marks around a word go; case goes.  A number is digits
 with separators, sign, currency or percent; a unit is a word of UNITS after a number (or glued to
-it); a name is a capitalised word that does not begin a sentence or line.  A template window needs LITERAL
-words that are no placeholders, since a window of placeholders alone says nothing; a literal one needs none.
+it), and both are one placeholder; a name is a capitalised word, and a run of them without marks between is one
+placeholder, so names of one and of two words are alike.  A word that begins a sentence may be a name, and counts as one
+if it is capitalised (so does each German noun: templates then have more slots, which must be filled consistently).  A template window needs LITERAL
+words that are no placeholders, since a window of placeholders alone says nothing; a literal one needs none, and reads all words.
 
 Before the join, documents are looked up in a bitmap of BITS bits of the benchmark's window hashes:
 its size is fixed, and when a benchmark fills it, more windows pass on to the join and none is lost.
 
 Defined cases: a null or empty text has no windows; items of four to seven words are looked for as
-one window, items below four words are never found; repeated items and documents are rows of their
-own; an empty table on either side finds nothing; other columns pass through unread.
+one window, items of one to three words, which say little, only word for word and where they are all of a line of a
+document; repeated items and documents are rows of their own, and of an item's places in a document (ties) the one with most
+words and fewest changes is given; texts of any length are searched whole;
+an empty table on either side finds nothing; other columns, whatever their names, pass through unread.
 """
 
 from __future__ import annotations
 
 import re
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +54,7 @@ UNITS = frozenset(
 _NUMBER = re.compile(rb"[+-]?(?:[$#]|\xe2\x82\xac|\xc2\xa3)?[+-]?\d[\d.,:/]*%?")
 _GLUED = re.compile(rb"[+-]?\d[\d.,]*([A-Za-z%/]+)")
 _MARKS = b".,;:!?\"'()[]{}<>"
+_CLOSING = frozenset(_MARKS[i : i + 1] for i in range(len(_MARKS)))
 _LINE = b"\x01"
 NUMBER, NAME, UNIT, QUANTITY = 1, 2, 3, 4
 
@@ -76,7 +82,8 @@ class _Lexicon(dict):
         unit = low.decode("utf-8", "replace") in UNITS
         ends = token.rstrip(b"\"')]}")[-1:] in (b".", b"!", b"?")
         self.literal.append(xxhash.xxh3_64_intdigest(low))
-        self.flags.append(number | name << 1 | unit << 2 | glued << 3 | ends << 4 | (token == _LINE) << 5)
+        closes = token[-1:] in _CLOSING
+        self.flags.append(number | name << 1 | unit << 2 | glued << 3 | ends << 4 | (token == _LINE) << 5 | closes << 6)
         self[token] = n = len(self.literal) - 1
         return n
 
@@ -89,8 +96,19 @@ class _Lexicon(dict):
 _PLACEHOLDER = np.array([0] + [xxhash.xxh3_64_intdigest(b"\x00slot%d" % i) for i in (NUMBER, NAME, UNIT, QUANTITY)], np.uint64)
 
 
-def templates(texts: list[bytes], lex: _Lexicon) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-    """(template word hash, literal word hash, slot type, number of the text, the words) for all words of the texts."""
+class Form(NamedTuple):
+    """A sequence of canonical words: hash, slot type, text, line and first and last word as they are."""
+
+    h: np.ndarray
+    kind: np.ndarray
+    doc: np.ndarray
+    line: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+
+
+def templates(texts: list[bytes], lex: _Lexicon) -> tuple[Form, Form, list[bytes]]:
+    """The texts as templates and as they are, and their words."""
     tokens, size = [], []
     for t in texts:
         found = t.replace(b"\n", b" \x01 ").split()
@@ -103,45 +121,59 @@ def templates(texts: list[bytes], lex: _Lexicon) -> tuple[np.ndarray, np.ndarray
     # what is before a word: the end of a sentence, a line's end or the text's begin
     begins = np.ones(len(at), bool)
     begins[1:] = (flags[:-1] & 48 > 0) | (doc[1:] != doc[:-1])
+    line = np.cumsum(flags & 32 > 0) + doc  # differs between lines and between texts
     words = np.flatnonzero(flags & 32 == 0)
-    literal, flags, doc, begins = literal[words], flags[words], doc[words], begins[words]
-    number, kind = flags & 1 > 0, np.zeros(len(words), np.int8)
-    after = np.zeros(len(words), bool)
-    after[1:] = number[:-1] & (doc[1:] == doc[:-1])
-    kind[(flags & 2 > 0) & ~begins] = NAME
-    kind[(flags & 4 > 0) & after] = UNIT
+    literal, flags, doc, begins, line = literal[words], flags[words], doc[words], begins[words], line[words]
+    number, kind, every = flags & 1 > 0, np.zeros(len(words), np.int8), np.arange(len(words))
+    kind[flags & 2 > 0] = NAME
     kind[flags & 8 > 0] = QUANTITY
     kind[number] = NUMBER
-    return np.where(kind == 0, literal, _PLACEHOLDER[kind]), literal, kind, doc, [tokens[i] for i in words]
+    # words that go with the one before: a unit with its number, a name with a name
+    joins = np.zeros(len(words), bool)
+    open_before = (flags[:-1] & 64 == 0) & (doc[1:] == doc[:-1])
+    joins[1:] = open_before & ((number[:-1] & (flags[1:] & 4 > 0) & ~number[1:]) | ((kind[:-1] == NAME) & (kind[1:] == NAME) & ~begins[1:]))
+    kind[np.flatnonzero(joins & (flags & 4 > 0) & (kind != NAME)) - 1] = QUANTITY
+    heads = np.flatnonzero(~joins)
+    last = np.append(heads[1:], len(words)) - 1
+    template = Form(np.where(kind[heads] == 0, literal[heads], _PLACEHOLDER[kind[heads]]), kind[heads], doc[heads], line[heads], heads, last)
+    return template, Form(literal, kind, doc, line, every, every), [tokens[i] for i in words]
+
+
+_SLOTS = pa.list_(pa.struct([("off", pa.int32()), ("value", pa.string())]))
 
 
 def _found(ids: pa.Array, texts: list[bytes], lex: _Lexicon, lengths: list[int], bits: np.ndarray | None, whole: bool):
-    """Windows as record batches: id, pos, h, n (words of the text), slots, exact (h is of the words as they are; slots are of items only).  whole: items, of which one shorter than WINDOW is taken whole."""
-    h, literal, kind, doc, tokens = templates(texts, lex)
-    size = np.bincount(doc, minlength=len(texts)) if len(doc) else np.zeros(len(texts), np.int64)
-    start = np.cumsum(size) - size
-    filled = np.concatenate([[0], np.cumsum(kind != 0)])
-    for n in lengths:
-        if len(h) < n:
-            continue
-        same = doc[: len(h) - n + 1] == doc[n - 1 :]
-        if whole and n < WINDOW:
-            same &= size[doc[: len(same)]] == n
-        enough = n - (filled[n:] - filled[:-n]) >= min(LITERAL, n)
-        for form, of in enumerate((h, literal)):
-            w = mix(windows(of, n) + np.uint64(n + (form << 8)))
-            ok = same if form else same & enough
+    """Windows as record batches: id, pos, h, words (of the text), len, slots, exact (h is of the words as they are; slots
+    are of items only).  whole: items, of which one shorter than WINDOW is taken whole."""
+    *forms, tokens = templates(texts, lex)
+    for exact, form in enumerate(forms):
+        size = np.bincount(form.doc, minlength=len(texts)) if len(form.doc) else np.zeros(len(texts), np.int64)
+        start = np.cumsum(size) - size
+        filled = np.concatenate([[0], np.cumsum(form.kind != 0)])
+        for n in lengths:
+            k = len(form.h) - n + 1
+            if k < 1 or (n < LITERAL and not exact):
+                continue
+            w = mix(windows(form.h, n) + np.uint64(n + (exact << 8)))
+            ok = form.doc[:k] == form.doc[n - 1 :]
+            if whole and n < WINDOW:
+                ok &= size[form.doc[:k]] == n
+            elif n < LITERAL:  # all of a line
+                edge = np.concatenate([[True], form.line[1:] != form.line[:-1], [True]])
+                ok &= (form.line[:k] == form.line[n - 1 :]) & edge[:k] & edge[n : n + k]
+            if not exact:
+                ok &= n - (filled[n:] - filled[:-n]) >= min(LITERAL, n)
             if bits is not None:
                 b = w >> np.uint64(64 - BITS.bit_length() + 1)
-                ok = ok & ((bits[b >> np.uint64(3)] >> (b & np.uint64(7)).astype(np.uint8)) & 1 > 0)
+                ok &= (bits[b >> np.uint64(3)] >> (b & np.uint64(7)).astype(np.uint8)) & 1 > 0
             at = np.flatnonzero(ok)
             if not len(at):
                 continue
-            slots = [[] if form and not whole else [{"off": int(j), "value": tokens[i + j].strip(_MARKS).lower().decode("utf-8", "replace")} for j in np.flatnonzero(kind[i : i + n])] for i in at]
-            d = doc[at]
-            kinds = pa.list_(pa.struct([("off", pa.int32()), ("value", pa.string())]))
+            value = lambda j: b" ".join(x.strip(_MARKS).lower() for x in tokens[form.first[j] : form.last[j] + 1]).decode("utf-8", "replace")  # noqa: E731, B023
+            slots = [[] if exact and not whole else [{"off": int(j), "value": value(i + j)} for j in np.flatnonzero(form.kind[i : i + n])] for i in at]
+            d = form.doc[at]
             yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(d)), pa.array((at - start[d]).astype(np.int32)), pa.array(w[at].view(np.int64)), pa.array(size[d].astype(np.int32)), pa.array(np.full(len(at), n, np.int32)), pa.array(slots, kinds), pa.array(np.full(len(at), form > 0))],
+                [ids.take(pa.array(d)), pa.array((at - start[d]).astype(np.int32)), pa.array(w[at].view(np.int64)), pa.array(size[d].astype(np.int32)), pa.array(np.full(len(at), n, np.int32)), pa.array(slots, _SLOTS), pa.array(np.full(len(at), exact > 0))],
                 names=["id", "pos", "h", "words", "len", "slots", "exact"],
             )
 
@@ -173,13 +205,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     spark = docs.sparkSession
     rows = _keyed(docs, key, text)
     items = packed(benchmark, __id=item, __text=item_text).select(F.struct(F.xxhash64("__text").alias("k"), F.col("__id").alias("item")).alias("id"), F.col("__text").cast("binary").alias("text"))
-    lengths = list(range(LITERAL, WINDOW + 1))
+    lengths = list(range(1, WINDOW + 1))
     bench = stored(_windows(items.filter("text is not null"), lengths, whole=True).filter((F.col("len") == WINDOW) | (F.col("len") == F.col("words"))), "items")
     bit = F.shiftrightunsigned("h", 64 - BITS.bit_length() + 1).alias("b")
     marked = np.zeros(BITS // 8, np.uint8)
     found = bench.select(bit).distinct().toPandas()["b"].to_numpy()  # BITS values at most
     np.bitwise_or.at(marked, found >> 3, np.uint8(1) << (found & 7).astype(np.uint8))
-    used = sorted(r["len"] for r in bench.select("len").distinct().collect()) or [WINDOW]  # LITERAL..WINDOW
+    used = sorted(r["len"] for r in bench.select("len").distinct().collect()) or [WINDOW]  # 1..WINDOW
     texts = rows.filter("__text is not null").select(F.struct(F.col("__key").alias("key"), F.col("__id").alias("id")).alias("id"), F.col("__text").cast("binary").alias("text"))
     hits = _windows(texts, used, spark.sparkContext.broadcast(marked))
     few = small(bench, MAX_BROADCAST_WINDOWS)
@@ -190,7 +222,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     kept = F.transform("bslots", lambda x: F.struct((F.col("bpos") + x["off"]).alias("at"), x["value"].alias("a"), x["value"].alias("b")))
     joined = joined.withColumn("pairs", F.when(F.col("exact"), kept).otherwise(pair)).withColumn("same", F.forall("pairs", lambda p: p["a"] == p["b"]))
     place = F.struct(F.col("bpos").alias("pos"), "len")
-    runs = joined.groupBy("doc", "item", "item_words", (F.col("pos") - F.col("bpos")).alias("shift")).agg(
+    runs = joined.groupBy("doc", "item", "exact", "item_words", (F.col("pos") - F.col("bpos")).alias("shift")).agg(
         F.collect_set(place).alias("places"), F.collect_set(F.when(F.col("same"), place)).alias("equal"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs")
     )
     # a one-to-one map of the item's values to the document's

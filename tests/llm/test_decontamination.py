@@ -47,3 +47,54 @@ def test_copies_rich_in_numbers_and_names(spark, make):
     rows = [(10 + i, f"so then {x}\nand on") for i, x in enumerate(items)] + [(20, "List primes: 2, 3, 5, 7, 11, 13, 17, 23"), (21, "What is 12 + 36?")]
     got = {(r["id"], r["item"]): r for r in dc.contamination(make(rows), table).collect()}
     assert set(got) == {(10, 0), (11, 1), (12, 2)} and all(r["verbatim"] for r in got.values())
+
+
+def words(text):
+    return [w.strip(".,;:!?\"'()[]{}<>").lower() or w for w in text.split()]
+
+
+def test_copies_against_brute_force(spark, make, prose):
+    """Every item of any length that stands in a document word for word is found, and no pair without a long common run."""
+    rng = random.Random(12)
+    items = ["Is 3 kg plus 5 kg equal 8 kg", "What is 3 plus 5", "Why ask Anna Bob Clara", "Paris", "12 13 14", "Name two", "1 2 3 4 5 6 7 8 9 10 11 12 13 14"]
+    items += [prose(rng, n) for n in (1, 3, 4, 5, 7, 8, 9, 12, 13, 20, 60)]
+    docs = []
+    for i, x in enumerate(items):
+        docs.append((2 * i, f"{prose(rng, rng.randint(0, 40))}\n{x}\n{prose(rng, rng.randint(0, 40))}"))
+        docs.append((2 * i + 1, prose(rng, 50)))
+    table = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r["id"], r["item"]) for r in dc.contamination(make(docs), table).collect()}
+    assert {(2 * i, i) for i in range(len(items))} <= got
+    for d, i in got:
+        doc, item = words(docs[d][1]), words(items[i])
+        n = min(len(item), 8)
+        runs = {tuple(doc[k : k + n]) for k in range(len(doc) - n + 1)}
+        assert runs & {tuple(item[k : k + n]) for k in range(len(item) - n + 1)}, (d, i)
+
+
+def test_short_items_only_as_lines(spark, make):
+    table = spark.createDataFrame([(1, "Name two")], "item_id long, text string")
+    got = dc.contamination(make([(1, "x\nname two\ny"), (2, "please name two of them"), (3, "Name two")]), table).collect()
+    assert sorted(r["id"] for r in got) == [1, 3]
+
+
+def test_names_of_other_lengths_and_units(spark, make, prose):
+    """Asked again with a name of two words, a first word that is a name, and a unit written apart."""
+    a = "Anna walks 5km to the market in Leeds and then buys some apples that she carries back to her house"
+    b = "Clara walks 7 km to the market in New York and then buys some apples that she carries back to her house"
+    c = "Clara walks 7 km to the market in Clara and then buys some apples that she carries back to her house"
+    rows = [(1, prose(random.Random(3), 30) + "\n" + b), (2, c)]
+    table = spark.createDataFrame([(1, a)], "item_id long, text string")
+    got = {r["id"]: r for r in dc.contamination(make(rows), table).collect()}
+    assert got[1]["changed"] == 3 and not got[1]["verbatim"] and got[1]["covered"] == got[1]["item_words"]
+    # two names of the item became one: only what is beside the slots may count
+    assert 2 not in got or got[2]["covered"] < got[1]["covered"]
+
+
+def test_long_text_ties_and_clashing_columns(spark, prose):
+    rng = random.Random(4)
+    pad = prose(rng, 60_000)
+    docs = spark.createDataFrame([(1, f"{pad}\n{ITEM}\n{ITEM}", 1, "a", 2)], "doc_id long, text string, h int, item string, __key int")
+    got = dc.contamination(docs, bench(spark)).collect()
+    assert sorted(r["item"] for r in got) == [1, 5] and all(r["verbatim"] for r in got)
+    assert dc.decontaminate(docs, bench(spark)).columns == docs.columns and dc.decontaminate(docs, bench(spark)).collect() == []
