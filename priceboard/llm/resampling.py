@@ -1,18 +1,21 @@
 """Quality by importance resampling: hashed n-gram models of target and raw text, Gumbel top-k.
 
 Words and pairs of words are hashed to BUCKETS buckets; the target model counts the buckets of texts
-labelled good, the raw model those of all texts.  A document's log weight is the mean over its n-grams
-of log(target share / raw share) times SCALE n-grams, so that length alone decides nothing.  With
+labelled good, the raw model those of all texts.  A document's log weight is the sum over its n-grams
+of log(target share / raw share), the ratio of what the two models say of it.  With
 Gumbel noise, keyed by the document and a seed, the k largest keys are a sample without replacement in
-proportion to the weights.
+proportion to the weights.  With ``per_ngram`` the sum is divided by the number of n-grams and multiplied by it, so that length
+alone decides nothing; the sample is then in proportion to that power of the ratio.
 
 The raw counts cover all texts.  Target texts are the first MAX_TARGET labelled rows by hash (a documented
 bound, so their ids can be broadcast); k is the share of good labels times the number of documents.
 Counts of a task are one row per bucket; the k-th key is found exactly by narrowing histograms.
 
 Defined cases: a null or empty text has weight 0 (neither model says anything); ties with the k-th
-key are all selected; repeated rows have equal keys; without labels both models are equal and noise
-decides; an empty table gives an empty result; other columns are not read.
+key are all selected; repeated rows have equal keys; null labels are left out, and an id labelled more than once is a
+target if any of its labels is good; each row of a labelled id is a target text; a null id is none; without labels both
+models are equal and noise decides; texts of any length are read whole; an empty table gives an empty result; other
+columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -28,7 +31,6 @@ from .common import WordHash, byte_blocks, mix, packed, stored, windows
 
 BUCKETS = 10_000
 MAX_TARGET = 20_000
-SCALE = 100.0
 BLOCK_BYTES = 2_000_000
 BINS = 4096
 
@@ -76,7 +78,7 @@ def models(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     return np.log(share[1]) - np.log(share[0])
 
 
-def weigh(docs: DataFrame, ratio: np.ndarray, key: str = "doc_id", text: str = "text", seed: int = 0) -> DataFrame:
+def weigh(docs: DataFrame, ratio: np.ndarray, key: str = "doc_id", text: str = "text", seed: int = 0, per_ngram: float | None = None) -> DataFrame:
     """id, log_weight, key (log weight and noise)."""
     held = docs.sparkSession.sparkContext.broadcast(ratio)  # BUCKETS numbers
     kind = docs.schema[key].dataType.simpleString()
@@ -86,9 +88,10 @@ def weigh(docs: DataFrame, ratio: np.ndarray, key: str = "doc_id", text: str = "
         for batch in batches:
             for a, b in byte_blocks(batch.column(1), BLOCK_BYTES):
                 n, doc = _buckets(batch.column(1).slice(a, b - a).to_pylist(), words)
-                count = np.bincount(doc, minlength=b - a)
                 total = np.bincount(doc, r[n], b - a)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(SCALE * total / np.maximum(count, 1))], ["id", "u", "log_weight"])
+                if per_ngram is not None:
+                    total *= per_ngram / np.maximum(np.bincount(doc, minlength=b - a), 1)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(total)], ["id", "u", "log_weight"])
 
     # a number in (0, 1) from the row and the seed
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "id", "text"), 11).cast("double") + 0.5) * F.lit(2.0**-53)
@@ -114,11 +117,11 @@ def kth_largest(df: DataFrame, column: str, k: int) -> float:
     return lo
 
 
-def resample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", share: float | None = None, seed: int = 0) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", share: float | None = None, seed: int = 0, per_ngram: float | None = None) -> DataFrame:
     """id, log_weight, key, selected."""
-    out = stored(weigh(docs, models(docs, labels, key, text, label), key, text, seed), "weights")
+    out = stored(weigh(docs, models(docs, labels, key, text, label), key, text, seed, per_ngram), "weights")
     if share is None:
-        share = labels.agg(F.avg(F.col(label).cast("double"))).first()[0]
+        share = packed(labels, __label=label).agg(F.avg((F.col("__label") == 1).cast("double"))).first()[0]
         share = 1.0 if share is None else share
     k = math.ceil(share * out.count())
     limit = kth_largest(out, "key", k) if k else math.inf
