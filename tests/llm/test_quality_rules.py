@@ -58,3 +58,64 @@ def test_junk_of_any_length_among_texts_without_symbols(make, prose):
     assert not [r for r in got if r["doc_id"] >= 1000 and r["__kept"]]
     passed = [r for r in got if r["doc_id"] < 1000 and not r["__fail"]]
     assert sum(r["__kept"] for r in passed) >= 0.99 * len(passed)
+
+
+def brute_mcd(x, floors, tries=300, seed=1):
+    """The half of least determinant over many random starts, with the same floors: log determinant, and the reweighted distances."""
+    import numpy as np
+
+    rng, h = np.random.default_rng(seed), (len(x) + 1) // 2
+
+    def factor(c):
+        low = np.zeros_like(c)
+        for j in range(len(c)):
+            low[j, j] = np.sqrt(max(c[j, j] - low[j, :j] @ low[j, :j], floors[j] ** 2))
+            for i in range(j + 1, len(c)):
+                low[i, j] = (c[i, j] - low[i, :j] @ low[j, :j]) / low[j, j]
+        return low
+
+    d2 = lambda m, low: (np.linalg.solve(low, (x - m).T) ** 2).sum(axis=0)
+    best = None
+    for _ in range(tries):
+        pick, last = rng.choice(len(x), len(floors) + 2, replace=False), np.inf
+        while True:
+            m, low = x[pick].mean(axis=0), factor(np.cov(x[pick].T, bias=True))
+            det = 2 * np.log(np.diag(low)).sum()
+            if len(pick) == h and det > last - 1e-9:
+                break
+            last = det if len(pick) == h else np.inf
+            pick = np.argsort(d2(m, low), kind="stable")[:h]
+        if best is None or det < best[0]:
+            best = det, m, low
+    det, m, low = best
+    d = d2(m, low)
+    pick = d / max(1.0, np.median(d) / qr.MEDIAN_CHI2) <= qr.REWEIGHT_CHI2
+    return det, d2(x[pick].mean(axis=0), factor(np.cov(x[pick].T, bias=True)))
+
+
+def test_determinants_against_many_random_starts(spark):
+    """Correlated statistics with a third of outliers in one cluster, and a group with constant statistics."""
+    import numpy as np
+
+    rng, floors = np.random.default_rng(4), np.array(list(qr.FEATURES.values()))
+    mixing = rng.normal(size=(6, 6))
+    good = rng.normal(size=(400, 6)) @ mixing
+    bad = rng.normal(size=(180, 6)) * 0.3 + 60 * mixing[0] + 40
+    flat = np.where(np.arange(6) < 3, rng.normal(size=(300, 6)), 1.0)
+    groups = {"a": np.concatenate([good, bad]), "b": flat}
+    rows = [(g, *map(float, r)) for g, x in groups.items() for r in x]
+    vectors = spark.createDataFrame(rows, ["g", *qr._names()])
+    raw = {r["g"]: r["det"] for r in qr.least_determinants(vectors, True).collect()}
+    final = {g: [r["d2"] for r in qr._distance(vectors.join(qr.estimates(vectors, True), "g")).filter(f"g = '{g}'").orderBy(*qr._names()).collect()] for g in groups}
+    for g, x in groups.items():
+        det, d2 = brute_mcd(x, floors)
+        assert raw[g] <= det + 0.05, (g, raw[g], det)
+        mine, theirs = np.array(final[g]), d2[np.lexsort(x.T[::-1])]
+        assert ((mine > qr.CUTOFF) == (theirs > qr.CUTOFF)).mean() > 0.99
+    assert (np.array(final["a"]) > qr.CUTOFF).sum() >= 175
+
+
+def test_ties_and_no_statistic_beyond_its_floor(make):
+    """Repeated rows only: nothing is an outlier."""
+    docs = make([(i, "ten words make a row of this table and more", "en", "a") for i in range(50)])
+    assert qr.quality_rules(docs, min_docs=10).count() == 50
