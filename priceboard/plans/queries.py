@@ -686,7 +686,7 @@ def _making_query(name, layout):
     pct = "CAST(3 + p_partkey % 20 AS DOUBLE)" if percent else D("CAST(5000 + p_partkey % 700 AS DOUBLE) / CAST(50000 + p_partkey % 1000 * 10 AS DOUBLE) * 100", 1)
 
     def run(spark, sf):
-        return EM.STRATEGIES[name](making_pages(spark, sf, layout)).select("page_id", "strategy", "making_pct")
+        return EM.probe_making(making_pages(spark, sf, layout), {name: EM.STRATEGIES[name]}).select("page_id", "strategy", "making_pct")
 
     run.__name__ = f"extract_making_{name}"
     query(f"SELECT p_partkey AS page_id, '{name}' AS strategy, {pct} AS making_pct FROM part")(run)
