@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..functions.tables import stored
 
 ORDER_SLACK, RATIO_TOLERANCE, OUTLIER, LEAST_LIVE = 1.005, 0.015, 0.04, 5
 BENCHMARK = {"association": (6_000.0, 20_000.0), "bullion": (8_000.0, 22_000.0), "futures": (60_000.0, 400_000.0)}
@@ -96,14 +97,34 @@ def market_snapshot(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
     return s.select(*(by or []), *ladder(F.col("median_24k")), *[c for c in s.columns if c not in (by or []) and c != "median_24k"], S.rounded(F.col("median_24k"), 6).alias("median_24k"))
 
 
+def ranked(rows: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
+    """rows with their place in a total order, counted within ranges of it, so that no task sees them all.  The ranges are stored first: their
+    bounds come from a sample and would not be drawn alike twice."""
+    parts = stored(rows.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranges")
+    sizes = parts.groupBy("__range").agg(F.count("*").alias("__n"))  # a row for each range
+    before = sizes.select("__range", (F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("__before"))
+    own = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    return parts.withColumn(name, own).join(F.broadcast(before), "__range").withColumn(name, (F.col(name) + F.col("__before")).cast("int")).drop("__range", "__before")
+
+
+def sorted_board(board: DataFrame, column: str, descending: bool = False) -> DataFrame:
+    """A board by any of its columns and in either direction, ranked anew; names without regard to case, nulls last, ties by name."""
+    c = F.lower(column) if board.schema[column].dataType.simpleString() == "string" else F.col(column)
+    return ranked(board.drop("rank"), c.desc_nulls_last() if descending else c.asc_nulls_last(), F.lower("name"), F.col("name")).orderBy("rank")
+
+
+def one_row(df: DataFrame) -> DataFrame:
+    """A frame that is said to have one row has one at most: of several, any."""
+    return df.limit(1)
+
+
 def market_board(rows: DataFrame) -> DataFrame:
     """rows of one day: name, canonical, national, states.  Ranked by price, with ladder, difference to the national median and flags."""
     one = stats(rows)
-    w = Window.orderBy("canonical", "name")  # a board is one day's brands
-    joined = rows.crossJoin(F.broadcast(one))  # with one row
+    joined = ranked(rows, F.col("canonical"), F.col("name")).crossJoin(F.broadcast(one))  # with one row
     delta = S.rounded(F.col("canonical") - F.col("median_24k"))
     return joined.select(
-        F.row_number().over(w).alias("rank"), "name", "canonical", *ladder(F.col("canonical"))[1:], delta.alias("delta"),
+        "rank", "name", "canonical", *ladder(F.col("canonical"))[1:], delta.alias("delta"),
         S.move_class(delta, inclusive=True, names=("high", "low", "par")).alias("level"), ((F.col("canonical") == F.col("lowest")) & (F.col("name") == F.col("lowest_brand"))).alias("is_lowest"),
         (~F.col("national")).alias("regional"), F.when(~F.col("national"), F.array_join("states", "|")).alias("states"),
     )
@@ -160,13 +181,33 @@ def recaps(trend: DataFrame, as_of: Column, keep_days: int = 90) -> DataFrame:
     )
 
 
+def today_move(today: DataFrame, rates: DataFrame, as_of: Column, legacy_base: bool = False) -> DataFrame:
+    """today: one row, rate_24k.  Its move against the last day before as_of that has a median: of national brands, or with legacy_base of all
+    brands, as older pages have it.  rates: rate_date, canonical, status, national."""
+    live = publishable(rates).filter(F.col("rate_date") < as_of)
+    base = live if legacy_base else live.filter("national")
+    last = base.groupBy("rate_date").agg(F.median("canonical").alias("m")).agg(F.max_by("m", "rate_date").alias("base"))
+    return one_row(today).crossJoin(F.broadcast(last)).select("rate_24k", S.rounded(F.col("base")).alias("base"), S.rounded(F.col("rate_24k") - F.col("base")).alias("move"))
+
+
+def is_national(brands: DataFrame, regions: DataFrame) -> DataFrame:
+    """regions: slug of the brands that sell in some states only, with these.  national: not among them."""
+    return brands.join(regions.groupBy("slug").agg(F.array_sort(F.collect_set("state")).alias("states")), "slug", "left").withColumn("national", F.col("states").isNull())
+
+
+def brand_groups(brands: DataFrame) -> DataFrame:
+    """brands: name, active.  How many are active and how many are parked, and how many of them have a page."""
+    group = F.when(F.col("active"), "active").otherwise("parked")
+    return brands.groupBy(group.alias("brand_group")).agg(F.count("*").alias("brands"), F.count(S.clean_text(F.col("rate_url"))).alias("with_page"))
+
+
 def newest(df: DataFrame, column: str, n: int) -> DataFrame:
     return df.orderBy(F.desc(column)).limit(n)
 
 
 def daily_place_rows(snapshot: DataFrame, places: DataFrame, moves: DataFrame, day: Column) -> DataFrame:
     """places: place.  Each place with the day's national numbers and today's move (one row each)."""
-    both = places.crossJoin(F.broadcast(snapshot)).crossJoin(F.broadcast(moves))
+    both = places.crossJoin(F.broadcast(one_row(snapshot))).crossJoin(F.broadcast(one_row(moves)))
     url = F.concat(F.lit("gold-rate-"), S.slug(F.col("place")), F.lit("-"), S.date_slug(day))
     return both.select("place", url.alias("slug"), "rate_24k", "rate_22k", "rate_18k", "rate_14k", "lowest", "n", "move", S.move_class(F.col("move")).alias("verb"))
 
@@ -177,8 +218,8 @@ def benchmark_gate(value: Column, kind: str) -> Column:
 
 def premium_board(rows: DataFrame, benchmark: DataFrame) -> DataFrame:
     """benchmark: one row, bullion.  Premium in rupees and percent, ascending; bar is its share of the largest."""
-    j = rows.crossJoin(F.broadcast(benchmark))
-    j = j.withColumn("premium", F.col("canonical") - F.col("bullion")).withColumn("top", F.max(F.abs("premium")).over(Window.partitionBy()))
+    j = rows.crossJoin(F.broadcast(one_row(benchmark))).withColumn("premium", F.col("canonical") - F.col("bullion"))
+    j = j.crossJoin(F.broadcast(j.agg(F.max(F.abs("premium")).alias("top"))))  # one row
     pct = S.safe_pct(F.col("premium"), F.col("bullion"))
     bar = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(F.try_divide(F.abs("premium"), F.col("top")), F.lit(0.0))))
     return j.select("name", "canonical", S.rounded(F.col("premium")).alias("premium"), S.rounded(pct).alias("premium_pct"), S.rounded(bar, 4).alias("bar")).orderBy("premium", "name")

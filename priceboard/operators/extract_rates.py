@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..functions.tables import stored
 from . import page_tokens as T
 from .board import ordering_sane
 
@@ -188,8 +189,9 @@ def found_rates(pages: DataFrame, extractors: dict | None = None) -> DataFrame:
     for name, f in reversed(list((extractors or EXTRACTORS).items())):
         arr = f(page)
         pick = F.when(F.size(arr) > 0, F.struct(F.lit(name).alias("extractor"), arr.alias("found"))).otherwise(pick)
-    p = p.select("page_id", pick.alias("r")).filter("r is not null")
-    return p.select("page_id", "r.extractor", F.inline("r.found"))
+    # stored before anything filters it: a filter moved below would make the tokens anew wherever a rule reads them
+    read = stored(p.select("page_id", pick.alias("r")), "read")
+    return read.filter("r is not null").select("page_id", "r.extractor", F.inline("r.found"))
 
 
 def extract_rates(pages: DataFrame, extractors: dict | None = None) -> DataFrame:

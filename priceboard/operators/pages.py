@@ -7,42 +7,71 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 
-#: Metals and stones that exclude a page, and categories with their words, in order.
-OTHER_METALS = r"(?i)silver|platinum|rose-?gold-?plated|gold-?plated|palladium|titanium|brass"
-STONES = r"(?i)\b(?:diamonds?|solitaires?|ruby|rubies|emeralds?|sapphires?|gemstones?|pearls?|polki|kundan|cz|zircon)\b"
-CATEGORIES = [("Earring", ["earring", "stud", "jhumka", "hoop"]), ("Ring", ["ring"]), ("Chain", ["chain", "necklace"]), ("Bangle", ["bangle", "bracelet", "kada"]), ("Coin", ["coin", "bar"])]
+#: Metals and stones that exclude a URL as whole words, words that a product's score loses by, categories with their words in order.
+OTHER_METALS = ["silver", "platinum", "titanium", "steel"]
+STONES = [
+    "diamond", "diamonds", "solitaire", "studded", "gemstone", "gemstones", "kundan", "polki", "pearl", "pearls", "ruby", "rubies", "emerald", "emeralds", "sapphire", "sapphires", "americandiamond",
+    "cz", "zircon", "zirconia", "topaz", "garnet", "onyx", "opal", "turquoise", "moissanite", "navratna", "navratra", "stone", "stones", "gem", "gems",
+]
+PENALTY = ["diamond", "platinum", "silver", "solitaire", "gemstone", "pearl"]
+CATEGORIES = [("Mangalsutra", ["mangalsutra"]), ("Earrings", ["earring", "jhumk", "stud"]), ("Bangle", ["bangle", "kada"]), ("Ring", ["ring"])]
 AGED_FROM, AGED_TO = "index, follow", "noindex, follow"
 
 
-def path_of(url: Column) -> Column:
-    return F.coalesce(F.parse_url(url, F.lit("PATH")), url)
+def _words(text: Column) -> Column:
+    """The words of a text: letters, digits and underscores."""
+    return F.split(F.lower(text), "[^a-z0-9_]+")
+
+
+def _any(values: list[str]) -> Column:
+    return F.array(*map(F.lit, values))
 
 
 def is_plain_gold(url: Column) -> Column:
-    words = F.regexp_replace(path_of(url), "[-_/]+", " ")
-    return ~url.rlike(OTHER_METALS) & ~words.rlike(STONES)
+    return ~F.arrays_overlap(_words(url), _any(OTHER_METALS + STONES))
 
 
 def categorize(url: Column, categories=CATEGORIES, word_bounded: bool = False) -> Column:
-    """First category whose word occurs in the path (an earring before a ring); null for other metals and stones."""
-    p = F.lower(path_of(url))
-    words = F.regexp_replace(p, "[-_/]+", " ")
-    chain = None
+    """First category, in order, one of whose words occurs in the URL (an earring before a ring); null for other metals and stones."""
+    low, chain = F.lower(url), None
     for name, keys in categories:
-        hit = words.rlike(r"\b(?:" + "|".join(keys) + r")s?\b") if word_bounded else p.rlike("|".join(keys))
+        hit = F.arrays_overlap(_words(url), _any([k + s for k in keys for s in ("", "s")])) if word_bounded else F.exists(_any(keys), lambda k: F.contains(low, k))
         chain = F.when(hit, name) if chain is None else chain.when(hit, name)
     return F.when(is_plain_gold(url), chain)
 
 
 def product_pages(pages: DataFrame, config: DataFrame) -> DataFrame:
-    """config: brand, require_path (null: any).  Pages whose URL holds their brand's path."""
-    return pages.join(config, "brand").filter(F.col("require_path").isNull() | F.contains("url", F.col("require_path"))).drop("require_path")
+    """config: brand, require_path (null: any), and if it has them product_re (a pattern that a product's URL meets; null: any) and
+    routes (array of path prefixes; null: any).  Pages whose URL their brand's configuration takes."""
+    own = [c for c in ("require_path", "product_re", "routes") if c in config.columns]
+    j = pages.join(config.select("brand", *own), "brand")
+    take = {
+        "require_path": lambda c: F.contains("url", c), "product_re": lambda c: F.regexp_like(F.col("url"), c),
+        "routes": lambda c: F.exists(c, lambda r: F.regexp_replace("url", r"^https?://[^/]+", "").startswith(r)),
+    }
+    for c in own:
+        j = j.filter(F.col(c).isNull() | take[c](F.col(c)))
+    return j.drop(*own)
+
+
+def listing_pages(config: DataFrame, most: int = 50) -> DataFrame:
+    """config: brand, seeds (array of URLs), pagination (a suffix with {} for the number; null: one page), last_page.  The URLs to list, in order;
+    at most ``most`` pages of each seed are meant to be listed, and a larger last_page is an error of the configuration."""
+    seeds = config.select("brand", F.posexplode("seeds").alias("seed", "url"), "pagination", F.coalesce("last_page", F.lit(1)).alias("last"))
+    seeds = seeds.withColumn("last", F.when(F.col("last") <= most, F.col("last")).otherwise(F.raise_error(F.lit(f"last_page above {most}")).cast("int")))
+    pages = seeds.select("brand", "seed", "url", "pagination", F.explode(F.sequence(F.lit(1), F.when(F.col("pagination").isNull(), 1).otherwise(F.col("last")))).alias("page"))
+    paged = F.concat("url", F.replace("pagination", F.lit("{}"), F.col("page").cast("string")))
+    return pages.select("brand", "seed", "page", F.when((F.col("page") == 1) | F.col("pagination").isNull(), F.col("url")).otherwise(paged).alias("url"))
 
 
 def product_score(text: Column) -> Column:
-    t = F.lower(text)
-    points = [(r"coin|\bbar\b", 3), (r"\b24\s*k", 2), (r"\b22\s*k", 2), ("gold", 1), (STONES + "|" + OTHER_METALS.replace("(?i)", ""), -3)]
-    return sum((F.when(t.rlike(p), n).otherwise(0) for p, n in points), F.lit(0))
+    """Points for coins and bars, for 24 and 22 karat and for gold; fewer where a word of PENALTY occurs."""
+    low, words = F.lower(text), _words(text)
+    has = lambda *parts: F.exists(_any(list(parts)), lambda k: F.contains(low, k))
+    points = [
+        (F.arrays_overlap(words, _any(["coin", "coins", "bar", "bars"])), 3), (has("24k", "24-k", "24 k"), 2), (has("22k", "22-k", "22 k"), 2), (has("gold"), 1), (has(*PENALTY), -3),
+    ]
+    return sum((F.when(hit, n).otherwise(0) for hit, n in points), F.lit(0))
 
 
 def links(pages: DataFrame, pattern: str = r'href="([^"#?]+)"') -> DataFrame:

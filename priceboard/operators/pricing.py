@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 
 #: Coin makers' charges in percent.
-MAKERS = {"bank": 4.0, "brand": 3.5, "local": 3.0, "mint": 2.5, "online": 3.25, "refiner": 2.75}
+MAKERS = {"mmtc": 2.5, "kalyan": 3.0, "malabar": 3.2, "senco": 3.5, "joyalukkas": 3.8, "tanishq": 4.0}
 
 
 def loan(weight: Column, rate: Column, fraction: Column, ltv: Column, annual: Column, months: Column) -> list[Column]:
@@ -50,6 +50,11 @@ def budget_grams(budget: Column, rate: Column, pct: Column, making: bool = True,
     return budget / (rate * ((1 + pct / 100) if making else 1) * ((1 + S.GST) if tax else 1))
 
 
+def custom_rate(rate: Column, purity: Column) -> Column:
+    """A quote of some purity as one of pure gold; an unknown purity counts as pure."""
+    return rate / F.coalesce(S.purity_fraction(purity), F.lit(1.0))
+
+
 def coin_prices(weights: DataFrame, rate: Column) -> DataFrame:
     """weights: grams.  A price per weight and maker."""
     makers = F.explode(F.create_map(*(F.lit(x) for kv in MAKERS.items() for x in kv))).alias("maker", "pct")
@@ -81,7 +86,7 @@ def cheapest_trap(costs: DataFrame) -> DataFrame:
 def budget_fallback(verified: DataFrame, brands: DataFrame, medians: DataFrame) -> DataFrame:
     """verified: name, category, pct, items.  Brands (name) without any verified category get every category's median as an estimate."""
     rest = brands.join(verified.select("name").distinct(), "name", "left_anti")
-    guess = rest.join(F.broadcast(medians.hint("broadcast")), F.lit(True), "inner")  # a row per category: a closed list
+    guess = rest.join(medians, F.lit(True), "inner")  # every brand with every category is the result itself; Spark picks the side by size
     guess = guess.select("name", "category", F.col("median_pct").alias("pct"), F.lit(0).cast("long").alias("items"), F.lit("estimate").alias("confidence"))
     return verified.select("name", "category", "pct", "items", "confidence").unionByName(guess)
 
@@ -93,5 +98,12 @@ def budget_board(offers: DataFrame, budget: float) -> DataFrame:
     return g.select("name", "category", S.rounded(F.col("g"), 4).alias("grams"), S.rounded(best - F.col("g"), 4).alias("deficit"))
 
 
+def full_budget_board(verified: DataFrame, brands: DataFrame, medians: DataFrame, rates: DataFrame, budget: float, own: DataFrame | None = None) -> DataFrame:
+    """The budget table as a whole: verified percentages, medians where a brand (name) has none, rates (name, rate), one's own quotes
+    (name, category, rate, pct), and what the budget buys."""
+    offers = budget_fallback(verified, brands, medians).join(rates, "name").select("name", "category", "rate", "pct")
+    return budget_board(offers if own is None else with_own_quote(offers, own), budget)
+
+
 def with_own_quote(offers: DataFrame, own: DataFrame) -> DataFrame:
     return offers.unionByName(own, allowMissingColumns=True)

@@ -51,6 +51,24 @@ def merge_subscribers(target: DataFrame, payloads: DataFrame, columns: list[str]
     return j.select("key", *out, F.when(F.col("__n"), as_of).otherwise(F.col("t.updated_at")).alias("updated_at"))
 
 
+def payload_rows(raw: DataFrame, columns: str, order: str = "seq") -> DataFrame:
+    """raw: body (a JSON object), seq.  The fields named, of these types; a field that is missing or does not fit is null, and so are all of a
+    body that is no object."""
+    return raw.select(order, F.from_json("body", columns, {"mode": "PERMISSIVE"}).alias("r")).select(order, "r.*")
+
+
+def upserted(target: DataFrame, raw: DataFrame, columns: str, as_of: Column, mode: str = "upsert") -> DataFrame:
+    """merge_subscribers over JSON bodies; columns: fields and types, e-mail among them."""
+    rows = payload_rows(raw, columns)
+    return merge_subscribers(target, rows, [c for c in rows.columns if c not in ("seq", "email")], as_of, mode)
+
+
+def tokens_of(merged: DataFrame, payloads: DataFrame) -> DataFrame:
+    """What a payload gets back: id and token of its subscriber."""
+    p = payloads.select("seq", S.email_key(F.col("email")).alias("key")).filter("key is not null")
+    return p.join(merged.select("key", "id", "unsub_token"), "key").select("seq", "id", "unsub_token")
+
+
 def fill_tokens(subs: DataFrame) -> DataFrame:
     return subs.withColumn("unsub_token", F.when(F.col("email").isNull(), F.col("unsub_token")).otherwise(F.coalesce("unsub_token", F.uuid())))
 
@@ -66,7 +84,7 @@ def pending_digest(subs: DataFrame, as_of: Column) -> DataFrame:
 
 def digest_rows(pending: DataFrame, snapshot: DataFrame, site: str) -> DataFrame:
     """snapshot: one row."""
-    return pending.crossJoin(F.broadcast(snapshot)).select(
+    return pending.crossJoin(F.broadcast(snapshot.limit(1))).select(
         "id", "email", S.first_name(F.col("name")).alias("first_name"), S.unsubscribe_link(site, F.col("unsub_token")).alias("unsubscribe"), "rate_24k", "rate_22k", "lowest", "lowest_brand", "n"
     )
 

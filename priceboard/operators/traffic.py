@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,23 +67,34 @@ def report_json(views: DataFrame, clicks: DataFrame, start: str, end: str, page:
         key = [c for c in df.columns if c not in order]
         rows = F.collect_list(F.struct(*((-F.col(c)).alias(f"_{c}") for c in order), *key, *order)) if order else F.collect_list(F.struct(*key))
         kept = F.transform(F.array_sort(rows), _only(df.columns))
-        out = out.crossJoin(F.broadcast(df.agg(kept.alias(name))))  # one row each, of limited tables
+        out = out.crossJoin(F.broadcast(df.agg(kept.alias(name))))  # one row each, of limited tables; daily and the page list grow with the days and pages of the range, which a dashboard's selector shows
     return out.select(F.to_json(F.struct("*")).alias("report"))
 
 
 def debounce(clicks: DataFrame, gap_ms: int = 2000) -> DataFrame:
-    """A click is dropped when the last kept click of its session has the same label and is less than gap_ms older: a fold over each
-    session's clicks in order.  clicks: session_id, label, ms, id."""
-    rows = F.array_sort(F.collect_list(F.struct("ms", "id", "label")))
-    same = lambda acc, x: (acc["label"] == x["label"]) & (x["ms"] - acc["ms"] < gap_ms)
-    none = F.struct(F.lit(None).cast("string").alias("label"), F.lit(None).cast("long").alias("ms"), F.array().cast("array<bigint>").alias("kept"))
-
-    def step(acc, x):
-        drop = F.coalesce(same(acc, x), F.lit(False))
-        return F.struct(F.when(drop, acc["label"]).otherwise(x["label"]).alias("label"), F.when(drop, acc["ms"]).otherwise(x["ms"]).alias("ms"), F.when(drop, acc["kept"]).otherwise(F.concat(acc["kept"], F.array(x["id"]))).alias("kept"))
-
-    folded = clicks.groupBy("session_id").agg(F.aggregate(rows, none, step)["kept"].alias("ids"))
-    return folded.select("session_id", F.explode("ids").alias("id"))
+    """A click is dropped when the last kept click of its session has the same label and is less than gap_ms older.  clicks: session_id,
+    label, ms, id.
+
+    A click whose label is not that of the click before, or that is gap_ms or more later, is always kept, so it begins a run of its
+    own; runs are then gone through row by row with one click as state, wherever they lie."""
+    w = Window.partitionBy("session_id").orderBy("ms", "id")
+    same = (F.col("label") == F.lag("label").over(w)) & (F.col("ms") - F.lag("ms").over(w) < gap_ms)
+    runs = clicks.select("session_id", "label", "ms", "id", F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1).alias("begins"))
+    runs = runs.withColumn("run", F.sum("begins").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    dealt = runs.select("session_id", "run", "begins", "ms", "id").repartition("session_id", "run").sortWithinPartitions("session_id", "run", "ms", "id")
+
+    def kept(batches):
+        last = 0
+        for b in batches:
+            begins, ms = b.column("begins").to_pylist(), b.column("ms").to_pylist()
+            keep = []
+            for first, at in zip(begins, ms, strict=True):
+                keep.append(bool(first) or at - last >= gap_ms)
+                last = at if keep[-1] else last
+            yield b.select(["session_id", "id"]).filter(pa.array(keep, pa.bool_()))
+
+    kind = {f.name: f.dataType.simpleString() for f in clicks.schema}
+    return dealt.mapInArrow(kept, f"session_id {kind['session_id']}, id {kind['id']}")
 
 
 def total_visits(views: DataFrame) -> DataFrame:

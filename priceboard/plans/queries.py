@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..functions.tables import shared_dir
 from ..operators import board, pages, pricing, robust, sampling, search, subscribers, traffic
 from ..sources import readers, sinks
 from . import bindings as B
@@ -281,7 +282,7 @@ def bill_shares(spark, sf):
     return p.select("p_partkey", *pricing.shares(g, m, (g + m) * S.GST))
 
 
-@query("WITH m(maker, pct) AS (VALUES " + ", ".join(f"('{k}', CAST({v} AS DOUBLE))" for k, v in pricing.MAKERS.items()) + f"), w AS (SELECT DISTINCT CAST(p_size AS DOUBLE) AS grams FROM part) SELECT grams, maker, pct, {D('grams * 6000 * (1 + pct / 100)')} AS price FROM w, m")
+@query("WITH m(maker, pct) AS (VALUES ('mmtc', CAST(2.5 AS DOUBLE)), ('kalyan', 3.0), ('malabar', 3.2), ('senco', 3.5), ('joyalukkas', 3.8), ('tanishq', 4.0)" f"), w AS (SELECT DISTINCT CAST(p_size AS DOUBLE) AS grams FROM part) SELECT grams, maker, pct, {D('grams * 6000 * (1 + pct / 100)')} AS price FROM w, m")
 def coin_prices(spark, sf):
     return pricing.coin_prices(table(spark, sf, "part").select(F.col("p_size").cast("double").alias("grams")).distinct(), F.lit(6000.0))
 
@@ -434,13 +435,20 @@ def profile_hits(spark, sf):
 
 
 # ---- pages
-CAT = "CASE WHEN regexp_matches(p, 'earring|stud|jhumka|hoop') THEN 'Earring' WHEN regexp_matches(p, 'ring') THEN 'Ring' WHEN regexp_matches(p, 'chain|necklace') THEN 'Chain' WHEN regexp_matches(p, 'bangle|bracelet|kada') THEN 'Bangle' WHEN regexp_matches(p, 'coin|bar') THEN 'Coin' END"
+#: Ends of product URLs, dealt over the pages.
+SLUGS = ["gold-mangalsutra", "stud-earrings-22k", "jhumka_set", "bangle-diamonds", "kada", "ring", "diamond-ring", "steel-bangle", "opal-stud", "gem/kada", "chain", "navratna-ring", "americandiamond-kada", "studded-ring", "keyring-gold", "gemini-bangle"]
+SLUG_SQL = "CASE page_id % 16 " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(SLUGS)) + " END"
 PATHS = "u AS (SELECT page_id, url, lower(regexp_extract(url, '^https?://[^/]+(/[^?#]*)', 1)) AS p FROM pages)"
 
 
-@query(f"WITH {PATHS} SELECT page_id, CASE WHEN NOT regexp_matches(url, '(?i)silver|platinum|rose-?gold-?plated|gold-?plated|palladium|titanium|brass') AND NOT regexp_matches(regexp_replace(p, '[-_/]+', ' ', 'g'), '{pages.STONES}') THEN {CAT} END AS category FROM u")
+@query(f"""WITH u AS (SELECT page_id, lower(regexp_replace(url, '[?#].*$', '') || '/p/' || {SLUG_SQL}) AS s FROM pages)
+SELECT page_id, CASE WHEN regexp_matches(s, '\\b(silver|platinum|titanium|steel)\\b') THEN NULL
+ WHEN regexp_matches(s, '\\b(diamonds?|solitaire|studded|gemstones?|kundan|polki|pearls?|ruby|rubies|emeralds?|sapphires?|americandiamond|cz|zircon|zirconia|topaz|garnet|onyx|opal|turquoise|moissanite|navratna|navratra|stones?|gems?)\\b') THEN NULL
+ WHEN contains(s, 'mangalsutra') THEN 'Mangalsutra' WHEN contains(s, 'earring') OR contains(s, 'jhumk') OR contains(s, 'stud') THEN 'Earrings' WHEN contains(s, 'bangle') OR contains(s, 'kada') THEN 'Bangle' WHEN contains(s, 'ring') THEN 'Ring' END AS category FROM u""")
 def url_category(spark, sf):
-    return table(spark, sf, "pages").select("page_id", pages.categorize(F.col("url")).alias("category"))
+    slug = F.element_at(F.array(*map(F.lit, SLUGS)), (F.col("page_id") % 16 + 1).cast("int"))
+    url = F.concat(F.regexp_replace("url", "[?#].*$", ""), F.lit("/p/"), slug)
+    return table(spark, sf, "pages").select("page_id", pages.categorize(url).alias("category"))
 
 
 @query("SELECT page_id, url FROM pages WHERE contains(url, '/') AND page_id % 2 = 0")
@@ -451,8 +459,8 @@ def url_product_filter(spark, sf):
 
 
 @query(f"""WITH n AS (SELECT p_partkey, lower(p_name || CASE p_partkey % 3 WHEN 0 THEN ' gold coin 24k' WHEN 1 THEN ' gold silver' ELSE ' 22 K diamond' END) AS t FROM part)
-SELECT p_partkey, (CASE WHEN regexp_matches(t, 'coin|\\bbar\\b') THEN 3 ELSE 0 END + CASE WHEN regexp_matches(t, '\\b24\\s*k') THEN 2 ELSE 0 END + CASE WHEN regexp_matches(t, '\\b22\\s*k') THEN 2 ELSE 0 END + CASE WHEN regexp_matches(t, 'gold') THEN 1 ELSE 0 END
- - CASE WHEN regexp_matches(t, '{pages.STONES}|silver|platinum|rose-?gold-?plated|gold-?plated|palladium|titanium|brass') THEN 3 ELSE 0 END)::INT AS score FROM n""")
+SELECT p_partkey, (CASE WHEN regexp_matches(t, '\\bcoins?\\b|\\bbars?\\b') THEN 3 ELSE 0 END + CASE WHEN regexp_matches(t, '24[- ]?k') THEN 2 ELSE 0 END + CASE WHEN regexp_matches(t, '22[- ]?k') THEN 2 ELSE 0 END + CASE WHEN contains(t, 'gold') THEN 1 ELSE 0 END
+ - CASE WHEN regexp_matches(t, 'diamond|platinum|silver|solitaire|gemstone|pearl') THEN 3 ELSE 0 END)::INT AS score FROM n""")
 def product_score(spark, sf):
     k = F.col("p_partkey") % 3
     text = F.concat("p_name", F.when(k == 0, " gold coin 24k").when(k == 1, " gold silver").otherwise(" 22 K diamond"))
@@ -641,18 +649,53 @@ for _name, _layout in RATE_PAGES.items():
     _rates_query(_name, _layout)
 
 
-@query(f"""SELECT p_partkey AS page_id, CASE p_partkey % 3 WHEN 0 THEN 'rate_cards' WHEN 1 THEN 'rows' ELSE 'labeled' END AS extractor, {KARAT_SQL} || 'K' AS purity, CAST(8000 + p_partkey % 2000 AS DOUBLE) AS value, 1::BIGINT AS n FROM part""")
+def _of(names, key):
+    return f"CASE {key} % {len(names) + 2} " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(names)) + " END"
+
+
+def _embedded(spark, sf, layouts, values):
+    """The table's pages, each with one of the layouts in its body; two pages of each round stay as they are."""
+    k, n = F.col("page_id"), len(layouts) + 2
+    html = F.element_at(F.array(*(F.lit(x) for x in layouts)), (k % n + 1).cast("int"))
+    html = F.when(k % n < len(layouts), html).otherwise("")
+    for a, b in values(k).items():
+        html = F.replace(html, F.lit(a), b.cast("string"))
+    return table(spark, sf, "pages").select("page_id", F.concat(F.col("html"), F.lit("<p>"), html, F.lit("</p>")).alias("html"))
+
+
+def _rate_values(k):
+    karat = F.when(k % 4 == 0, "24").when(k % 4 == 1, "22").when(k % 4 == 2, "18").otherwise("14")
+    mark = F.when(k % 4 == 0, "999").when(k % 4 == 1, "916").when(k % 4 == 2, "750").otherwise("583")
+    return {"%1$d": 8000 + k % 2000, "%2$s": karat, "%3$s": mark, "%4$d": (8000 + k % 2000) * 10}
+
+
+@query(f"""SELECT page_id, {_of(list(RATE_PAGES), 'page_id')} AS extractor, CASE WHEN {_of(list(RATE_PAGES), 'page_id')} = 'pregst' THEN '24K' ELSE {KARAT_SQL.replace('p_partkey', 'page_id')} || 'K' END AS purity,
+CAST(8000 + page_id % 2000 AS DOUBLE) AS value, 1::BIGINT AS n FROM pages WHERE page_id % 14 < 12""")
 def extract_rates(spark, sf):
-    parts = [rate_pages(spark, sf, RATE_PAGES[n]).filter(F.col("page_id") % 3 == i) for i, n in enumerate(("rate_cards", "rows", "labeled"))]
-    return ER.extract_rates(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+    """All twelve extractors over the pages table."""
+    return ER.extract_rates(_embedded(spark, sf, list(RATE_PAGES.values()), _rate_values))
 
 
-@query("SELECT p_partkey AS page_id, CASE WHEN p_partkey % 5 = 0 THEN 'no values' ELSE 'ok' END AS verdict FROM part")
+@query("SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'ok' WHEN 1 THEN 'MISLABELLED' ELSE 'no values' END AS verdict FROM pages")
 def accept_rates(spark, sf):
-    p = rate_pages(spark, sf, RATE_PAGES["rows"]).withColumn("html", F.when(F.col("page_id") % 5 == 0, "<p>closed</p>").otherwise(F.col("html")))
+    row = lambda karat, price: f"<tr><td>{karat} KT</td><td>₹ {price}</td></tr>"
+    k = F.col("page_id") % 3
+    rows = F.when(k == 0, row(24, "12,000") + row(22, "11,000")).when(k == 1, row(24, "11,000") + row(22, "11,900")).otherwise("<tr><td>24 KT</td><td>closed</td></tr>")
+    p = table(spark, sf, "pages").select("page_id", F.concat("html", F.lit("<table>"), rows, F.lit("</table>")).alias("html"))
     return ER.accept_rates(p, ER.extract_rates(p))
 
 
+@query("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 1 ELSE 0 END::INT AS snapshot, CASE WHEN page_id % 2 = 0 THEN 'labeled' ELSE 'proximity' END AS extractor, 9500::DOUBLE AS value FROM pages")
+def prefer_structured(spark, sf):
+    """A saved page, and the same page rendered: where the rendered one has a structured rate, that one stays."""
+    p = table(spark, sf, "pages").select("page_id")
+    near, structured = "<p>our 22K price is Rs 9500 only</p>", "<p>22 KT today Rs 9500 / gm</p>"
+    static = p.withColumn("html", F.lit(near)).withColumn("snapshot", F.lit(0))
+    rendered = p.withColumn("html", F.when(F.col("page_id") % 2 == 0, structured).otherwise(near)).withColumn("snapshot", F.lit(1))
+    found = [ER.found_rates(x).withColumn("snapshot", F.lit(i)) for i, x in enumerate((static, rendered))]
+    return ER.prefer_structured(found[0].unionByName(found[1])).select("page_id", "snapshot", "extractor", "value")
+
+
 #: %1$s gold value, %2$s making charge, %3$s tax, %4$s total, %5$s percent.
 MAKING_PAGES = {
     "json_typed_percent": '{"making_charge_type":"percentage","making_charge":%5$s,"gold_value":"%1$s"}',
@@ -696,15 +739,37 @@ for _name, _layout in MAKING_PAGES.items():
     _making_query(_name, _layout)
 
 
-@query(f"""SELECT p_partkey AS page_id, CASE p_partkey % 3 WHEN 0 THEN 'json_flat' WHEN 1 THEN 'dom_section' ELSE 'direct_percent' END AS strategy, CASE WHEN p_partkey % 3 < 2 THEN {D("CAST(5000 + p_partkey % 700 AS DOUBLE) / CAST(50000 + p_partkey % 1000 * 10 AS DOUBLE) * 100", 1)} ELSE CAST(3 + p_partkey % 20 AS DOUBLE) END AS making_pct,
-p_partkey % 3 = 1 AS by_profile FROM part""")
+#: What a page of each layout gives where all strategies are tried: another strategy is as good or better on some.
+WINNERS = {n: n for n in MAKING_PAGES}
+
+
+def _making_values(k):
+    gold, making = 50000 + k % 1000 * 10, 5000 + k % 700
+    tax = F.floor((gold + making) * 0.03).cast("long")
+    return {"%1$s": gold, "%2$s": making, "%3$s": tax, "%4$s": gold + making + tax, "%5$s": 3 + k % 20}
+
+
+MAKING_PCT = D("CAST(5000 + page_id % 700 AS DOUBLE) / CAST(50000 + page_id % 1000 * 10 AS DOUBLE) * 100", 1)
+
+
+@query(f"""SELECT page_id, {_of(list(WINNERS.values()), 'page_id')} AS strategy, CASE WHEN page_id % 14 IN (0, 10) THEN CAST(3 + page_id % 20 AS DOUBLE) ELSE {MAKING_PCT} END AS making_pct, page_id % 14 = 8 AS by_profile FROM pages WHERE page_id % 14 < 12""")
 def extract_making(spark, sf):
-    names = ("json_flat", "dom_section", "direct_percent")
-    parts = [making_pages(spark, sf, MAKING_PAGES[n]).filter(F.col("page_id") % 3 == i) for i, n in enumerate(names)]
-    p = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    profiles = table(spark, sf, "part").select(F.col("p_brand").alias("brand")).distinct().withColumn("strategy", F.lit("dom_section"))
-    used = {n: EM.STRATEGIES[n] for n in names}
-    return EM.extract_making(p, profiles, used).select("page_id", "strategy", "making_pct", "by_profile")
+    """All twelve strategies over the pages table; a profile names the strategy of one kind of page."""
+    p = _embedded(spark, sf, list(MAKING_PAGES.values()), _making_values)
+    p = p.withColumn("brand", F.concat(F.lit("b"), (F.col("page_id") % 14).cast("string")))
+    profiles = spark.createDataFrame([("b8", "dom_section"), ("b9", "json_flat"), ("b20", "id_spans")], "brand string, strategy string")
+    return EM.extract_making(p, profiles).select("page_id", "strategy", "making_pct", "by_profile")
+
+
+@query("SELECT page_id, 10.0::DOUBLE AS making_pct FROM pages WHERE page_id % 2 = 0")
+def extract_variants(spark, sf):
+    """Pages with several variants, the first one priced in percent; and pages with promotions and nothing else."""
+    variant = '{"metal_type":"gold","purity":"%s","metal_weight":%s,"diamond_charges":null,"making_charges":%s,"remarks":"%s"}'
+    several = 'metalPriceConfig = {"gold_price_22k":9000,"gold_price_18k":7000};[' + ",".join([variant % ("22K", 2, 14, "percentage"), variant % ("14K", 2, 1400, "flat"), variant % ("18K", 2, 1400, "flat")]) + "]"
+    promo = "<p>Flat 20% off on making charges, use CODE20</p><p>Discount on making charges ₹ 5,000, gold value ₹ 20,000 off on total</p>"
+    k = F.col("page_id") % 2
+    p = table(spark, sf, "pages").select("page_id", F.concat(F.col("html"), F.when(k == 0, several).otherwise(promo)).alias("html"))
+    return EM.extract_making(p).select("page_id", "making_pct")
 
 
 @query()
@@ -716,7 +781,7 @@ def label_concepts(spark, sf):
 def _paths(spark, name):
     import uuid
 
-    at = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/") + f"/{name}-{uuid.uuid4().hex}"
+    at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     return f"{at}/table", f"{at}/checkpoint"
 
 
@@ -760,7 +825,7 @@ def stream_rates_merge(spark, sf):
     price = board.canonical_24k(F.col("purity"), value, F.col("l_returnflag") == "R")
     q = li.select(F.col("l_suppkey").alias("brand_id"), F.to_date("l_shipdate").alias("rate_date"), F.when(F.col("l_tax") >= 0.01, price).alias("canonical"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
     jobs.for_each_batch(q, at, jobs.merge_step(out, lambda old, new: sinks.merge_rates(old, new, seq="seq"))).awaitTermination()
-    return spark.read.parquet(f"{out}/v0")
+    return jobs.latest(out, spark)
 
 
 # ---- runs
@@ -795,3 +860,6 @@ def charges_run(spark, sf):
     cat = table(spark, sf, "part").select(F.col("p_partkey").alias("page_id"), F.col("p_type").alias("category"), F.concat(F.lit("/products/"), F.col("p_partkey").cast("string")).alias("url"))
     profiles = spark.createDataFrame([], readers.PROFILE)
     return runs.charges_run(p.join(cat, "page_id"), profiles)["summary"]
+
+
+from . import more_queries  # noqa: E402, F401

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..functions import tables
 from ..operators import board, extract_making, extract_rates, robust, sampling, search
 from ..sources import sinks
 
@@ -13,23 +14,25 @@ from ..sources import sinks
 def rates_run(pages: DataFrame, brands: DataFrame, stored: DataFrame, as_of: Column) -> DataFrame:
     """pages: page_id (the brand's), html; brands: brand_id, includes_gst; stored: brand_id, rate_date, canonical, status, method, seq.
     Extract, check, normalise, merge, quarantine, fill: a row per brand for the day."""
-    found = extract_rates.extract_rates(pages)
+    found = tables.stored(extract_rates.extract_rates(pages), "rates")
     ok = extract_rates.accept_rates(pages, found).filter("verdict = 'ok'").select("page_id")
     good = found.join(ok, "page_id").withColumnRenamed("page_id", "brand_id").join(brands.select("brand_id", "includes_gst"), "brand_id")
     confirmed = board.basis_confirmed(good, ["brand_id"]).select("brand_id", "confirmed")
-    new = board.rates_from_quotes(good.withColumn("seq", F.lit(0)), ["brand_id"]).join(confirmed, "brand_id")
+    new = tables.stored(board.rates_from_quotes(good.withColumn("seq", F.lit(0)), ["brand_id"]).join(confirmed, "brand_id"), "rates")
     judged = board.outlier_quarantine(new)
     rows = judged.select("brand_id", as_of.alias("rate_date"), "canonical", "status", F.lit("extracted").alias("method"), F.lit(1).cast("long").alias("seq"))
-    merged = sinks.merge_rates(stored, rows, seq="seq").filter(F.col("rate_date") == as_of)
+    merged = tables.stored(sinks.merge_rates(stored, rows, seq="seq").filter(F.col("rate_date") == as_of), "rates")
     fill = board.placeholder_fill(brands, merged, as_of)
     return merged.drop("seq").unionByName(fill.select("brand_id", "rate_date", "canonical", "status", "method"))
 
 
 def charges_run(pages: DataFrame, profiles: DataFrame, previous: DataFrame | None = None) -> dict[str, DataFrame]:
     """pages: page_id, brand, category, url, html.  Sample, interleave, extract, fold, summarise, compare; and the profiles after the run."""
-    sample = sampling.round_robin(sampling.tiered_sample(pages, ["brand", "category"], "page_id"), "brand", "category")
-    got = extract_making.extract_making(sample, profiles)
-    read = sample.join(got, "page_id", "left")
+    # the sample is drawn from the keys, and only its pages are read
+    keys = pages.select("page_id", "brand", "category", "url")
+    sample = tables.stored(sampling.round_robin(sampling.tiered_sample(keys, ["brand", "category"], "page_id"), "brand", "category"), "sample")
+    got = extract_making.extract_making(pages.join(sample.select("page_id"), "page_id", "left_semi"), profiles)
+    read = tables.stored(sample.join(got, "page_id", "left"), "read")
     hits = read.filter("making_pct is not null")
     summary = robust.summarize(hits, ["brand", "category"], "making_pct")
     out = {

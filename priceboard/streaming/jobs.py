@@ -111,5 +111,24 @@ def merge_step(store: str, merge: Callable[[DataFrame, DataFrame], DataFrame]) -
     return step
 
 
+def latest(store: str, spark) -> DataFrame:
+    """The last version that merge_step wrote."""
+    versions = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(store).select(F.regexp_extract("path", r"/v(\d+)/[^/]+$", 1).cast("int").alias("v"))
+    return spark.read.parquet(f"{store}/v{versions.agg(F.max('v')).first()[0]}")
+
+
+def snapshot_step(store: str, merge: Callable[[DataFrame, DataFrame], DataFrame], day: str, snapshot: Callable[[DataFrame], DataFrame], out: str) -> Callable[[DataFrame, int], None]:
+    """merge_step, then the snapshots of the days that the batch touched, each day's partition written anew."""
+    merged = merge_step(store, merge)
+
+    def step(batch: DataFrame, number: int) -> None:
+        merged(batch, number)
+        spark = batch.sparkSession
+        touched = spark.read.parquet(f"{store}/v{number}").join(batch.select(day).distinct(), day, "left_semi")
+        snapshot(touched).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(out)
+
+    return step
+
+
 def to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     stream.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
