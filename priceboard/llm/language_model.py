@@ -9,8 +9,8 @@ leaves one share to unknown words, and the pair model adds it to the counts as a
 which sums to one over w.  The context of a text's first word is the end of another.
 
 The trie is kept the other way round, words first and their contexts below, and is sharded by word; then
-everything a token needs but m(v) is in its shard: log p(w | v) is the sum of log p(w), of
-log(1 + c(v w) / (m(v) p(w))), and of log(m(v) / (c(v) + m(v))), and this last term depends on v alone,
+everything a token needs but m(v) is in its shard: log p(w | v) is the sum of log(p(w) + c(v w) / m(v)), the
+smoothed probability that the trie holds, and of log(m(v) / (c(v) + m(v))), which depends on v alone,
 so it is added where v itself is the word.  Words with 2**-16 of all tokens or more (2**16 words at
 most: a proven bound) have their counts broadcast and are spread over all shards by context, so that
 no word's tokens meet in one task; the others have m(v) = PRIOR * N / 2**16.
@@ -18,20 +18,21 @@ no word's tokens meet in one task; the others have m(v) = PRIOR * N / 2**16.
 A shard's levels: its words, sorted, as Elias-Fano; monotone pointers to their contexts and
 running counts, as Elias-Fano; the contexts of each word as numbers in the shard's list of
 contexts, put in one monotone sequence (word * contexts + context), as Elias-Fano, searched for the
-successor within the word's range; and c(v w) / (c(w) + 1), quantised to 256 levels of its logarithm.
+successor within the word's range; and the pair's smoothed probability, quantised to 256 levels of its logarithm.
 
 Documents travel once: a task packs its texts' pairs by shard (words, contexts, documents as short
 arrays), a shard builds its levels from the training part, looks up all pairs, and returns sums by
 document.  Tokens are spread by hash, so a shard holds SHARD_TOKENS of them, whatever the size of the corpus.
 
 Defined cases: a null text counts as empty (one token, the end); a null key is training; an empty table gives an
-empty result; repeated rows count as often as they come; without training texts N = V = 0 and every
+empty result; repeated rows (ties) count as often as they come, and a text of any length is read whole; without training texts N = V = 0 and every
 token has probability 1; other columns are not read.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -52,8 +53,8 @@ SHARDS = 32
 SHARD_TOKENS = 4_000_000
 PACK_TOKENS = 3_000_000
 BLOCK_BYTES = 2_000_000
-#: Words of each counting shard that may be hot.
-TOP = 4096
+#: Bytes of text for each shard that counts words.
+COUNT_BYTES = 64_000_000
 END = b"\n"
 _U = np.uint64
 
@@ -128,7 +129,8 @@ def _counted(t: pa.Table) -> pa.Table:
     w, c = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
     w, at = np.unique(w, return_inverse=True)
     c = np.bincount(at, c, len(w)).astype(np.int64)
-    top = np.argsort(-c, kind="stable")[:TOP]
+    # hot words of the corpus are among those that are hot in their shard, of which there are HOT at most
+    top = np.flatnonzero(c * HOT >= c.sum())
     tokens = int(np.sum(t.column("tokens").to_numpy()))
     lists = [pa.array([x.tolist()], pa.list_(pa.int64())) for x in (w[top].view(np.int64), c[top])]
     return pa.Table.from_arrays([pa.array([int(c.sum())]), pa.array([len(w)]), pa.array([tokens]), *lists], ["n", "v", "tokens", "word", "count"])
@@ -136,7 +138,8 @@ def _counted(t: pa.Table) -> pa.Table:
 
 def level_one(rows: DataFrame) -> tuple[int, int, int, dict[int, int]]:
     """N, V, all tokens, and the hot words' counts."""
-    shards = max(4, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    size = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    shards = max(SHARDS, -(-size // COUNT_BYTES))
     parts = rows.mapInArrow(lambda b: _count(b, shards), "shard long, blob binary, tokens long")
     parts = stored(parts.groupBy("shard").applyInArrow(_counted, "n long, v long, tokens long, word array<long>, count array<long>"), "level1")
     n, v, tokens = parts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
@@ -189,24 +192,24 @@ def _spread(batches, shards: int, hot, kind):
             )
 
 
-def quantised(ratio: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(code of each number, the 256 numbers that codes stand for): even steps of the logarithm."""
-    if not len(ratio):
-        return np.empty(0, np.uint8), np.ones(256)
-    log = np.log(ratio)
-    lo, step = log.min(), max(np.ptp(log) / 255, 1e-12)
-    return np.rint((log - lo) / step).astype(np.uint8), np.exp(lo + step * np.arange(256))
+def quantised(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(code of each number, the 256 numbers that codes stand for): even steps."""
+    if not len(values):
+        return np.empty(0, np.uint8), np.zeros(256)
+    low, step = values.min(), max(np.ptp(values) / 255, 1e-12)
+    return np.rint((values - low) / step).astype(np.uint8), low + step * np.arange(256)
 
 
-def levels(word: np.ndarray, context: np.ndarray, count: np.ndarray, totals: np.ndarray | None = None) -> dict:
-    """The trie of pairs (distinct, sorted by word and context; counts above zero).  totals: c of each distinct word."""
+def levels(word: np.ndarray, context: np.ndarray, count: np.ndarray, smoothed: Callable, totals: np.ndarray | None = None) -> dict:
+    """The trie of pairs (distinct, sorted by word and context; counts above zero).  totals: c of each distinct word; smoothed: log10
+    probabilities of pairs by their counts, the totals of their words, their contexts, and which of these each has."""
     words, starts = np.unique(word, return_index=True)
     if totals is None:
         totals = np.add.reduceat(count, starts) if len(words) else count[:0]
     contexts, at = np.unique(context, return_inverse=True)
     owner = np.repeat(np.arange(len(words), dtype=np.int64), np.diff(np.append(starts, len(word))))
     flat = owner.astype(_U) * _U(max(1, len(contexts))) + at.astype(_U)
-    codes, book = quantised(count / (totals[owner] + 1.0))
+    codes, book = quantised(smoothed(count, totals[owner], contexts, at))
     sums = np.cumsum(totals)
     ends = np.append(starts[1:], len(word)) if len(words) else starts
     parts = {
@@ -225,8 +228,8 @@ def opened(model: dict) -> dict:
 
 
 def looked_up(model: dict, word: np.ndarray, context: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """word: distinct; context[i] belongs to word[owner[i]].  c of each word (0: unknown), and for each pair the ratio
-    c(v w) / (c(w) + 1), 0 where the pair was not seen."""
+    """word: distinct; context[i] belongs to word[owner[i]].  c of each word (0: unknown), and for each pair its smoothed log10
+    probability but for its context's own part, nan where the pair was not seen."""
     s = model["sequences"]
     at, known = s["words"].find(word)
     safe = np.where(known, at, 0)
@@ -241,9 +244,9 @@ def looked_up(model: dict, word: np.ndarray, context: np.ndarray, owner: np.ndar
     try_ = np.flatnonzero(known[owner] & met[back])
     value = safe[owner[try_]].astype(_U) * _U(max(1, s["contexts"].n)) + number[back[try_]].astype(_U)
     place, hit = s["pairs"].find(value)
-    ratio = np.zeros(len(owner))
-    ratio[try_[hit]] = model["book"][model["codes"][place[hit]]]
-    return c, ratio
+    logs = np.full(len(owner), np.nan)
+    logs[try_[hit]] = model["book"][model["codes"][place[hit]]]
+    return c, logs
 
 
 def _scored(t: pa.Table, n: int, v: int, hot, kind) -> pa.Table:
@@ -266,21 +269,26 @@ def _scored(t: pa.Table, n: int, v: int, hot, kind) -> pa.Table:
     i, is_hot = _hot_index(hot, words)
     if is_hot.any():
         totals[is_hot] = hot[1][i[is_hot]]
-    trie = opened(levels(word, context, count, totals))
-    del word, context, count
     floor, out = PRIOR * n / HOT if n else 1.0, []
+
+    def prior(contexts):
+        i, is_hot = _hot_index(hot, contexts)
+        return np.where(is_hot, np.maximum(floor, PRIOR * hot[1][i]), floor) if len(hot[0]) else np.full(len(contexts), floor)
+
+    def smoothed(count, total, contexts, at):
+        return np.log10((total + 1.0) / (n + v + 1.0) + count / prior(contexts)[at])
+
+    trie = opened(levels(word, context, count, smoothed, totals))
+    del word, context, count
     for w, below, ctx, at, times, _, docs in parts:
         owner = np.repeat(np.arange(len(w)), below)
-        c, ratio = looked_up(trie, w, ctx[at], owner)
+        c, logs = looked_up(trie, w, ctx[at], owner)
         i, is_hot = _hot_index(hot, w)
         if is_hot.any():  # a spread word counts as known in shards that saw none of its pairs
             c = np.where(is_hot, hot[1][i], c)
         base = np.log10((c + 1.0) / (n + v + 1.0))
         own = np.where(is_hot, np.maximum(floor, PRIOR * c), floor)
-        i, is_hot = _hot_index(hot, ctx)
-        prior = np.where(is_hot, np.maximum(floor, PRIOR * hot[1][i]), floor) if len(hot[0]) else np.full(len(ctx), floor)
-        gain = np.log10(1.0 + ratio * (n + v + 1.0) / prior[at])
-        per_pair = base[owner] + np.log10(own / (c + own))[owner] + gain
+        per_pair = np.where(np.isnan(logs), base[owner], logs) + np.log10(own / (c + own))[owner]
         size = int(docs.max()) + 1
         seen = np.repeat(np.arange(len(owner)), times)
         score, lower = np.bincount(docs, per_pair[seen], size), np.bincount(docs, base[owner][seen], size)

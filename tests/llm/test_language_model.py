@@ -74,3 +74,13 @@ def test_empty_and_null_keys(make):
     assert lm.score(make([])).collect() == []
     r = lm.score(make([(None, "a b"), (None, "a b")])).collect()
     assert [x["held_out"] for x in r] == [False, False] and [x["n_known"] for x in r] == [3, 3]
+
+
+def test_many_hot_words_and_clashing_columns(spark):
+    """All words are hot in a small corpus: none is forgotten, whatever the number of shuffle partitions."""
+    rows = [(i, " ".join(f"v{(i * 7 + k) % 6000}" for k in range(60)), 1, "x", 2) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held int, pack string, shard int")
+    got = sorted(map(tuple, lm.score(docs).collect()), key=str)
+    want = sorted(brute([r[:2] for r in rows]), key=str)
+    for g, w in zip(got, want, strict=True):
+        assert g[:5] == w[:5] and abs(g[6] - w[6]) < 0.02 * max(1, w[2])
