@@ -1,4 +1,13 @@
-"""The corpus pipeline: quality rules, near-duplicates, benchmark passages, mixing, sharding."""
+"""The corpus pipeline: quality rules, near-duplicates, benchmark passages, mixing, sharding.
+
+Defined cases: a null, empty or blank text has fewer than ten words, so the first stage drops it; a null id, lang or source is a value
+like any other, and rows keep it; of repeated rows and near copies the second stage keeps the row of the least id (a null
+id counts last, and of rows with equal ids and texts one stays); a document that holds a benchmark item goes whole; after mixing a
+document may come back as two rows, one for each pass that takes words of it, or not at all, so ids repeat; equal ids go to one
+shard.  Columns of other names, whatever they are called, are kept by every stage; the last one adds slot and shard (in place of
+columns of these names).  An empty table gives an empty result with the same columns, and an empty benchmark removes nothing; texts of any
+length are read whole.
+"""
 
 from __future__ import annotations
 
