@@ -92,8 +92,8 @@ def read_news_rss(df: DataFrame) -> DataFrame:
 
 def read_benchmarks(pages: DataFrame, patterns: DataFrame) -> DataFrame:
     """pages: name, html; patterns: name, purity, pattern (one group), low, high, grams.  Per-gram value of each pattern inside its gate."""
-    j = pages.join(patterns, "name")
-    v = S.parse_amount(F.regexp_extract(S.visible_text(F.col("html")), F.col("pattern"), F.lit(1)))
+    j = pages.join(patterns, "name").withColumn("__t", S.visible_text(F.col("html")))
+    v = S.parse_amount(F.expr("regexp_extract(__t, pattern, 1)"))
     return j.select("name", "purity", v.alias("quoted"), "grams", "low", "high").filter(F.col("quoted").between(F.col("low"), F.col("high"))).select("name", "purity", (F.col("quoted") / F.col("grams")).alias("value"))
 
 

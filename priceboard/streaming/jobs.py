@@ -118,14 +118,19 @@ def latest(store: str, spark) -> DataFrame:
 
 
 def snapshot_step(store: str, merge: Callable[[DataFrame, DataFrame], DataFrame], day: str, snapshot: Callable[[DataFrame], DataFrame], out: str) -> Callable[[DataFrame, int], None]:
-    """merge_step, then the snapshots of the days that the batch touched, each day's partition written anew."""
+    """merge_step, then the snapshots of the days that the batch touched, in versions under out like the merged table's: a row or more per day,
+    those of other days are kept."""
     merged = merge_step(store, merge)
 
     def step(batch: DataFrame, number: int) -> None:
         merged(batch, number)
         spark = batch.sparkSession
         touched = spark.read.parquet(f"{store}/v{number}").join(batch.select(day).distinct(), day, "left_semi")
-        snapshot(touched).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(out)
+        new = snapshot(touched)
+        if number:
+            before = spark.read.parquet(f"{out}/v{number - 1}")
+            new = new.unionByName(before.join(batch.select(day).distinct(), day, "left_anti"))
+        new.write.mode("overwrite").parquet(f"{out}/v{number}")
 
     return step
 
