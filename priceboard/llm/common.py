@@ -1,40 +1,22 @@
-"""What the document operators share: the shared folder, word hashing and column helpers."""
+"""What the document operators share: word hashing and column helpers; and the folder for intermediate tables."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.tables import stored  # noqa: F401
+
 #: White space between words; a word is a run of anything else.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it again: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def packed(df: DataFrame, **names: str) -> DataFrame:
     """The whole row as __row, and chosen columns under private names, so that no column of the input can clash."""
     return df.select(F.struct(*(df[f"`{c}`"] for c in df.columns)).alias("__row"), *(df[f"`{c}`"].alias(k) for k, c in names.items()))
