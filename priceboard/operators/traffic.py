@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 
+#: What the location button says, and what it is called.
+LOCATION_PHRASES, LOCATION_LABEL = ["Use my current location", "location to autofill"], "Use my location (autofill)"
 TOP = {"pages": 40, "clicks": 40, "referrers": 20, "hosts": 10}
 
 
@@ -102,9 +104,13 @@ def total_visits(views: DataFrame) -> DataFrame:
 
 
 def friendly_label(df: DataFrame, names: DataFrame, target: str = "target") -> DataFrame:
-    """names: target, label.  Blank is '(unlabelled)', an unknown target loses leading marks that are not ASCII."""
-    plain = F.regexp_replace(F.col(target), r"^[^\x20-\x7E]+\s*", "")
-    return df.join(names, target, "left").withColumn("label", F.when(F.coalesce(F.trim(target), F.lit("")) == "", "(unlabelled)").otherwise(F.coalesce("label", plain)))
+    """names: target, label.  Blank is '(unlabelled)'; of other targets a name goes first, then the phrases of the location button and the
+    columns of karats; the rest loses leading marks that are not ASCII, unless nothing else is left of it."""
+    t = F.col(target)
+    place = F.exists(F.array(*map(F.lit, LOCATION_PHRASES)), lambda x: F.contains(t, x))
+    plain = F.coalesce(F.nullif(F.trim(F.regexp_replace(t, r"^[^\x00-\x7F]+\s*", "")), F.lit("")), t)
+    known = F.when(place, LOCATION_LABEL).when(t.isin(list(S.FRACTION)), F.concat(t, F.lit(" rate column"))).otherwise(plain)
+    return df.join(names, target, "left").withColumn("label", F.when(F.coalesce(t, F.lit("")) == "", "(unlabelled)").otherwise(F.coalesce("label", known)))
 
 
 def ranked_within(df: DataFrame, by: list[str], count: str, key: str) -> DataFrame:

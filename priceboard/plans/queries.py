@@ -376,10 +376,12 @@ def total_visits(spark, sf):
     return traffic.total_visits(B.views(spark, sf))
 
 
-@query(f"{VC} SELECT id, CASE WHEN target = 't1' THEN 'One' ELSE target END AS label FROM clicks")
+@query(f"""{VC} SELECT id, CASE id % 7 WHEN 0 THEN '(unlabelled)' WHEN 1 THEN 'Use my location (autofill)' WHEN 2 THEN '22K rate column' WHEN 3 THEN 'Near me' WHEN 4 THEN '(unlabelled)' WHEN 5 THEN '₹' ELSE CASE WHEN target = 't1' THEN 'One' ELSE target END END AS label FROM clicks""")
 def click_labels(spark, sf):
     names = spark.range(1).select(F.lit("t1").alias("target"), F.lit("One").alias("label"))
-    return traffic.friendly_label(B.clicks(spark, sf).drop("label"), names).select("id", "label")
+    k = F.col("id") % 7
+    target = F.when(k == 0, "").when(k == 1, "📍 Use my current location").when(k == 2, "22K").when(k == 3, "📍 Near me").when(k == 4, F.lit(None)).when(k == 5, "₹").otherwise(F.col("target"))
+    return traffic.friendly_label(B.clicks(spark, sf).drop("label").withColumn("target", target), names).select("id", "label")
 
 
 # ---- samples
