@@ -135,3 +135,24 @@ def test_clashing_columns(spark):
     rows = spark.createDataFrame([(1, "mail a.b@c.de", "k", "v", 1)], "doc_id long, text string, __row string, value string, at int")
     got = pii.pseudonymize(rows, KEY)
     assert got.columns == rows.columns and got.first()["value"] == "v" and "a.b@c.de" not in got.first()["text"]
+
+
+def test_texts_against_brute_force(make):
+    """Detection and assembly by another engine: every match of the patterns is replaced by the table's surrogate, the rest stays."""
+    import random
+
+    import regex
+
+    rng = random.Random(11)
+    entities = [lambda: f"u{rng.randint(0, 30)}@mail{rng.randint(0, 3)}.example.com", lambda: f"10.{rng.randint(0, 3)}.0.{rng.randint(0, 9)}", lambda: f"{rng.randint(100, 120)}-45-6789", lambda: "+49 30 1234" + str(rng.randint(10, 30)),
+                lambda: "48451681144073" + str(rng.randint(10, 30)), lambda: "ghp_" + "aB3" * 6 + str(rng.randint(0, 9)), lambda: "plain", lambda: "(so,", lambda: "x.\n"]
+    rows = [(i, " ".join(rng.choice(entities)() for _ in range(rng.randint(0, 25)))) for i in range(80)]
+    find = regex.compile(pii.ANY)
+    kinds = {k: regex.compile(p) for k, p in pii.PATTERNS.items()}
+    kind = lambda v: next(k for k, p in kinds.items() if p.fullmatch(v))
+    values = sorted({(kind(m), m) for _, t in rows for m in find.findall(t)})
+    spark = make([]).sparkSession
+    table = {(r["type"], r["value"]): r["surrogate"] for r in pii.table(spark.createDataFrame(values, "type string, value string"), KEY).collect()}
+    got = {r["__id"]: (r["__text"], r["__n"]) for r in pii.replaced(make(rows), KEY).collect()}
+    for i, t in rows:
+        assert got[i] == (find.sub(lambda m: table[kind(m[0]), m[0]], t), len(find.findall(t))), t

@@ -47,3 +47,72 @@ def test_query_locates_sentences(spark, make, prose, tmp_path):
     got = queries.op4_toxicity(spark, str(tmp_path)).collect()
     bad = [r for r in got if r["predicted"] and labels[r["doc_id"]][1]]
     assert bad and any(r["n_offending"] for r in bad) and len({r["offending_md5"] for r in got}) > 1
+
+
+def test_scores_against_brute_force(spark, make, prose):
+    """Noisy-or over sentences, by plain numbers from the weights of a model, for texts with every kind of sentence end."""
+    import math
+    import re
+
+    rng = random.Random(9)
+    texts = [" ".join(w + rng.choice(["", "", "", ".", "!)", '?"', "\n", ","]) for w in prose(rng, rng.randint(1, 60)).split()) for _ in range(60)]
+    texts += [None, "", " \n ", "...", "a" * 100_000, texts[0]]
+    some = sorted({w for t in texts if t for w in t.lower().split()})
+    weights = {f: rng.choice([0.5, 3.0]) for w in rng.sample(some, 40) for f in tx.features(w.encode())[:2]}
+    bias = -3.0
+
+    def brute(text):
+        keep = 1.0
+        for line in (text or "").encode().lower().split(b"\n"):
+            sentence, z = False, bias
+            for w in line.split():
+                sentence, z = True, z + sum(weights.get(f, 0.0) for f in tx.features(w))
+                if re.search(rb"[.!?][\"')\]}]*$", w):
+                    keep *= 1 - 1 / (1 + math.exp(-z))
+                    sentence, z = False, bias
+            if sentence:
+                keep *= 1 - 1 / (1 + math.exp(-z))
+        return 1 - keep
+
+    docs = spark.createDataFrame([(i, t, 1.0, "x") for i, t in enumerate(texts)], "doc_id long, text string, score double, id string")
+    got = {r["id"]: r["score"] for r in tx.score(docs, (weights, bias)).collect()}
+    assert all(abs(got[i] - brute(t)) < 1e-9 for i, t in enumerate(texts))
+
+
+def test_fit_is_at_the_optimum():
+    """The penalised likelihood falls for no small change of a weight that keeps it at zero or above."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    n, k = 300, 6
+    sizes = rng.integers(1, 6, n)
+    doc = np.repeat(np.arange(n), 3)
+    sentence, feature = np.array([rng.integers(sizes[d]) for d in doc]), rng.integers(0, k, len(doc))
+    y = np.array([int(np.isin(feature[doc == d], (0, 1)).any()) for d in range(n)])
+    y = np.where(rng.random(n) < 0.05, 1 - y, y)
+
+    def loss(w, b):
+        total = 0.0
+        for d in range(n):
+            z = np.full(sizes[d], b)
+            np.add.at(z, sentence[doc == d], w[feature[doc == d]])
+            s = np.logaddexp(0, z).sum()
+            total += -np.log1p(-np.exp(-s)) if y[d] else s
+        return total / n + tx.L1 * w.sum()
+
+    w, b = tx.fit(y, sizes, doc, sentence, feature, k)
+    best = loss(w, b)
+    for i in range(k):
+        for step in (0.05, -0.05):
+            v = w.copy()
+            v[i] = max(0.0, v[i] + step)
+            assert loss(v, b) >= best - 1e-4
+    assert w[0] > 1 and w[1] > 1 and w[2:].max() < w[:2].min()
+
+
+def test_labels_that_disagree(spark, make):
+    docs = [(i, f"word{i} calm text here" if i % 2 else f"word{i} vilescum text here") for i in range(60)]
+    both = [(i, 1 - i % 2) for i in range(60)] + [(i, 0) for i in range(60)]
+    model = tx.train(make(docs), spark.createDataFrame(both, "doc_id long, toxic int"))
+    again = tx.train(make(docs), spark.createDataFrame(both[::-1], "doc_id long, toxic int"))
+    assert model == again and model[0]
