@@ -10,6 +10,7 @@ from ..functions import scalars as S
 
 #: What the location button says, and what it is called.
 LOCATION_PHRASES, LOCATION_LABEL = ["Use my current location", "location to autofill"], "Use my location (autofill)"
+MAX_PAGES = 100_000
 TOP = {"pages": 40, "clicks": 40, "referrers": 20, "hosts": 10}
 
 
@@ -60,8 +61,11 @@ def _only(columns: list[str]):
 
 
 def report_json(views: DataFrame, clicks: DataFrame, start: str, end: str, page: str | None = None) -> DataFrame:
-    """The report as one row of JSON; an empty table is an empty array."""
+    """The report as one row of JSON; an empty table is an empty array.  The page list feeds a selector: a range of more than MAX_PAGES pages
+    is refused, since one row cannot hold it; report() has no such limit."""
     parts = report(views, clicks, start, end, page)
+    if parts["page_list"].limit(MAX_PAGES + 1).count() > MAX_PAGES:
+        raise ValueError(f"more than {MAX_PAGES} pages in the range")
     out = parts["totals"].select(F.struct("views", "visitors", "clicks").alias("totals"))
     for name in ("daily", "pages", "clicks", "referrers", "hosts", "page_list"):
         df = parts[name]
@@ -69,7 +73,7 @@ def report_json(views: DataFrame, clicks: DataFrame, start: str, end: str, page:
         key = [c for c in df.columns if c not in order]
         rows = F.collect_list(F.struct(*((-F.col(c)).alias(f"_{c}") for c in order), *key, *order)) if order else F.collect_list(F.struct(*key))
         kept = F.transform(F.array_sort(rows), _only(df.columns))
-        out = out.crossJoin(F.broadcast(df.agg(kept.alias(name))))  # one row each, of limited tables; daily and the page list grow with the days and pages of the range, which a dashboard's selector shows
+        out = out.crossJoin(F.broadcast(df.agg(kept.alias(name))))  # one row each, of limited tables
     return out.select(F.to_json(F.struct("*")).alias("report"))
 
 

@@ -774,7 +774,8 @@ def extract_variants(spark, sf):
     return EM.extract_making(p).select("page_id", "making_pct")
 
 
-@query()
+@query("""WITH l AS (SELECT DISTINCT p_partkey % 4 AS k, p_type AS t FROM part) SELECT CASE k WHEN 0 THEN 'Making Charge ' WHEN 1 THEN 'goldPrice ' ELSE 'Colored Stone ' END || t AS label,
+CASE k WHEN 0 THEN 'making charge ' WHEN 1 THEN 'gold price ' ELSE 'colored stone ' END || lower(t) AS norm, CASE k WHEN 0 THEN 'making_charge' WHEN 1 THEN 'gold_value' ELSE 'stone_value' END AS concept, CAST(0.96 AS DOUBLE) AS score FROM l WHERE k <> 2""")
 def label_concepts(spark, sf):
     return EM.label_concepts(table(spark, sf, "part").select(F.concat(F.element_at(F.array(*map(F.lit, ["Making Charge ", "goldPrice ", "Delivery ", "Colored Stone "])), (F.col("p_partkey") % 4 + 1).cast("int")), F.col("p_type")).alias("label")))
 

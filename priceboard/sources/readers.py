@@ -124,5 +124,5 @@ def read_search_rows(df: DataFrame, key: str) -> DataFrame:
 
 def read_page_archive(spark: SparkSession, path: str) -> DataFrame:
     """Saved pages with the date and place of their file names."""
-    df = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_name").alias("name"), F.decode("content", F.lit("UTF-8")).alias("html"))
+    df = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_name").alias("name"), F.decode("content", "UTF-8").alias("html"))
     return df.select("name", "html", S.date_of_slug(F.col("name")).alias("day"), S.place_of_slug(F.col("name")).alias("place"))

@@ -152,3 +152,54 @@ def test_without_the_document_operators(tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; q = e.queries(); print(len(q), any(k.startswith('op') or k == 'pipeline' for k in q)); e.oracle_sql()"], cwd=tmp_path, capture_output=True, text=True)
     assert said.stdout.split() == [said.stdout.split()[0], "False"] and int(said.stdout.split()[0]) > 100
+
+
+def test_label_ratio_against_brute_force(spark):
+    """The matching-block ratio and the whole-word scores, for labels that are near a phrase, hold one, or neither."""
+    from difflib import SequenceMatcher
+
+    labels = ["makng charge", "Gold  vlaue", "total amnt", "gst amount", "gold", "Net weight (g)", "wastge", "delivery", "diamnd price", "g", "labour charge extra"]
+    got = {r["label"]: (r["concept"], r["score"]) for r in extract_making.label_concepts(spark.createDataFrame([(x,) for x in labels], "label string")).collect()}
+    for label in labels:
+        norm = " ".join("".join(c if c.isalnum() else " " for c in label.lower()).split())
+        best, score = None, 0.0
+        for concept, phrases in extract_making.CONCEPTS.items():
+            for p in phrases:
+                ratio = SequenceMatcher(None, norm, p).ratio()
+                part = f" {p} " in f" {norm} " or (len(norm) > 3 and f" {norm} " in f" {p} ")
+                s = 1.0 if norm == p else 0.95 + 0.01 * min(len(p), 5) / 5 if part else ratio if ratio >= 0.82 else 0.0
+                if s > score:
+                    best, score = concept, s
+        assert got.get(label) == ((best, score) if best else None), label
+
+
+def test_ranges_give_the_ranks_of_one_sort(spark):
+    rows = spark.createDataFrame([(i, float(i * 7919 % 101), f"Name{i % 13}") for i in range(500)], "id long, price double, name string").repartition(7)
+    got = {r["id"]: r["rank"] for r in board.ranked(rows, board.F.col("price"), board.F.col("id")).collect()}
+    want = sorted(range(500), key=lambda i: (float(i * 7919 % 101), i))
+    assert got == {i: k + 1 for k, i in enumerate(want)}
+
+
+def test_debounce_of_long_sessions(spark):
+    """Runs of one label within the gap, null labels and null sessions, against a fold in order."""
+    import random
+
+    rng, rows = random.Random(1), []
+    for i in range(3000):
+        rows.append((rng.choice([1, 1, 1, 2, None]), rng.choice(["a", "a", "b", None]), rng.randrange(400_000), i))
+    want, last = set(), {}
+    for s, label, ms, i in sorted(rows, key=lambda r: (str(r[0]), r[2], r[3])):
+        before = last.get(s)
+        if label is None or before is None or before[0] != label or ms - before[1] >= 2000:
+            want.add(i)
+            last[s] = (label, ms)
+    got = traffic.debounce(spark.createDataFrame(rows, "session_id long, label string, ms long, id long"))
+    assert {r["id"] for r in got.collect()} == want
+
+
+def test_page_archive(spark, tmp_path):
+    from priceboard.sources import readers
+
+    (tmp_path / "gold-rate-new-delhi-5-mar-2024.html").write_text("<p>old</p>")
+    r = readers.read_page_archive(spark, str(tmp_path)).first()
+    assert (r["place"], r["day"].isoformat(), r["html"]) == ("New Delhi", "2024-03-05", "<p>old</p>")
