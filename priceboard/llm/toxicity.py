@@ -43,6 +43,7 @@ OFFENDING = 0.5
 BLOCK_BYTES = 2_000_000
 _MARKS = b".,;:!?\"'()[]{}<>*#%&$|"
 _LINE = b"\x01"
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
 def features(token: bytes) -> list[int]:
@@ -178,8 +179,19 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 
 def _split(text: bytes) -> list[bytes]:
-    """The sentences of a text, in order."""
-    return [x for line in text.split(b"\n") for x in re.split(rb"(?<=[.!?])[\"')\]}]*(?=[\x20\x09-\x0D])", line) if x.strip()]
+    """The sentences of a text, in order: the same as those that _Tokens numbers."""
+    out = []
+    for line in text.split(b"\n"):
+        start = end = None
+        for m in _WORD.finditer(line):
+            if m[0] != _LINE:
+                start, end = m.start() if start is None else start, m.end()
+            if start is not None and (m[0] == _LINE or _ends(m[0])):
+                out.append(line[start:end])
+                start = None
+        if start is not None:
+            out.append(line[start:end])
+    return out
 
 
 def score(docs: DataFrame, model: tuple[dict[int, float], float], key: str = "doc_id", text: str = "text", spans: bool = False) -> DataFrame:
@@ -203,10 +215,11 @@ def score(docs: DataFrame, model: tuple[dict[int, float], float], key: str = "do
                 cost, doc = parts(texts)
                 cols, names = [batch.column(0).slice(a, b - a), pa.array(-np.expm1(-np.bincount(doc, cost, b - a)))], ["id", "score"]
                 if spans:
-                    hot, marks = set(doc[cost >= -math.log1p(-OFFENDING)].tolist()), []
-                    for i in range(b - a):
-                        each = [(x, float(-np.expm1(-parts([x])[0].sum()))) for x in (_split(texts[i]) if i in hot else [])]
-                        marks.append([{"sentence": x.strip().decode("utf-8", "replace"), "score": p} for x, p in each if p >= OFFENDING])
+                    hot, marks = np.flatnonzero(cost >= -math.log1p(-OFFENDING)), [[] for _ in range(b - a)]
+                    first = np.searchsorted(doc, np.arange(b - a))
+                    for i in np.unique(doc[hot]):  # only these texts are cut into sentences
+                        own, parts_of = hot[doc[hot] == i], _split(texts[i])
+                        marks[i] = [{"sentence": parts_of[k - first[i]].decode("utf-8", "replace"), "score": float(-np.expm1(-cost[k]))} for k in own]
                     cols.append(pa.array(marks, kind))
                     names.append("offending")
                 yield pa.RecordBatch.from_arrays(cols, names)

@@ -116,3 +116,24 @@ def test_labels_that_disagree(spark, make):
     model = tx.train(make(docs), spark.createDataFrame(both, "doc_id long, toxic int"))
     again = tx.train(make(docs), spark.createDataFrame(both[::-1], "doc_id long, toxic int"))
     assert model == again and model[0]
+
+
+def test_sentences_are_those_that_are_scored(prose):
+    rng = random.Random(4)
+    words = tx._Tokens(lambda t: 0.0)
+    for _ in range(200):
+        t = "".join(rng.choice(["a", "b.", "c!)", " ", " ", "\n", "\t", "\r", "\x01", ". ", "?\"' ", "x\x0by"]) for _ in range(rng.randint(0, 40))).encode()
+        at, sentence, doc = words.sentences([t])
+        cut = tx._split(t)
+        assert len(cut) == len(doc), t
+        per = [0] * len(doc)
+        for k in sentence.tolist():
+            per[k] += 1
+        assert per == [len(x.split()) for x in cut], t
+
+
+def test_offending_sentences_of_many_in_one_text(spark, make):
+    model = ({f: 9.0 for f in tx.features(b"vile")[:1]}, -4.0)
+    text = " ".join(("It is vile." if i % 100 == 0 else f"Sentence {i} is calm.") for i in range(20_000))
+    got = {r["id"]: r["offending"] for r in tx.score(make([(1, text), (2, "All calm. Here too.")]), model, spans=True).collect()}
+    assert [x["sentence"] for x in got[1]] == ["It is vile."] * 200 and got[2] == []
