@@ -423,17 +423,18 @@ def probe_gate(spark, sf):
     return sampling.probe_gate(_turns(spark, sf), "brand").select("id", "brand", "turn")
 
 
-@query(f"WITH {B.OFFERS} SELECT brand, category, list_sort(list(pct))[1] AS least, count(pct) AS hits, count(*) FILTER (hit) AS proxied FROM offers GROUP BY ALL")
+@query(f"WITH {B.OFFERS} SELECT brand, category, array_to_string(list_transform(list_sort(list(pct)), lambda x: CAST(round(x * 10000) AS BIGINT)), ',') AS pcts, count(pct) AS hits, count(*) FILTER (hit) AS proxied FROM offers GROUP BY ALL")
 def record_fold(spark, sf):
     r = sampling.fold_records(B.offers(spark, sf), ["brand", "category"], "pct", "hit")
-    return r.select("brand", "category", F.get("pcts", F.lit(0)).alias("least"), "hits", "proxied")
+    whole = F.transform("pcts", lambda x: F.round(x * 10000).cast("long").cast("string"))
+    return r.select("brand", "category", F.array_join(whole, ",").alias("pcts"), "hits", "proxied")
 
 
-@query(f"WITH {B.OFFERS} SELECT brand, min(CASE WHEN hit THEN category END) IS NOT NULL AS known, count(*) FILTER (hit)::INT AS hits, count(*) FILTER (NOT hit)::INT AS misses, CAST(count(*) FILTER (hit) AS DOUBLE) / count(*) AS hit_rate FROM offers GROUP BY 1")
+@query(f"WITH {B.OFFERS} SELECT brand, arg_max(category, CAST(id AS VARCHAR)) FILTER (hit) AS strategy, count(*) FILTER (hit)::INT AS hits, count(*) FILTER (NOT hit)::INT AS misses, CAST(count(*) FILTER (hit) AS DOUBLE) / count(*) AS hit_rate FROM offers GROUP BY 1")
 def profile_hits(spark, sf):
     res = B.offers(spark, sf).select("brand", F.when(F.col("hit"), F.col("category")).alias("strategy"), F.col("id").cast("string").alias("at"))
     p = sampling.updated_profiles(spark.createDataFrame([], readers.PROFILE), res)
-    return sampling.profile_report(p).select("brand", F.col("strategy").isNotNull().alias("known"), F.col("hits").cast("int").alias("hits"), F.col("misses").cast("int").alias("misses"), "hit_rate")
+    return sampling.profile_report(p).select("brand", "strategy", F.col("hits").cast("int").alias("hits"), F.col("misses").cast("int").alias("misses"), "hit_rate")
 
 
 # ---- pages
@@ -835,19 +836,26 @@ def stream_rates_merge(spark, sf):
 from . import runs  # noqa: E402
 
 RUN = f"""b AS (SELECT s_suppkey AS brand_id FROM supplier), l AS (SELECT brand_id, {D("CAST(8000 + brand_id % 2000 AS DOUBLE) / (CASE brand_id % 4 WHEN 0 THEN CAST(1 AS DOUBLE) WHEN 1 THEN CAST(22 AS DOUBLE)/24 WHEN 2 THEN CAST(0.75 AS DOUBLE) ELSE CAST(14 AS DOUBLE)/24 END)")} AS canonical FROM b WHERE brand_id % 6 <> 0),
-m AS (SELECT median(canonical) AS m, count(*) AS n FROM l)"""
+m AS (SELECT median(canonical) AS m, count(*) AS n FROM l), st AS (SELECT brand_id, 9000.0::DOUBLE AS canonical FROM b WHERE brand_id % 12 = 0),
+m2 AS (SELECT median(canonical) AS m FROM (SELECT canonical FROM l UNION ALL SELECT canonical FROM st))"""
 
 
 @query(f"""WITH {RUN} SELECT brand_id, DATE '2024-02-01' AS rate_date, canonical, CASE WHEN n >= 5 AND abs(canonical - m) / m > CAST(0.04 AS DOUBLE) THEN 'quarantined' ELSE 'published' END AS status, 'extracted' AS method FROM l, m
-UNION ALL SELECT brand_id, DATE '2024-02-01', {D('m')}, 'estimated', 'reference-median' FROM b, m WHERE brand_id % 6 = 0""")
+UNION ALL SELECT brand_id, DATE '2024-02-01', canonical, 'published', 'carried' FROM st
+UNION ALL SELECT brand_id, DATE '2024-02-01', {D('m2.m')}, 'estimated', 'reference-median' FROM b, m2 WHERE brand_id % 6 = 0 AND brand_id % 12 <> 0""")
 def rates_run(spark, sf):
     k = F.col("s_suppkey")
     karat = F.when(k % 4 == 0, "24").when(k % 4 == 1, "22").when(k % 4 == 2, "18").otherwise("14")
-    html = F.concat(F.lit("<table><tr><td>Gold "), karat, F.lit(" KT</td><td>₹ "), (8000 + k % 2000).cast("string"), F.lit("</td></tr></table>"))
+    price = (8000 + k % 2000).cast("string")
+    html = F.when(k % 5 < 2, F.concat(F.lit("<table><tr><td>Gold "), karat, F.lit(" KT</td><td>₹ "), price, F.lit("</td></tr></table>")))
+    html = html.when(k % 5 == 2, F.concat(F.lit("<p>"), karat, F.lit(" KT today Rs. "), price, F.lit(" /gm</p>"))).when(k % 5 == 3, F.concat(F.lit("<p>Rs "), price, F.lit(" per gm ("), karat, F.lit("kt)</p>")))
+    html = html.otherwise(F.concat(F.lit("<p>our "), karat, F.lit("K price is Rs "), price, F.lit(" only</p>")))
     s = table(spark, sf, "supplier")
     pages_ = s.filter(k % 6 != 0).select(k.alias("page_id"), html.alias("html"))
     brands = s.select(k.alias("brand_id"), F.lit(False).alias("includes_gst"))
-    stored = spark.createDataFrame([], "brand_id long, rate_date date, canonical double, status string, method string, seq long")
+    # an earlier row of the day for every second brand without a page and for some that have one, and a row of the day before
+    row = lambda day, price: [k.cast("long").alias("brand_id"), _day(day).alias("rate_date"), F.lit(price).alias("canonical"), F.lit("published").alias("status"), F.lit("carried").alias("method"), F.lit(0).cast("long").alias("seq")]
+    stored = s.filter((k % 12 == 0) | (k % 6 == 1)).select(*row("2024-02-01", 9000.0)).unionByName(s.select(*row("2024-01-31", 1.0)))
     return runs.rates_run(pages_, brands, stored, _day("2024-02-01"))
 
 
@@ -859,9 +867,10 @@ k AS (SELECT d.*, CASE WHEN n < 4 OR mad = 0 THEN true ELSE abs(CAST(0.6745 AS D
 SELECT brand, category, count(*) FILTER (kept) AS items, {D('median(pct) FILTER (kept)', 1)} AS median_pct, {D('min(pct) FILTER (kept)', 1)} AS min_pct, {D('max(pct) FILTER (kept)', 1)} AS max_pct, count(*) FILTER (NOT kept) AS rejected,
 CASE WHEN count(*) FILTER (kept) >= 12 THEN 'high' WHEN count(*) FILTER (kept) >= 5 THEN 'medium' WHEN count(*) FILTER (kept) > 0 THEN 'low' ELSE 'none' END AS confidence FROM k GROUP BY brand, category""")
 def charges_run(spark, sf):
-    p = making_pages(spark, sf, MAKING_PAGES["json_flat"])
+    kinds = [making_pages(spark, sf, MAKING_PAGES[n]).filter(F.col("page_id") % 3 == i) for i, n in enumerate(("json_flat", "table_rows", "labelled_text"))]
+    p = kinds[0].unionByName(kinds[1]).unionByName(kinds[2])
     cat = table(spark, sf, "part").select(F.col("p_partkey").alias("page_id"), F.col("p_type").alias("category"), F.concat(F.lit("/products/"), F.col("p_partkey").cast("string")).alias("url"))
-    profiles = spark.createDataFrame([], readers.PROFILE)
+    profiles = table(spark, sf, "part").filter("p_partkey % 2 = 0").select(F.col("p_brand").alias("brand"), F.lit("labelled_text").alias("strategy"), F.lit(1).alias("hits"), F.lit(0).alias("misses"), F.lit("x").alias("last_ok")).distinct()
     return runs.charges_run(p.join(cat, "page_id"), profiles)["summary"]
 
 
