@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_model, line_dedup, mixing, near_duplicates, pii, quality_rules, resampling, sharding, toxicity
+from . import decontamination, exact_dedup, language_model, line_dedup, mixing, near_duplicates, pii, quality_rules, resampling, sharding, source_audit, toxicity, vector_codes
 
 
 #: The registered query keeps to one secret, so that its reruns agree; a real corpus needs one of its own.
@@ -70,11 +70,26 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = vector_codes.coded(_table(spark, sf_dir, "embeddings"))
+    return done.select(F.col("id").alias("vec_id"), "code", "error", "label_error", "codebooks_sha256")
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exact_dedup.groups(exact_dedup.build(_table(spark, sf_dir, "documents")))
+    return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256"))
+
+
+def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_mix_sources, op2_language_model, op3_line_dedup, op4_toxicity, op5_decontaminate,
         op6_surrogates, op7_quality_rules, op8_shard, op9_resample, op10_near_duplicates,
+        op11_vector_codes, op12_exact_dedup, op13_source_audit,
     )
 }
-SQL: dict[str, str] = {"op3_line_dedup": line_dedup.SQL}
+SQL: dict[str, str] = {"op3_line_dedup": line_dedup.SQL, "op11_vector_codes": vector_codes.SQL, "op12_exact_dedup": exact_dedup.SQL, "op13_source_audit": source_audit.SQL}
