@@ -56,27 +56,6 @@ def report(views: DataFrame, clicks: DataFrame, start: str, end: str, page: str
     }
 
 
-def _only(columns: list[str]):
-    return lambda r: F.struct(*(r[c].alias(c) for c in columns))
-
-
-def report_json(views: DataFrame, clicks: DataFrame, start: str, end: str, page: str | None = None) -> DataFrame:
-    """The report as one row of JSON; an empty table is an empty array.  The page list feeds a selector: a range of more than MAX_PAGES pages
-    is refused, since one row cannot hold it; report() has no such limit."""
-    parts = report(views, clicks, start, end, page)
-    if parts["page_list"].limit(MAX_PAGES + 1).count() > MAX_PAGES:
-        raise ValueError(f"more than {MAX_PAGES} pages in the range")
-    out = parts["totals"].select(F.struct("views", "visitors", "clicks").alias("totals"))
-    for name in ("daily", "pages", "clicks", "referrers", "hosts", "page_list"):
-        df = parts[name]
-        order = [c for c in df.columns if df.schema[c].dataType.simpleString() == "bigint" and name != "daily"][:1]
-        key = [c for c in df.columns if c not in order]
-        rows = F.collect_list(F.struct(*((-F.col(c)).alias(f"_{c}") for c in order), *key, *order)) if order else F.collect_list(F.struct(*key))
-        kept = F.transform(F.array_sort(rows), _only(df.columns))
-        out = out.crossJoin(F.broadcast(df.agg(kept.alias(name))))  # one row each, of limited tables
-    return out.select(F.to_json(F.struct("*")).alias("report"))
-
-
 def debounce(clicks: DataFrame, gap_ms: int = 2000) -> DataFrame:
     """A click is dropped when the last kept click of its session has the same label and is less than gap_ms older.  clicks: session_id,
     label, ms, id.
@@ -115,7 +94,3 @@ def friendly_label(df: DataFrame, names: DataFrame, target: str = "target") -> D
     plain = F.coalesce(F.nullif(F.trim(F.regexp_replace(t, r"^[^\x00-\x7F]+\s*", "")), F.lit("")), t)
     known = F.when(place, LOCATION_LABEL).when(t.isin(list(S.FRACTION)), F.concat(t, F.lit(" rate column"))).otherwise(plain)
     return df.join(names, target, "left").withColumn("label", F.when(F.coalesce(t, F.lit("")) == "", "(unlabelled)").otherwise(F.coalesce("label", known)))
-
-
-def ranked_within(df: DataFrame, by: list[str], count: str, key: str) -> DataFrame:
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(count), key)))

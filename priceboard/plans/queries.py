@@ -355,14 +355,6 @@ def traffic_report_pagelist(spark, sf):
     return _report(spark, sf, "/p/3")["page_list"]
 
 
-@query(f"""{VC}, p AS (SELECT page, count(*) AS views FROM views WHERE {IN} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 40)
-SELECT (SELECT count(*) FROM views WHERE {IN}) AS views, (SELECT count(*) FROM clicks WHERE {IN}) AS clicks, (SELECT count(*) FROM p) AS n_pages, (SELECT page FROM p ORDER BY views DESC, page LIMIT 1) AS first_page""")
-def traffic_report_json(spark, sf):
-    r = traffic.report_json(B.views(spark, sf), B.clicks(spark, sf), *RANGE)
-    got = F.from_json("report", "struct<totals:struct<views:bigint,clicks:bigint>,pages:array<struct<page:string,views:bigint>>>")
-    return r.select(got.alias("r")).select("r.totals.views", "r.totals.clicks", F.size("r.pages").cast("long").alias("n_pages"), F.get("r.pages", F.lit(0))["page"].alias("first_page"))
-
-
 @query(f"""WITH RECURSIVE {B.EV}, {B.CLICKS}, o AS (SELECT session_id, id, label, ms, row_number() OVER (PARTITION BY session_id ORDER BY ms, id) AS rn FROM clicks),
 w AS (SELECT session_id, id, label, ms, rn, true AS kept, label AS l, ms AS m FROM o WHERE rn = 1 UNION ALL
 SELECT o.session_id, o.id, o.label, o.ms, o.rn, NOT (o.label = w.l AND o.ms - w.m < 86400000) AS kept, CASE WHEN o.label = w.l AND o.ms - w.m < 86400000 THEN w.l ELSE o.label END, CASE WHEN o.label = w.l AND o.ms - w.m < 86400000 THEN w.m ELSE o.ms END
@@ -874,4 +866,4 @@ def charges_run(spark, sf):
     return runs.charges_run(p.join(cat, "page_id"), profiles)["summary"]
 
 
-from . import more_queries  # noqa: E402, F401
+from . import more_queries, traffic_queries  # noqa: E402, F401
