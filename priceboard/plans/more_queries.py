@@ -347,34 +347,3 @@ def stream_sends(spark, sf):
     e = _stream(spark, sf, "events").filter("event_type = 'click'").select(F.col("user_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"))
     jobs.to_table(jobs.once_a_day(e), out, at)
     return spark.read.parquet(out).groupBy("id", "day").agg(F.count("*").alias("sends"))
-
-
-@query(f"WITH {B.RATES}, {B.PUBLISHED} SELECT rate_date, {D('median(canonical)', 4)} AS median_24k, count(*) AS n FROM pub GROUP BY 1")
-def stream_snapshots(spark, sf):
-    """Intraday rates merged batch by batch, with the snapshots of the days that each batch touches."""
-    store, at = _paths(spark, "merged")
-    out, src = _at(spark, "snapshots"), _at(spark, "quotes")
-    B.rates(spark, sf).filter("status = 'published' and canonical > 0").select("brand_id", "rate_date", "canonical").withColumn("seq", F.lit(1)).repartition(2).write.parquet(src)
-    stream = spark.readStream.schema("brand_id long, rate_date date, canonical double, seq int").option("maxFilesPerTrigger", 1).parquet(src)
-    snap = lambda t: t.groupBy("rate_date").agg(S.rounded(F.median("canonical"), 4).alias("median_24k"), F.count("*").alias("n"))
-    step = jobs.snapshot_step(store, lambda a, b: sinks.merge_rates(a, b, seq="seq"), "rate_date", snap, out)
-    jobs.for_each_batch(stream, at, step).awaitTermination()
-    return jobs.latest(out, spark).select("rate_date", "median_24k", "n")
-
-
-@query(f"WITH {B.SUBS}, {B.PAYLOADS}, {LAST} SELECT coalesce(s.key, l.key) AS key, coalesce(l.name, s.name) AS name, coalesce(l.city, s.city) AS city FROM (SELECT * FROM subs WHERE key IN (SELECT key FROM payloads)) s RIGHT JOIN l ON s.key = l.key")
-def stream_subscribers(spark, sf):
-    """Payloads upserted batch by batch, in order; the first batch holds what was stored."""
-    store, at = _paths(spark, "subscribers")
-    src = _at(spark, "payloads")
-    p = B.payloads(spark, sf).select("seq", "email", "name", "city")
-    known = B.subscribers(spark, sf).select((F.col("id") - 10_000_000).alias("seq"), F.col("key").alias("email"), "name", "city")
-    keys = p.select(S.email_key(F.col("email")).alias("k")).distinct()
-    rows = p.unionByName(known.join(keys, known["email"] == keys["k"], "left_semi"))
-    half = p.agg(F.percentile_approx("seq", 0.5)).first()[0]
-    for part in (rows.filter(F.col("seq") <= half), rows.filter(F.col("seq") > half)):  # files in the order of their rows
-        part.coalesce(1).write.mode("append").parquet(src)
-    stream = spark.readStream.schema("seq long, email string, name string, city string").option("maxFilesPerTrigger", 1).parquet(src)
-    merge = lambda a, b: subscribers.merge_subscribers(a if "updated_at" in a.columns else spark.createDataFrame([], "key string, name string, city string, updated_at date"), b, ["name", "city"], _day("2024-02-01"))
-    jobs.for_each_batch(stream, at, jobs.merge_step(store, merge)).awaitTermination()
-    return jobs.latest(store, spark).select("key", "name", "city")

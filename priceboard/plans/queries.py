@@ -811,19 +811,6 @@ def stream_debounce(spark, sf):
     return spark.read.parquet(out)
 
 
-@query(SQL["rates_merge"])
-def stream_rates_merge(spark, sf):
-    out, at = _paths(spark, "rates")
-    k = F.pmod("l_linenumber", F.lit(4))
-    purity = F.when(k == 0, "24K").when(k == 1, "22K").when(k == 2, "18K").otherwise("14K")
-    li = _stream(spark, sf, "lineitem").withColumn("purity", purity)
-    value = F.col("l_extendedprice") / F.col("l_quantity") * S.purity_fraction(F.col("purity"))
-    price = board.canonical_24k(F.col("purity"), value, F.col("l_returnflag") == "R")
-    q = li.select(F.col("l_suppkey").alias("brand_id"), F.to_date("l_shipdate").alias("rate_date"), F.when(F.col("l_tax") >= 0.01, price).alias("canonical"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
-    jobs.for_each_batch(q, at, jobs.merge_step(out, lambda old, new: sinks.merge_rates(old, new, seq="seq"))).awaitTermination()
-    return jobs.latest(out, spark)
-
-
 # ---- runs
 from . import runs  # noqa: E402
 
@@ -866,4 +853,4 @@ def charges_run(spark, sf):
     return runs.charges_run(p.join(cat, "page_id"), profiles)["summary"]
 
 
-from . import more_queries, traffic_queries  # noqa: E402, F401
+from . import more_queries, stream_queries, traffic_queries  # noqa: E402, F401

@@ -94,46 +94,5 @@ def for_each_batch(stream: DataFrame, checkpoint: str, step: Callable[[DataFrame
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def merge_step(store: str, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """A step that merges a batch into versions of a table under store, one per batch, each written whole: a batch that runs again
-    after a failure writes the same version."""
-
-    def step(batch: DataFrame, number: int) -> None:
-        from pyspark.errors import AnalysisException
-
-        spark = batch.sparkSession
-        try:
-            old = spark.read.parquet(f"{store}/v{number - 1}") if number else batch.limit(0)
-        except AnalysisException:
-            old = batch.limit(0)
-        merge(old, batch).write.mode("overwrite").parquet(f"{store}/v{number}")
-
-    return step
-
-
-def latest(store: str, spark) -> DataFrame:
-    """The last version that merge_step wrote."""
-    versions = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(store).select(F.regexp_extract("path", r"/v(\d+)/[^/]+$", 1).cast("int").alias("v"))
-    return spark.read.parquet(f"{store}/v{versions.agg(F.max('v')).first()[0]}")
-
-
-def snapshot_step(store: str, merge: Callable[[DataFrame, DataFrame], DataFrame], day: str, snapshot: Callable[[DataFrame], DataFrame], out: str) -> Callable[[DataFrame, int], None]:
-    """merge_step, then the snapshots of the days that the batch touched, in versions under out like the merged table's: a row or more per day,
-    those of other days are kept."""
-    merged = merge_step(store, merge)
-
-    def step(batch: DataFrame, number: int) -> None:
-        merged(batch, number)
-        spark = batch.sparkSession
-        touched = spark.read.parquet(f"{store}/v{number}").join(batch.select(day).distinct(), day, "left_semi")
-        new = snapshot(touched)
-        if number:
-            before = spark.read.parquet(f"{out}/v{number - 1}")
-            new = new.unionByName(before.join(batch.select(day).distinct(), day, "left_anti"))
-        new.write.mode("overwrite").parquet(f"{out}/v{number}")
-
-    return step
-
-
 def to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     stream.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
