@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions.tables import stored
+from .selection import medians
 
 ORDER_SLACK, RATIO_TOLERANCE, OUTLIER, LEAST_LIVE = 1.005, 0.015, 0.04, 5
 BENCHMARK = {"association": (6_000.0, 20_000.0), "bullion": (8_000.0, 22_000.0), "futures": (60_000.0, 400_000.0)}
@@ -75,18 +76,24 @@ def latest_published(rates: DataFrame, as_of: Column, lookback: int | None = 10)
 
 def stats(rows: DataFrame, price: str = "canonical", name: str = "name", by: list[str] | None = None) -> DataFrame:
     """Market statistics of national rows, of all rows where none is national: one row (per key)."""
-    own = F.col("national")
+    by, own = by or [], F.col("national")
+    # the median of a group's national rows, and of all its rows
+    kinds = F.explode(F.when(own, F.array(F.lit("national"), F.lit("all"))).otherwise(F.array(F.lit("all")))).alias("__kind")
+    mid = medians(rows.select(*by, kinds, F.col(price).alias("__p")), [*by, "__kind"], "__p")
+    value = F.coalesce(F.max(F.when(F.col("__kind") == "national", F.col("m"))), F.max(F.when(F.col("__kind") == "all", F.col("m")))).alias("median_24k")
+    mid = (mid.groupBy(*by) if by else mid).agg(value)
     pick = lambda f, c: F.coalesce(f(F.when(own, c)), f(c))
     p = F.col(price)
     key = F.struct(p, F.col(name))
     top = F.struct(p, F.col(name))
     agg = [
-        pick(F.median, p).alias("median_24k"), pick(F.min, key).alias("low"), pick(F.max, top).alias("high"),
+        pick(F.min, key).alias("low"), pick(F.max, top).alias("high"),
         F.coalesce(F.nullif(F.count_if(own), F.lit(0)), F.count("*")).alias("n"),
     ]
     out = (rows.groupBy(*by) if by else rows).agg(*agg)
+    out = out.join(mid, by) if by else out.crossJoin(F.broadcast(mid))  # one row each
     return out.select(
-        *(by or []), "median_24k", F.col(f"low.{price}").alias("lowest"), F.col(f"low.{name}").alias("lowest_brand"),
+        *by, "median_24k", F.col(f"low.{price}").alias("lowest"), F.col(f"low.{name}").alias("lowest_brand"),
         F.col(f"high.{price}").alias("highest"), F.col(f"high.{name}").alias("highest_brand"), S.rounded(F.col(f"high.{price}") - F.col(f"low.{price}"), 0).alias("spread"), "n",
     )
 
@@ -114,12 +121,14 @@ def sorted_board(board: DataFrame, column: str, descending: bool = False) -> Dat
 
 
 def one_row(df: DataFrame) -> DataFrame:
-    """A frame that is said to have one row has one at most: of several, any."""
-    return df.limit(1)
+    """A frame that is said to have one row has one at most; several are an error."""
+    first = df.limit(2).groupBy().agg(F.count("*").alias("__n"), F.first(F.struct(*df.columns)).alias("__r"))
+    return first.filter((F.col("__n") > 0) & F.when(F.col("__n") > 1, F.raise_error(F.lit("one row expected, there are more")).cast("boolean")).otherwise(F.lit(True))).select("__r.*")
 
 
 def market_board(rows: DataFrame) -> DataFrame:
     """rows of one day: name, canonical, national, states.  Ranked by price, with ladder, difference to the national median and flags."""
+    rows = stored(rows, "board")  # read by the statistics, the bounds of the ranges and the ranks
     one = stats(rows)
     joined = ranked(rows, F.col("canonical"), F.col("name")).crossJoin(F.broadcast(one))  # with one row
     delta = S.rounded(F.col("canonical") - F.col("median_24k"))
@@ -145,14 +154,14 @@ def without_live_rate(brands: DataFrame, live: DataFrame) -> DataFrame:
 
 def placeholder_fill(brands: DataFrame, live: DataFrame, as_of: Column) -> DataFrame:
     """A row of the median, marked estimated, for every brand without a live rate; none where nothing is live."""
-    mid = live.agg(F.median("canonical").alias("m")).filter("m is not null")
+    mid = medians(live, [], "canonical").select("m").filter("m is not null")
     rest = without_live_rate(brands, live).crossJoin(F.broadcast(mid))  # with one row at most
     return rest.select("brand_id", as_of.alias("rate_date"), S.rounded(F.col("m")).alias("canonical"), F.lit("estimated").alias("status"), F.lit("reference-median").alias("method"))
 
 
 def outlier_quarantine(rates: DataFrame, confirmed: str = "confirmed", by: list[str] | None = None) -> DataFrame:
     """drift and status: over OUTLIER off the median and not confirmed, where there are LEAST_LIVE values or more."""
-    mid = (rates.groupBy(*by) if by else rates).agg(F.median("canonical").alias("m"), F.count("*").alias("live"))
+    mid = medians(rates, by or [], "canonical").withColumnRenamed("n", "live")
     out = rates.join(mid, by) if by else rates.crossJoin(F.broadcast(mid))
     drift = S.rounded(F.abs(F.col("canonical") - F.col("m")) / F.col("m"), 4)
     judged = F.col("live") >= LEAST_LIVE
@@ -162,7 +171,7 @@ def outlier_quarantine(rates: DataFrame, confirmed: str = "confirmed", by: list[
 
 def daily_trend(rates: DataFrame, as_of: Column, days: int = 120) -> DataFrame:
     live = publishable(rates).filter(F.col("rate_date").between(F.date_sub(as_of, days), as_of))
-    return live.groupBy("rate_date").agg(F.median("canonical").alias("median_24k"))
+    return medians(live, ["rate_date"], "canonical").select("rate_date", F.col("m").alias("median_24k"))
 
 
 def session_moves(trend: DataFrame) -> DataFrame:
@@ -186,7 +195,7 @@ def today_move(today: DataFrame, rates: DataFrame, as_of: Column, legacy_base: b
     brands, as older pages have it.  rates: rate_date, canonical, status, national."""
     live = publishable(rates).filter(F.col("rate_date") < as_of)
     base = live if legacy_base else live.filter("national")
-    last = base.groupBy("rate_date").agg(F.median("canonical").alias("m")).agg(F.max_by("m", "rate_date").alias("base"))
+    last = medians(base, ["rate_date"], "canonical").agg(F.max_by("m", "rate_date").alias("base"))
     return one_row(today).crossJoin(F.broadcast(last)).select("rate_24k", S.rounded(F.col("base")).alias("base"), S.rounded(F.col("rate_24k") - F.col("base")).alias("move"))
 
 
@@ -218,7 +227,7 @@ def benchmark_gate(value: Column, kind: str) -> Column:
 
 def premium_board(rows: DataFrame, benchmark: DataFrame) -> DataFrame:
     """benchmark: one row, bullion.  Premium in rupees and percent, ascending; bar is its share of the largest."""
-    j = rows.crossJoin(F.broadcast(one_row(benchmark))).withColumn("premium", F.col("canonical") - F.col("bullion"))
+    j = stored(rows.crossJoin(F.broadcast(one_row(benchmark))).withColumn("premium", F.col("canonical") - F.col("bullion")), "premium")
     j = j.crossJoin(F.broadcast(j.agg(F.max(F.abs("premium")).alias("top"))))  # one row
     pct = S.safe_pct(F.col("premium"), F.col("bullion"))
     bar = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(F.try_divide(F.abs("premium"), F.col("top")), F.lit(0.0))))

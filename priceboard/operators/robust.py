@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..functions.tables import stored
+from .selection import medians
 
 Z = 3.5
 DRIFT_LEAST, DRIFT_SHARE = 5.0, 0.35
@@ -14,9 +16,10 @@ DRIFT_LEAST, DRIFT_SHARE = 5.0, 0.35
 def mad_scores(df: DataFrame, by: list[str], value: str, z: float = Z) -> DataFrame:
     """df's rows with a value, and kept.  Groups below four rows or without spread are kept whole.  Medians are joined back by key."""
     rows = df.filter(F.col(value).isNotNull())
-    mid = rows.groupBy(*by).agg(F.median(value).alias("__m"), F.count("*").alias("__n"))
+    rows = stored(rows, "rows")
+    mid = medians(rows, by, value).withColumnsRenamed({"m": "__m", "n": "__n"})
     dev = rows.join(mid, by).withColumn("__d", F.abs(F.col(value) - F.col("__m")))
-    mad = dev.groupBy(*by).agg(F.median("__d").alias("__mad"))
+    mad = medians(dev, by, "__d").select(*by, F.col("m").alias("__mad"))
     score = F.abs(F.lit(0.6745) * (F.col(value) - F.col("__m")) / F.col("__mad"))
     kept = F.when((F.col("__n") < 4) | (F.col("__mad") == 0), F.lit(True)).otherwise(score <= z)
     return dev.join(mad, by).withColumn("kept", kept).drop("__m", "__n", "__d", "__mad")
@@ -26,7 +29,9 @@ def summarize(df: DataFrame, by: list[str], value: str, z: float = Z) -> DataFra
     """Kept rows, median, least, most (one place), rejected rows and a grade."""
     s = mad_scores(df, by, value, z)
     v = F.when(F.col("kept"), F.col(value))
-    out = s.groupBy(*by).agg(F.count(v).alias("items"), F.median(v).alias("m"), F.min(v).alias("lo"), F.max(v).alias("hi"), F.count_if(~F.col("kept")).alias("rejected"))
+    s = stored(s, "scores")
+    out = s.groupBy(*by).agg(F.count(v).alias("items"), F.min(v).alias("lo"), F.max(v).alias("hi"), F.count_if(~F.col("kept")).alias("rejected"))
+    out = out.join(medians(s, by, v).drop("n"), by)
     grade = F.when(F.col("items") >= 12, "high").when(F.col("items") >= 5, "medium").when(F.col("items") > 0, "low").otherwise("none")
     return out.select(*by, "items", S.rounded(F.col("m"), 1).alias("median_pct"), S.rounded(F.col("lo"), 1).alias("min_pct"), S.rounded(F.col("hi"), 1).alias("max_pct"), "rejected", grade.alias("confidence"))
 
@@ -46,7 +51,7 @@ def quartiles(df: DataFrame, by: list[str], value: str) -> DataFrame:
 
 
 def category_medians(summaries: DataFrame, category: str = "category", value: str = "median_pct") -> DataFrame:
-    return summaries.groupBy(category).agg(S.rounded(F.median(value), 1).alias("median_pct"))
+    return medians(summaries, [category], value).select(category, S.rounded(F.col("m"), 1).alias("median_pct"))
 
 
 def drift(now: DataFrame, before: DataFrame, by: list[str], value: str = "median_pct") -> DataFrame:
