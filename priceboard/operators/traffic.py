@@ -1,9 +1,8 @@
-"""Page views and clicks: rollups, the report, and click debounce."""
+"""Page views and clicks: rollups and the tables of the report."""
 
 from __future__ import annotations
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -56,32 +55,6 @@ def report(views: DataFrame, clicks: DataFrame, start: str, end: str, page: str
     }
 
 
-def debounce(clicks: DataFrame, gap_ms: int = 2000) -> DataFrame:
-    """A click is dropped when the last kept click of its session has the same label and is less than gap_ms older.  clicks: session_id,
-    label, ms, id.
-
-    A click whose label is not that of the click before, or that is gap_ms or more later, is always kept, so it begins a run of its
-    own; runs are then gone through row by row with one click as state, wherever they lie."""
-    w = Window.partitionBy("session_id").orderBy("ms", "id")
-    same = (F.col("label") == F.lag("label").over(w)) & (F.col("ms") - F.lag("ms").over(w) < gap_ms)
-    runs = clicks.select("session_id", "label", "ms", "id", F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1).alias("begins"))
-    runs = runs.withColumn("run", F.sum("begins").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    dealt = runs.select("session_id", "run", "begins", "ms", "id").repartition("session_id", "run").sortWithinPartitions("session_id", "run", "ms", "id")
-
-    def kept(batches):
-        last = 0
-        for b in batches:
-            begins, ms = b.column("begins").to_pylist(), b.column("ms").to_pylist()
-            keep = []
-            for first, at in zip(begins, ms, strict=True):
-                keep.append(bool(first) or at - last >= gap_ms)
-                last = at if keep[-1] else last
-            yield b.select(["session_id", "id"]).filter(pa.array(keep, pa.bool_()))
-
-    kind = {f.name: f.dataType.simpleString() for f in clicks.schema}
-    return dealt.mapInArrow(kept, f"session_id {kind['session_id']}, id {kind['id']}")
-
-
 def total_visits(views: DataFrame) -> DataFrame:
     return views.agg(_visitors().alias("visits"))
 

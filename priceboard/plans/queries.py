@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions.tables import shared_dir
-from ..operators import board, pages, pricing, robust, sampling, search, subscribers, traffic
+from ..operators import board, click_debounce as click_debounce_, pages, pricing, robust, sampling, search, subscribers, traffic
 from ..sources import readers, sinks
 from . import bindings as B
 from .bindings import D, FRAC, table
@@ -360,7 +360,7 @@ w AS (SELECT session_id, id, label, ms, rn, true AS kept, label AS l, ms AS m FR
 SELECT o.session_id, o.id, o.label, o.ms, o.rn, NOT (o.label = w.l AND o.ms - w.m < 86400000) AS kept, CASE WHEN o.label = w.l AND o.ms - w.m < 86400000 THEN w.l ELSE o.label END, CASE WHEN o.label = w.l AND o.ms - w.m < 86400000 THEN w.m ELSE o.ms END
 FROM w JOIN o ON o.session_id = w.session_id AND o.rn = w.rn + 1) SELECT session_id, id FROM w WHERE kept""")
 def click_debounce(spark, sf):
-    return traffic.debounce(B.clicks(spark, sf), 86_400_000)
+    return click_debounce_.debounce(B.clicks(spark, sf), 86_400_000)
 
 
 @query(f"{V} SELECT count(DISTINCT session_id) AS visits FROM views")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from priceboard.functions import scalars as S
-from priceboard.operators import board, extract_making, extract_rates, pricing, robust, sampling, subscribers, traffic
+from priceboard.operators import board, click_debounce, extract_making, extract_rates, pricing, robust, sampling, subscribers, traffic
 from priceboard.sources import readers, sinks
 
 DAY = dt.date(2026, 8, 22)
@@ -102,7 +102,7 @@ def test_rates_waterfall(spark):
 
 def test_debounce_and_samples(spark):
     c = spark.createDataFrame([(1, "a", t, i) for i, t in enumerate((0, 1500, 3000, 3100, 5200))], "session_id long, label string, ms long, id long")
-    assert sorted(r["id"] for r in traffic.debounce(c).collect()) == [0, 2, 4]
+    assert sorted(r["id"] for r in click_debounce.debounce(c).collect()) == [0, 2, 4]
     sizes = spark.createDataFrame([(n,) for n in (12, 40, 99, 100, 499, 500)], "n int").select(sampling.sample_size(F.col("n")).alias("k"))
     assert [r["k"] for r in sizes.collect()] == [20, 40, 60, 60, 60, 150]
 
@@ -193,7 +193,7 @@ def test_debounce_of_long_sessions(spark):
         if label is None or before is None or before[0] != label or ms - before[1] >= 2000:
             want.add(i)
             last[s] = (label, ms)
-    got = traffic.debounce(spark.createDataFrame(rows, "session_id long, label string, ms long, id long"))
+    got = click_debounce.debounce(spark.createDataFrame(rows, "session_id long, label string, ms long, id long"))
     assert {r["id"] for r in got.collect()} == want
 
 
