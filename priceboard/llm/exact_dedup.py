@@ -62,7 +62,7 @@ def _text(text: Column) -> Column:
 
 def _key(text: Column, bits: int) -> Column:
     """The leading bits of the hash; fewer than 64 are for tests of collisions."""
-    return F.xxhash64(text).bitwiseAND(F.lit(-1 << (64 - bits)))
+    return F.xxhash64(text).bitwiseAND(F.lit(-1 << (64 - bits) if bits else 0))
 
 
 def _prefix(h: Column, depth: int) -> Column:

@@ -1,7 +1,7 @@
 """How the sources of each lang differ in their words.
 
 Every document becomes an exact sparse vector of term counts by Spark's CountVectorizer, with minDF and the largest integer as vocabSize, so the
-vocabulary is all that minDF keeps.  A term carries the number of its lang, so that one fit makes the vocabularies of all langs side by
+vocabulary is all that minDF keeps.  The fit, which counts documents, gets each term of a text once; the vectors are made of all.  A term carries the number of its lang, so that one fit makes the vocabularies of all langs side by
 side, each with its own document frequencies, and one pass over the texts serves any number of langs.  A vocabulary is on the driver and in every
 executor; therefore it is bounded: the distinct terms are estimated first, and where they are more than MOST_TERMS terms are dealt into slices
 by hash, each with a CountVectorizer of its own; all sums that follow are sums over slices.  Models and vectors are written to
@@ -19,9 +19,11 @@ pairs have the value 0; an empty table gives an empty result; texts are read who
 from __future__ import annotations
 
 import uuid
+import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.errors import IllegalArgumentException
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, Window
@@ -33,8 +35,6 @@ from .common import packed, stored
 MIN_DF, MOST_TERMS, MOST_LANGS = 10, 4_000_000, 10_000
 LARGEST_INT = 2**31 - 1
 UNIT = 1_000_000_000
-#: What no term holds: ASCII but its letters.
-BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Terms in a block and sources in a tile of the pair evaluation.
 BLOCK, TILE = 4096, 128
@@ -49,13 +49,46 @@ def documents(docs: DataFrame, text: str = "text", lang: str = "lang", source: s
     return rows.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in (("__l", "lang"), ("__s", "source"), ("__t", "text"))))
 
 
-def terms(text: Column) -> Column:
-    return F.filter(F.split(F.translate(text, UPPER, LOWER), BETWEEN), lambda t: t != "")
+#: A byte of UTF-8 text as it stands in a term, or a space: bytes of 128 and more belong to letters and marks beyond ASCII, which no term boundary can cut.
+_BYTES = bytes(i + 32 if 65 <= i <= 90 else i if 97 <= i <= 122 or i >= 128 else 32 for i in range(256))
+
+
+def _marked(whole: bool, k: int = 0, n_slices: int = 1):
+    """Terms of each row as one string with spaces between, each led by the digits of its lang; all of them, or each term of a text once.  Of several slices, slice k."""
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for lang, text in zip(b.column("lang_no").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), strict=True):
+                own = text.translate(_BYTES).split()
+                if not whole:
+                    own = set(own)
+                if n_slices > 1:
+                    own = [t for t in own if zlib.crc32(t) % n_slices == k]
+                mark = str(lang).encode()
+                out.append(mark + (b" " + mark).join(own) if own else b"")
+            yield pa.RecordBatch.from_arrays([b.column("lang_no"), b.column("source"), pa.array(out, pa.binary()).view(pa.string())], ["lang_no", "source", "terms"])
+
+    return run
+
+
+def tokens(rows: DataFrame, whole: bool, k: int = 0, n_slices: int = 1) -> DataFrame:
+    """rows: lang_no, source, text.  lang_no, source, tokens (array of strings)."""
+    made = rows.select("lang_no", "source", "text").mapInArrow(_marked(whole, k, n_slices), "lang_no int, source string, terms string")
+    return made.select("lang_no", "source", F.when(F.col("terms") == "", F.array().cast("array<string>")).otherwise(F.split("terms", " ")).alias("tokens"))
 
 
 def _slices(rows: DataFrame, most_terms: int) -> int:
-    """Slices in which no vocabulary has more than most_terms terms: by a HyperLogLog estimate of all distinct terms, raised by six standard errors."""
-    n = rows.select("lang_no", F.explode(terms(F.col("text"))).alias("t")).agg(F.hll_sketch_estimate(F.hll_sketch_agg(F.xxhash64("lang_no", "t"), F.lit(12)))).first()[0]
+    """Slices in which no vocabulary has more than most_terms terms: by a HyperLogLog estimate of all distinct terms, raised by six standard errors.  A task sends each term
+    of a batch once."""
+
+    def distinct(batches):
+        for b in batches:
+            seen = {(lang, t) for lang, text in zip(b.column("lang_no").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), strict=True) for t in set(text.translate(_BYTES).split())}
+            yield pa.RecordBatch.from_arrays([pa.array([str(lang).encode() + t for lang, t in seen], pa.binary())], ["t"])
+
+    found = rows.select("lang_no", "text").mapInArrow(distinct, "t binary")
+    n = found.agg(F.hll_sketch_estimate(F.hll_sketch_agg("t", F.lit(12)))).first()[0]
     return max(1, -(-int(n * 1.1) // most_terms))
 
 
@@ -76,22 +109,18 @@ def vectors(docs: DataFrame, min_df: int = MIN_DF, most_terms: int = MOST_TERMS)
     made = [spark.createDataFrame([], "slice int, lang_no int, source string, indices array<int>, values array<double>")]
     vocabulary = [spark.createDataFrame([], "slice int, idx int, lang_no int, term string")]
     for k in range(n_slices):
-        own = terms(F.col("text"))
-        if n_slices > 1:
-            own = F.filter(own, lambda t, k=k: F.pmod(F.xxhash64(t), F.lit(n_slices)) == k)
-        tokens = rows.select("lang_no", "source", F.transform(own, lambda t: F.concat(F.col("lang_no").cast("string"), F.lit(" "), t)).alias("tokens"))
         at = f"{shared_dir(spark)}/terms-{uuid.uuid4().hex}"
         try:
-            model = CountVectorizer(inputCol="tokens", outputCol="counts", minDF=float(min_df), vocabSize=LARGEST_INT).fit(tokens)
+            model = CountVectorizer(inputCol="tokens", outputCol="counts", minDF=float(min_df), vocabSize=LARGEST_INT).fit(tokens(rows, False, k, n_slices))
         except IllegalArgumentException as e:
             if "vocabulary size should be > 0" not in str(e):
                 raise
             continue  # minDF keeps no term of this slice
         model.write().save(f"{at}/model")
-        model.transform(tokens).select("lang_no", "source", "counts").write.parquet(f"{at}/vectors")
+        model.transform(tokens(rows, True, k, n_slices)).select("lang_no", "source", "counts").write.parquet(f"{at}/vectors")
         made.append(spark.read.schema(f"lang_no int, source string, counts {VECTOR}").parquet(f"{at}/vectors").select(F.lit(k).alias("slice"), "lang_no", "source", "counts.indices", "counts.values"))
         words = spark.read.parquet(f"{at}/model/data").select(F.posexplode("vocabulary").alias("idx", "word"))
-        vocabulary.append(words.select(F.lit(k).alias("slice"), "idx", F.substring_index("word", " ", 1).cast("int").alias("lang_no"), F.substring_index("word", " ", -1).alias("term")))
+        vocabulary.append(words.select(F.lit(k).alias("slice"), "idx", F.regexp_extract("word", "^[0-9]+", 0).cast("int").alias("lang_no"), F.regexp_replace("word", "^[0-9]+", "").alias("term")))
     return _union(made), _union(vocabulary), langs
 
 
@@ -119,9 +148,11 @@ def _apart(p: Column, q: Column) -> Column:
 
 
 def _pair_sums(key, rows: pd.DataFrame) -> pd.DataFrame:
-    """One block of terms and two tiles of sources: for each pair the sum over the block's terms that a source of the tiles has, and the number of these terms."""
-    term, cols = np.unique(rows["idx"].to_numpy(), return_inverse=True)
+    """One block of terms and two tiles of sources: for each pair the sum over the block's terms that a source of the tiles has, and the number of these terms.
+    A row without idx says that a source is there."""
     names = rows.groupby(["tile", "source"], sort=True)["p0"].first()
+    rows = rows[rows["idx"].notna()]
+    term, cols = np.unique(rows["idx"].to_numpy(np.int64), return_inverse=True)
     place = {k: i for i, k in enumerate(names.index)}
     at = np.fromiter((place[k] for k in zip(rows["tile"], rows["source"], strict=True)), np.int64, len(rows))
     p = np.repeat(names.to_numpy(np.int64)[:, None], len(term), axis=1)
@@ -136,10 +167,16 @@ def _pair_sums(key, rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["lang_no", "source", "item", "value", "terms"])
 
 
-def _blocks(entries: DataFrame, tiles: DataFrame) -> DataFrame:
-    """entries: slice, lang_no, source, idx, p, p0, tile; each goes to all pairs of tiles that its own is in."""
+def _blocks(entries: DataFrame, groups: DataFrame) -> DataFrame:
+    """entries: slice, lang_no, source, idx, p, p0, tile.  Each goes to all pairs of tiles that its own is in; and each source says in each block that it is there, since
+    it differs from others also where it has none of their terms."""
+    each = entries.withColumn("block", F.floor(F.col("idx") / BLOCK).cast("int")).select("slice", "lang_no", "source", "idx", "p", "p0", "tile", "block")
+    there = groups.join(each.select("slice", "lang_no", "block").distinct(), "lang_no")
+    none = F.lit(None)
+    each = each.unionByName(there.select("slice", "lang_no", "source", none.cast("int").alias("idx"), none.cast("long").alias("p"), "p0", "tile", "block"))
+    tiles = groups.groupBy("lang_no").agg((F.max("tile") + 1).alias("tiles"))
     pair = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(F.least(t, F.col("tile")).alias("a"), F.greatest(t, F.col("tile")).alias("b")))
-    each = entries.join(tiles, "lang_no").withColumn("block", F.floor(F.col("idx") / BLOCK).cast("int")).withColumn("x", F.explode(pair))
+    each = each.join(F.broadcast(tiles), "lang_no").withColumn("x", F.explode(pair))  # a row for each lang, MOST_LANGS at most
     return each.select("slice", "lang_no", "source", "idx", "p", "p0", "tile", "block", F.col("x.a").alias("a"), F.col("x.b").alias("b"))
 
 
@@ -160,8 +197,7 @@ def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     entries = stored(sums.join(groups, ["lang_no", "source"]).select("slice", "lang_no", "source", "idx", "n", _share(F.col("n")).alias("p"), "p0", "tile"), "entries")
 
     # pairs: sums over the blocks, and one known number for each term that neither tile has
-    tiles = groups.groupBy("lang_no").agg((F.max("tile") + 1).alias("tiles"))
-    part = _blocks(entries, tiles).groupBy("lang_no", "slice", "block", "a", "b").applyInPandas(_pair_sums, "lang_no int, source string, item string, value long, terms long")
+    part = _blocks(entries, groups).groupBy("lang_no", "slice", "block", "a", "b").applyInPandas(_pair_sums, "lang_no int, source string, item string, value long, terms long")
     part = part.groupBy("lang_no", "source", "item").agg(F.sum("value").alias("value"), F.sum("terms").alias("terms"))
     g = groups.select("lang_no", "source", "kept", "p0")
     both = g.join(g.select("lang_no", F.col("source").alias("item"), F.col("p0").alias("q0")), "lang_no").filter("source < item")
@@ -174,7 +210,8 @@ def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     # terms: a group's share against that of its lang
     whole = sums.groupBy("slice", "lang_no", "idx").agg(F.sum("n").alias("n"))
     lang_n = sums.groupBy("lang_no").agg(F.sum("n").alias("words")).join(size, "lang_no")
-    whole = whole.join(lang_n, "lang_no").select("slice", "lang_no", "idx", _share(F.col("n")).alias("q"))
+    whole = whole.join(F.broadcast(lang_n), "lang_no")  # a row for each lang, MOST_LANGS at most
+    whole = whole.select("slice", "lang_no", "idx", _share(F.col("n")).alias("q"))
     marks = entries.join(whole, ["slice", "lang_no", "idx"]).filter("p > q").join(vocabulary, ["slice", "lang_no", "idx"])
     marks = marks.select("lang_no", "source", F.lit("term").alias("part"), F.col("term").alias("item"), _apart(F.col("p"), F.col("q")).alias("value"))
     order = Window.partitionBy("lang_no", "source", "part").orderBy(F.desc("value"), "item")
