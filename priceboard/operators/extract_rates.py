@@ -1,7 +1,7 @@
 """Per-gram rates from saved pages: twelve extractors, tried in order, as columns of one pass over the page.
 
 Each extractor reads a Page (see page_tokens) and gives array<struct<purity, value>>, empty where it finds nothing.  Most are
-rules about a number and its neighbours; distances are counted in tokens.
+rules about a number and its neighbours; distances are counted in characters of the visible text.
 """
 
 from __future__ import annotations
@@ -16,10 +16,13 @@ from ..functions.tables import stored
 from . import page_tokens as T
 from .board import ordering_sane
 
-#: Tokens between a purity and its price: in one line, after a price in one phrase, in one headline.
-LINE, PHRASE, HEADLINE = 12, 14, 26
-#: Characters between an amount and the only purity near it.
+#: Characters between a purity and its price: in one line, after a price in one phrase, in one headline.
+LINE, PHRASE, HEADLINE = 35, 40, 80
+#: Characters on either side of an amount in which the only purity stands.
 NEAR = 45
+#: What stands at an end of the text between two numbers and does not count: a unit, a unit a gram, a currency, a bracket.
+UNIT, PER_UNIT, OF_GRAM = r"^\s*[A-Za-z]+", rf"^\s*{T.CURRENCY}?\s*(?:/|(?i:per)\b)?\s*[A-Za-z]+", r"(?:/|(?i:per)\b)\s*[A-Za-z]+\s*\(\s*$"
+MONEY, BRACKET = rf"(?:{T.CURRENCY}\s*)?$", r"\(?\s*$"
 PURITIES = [k.rstrip("K") for k in S.FRACTION]
 
 
@@ -82,11 +85,13 @@ def rows(page: T.Page) -> Column:
 
 
 def product_breakup(page: T.Page) -> Column:
-    """Metal price over net weight, of a product without stones."""
+    """Metal price over net weight, of a product without stones.  Keys of a script may be unquoted."""
+    loose = lambda read, *keys: F.coalesce(read, S.parse_amount(T.loose_member(page.html, *keys)))
     stone = T.amount(T.member(page, "diamond_price", "diamond_value", "diamondprice", "diamondvalue", "stone_price", "stone_value", "stoneprice", "stonevalue"))
     option = F.regexp_extract(T.member(page, "option1"), r"^(\d+)\s*K", 1)
     named = F.get(F.filter(page.numbers, _is_purity), F.lit(0))["s"]
-    value = F.try_divide(T.amount(T.member(page, "metal_price", "metalprice")), T.amount(T.member(page, "net_weight", "netweight")))
+    stone = loose(stone, "diamond_?price", "diamond_?value", "stone_?price", "stone_?value")
+    value = F.try_divide(loose(T.amount(T.member(page, "metal_price", "metalprice")), "metal_?price"), loose(T.amount(T.member(page, "net_weight", "netweight")), "net_?weight"))
     return F.when(F.coalesce(stone, F.lit(0.0)) > 0, _none()).otherwise(_one(F.concat(F.coalesce(F.nullif(option, F.lit("")), named), F.lit("K")), value))
 
 
@@ -104,26 +109,29 @@ def json_breakup(page: T.Page) -> Column:
 
 def labeled(page: T.Page) -> Column:
     """A purity, then a price a gram, nothing else that is a number between."""
-    return _rule(page, lambda x, p, a, b: F.when(x["post"].startswith("/ G") & p["post"].startswith("K") & (x["at"] - p["at"] <= LINE), _quote(p["s"], x["v"])))
+    return _rule(page, lambda x, p, a, b: F.when(x["post"].startswith("/ G") & p["post"].startswith("K") & (T.length_without(x["gap"], UNIT, MONEY) <= LINE), _quote(p["s"], x["v"])))
 
 
 def value_karat(page: T.Page) -> Column:
     """A price a gram, then its karat with the fineness in brackets."""
     return _rule(
         page, lambda x, p, a, b: F.when(
-            x["post"].rlike("^(₹ )?/ G") & a["post"].startswith("K ( # )") & (a["at"] - x["at"] <= PHRASE) & b["s"].isin(list(S.FINENESS)), _quote(a["s"], x["v"])))
+            x["post"].rlike("^(₹ )?/ G") & a["post"].startswith("K ( # )") & (T.length_without(x["then"], PER_UNIT) <= PHRASE) & b["s"].isin(list(S.FINENESS)), _quote(a["s"], x["v"])))
 
 
 def value_ct(page: T.Page) -> Column:
     """A price, later its unit: a gram of so many carats, in brackets."""
-    return _rule(page, lambda x, p, a, b: F.when(a["pre"].endswith("/ G (") & (a["unit"] == "ct") & a["post"].startswith("K )") & (a["at"] - x["at"] <= HEADLINE), _quote(a["s"], x["v"])))
+    return _rule(page, lambda x, p, a, b: F.when(a["pre"].endswith("/ G (") & (a["unit"] == "ct") & a["post"].startswith("K )") & (T.length_without(x["then"], OF_GRAM) <= HEADLINE), _quote(a["s"], x["v"])))
 
 
 def value_per_gm(page: T.Page) -> Column:
-    """A currency and a price of four digits a gram, then its karat."""
-    return _rule(
-        page, lambda x, p, a, b: F.when(
-            T.marked(x) & (x["digits"] >= 4) & x["post"].rlike("^(/ )?G") & (a["unit"] == "kt") & (a["at"] - x["at"] <= PHRASE), _quote(a["s"], x["v"])))
+    """A currency and a price of four digits a gram, then its karat; a bracket may open right before the karat and nowhere else between."""
+
+    def one(x, p, a, b):
+        between = F.regexp_replace(F.regexp_replace(x["then"], PER_UNIT, ""), BRACKET, "")
+        return F.when(T.marked(x) & (x["digits"] >= 4) & x["post"].rlike("^(/ )?G") & (a["unit"] == "kt") & (F.length(between) <= PHRASE) & ~F.contains(between, F.lit("(")), _quote(a["s"], x["v"]))
+
+    return _rule(page, one)
 
 
 def pregst(page: T.Page) -> Column:
@@ -154,24 +162,32 @@ def gold_value(page: T.Page) -> Column:
 
 
 def headline(page: T.Page) -> Column:
-    """A purity's gold rate, then that of one gram."""
+    """A purity's gold rate, then that of one gram; other numbers may stand between."""
+    n = page.numbers
 
-    def one(x, p, a, b):
-        of_one = (a["s"] == "1") & a["post"].startswith("G") & (b["at"] - a["at"] <= 3) & b["digits"].between(3, 7)
-        return F.when(x["post"].startswith("K gold rate") & of_one & (a["at"] - x["at"] <= HEADLINE), _quote(x["s"], b["v"]))
+    def one(x):
+        said = x["end"] + F.length(F.regexp_extract(x["then"], r"(?i)^\s*[a-z]+\s+gold\s+rate", 0))
+
+        def of_one(a, j):
+            b = F.get(n, j + 1)
+            return F.when((a["start"] >= said) & (a["start"] - said <= HEADLINE) & (a["s"] == "1") & a["post"].startswith("G") & (b["at"] - a["at"] <= 3) & b["digits"].between(3, 7), b["v"])
+
+        price = F.get(F.filter(F.transform(n, of_one), lambda v: v.isNotNull()), F.lit(0))
+        return F.when(x["post"].startswith("K gold rate"), _quote(x["s"], price))
 
-    return F.slice(_rule(page, one), 1, 1)
+    return F.slice(_valid(F.transform(n, one)), 1, 1)
 
 
 def proximity(page: T.Page) -> Column:
-    """Amounts with one purity near them; a space is counted between two tokens."""
+    """Amounts with one purity, number and K, within NEAR characters before the currency or after the amount."""
     n = page.numbers
 
     def one(x, i):
         start = F.greatest(i - NEAR // 2, F.lit(0))
         around = F.filter(F.slice(n, start + 1, NEAR), _is_purity)
-        lo, hi = (lambda y: F.least(x["at"], y["at"])), (lambda y: F.greatest(x["at"], y["at"]))
-        near = F.filter(around, lambda y: F.length(F.array_join(F.slice(page.tokens, lo(y) + 2, F.greatest(hi(y) - lo(y) - 1, F.lit(0))), " ")) <= NEAR)
+        first = x["start"] - F.length(F.regexp_extract(x["gap"], rf"{T.CURRENCY}\s*$", 0)) - NEAR
+        unit = lambda y: F.length(F.regexp_extract(y["then"], r"^\s*[A-Za-z]+", 0))
+        near = F.filter(around, lambda y: (y["start"] >= first) & (y["end"] + unit(y) <= x["end"] + NEAR))
         named = F.array_distinct(F.transform(near, lambda y: y["s"]))
         return F.when(T.marked(x) & x["digits"].between(4, 12) & (F.size(named) == 1), _quote(F.get(named, F.lit(0)), x["v"]))
 

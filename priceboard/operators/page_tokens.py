@@ -1,9 +1,11 @@
 """What the extractors read of a page: its tokens, the numbers among them, tables, and members and objects of its JSON.
 
 A text is cut into numbers, words and single marks, once.  In the canonical form of a token case is gone, and words that
-mean the same are one: a currency is ₹, a karat unit K, a gram unit G, 'per' is /, and a number is #.  Each number is then a
+mean the same are one: a currency is ₹, a karat unit K, a gram unit G, 'per' is /, and a number is # (the mark # itself is a word).  Each number is then a
 struct of its place, text, value, unit, the EARLIER canonical tokens before it and the LATER ones after it, both joined by spaces, so
-that a rule about a price is a few comparisons of neighbours instead of an expression over the text.
+that a rule about a price is a few comparisons of neighbours instead of an expression over the text.  What a number is next to is said by
+tokens; how far apart things are is counted in characters of the visible text: start and end of the number in it (prefix sums of the lengths of
+numbers and of what lies between), the text since the number before (gap) and up to the next one (then), and the SAID characters before it.
 """
 
 from __future__ import annotations
@@ -15,8 +17,12 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 
-TOKEN = r"\d[\d,]*(?:\.\d+)?|[A-Za-z]+|[^\sA-Za-z\d]"
+NUMBER = r"\d[\d,]*(?:\.\d+)?"
+TOKEN = NUMBER + r"|[A-Za-z]+|[^\sA-Za-z\d]"
 EARLIER, LATER = 16, 6
+#: Characters kept before a number: a label of 33, a currency and marks, and the 60 before the label that may advertise.
+SAID, ADVERTISED = 120, 60
+CURRENCY = r"(?:₹|(?i:rs\.?|inr))"
 #: Words of one meaning.
 MEANINGS = {
     "₹": ["rs", "inr"], "K": ["k", "kt", "karat", "carat", "ct"], "G": ["g", "gm", "gms", "gram", "grams"], "/": ["per"],
@@ -46,28 +52,37 @@ def canonical(tokens: Column) -> Column:
 
     def one(t):
         low = F.lower(t)
-        return F.when(F.substring(t, 1, 1).between("0", "9"), F.lit("#")).otherwise(F.coalesce(F.try_element_at(meaning, low), low))
+        return F.when(F.substring(t, 1, 1).between("0", "9"), F.lit("#")).when(t == "#", F.lit("hash")).otherwise(F.coalesce(F.try_element_at(meaning, low), low))
 
     return F.transform(tokens, one)
 
 
-def numbers(tokens: Column, canon: Column) -> Column:
-    """array<struct<at, s, v, digits, unit, pre, post, said>>; said: the tokens before as they are written."""
+def numbers(text: Column, tokens: Column, canon: Column) -> Column:
+    """array<struct<at, s, v, digits, unit, pre, post, said, start, end, gap, then>>."""
+    text = F.coalesce(text, F.lit(""))
     every = F.when(F.size(tokens) > 0, F.sequence(F.lit(0), F.size(tokens) - 1)).otherwise(F.array().cast("array<int>"))
     places = F.filter(every, lambda i: F.get(canon, i) == "#")
+    found, between = F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0)), F.split(text, NUMBER)
+    # a piece is what lies between and the number after it; ends are their running lengths
+    pieces = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda g, s: F.concat(g, s))
+    sums = F.aggregate(pieces, F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("ends")), lambda a, p: F.struct((a["n"] + F.length(p)).alias("n"), F.concat(a["ends"], F.array(a["n"] + F.length(p))).alias("ends")))
 
     def before(of, i, n):
         start = F.greatest(i - n, F.lit(0))
         return F.array_join(F.slice(of, start + 1, i - start), " ")
 
-    def one(i):
-        s = F.get(tokens, i)
+    def one(i, j, x):
+        s, gap, end = F.get(tokens, i), F.get(x["between"], j), F.get(x["ends"], j)
+        first = F.greatest(j - SAID // 2, F.lit(0))  # a piece has two characters or more, but for the first one
+        said = F.right(F.concat(F.array_join(F.slice(x["pieces"], first + 1, j - first), ""), gap), F.lit(SAID))
         return F.struct(
             i.alias("at"), s.alias("s"), S.parse_amount(s).alias("v"), F.length(F.replace(F.substring_index(s, ".", 1), F.lit(","), F.lit(""))).alias("digits"), F.lower(F.get(tokens, i + 1)).alias("unit"),
-            before(canon, i, EARLIER).alias("pre"), F.array_join(F.slice(canon, i + 2, LATER), " ").alias("post"), before(tokens, i, EARLIER).alias("said"),
+            before(canon, i, EARLIER).alias("pre"), F.array_join(F.slice(canon, i + 2, LATER), " ").alias("post"), said.alias("said"),
+            (end - F.length(s)).alias("start"), end.alias("end"), gap.alias("gap"), F.get(x["between"], j + 1).alias("then"),
         )
 
-    return F.transform(places, one)
+    made = F.array(F.struct(places.alias("places"), between.alias("between"), pieces.alias("pieces"), sums["ends"].alias("ends")))
+    return F.get(F.transform(made, lambda x: F.transform(x["places"], lambda i, j: one(i, j, x))), F.lit(0))
 
 
 def members(html: Column) -> Column:
@@ -81,7 +96,7 @@ def read(pages: DataFrame, html: str = "html", drop_scripts: bool = True) -> tup
     """pages with the columns of Page, and these columns."""
     p = pages.withColumns({"__t": S.visible_text(F.col(html), drop_scripts), "__m": members(F.col(html))})
     p = p.withColumn("__tokens", tokens(F.col("__t"))).withColumn("__canon", canonical(F.col("__tokens")))
-    p = p.withColumn("__numbers", numbers(F.col("__tokens"), F.col("__canon")))
+    p = p.withColumn("__numbers", numbers(F.col("__t"), F.col("__tokens"), F.col("__canon")))
     return p, Page(F.col(html), *(F.col(c) for c in ("__t", "__tokens", "__canon", "__numbers", "__m")))
 
 
@@ -100,6 +115,11 @@ def member(page: Page, *keys: str) -> Column:
     return F.get(F.filter(page.members, lambda m: F.lower(m["key"]).isin(*keys)), F.lit(0))["value"]
 
 
+def loose_member(html: Column, *keys: str) -> Column:
+    """The number after the first of these keys as scripts write them: quoted or not, with a colon, quotes and spaces between (four characters at most)."""
+    return F.nullif(F.regexp_extract(html, r"(?i)\b(?:" + "|".join(keys) + r")['\"\s:]{1,4}([0-9.]+)", 1), F.lit(""))
+
+
 def amount(text: Column) -> Column:
     """A text that is an amount and no more: a currency may be before it."""
     return S.parse_amount(F.trim(F.regexp_replace(F.trim(text), r"^(?:₹|\\u20b9|(?i:rs|inr))\.?", "")))
@@ -116,9 +136,23 @@ def marked(number: Column) -> Column:
     return number["pre"].endswith("₹") | number["pre"].endswith("₹ .")
 
 
-def promotional(said: Column) -> Column:
-    """Whether tokens advertise a reduction."""
+def promotional(text: Column) -> Column:
+    """Whether a text advertises a reduction."""
+    said = F.array_join(tokens(text), " ")
     low = F.lower(said)
     words = F.transform(F.split(low, " "), lambda w: F.rtrim(w, F.lit("s")))
     code = said.rlike(r"(?:^| )[Uu]se [A-Z]{4,}")
     return F.arrays_overlap(words, F.array(*map(F.lit, PROMO_WORDS))) | F.contains(low, F.lit("% off")) | F.contains(low, F.lit("off on")) | code
+
+
+def advertised(said: Column, label: Column) -> Column:
+    """Whether the label, or the ADVERTISED characters before it, advertise a reduction.  said: the text up to a number, which ends with the label."""
+    before = F.left(said, F.greatest(F.length(said) - F.length(label), F.lit(0)))
+    return promotional(F.right(before, F.lit(ADVERTISED))) | promotional(label)
+
+
+def length_without(text: Column, *parts: str) -> Column:
+    """Characters of a text without what the patterns match."""
+    for p in parts:
+        text = F.regexp_replace(text, p, "")
+    return F.length(text)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions.tables import shared_dir
-from ..operators import board, pages, pricing, sampling, subscribers
+from ..operators import board, extract_rates, pages, pricing, sampling, subscribers
 from ..sources import readers, sinks
 from ..streaming import jobs
 from . import bindings as B
@@ -347,3 +347,23 @@ def stream_sends(spark, sf):
     e = _stream(spark, sf, "events").filter("event_type = 'click'").select(F.col("user_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"))
     jobs.to_table(jobs.once_a_day(e), out, at)
     return spark.read.parquet(out).groupBy("id", "day").agg(F.count("*").alias("sends"))
+
+
+# ---- distances in characters
+GAPS = {
+    "labeled": (35, "<p>22 KT{}Rs. %d /gm</p>"), "value_karat": (40, "<p>%d INR/gms{}22k (916)</p>"), "value_ct": (80, "<p>Rs %d{}/Gram (22ct)</p>"),
+    "value_per_gm": (40, "<p>Rate is Rs.%d per gm{}(22kt)</p>"), "headline": (80, "<p>22Kt Gold Rate{}1 G ₹%d</p>"),
+}
+GAP_SQL = " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(GAPS))
+MOST_SQL = " ".join(f"WHEN {i} THEN {most}" for i, (most, _) in enumerate(GAPS.values()))
+
+
+@query(f"""SELECT p_partkey AS page_id, CASE p_partkey % 5 {GAP_SQL} END AS extractor, '22K' AS purity, CAST(9000 + p_partkey % 900 AS DOUBLE) AS value, 1::BIGINT AS n FROM part
+WHERE p_partkey // 5 % 100 + 2 <= CASE p_partkey % 5 {MOST_SQL} END""")
+def text_gaps(spark, sf):
+    """A page for each part, with a gap of 2 to 101 characters between the purity and the price: those within the rule's distance are read."""
+    k = F.col("p_partkey")
+    fill = F.concat(F.lit(" "), F.rpad(F.lit(""), F.floor(k / 5) % 100, "x"), F.lit(" "))
+    layout = F.element_at(F.array(*(F.lit(x) for _, x in GAPS.values())), (k % 5 + 1).cast("int"))
+    html = F.replace(F.replace(layout, F.lit("%d"), (9000 + k % 900).cast("string")), F.lit("{}"), fill)
+    return extract_rates.extract_rates(table(spark, sf, "part").select(k.alias("page_id"), html.alias("html")), {n: extract_rates.EXTRACTORS[n] for n in GAPS})
