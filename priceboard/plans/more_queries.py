@@ -324,22 +324,6 @@ def subscriber_tokens(spark, sf):
 
 
 # ---- streams
-@query("SELECT p_brand AS brand, max(p_partkey) AS at, count(*) FILTER (p_partkey % 17 = 0)::BIGINT AS hits, count(*) FILTER (p_partkey % 17 <> 0)::BIGINT AS misses FROM part GROUP BY 1")
-def stream_profiles(spark, sf):
-    out, at = _paths(spark, "profiles")
-    old = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", jobs.ROCKS)
-    try:
-        p = _stream(spark, sf, "part").select(F.col("p_brand").alias("brand"), F.when(F.col("p_partkey") % 17 == 0, F.col("p_type")).alias("strategy"), F.col("p_partkey").alias("at"))
-        q = jobs.learn_profiles(p).writeStream.outputMode("update").option("checkpointLocation", at).trigger(availableNow=True)
-        q.foreachBatch(lambda b, n: b.write.mode("append").parquet(out)).start().awaitTermination()
-    finally:
-        spark.conf.unset("spark.sql.streaming.stateStore.providerClass") if old is None else spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
-    latest = spark.read.parquet(out).groupBy("brand").agg(F.max("hits").cast("long").alias("hits"), F.max("misses").cast("long").alias("misses"))
-    last = table(spark, sf, "part").groupBy(F.col("p_brand").alias("brand")).agg(F.max("p_partkey").alias("at"))
-    return latest.join(last, "brand").select("brand", "at", "hits", "misses")
-
-
 @query("SELECT user_id AS id, CAST(ts AS DATE) AS day, 1::BIGINT AS sends FROM events WHERE event_type = 'click' GROUP BY ALL")
 def stream_sends(spark, sf):
     """One send of each subscriber and day."""

@@ -796,21 +796,6 @@ def stream_daily_hits(spark, sf):
     return spark.read.parquet(out).crossJoin(F.broadcast(last)).filter("day < date_sub(last, 2)").select("day", "views")
 
 
-@query(SQL["click_debounce"])
-def stream_debounce(spark, sf):
-    out, at = _paths(spark, "debounce")
-    old = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", jobs.ROCKS)
-    try:
-        k = F.get_json_object("props", "$.k").cast("int")
-        e = _stream(spark, sf, "events").filter("event_type = 'click'")
-        clicks = e.select(F.col("user_id").alias("session_id"), F.concat(F.lit("l"), (k % 3).cast("string")).alias("label"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), F.col("event_id").alias("id"))
-        jobs.to_table(jobs.debounce(clicks, 86_400_000), out, at)
-    finally:
-        spark.conf.unset("spark.sql.streaming.stateStore.providerClass") if old is None else spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
-    return spark.read.parquet(out)
-
-
 # ---- runs
 from . import runs  # noqa: E402
 

@@ -1,7 +1,9 @@
-"""Registered queries of streams that merge into a stored table."""
+"""Registered queries of streams: merges into stored tables, visitors, and states that end."""
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -12,7 +14,7 @@ from ..streaming.store import Store, by_hash, by_month, snapshot_step
 from . import bindings as B
 from .bindings import D
 from .more_queries import LAST, _at
-from .queries import SQL, _day, query
+from .queries import V, SQL, _day, query
 
 
 def _files(spark, df, name, n=3):
@@ -62,3 +64,58 @@ def stream_subscribers(spark, sf):
     key = F.pmod(F.xxhash64(S.email_key(F.col("email"))), F.lit(16)).cast("string")
     jobs.for_each_batch(stream, at, store.step(merge, at, part=key)).awaitTermination()
     return store.read(spark).select("key", "name", "city")
+
+
+# ---- visitors and states
+@query(f"{V}, v AS (SELECT * FROM views WHERE session_id IS NOT NULL) SELECT day, count(DISTINCT session_id) AS visitors FROM v WHERE day < (SELECT max(day) FROM v) - 2 GROUP BY 1")
+def stream_daily_visitors(spark, sf):
+    """Views arrive up to forty hours after later ones; the days that the watermark has closed."""
+    out, at, src = _at(spark, "visitors"), _at(spark, "checkpoint"), _at(spark, "views")
+    v = B.views(spark, sf).select(F.col("ts").cast("timestamp").alias("ts"), "session_id", (F.unix_seconds(F.col("ts").cast("timestamp")) + F.col("id") % 5 * 36_000).alias("arrives"))
+    v.repartitionByRange(4, "arrives").write.parquet(f"{src}-all")
+    order = spark.read.parquet(f"{src}-all")
+    bounds = order.agg(F.percentile_approx("arrives", [0.25, 0.5, 0.75])).first()[0]
+    for k, (a, b) in enumerate(zip([None, *bounds], [*bounds, None], strict=True)):  # files in the order of arrival
+        own = order.filter((F.lit(a is None) | (F.col("arrives") > F.lit(a))) & (F.lit(b is None) | (F.col("arrives") <= F.lit(b))))
+        own.coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(order.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    jobs.to_table(jobs.daily_visitors(stream), out, at)
+    last = B.views(spark, sf).agg(F.max("day").alias("last"))  # one row
+    return spark.read.parquet(out).crossJoin(F.broadcast(last)).filter("day < date_sub(last, 2)").select("day", "visitors")
+
+
+@contextmanager
+def _rocks(spark):
+    key = "spark.sql.streaming.stateStore.providerClass"
+    old = spark.conf.get(key, None)
+    spark.conf.set(key, jobs.ROCKS)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if old is None else spark.conf.set(key, old)
+
+
+DAY_MS = 86_400_000
+CLOSED = f"(SELECT (max(epoch_ms(ts)) - {DAY_MS}) // {DAY_MS} * {DAY_MS} FROM events WHERE event_type = 'click')"
+
+
+@query(SQL["click_debounce"].replace("SELECT session_id, id FROM w WHERE kept", f"SELECT w.session_id, w.id FROM w JOIN clicks USING (id) WHERE kept AND clicks.ms < {CLOSED}"))
+def stream_debounce(spark, sf):
+    """Buckets of a day, and a watermark of a day: the clicks of the days that it has closed."""
+    out, at = _at(spark, "debounce"), _at(spark, "checkpoint")
+    with _rocks(spark):
+        c = B.clicks(spark, sf).select("session_id", "label", "ms", "id", F.col("ts").cast("timestamp").alias("ts"))
+        jobs.to_table(jobs.debounce(_files(spark, c, "clicks", 1), DAY_MS, "1 day", DAY_MS), out, at)
+    return spark.read.parquet(out)
+
+
+@query("""SELECT p_brand AS brand, arg_max(p_type, p_partkey) FILTER (p_partkey % 17 = 0) AS strategy, count(*) FILTER (p_partkey % 17 = 0)::BIGINT AS hits, count(*) FILTER (p_partkey % 17 <> 0)::BIGINT AS misses,
+1000 * (max(p_partkey) + 86400) AS seen FROM part GROUP BY 1""")
+def stream_profiles(spark, sf):
+    out, at = _at(spark, "profiles"), _at(spark, "checkpoint")
+    with _rocks(spark):
+        p = B.table(spark, sf, "part").select(F.col("p_brand").alias("brand"), F.when(F.col("p_partkey") % 17 == 0, F.col("p_type")).alias("strategy"), F.timestamp_seconds(F.col("p_partkey") + 86_400).alias("ts"))
+        q = jobs.learn_profiles(_files(spark, p, "results", 2)).writeStream.outputMode("update").option("checkpointLocation", at).trigger(availableNow=True)
+        q.foreachBatch(lambda b, n: b.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{out}/v{n}")).start().awaitTermination()
+    rows = spark.read.parquet(f"{out}/v*")
+    return rows.groupBy("brand").agg(F.max_by(F.struct("strategy", "hits", "misses", "seen"), F.struct("batch", F.col("hits") + F.col("misses"))).alias("r")).select("brand", "r.*")

@@ -1,4 +1,4 @@
-"""Streams: daily rollups, click debounce, intraday merges, profile learning, send guard."""
+"""Streams: daily rollups, click debounce, profile learning, send guard; merges are in store."""
 
 from __future__ import annotations
 
@@ -23,65 +23,112 @@ def daily_views(views: DataFrame, late: str = "2 days") -> DataFrame:
 
 
 def daily_visitors(views: DataFrame, late: str = "2 days") -> DataFrame:
-    """ts, session_id.  Distinct sessions per local day: duplicates are dropped within the watermark, then counted."""
-    v = views.withColumn("day", S.local_day(F.col("ts"))).withWatermark("ts", late).dropDuplicatesWithinWatermark(["day", "session_id"])
+    """ts, session_id.  Distinct sessions per local day: duplicates are dropped within the watermark, then counted by the day's window.  The watermark must
+    wait a day or longer, since two views of a day may be that far apart."""
+    length = views.sparkSession.sql(f"SELECT INTERVAL '0' SECOND + INTERVAL {late} >= INTERVAL '1' DAY").first()[0]
+    if not length:
+        raise ValueError("the watermark must wait a day or longer")
+    v = views.filter(F.coalesce(F.col("session_id").cast("string"), F.lit("")) != "")
+    v = v.withColumn("day", S.local_day(F.col("ts"))).withWatermark("ts", late).dropDuplicatesWithinWatermark(["day", "session_id"])
     w = F.window("ts", "1 day", "1 day", MIDNIGHT)
     return v.groupBy(w).agg(F.count("*").alias("visitors")).select(S.local_day(F.col("window.start")).alias("day"), "visitors")
 
 
 class Debounce(StatefulProcessor):
-    """Keeps the label and time of each session's last kept click."""
+    """Clicks of a session wait in buckets of width_ms until the watermark has passed a bucket's end; then the bucket is gone through in order, with the label and
+    time of the session's last kept click as state.  That state ends gap_ms after the click, since no later one depends on it."""
 
-    def __init__(self, gap_ms: int = 2000):
-        self.gap = gap_ms
+    def __init__(self, gap_ms: int = 2000, width_ms: int = 60_000):
+        self.gap, self.width = gap_ms, width_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "bucket long", "ms array<long>, id array<long>, label array<string>")
         self.last = handle.getValueState("last", "label string, ms long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        closed = timerValues.getCurrentWatermarkInMs()
+        for frame in rows:
+            for bucket, own in frame.groupby(frame["ms"] // self.width):
+                end = (int(bucket) + 1) * self.width
+                if end <= closed:
+                    continue  # too late: its bucket has been gone through
+                new = [[int(x) for x in own["ms"]], [int(x) for x in own["id"]], [None if pd.isna(x) else str(x) for x in own["label"]]]
+                if self.waiting.containsKey((int(bucket),)):
+                    new = [[*a, *b] for a, b in zip(self.waiting.getValue((int(bucket),)), new, strict=True)]
+                else:
+                    self.handle.registerTimer(end)
+                self.waiting.updateValue((int(bucket),), tuple(new))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now, kept = expiredTimerInfo.getExpiryTimeInMs(), []
         label, ms = self.last.get() if self.last.exists() else (None, None)
-        kept = []
-        for x in pd.concat(list(rows)).sort_values(["ms", "id"]).itertuples():
-            if label == x.label and x.ms - ms < self.gap:
-                continue
-            label, ms = x.label, int(x.ms)
-            kept.append(int(x.id))
-        if label is not None:
+        for bucket in sorted(k[0] for k in self.waiting.keys()):
+            if (bucket + 1) * self.width > now:
+                break
+            for at, i, own in sorted(zip(*self.waiting.getValue((bucket,)), strict=True), key=lambda x: x[:2]):
+                if ms is not None and label is not None and label == own and at - ms < self.gap:
+                    continue
+                label, ms = own, at
+                kept.append(i)
+            self.waiting.removeKey((bucket,))
+        if ms is not None and ms + self.gap <= now:
+            self.last.clear()
+        elif ms is not None:
             self.last.update((label, ms))
+            self.handle.registerTimer(-(-(ms + self.gap) // self.width) * self.width)
         yield pd.DataFrame({"session_id": [key[0]] * len(kept), "id": kept})
 
     def close(self) -> None:
         pass
 
 
-def debounce(clicks: DataFrame, gap_ms: int = 2000) -> DataFrame:
-    """session_id long, label, ms, id.  Needs the RocksDB state store."""
-    return clicks.groupBy("session_id").transformWithStateInPandas(Debounce(gap_ms), "session_id long, id long", "append", "none")
+def debounce(clicks: DataFrame, gap_ms: int = 2000, late: str = "1 hour", width_ms: int = 60_000) -> DataFrame:
+    """session_id long, label, ms, id, ts.  session_id and id of the kept clicks, once the watermark has passed them; later ones are dropped.  Needs the RocksDB state store."""
+    c = clicks.select("session_id", "label", "ms", "id", "ts").withWatermark("ts", late)
+    return c.groupBy("session_id").transformWithStateInPandas(Debounce(gap_ms, width_ms), "session_id long, id long", "append", "eventTime")
 
 
 class Learn(StatefulProcessor):
-    """A brand's strategy, hits and misses in arrival order."""
+    """A brand's latest strategy, its hits and misses.  Frames are folded one by one, in whatever order rows come.  A brand without results for keep_ms begins anew."""
+
+    def __init__(self, keep_ms: int):
+        self.keep = keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.profile = handle.getValueState("profile", "strategy string, hits int, misses int")
+        self.handle = handle
+        self.profile = handle.getValueState("profile", "strategy string, found long, hits long, misses long, seen long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        strategy, hits, misses = self.profile.get() if self.profile.exists() else (None, 0, 0)
-        for x in pd.concat(list(rows)).sort_values("at").itertuples():
-            if x.strategy is None or x.strategy != x.strategy:
-                misses += 1
-            else:
-                strategy, hits = x.strategy, hits + 1
-        self.profile.update((strategy, int(hits), int(misses)))
-        yield pd.DataFrame({"brand": [key[0]], "strategy": [strategy], "hits": [hits], "misses": [misses]})
+        strategy, found, hits, misses, seen = self.profile.get() if self.profile.exists() else (None, None, 0, 0, 0)
+        if seen + self.keep <= timerValues.getCurrentWatermarkInMs():  # its timer is due after these rows
+            strategy, found, hits, misses, seen = None, None, 0, 0, 0
+        for frame in rows:
+            good = frame[frame["strategy"].notna()]
+            hits, misses = hits + len(good), misses + len(frame) - len(good)
+            if len(good) and (found is None or good["ms"].max() >= found):
+                best = good.loc[good["ms"].idxmax()]
+                strategy, found = str(best["strategy"]), int(best["ms"])
+            seen = max(seen, int(frame["ms"].max()))
+        self.profile.update((strategy, found, int(hits), int(misses), seen))
+        self.handle.registerTimer(seen + self.keep)
+        yield pd.DataFrame({"brand": [key[0]], "strategy": [strategy], "hits": [hits], "misses": [misses], "seen": [seen]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.profile.exists() and self.profile.get()[4] + self.keep <= expiredTimerInfo.getExpiryTimeInMs():
+            self.profile.clear()
+        return iter(())
 
     def close(self) -> None:
         pass
 
 
-def learn_profiles(results: DataFrame) -> DataFrame:
-    """brand, strategy (null: a miss), at."""
-    return results.groupBy("brand").transformWithStateInPandas(Learn(), "brand string, strategy string, hits int, misses int", "update", "none")
+def learn_profiles(results: DataFrame, late: str = "1 day", keep_days: int = 90) -> DataFrame:
+    """brand, strategy (null: a miss), ts.  The brand's profile after each batch that has results of it (more than once where they come in several parts: the one of the most
+    results counts); seen: the time of the latest, in milliseconds."""
+    r = results.select("brand", "strategy", "ts", F.unix_millis("ts").alias("ms")).withWatermark("ts", late)
+    return r.groupBy("brand").transformWithStateInPandas(Learn(keep_days * 86_400_000), "brand string, strategy string, hits long, misses long, seen long", "update", "eventTime")
 
 
 def once_a_day(sends: DataFrame, late: str = "2 days") -> DataFrame:
