@@ -112,7 +112,9 @@ def news_rows(*parts: DataFrame, as_of: Column, days: int = 2, most: int = 100)
 
 
 def dedupe_news(items: DataFrame, most: int = 14) -> DataFrame:
-    """items: place, title, source, link, published.  First item of each title, in feed order."""
+    """items: feed (0 where it is missing), place, title, source, link, published.  First item of each title, in the order of feeds and of places in them; ties by link."""
+    if "feed" not in items.columns:
+        items = items.withColumn("feed", F.lit(0))
     t = items.withColumn("title", S.headline(S.html_unescape(F.col("title")), F.col("source"))).filter("title is not null")
-    first = t.groupBy(F.lower("title").alias("k")).agg(F.min_by(F.struct("place", "title", "source", "link", "published"), "place").alias("r"))
-    return first.select("r.*").orderBy("place").limit(most)
+    first = t.groupBy(F.lower("title").alias("k")).agg(F.min_by(F.struct("feed", "place", "title", "source", "link", "published"), F.struct("feed", "place", "link", "title")).alias("r"))
+    return first.select("r.*").orderBy("feed", "place", "link").limit(most)

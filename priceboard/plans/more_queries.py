@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions.tables import shared_dir
-from ..operators import board, extract_rates, pages, pricing, sampling, subscribers
+from ..operators import board, extract_rates, pages, pricing, robust, sampling, subscribers
 from ..sources import readers, sinks
 from ..streaming import jobs
 from . import bindings as B
@@ -126,10 +126,11 @@ def feed_of_the_day(spark, sf):
     return body.select(F.explode(F.from_json("body", "struct<rates:array<struct<name:string,canonical:double>>>")["rates"]).alias("r")).select("r.*")
 
 
-@query("SELECT p_brand AS name, count(*) AS offers, count(DISTINCT p_type) AS categories FROM part GROUP BY 1 UNION ALL SELECT 'Market median', (SELECT count(*) FROM (SELECT DISTINCT p_type, p_size % 2 FROM part)), (SELECT count(DISTINCT p_type) FROM part)")
+@query(f"""WITH p AS (SELECT p_brand AS name, p_type AS category, CASE WHEN p_size % 2 = 0 THEN '22K' ELSE '18K' END AS karat, p_retailprice AS rate, CAST(p_size AS DOUBLE) AS pct FROM part)
+SELECT * FROM p UNION ALL SELECT 'Market median', category, karat, {D('median(rate)')}, {D('median(pct)', 1)} FROM p GROUP BY category, karat""")
 def offers_with_median(spark, sf):
     p = table(spark, sf, "part").select(F.col("p_brand").alias("name"), F.col("p_type").alias("category"), F.when(F.col("p_size") % 2 == 0, "22K").otherwise("18K").alias("karat"), F.col("p_retailprice").alias("rate"), F.col("p_size").cast("double").alias("pct"))
-    return runs.with_market_median(p).groupBy("name").agg(F.count("*").alias("offers"), F.count_distinct("category").alias("categories"))
+    return runs.with_market_median(p).select("name", "category", "karat", "rate", "pct")
 
 
 @query(f"""WITH v AS (SELECT p_brand AS name, p_type AS category, CAST(max(p_size) AS DOUBLE) AS pct FROM part WHERE p_partkey % 3 = 0 AND p_brand <> 'Brand#11' GROUP BY ALL), b AS (SELECT DISTINCT p_brand AS name FROM part), m AS (SELECT category, median(pct) AS pct FROM v GROUP BY 1),
@@ -351,3 +352,98 @@ def text_gaps(spark, sf):
     layout = F.element_at(F.array(*(F.lit(x) for _, x in GAPS.values())), (k % 5 + 1).cast("int"))
     html = F.replace(F.replace(layout, F.lit("%d"), (9000 + k % 900).cast("string")), F.lit("{}"), fill)
     return extract_rates.extract_rates(table(spark, sf, "part").select(k.alias("page_id"), html.alias("html")), {n: extract_rates.EXTRACTORS[n] for n in GAPS})
+
+
+# ---- XML documents and the archive
+URLS = "u AS (SELECT page_id, 'https://shop.example.com/p/' || page_id || '?a=1&b=<' || page_id || '>' AS loc FROM pages)"
+
+
+def _urls(spark, sf):
+    k = F.col("page_id").cast("string")
+    return table(spark, sf, "pages").select("page_id", F.concat(F.lit("https://shop.example.com/p/"), k, F.lit("?a=1&b=<"), k, F.lit(">")).alias("loc"))
+
+
+@query(f"WITH {URLS} SELECT loc, DATE '2024-01-01' + CAST(page_id % 28 AS INT) AS lastmod, CASE WHEN page_id % 2 = 0 THEN 'daily' ELSE 'monthly' END AS changefreq, CAST(page_id % 10 AS DOUBLE) / 10 AS priority FROM u")
+def sitemap_files(spark, sf):
+    """urlset documents, written and read back."""
+    k, at = F.col("page_id"), _at(spark, "sitemap")
+    rows = _urls(spark, sf).select("loc", F.date_add(_day("2024-01-01"), (k % 28).cast("int")).alias("lastmod"), F.when(k % 2 == 0, "daily").otherwise("monthly").alias("changefreq"), ((k % 10) / 10).alias("priority"))
+    sinks.write_sitemap(rows, at)
+    return readers.read_sitemap_files(spark, at)
+
+
+@query(f"WITH {URLS} SELECT loc FROM u")
+def sitemap_nested(spark, sf):
+    """Documents that the writers made, found from an index of their names; with a root of prefixed names, CDATA and attributes beside them."""
+    at, index = _at(spark, "sitemap"), _at(spark, "index")
+    u = _urls(spark, sf)
+    sinks.write_sitemap(u.filter("page_id % 2 = 0").select("loc", _day("2024-01-01").alias("lastmod"), F.lit("daily").alias("changefreq"), F.lit(0.5).alias("priority")).repartition(3), at)
+    files = spark.read.format("binaryFile").load(at).select(F.concat(F.lit("https://shop.example.com/sitemap_"), F.regexp_extract("path", "[^/]+$", 0)).alias("url"), F.decode("content", "UTF-8").alias("body"))
+    files = files.withColumn("url", F.regexp_replace("url", r"(\.xml)?$", ".xml"))
+    prefixed = F.concat(F.lit('<?xml version="1.0"?><!-- '), F.lit("x" * 120), F.lit(' --><s:urlset xmlns:s="http://www.sitemaps.org/schemas/sitemap/0.9" xmlns:i="http://www.example.com/image"><s:url id="1"><s:loc lang="en"><![CDATA['), "loc", F.lit("]]></s:loc><i:image><i:loc>https://no.example.com/x</i:loc></i:image></s:url></s:urlset>"))
+    other = u.filter("page_id % 2 = 1").select(F.concat(F.lit("https://shop.example.com/sitemap_"), "page_id", F.lit(".xml")).alias("url"), prefixed.alias("body"))
+    every = files.unionByName(other)
+    sinks.write_sitemap_index(every.select(F.col("url").alias("loc")), index)
+    root = spark.read.format("binaryFile").load(index).select(F.lit("https://shop.example.com/sitemap.xml").alias("url"), F.decode("content", "UTF-8").alias("body"))
+    return readers.read_sitemaps(every.unionByName(root), root.select("url"))
+
+
+@query("""SELECT page_id AS feed, n::INT AS place, 'Item ' || n || ' & more of ' || page_id AS title, 'https://n.example.com/' || page_id || '?i=' || n || '&x=1' AS link, CASE WHEN n = 0 THEN 'Paper' END AS source,
+ DATE '2024-03-05' AS published FROM pages, generate_series(0, 2) g(n)""")
+def news_feeds(spark, sf):
+    """Feeds of three items each: attributes, CDATA, entities, other elements; every third one is no XML document."""
+    k = F.col("page_id").cast("string")
+    item = lambda n, title: F.concat(F.lit(f'<item a="1"><title>{title[0]}Item {n} {title[1]} more of ' if n else f"<item><title>{title[0]}Item {n} {title[1]} more of "), k, F.lit(f"{title[2]}</title><link>https://n.example.com/"), k, F.lit(f"?i={n}&amp;x=1</link>" + ('<source url="https://p.example.com">Paper</source>' if n == 0 else "") + "<pubDate>Tue, 05 Mar 2024 10:00:00 GMT</pubDate></item>"))
+    plain, cdata = ("", "&amp;", ""), ("<![CDATA[", "&", "]]>")
+    body = F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?><rss version="2.0" xmlns:d="http://www.example.com/d"><channel><title>All</title><d:x>1</d:x>'), item(0, plain), item(1, cdata), item(2, plain), F.lit("</channel></rss>"))
+    loose = F.concat(F.lit("<p>"), item(0, cdata), item(1, plain).substr(F.lit(1), F.lit(10_000)), item(2, plain))
+    loose = F.replace(loose, F.lit('<item a="1">'), F.lit("<item>"))
+    feeds = table(spark, sf, "pages").select(F.col("page_id").alias("feed"), F.when(F.col("page_id") % 3 == 0, loose).otherwise(body).alias("body"))
+    return readers.read_news_rss(feeds).withColumn("published", F.to_date("published"))
+
+
+@query("SELECT page_id, DATE '2024-01-01' + CAST(page_id % 300 AS INT) AS day, CASE page_id % 2 WHEN 0 THEN 'Navi Mumbai' ELSE 'Pune' END AS place, length(html) AS characters FROM pages")
+def page_archive(spark, sf):
+    """A page a place and day, one file each, read back with what the file system says."""
+    k, at = F.col("page_id"), _at(spark, "archive")
+    day = F.date_add(_day("2024-01-01"), (k % 300).cast("int"))
+    name = F.concat(F.lit("gold-rate-"), F.when(k % 2 == 0, "navi-mumbai").otherwise("pune"), F.lit("-"), S.date_slug(day), F.lit(".html"))
+    own = table(spark, sf, "pages").select(k, F.concat(F.lit("p"), k.cast("string"), F.lit("/")).alias("id"), name.alias("name"), "html")
+    readers.write_page_archive(own.select(F.concat("id", "name").alias("name"), F.concat("id", F.translate("html", "\n\r", "  ")).alias("html")), at)
+    a = readers.read_page_archive(spark, at).filter("bytes > 0 AND saved IS NOT NULL")
+    text = F.regexp_replace("html", "\n$", "")
+    return a.select(F.regexp_extract("html", r"^p(\d+)/", 1).cast("long").alias("page_id"), "day", "place", F.length(F.regexp_replace(text, r"^p\d+/", "")).cast("long").alias("characters"))
+
+
+# ---- the making-charge dashboard
+DASH = f"""{B.LIVE}, of AS (SELECT s_name AS brand, p_type AS category, p_retailprice / 100 + CAST(p_size AS DOUBLE) / 10 AS pct FROM part JOIN supplier ON s_suppkey = p_partkey % (SELECT count(*) FROM supplier)),
+m0 AS (SELECT brand, category, median(pct) AS md, count(*) AS n FROM of GROUP BY ALL), d0 AS (SELECT of.*, md, n, abs(pct - md) AS dv FROM of JOIN m0 USING (brand, category)), a0 AS (SELECT brand, category, median(dv) AS mad FROM d0 GROUP BY ALL),
+k0 AS (SELECT d0.*, CASE WHEN n < 4 OR mad = 0 THEN true ELSE abs(CAST(0.6745 AS DOUBLE) * (pct - md) / mad) <= CAST(3.5 AS DOUBLE) END AS kept FROM d0 JOIN a0 USING (brand, category)),
+su0 AS (SELECT brand, category, count(*) FILTER (kept) AS items, {D('median(pct) FILTER (kept)', 1)} AS median_pct FROM k0 GROUP BY ALL),
+prices AS (SELECT l.name, s.category, v.karat, {D('l.canonical * v.f')} AS rate, s.median_pct AS pct, s.items, CASE WHEN items >= 12 THEN 'high' WHEN items >= 5 THEN 'medium' WHEN items > 0 THEN 'low' ELSE 'none' END AS confidence
+  FROM live l JOIN su0 s ON s.brand = l.name, (VALUES ('24K', CAST(1 AS DOUBLE)), ('22K', CAST(22 AS DOUBLE) / 24), ('18K', CAST(0.75 AS DOUBLE))) v(karat, f)),
+sc0 AS (SELECT o_orderkey AS scenario, (SELECT list(DISTINCT p_type ORDER BY p_type) FROM part)[o_orderkey % 6 + 1] AS category, ['24K', '22K', '18K'][o_orderkey % 3 + 1] AS karat, CAST(1 + o_orderkey % 20 AS DOUBLE) AS weight FROM orders),
+costs AS (SELECT scenario, name, rate, pct, {D('(weight * rate + weight * rate * pct / 100) * CAST(1.03 AS DOUBLE)')} AS total FROM sc0 JOIN prices USING (category, karat))"""
+
+
+def _dashboard(spark, sf):
+    suppliers = table(spark, sf, "supplier")
+    p = table(spark, sf, "part").crossJoin(F.broadcast(suppliers.agg(F.count("*").alias("n"))))  # one row
+    of = p.join(suppliers, F.col("s_suppkey") == F.col("p_partkey") % F.col("n")).select(F.col("s_name").alias("brand"), F.col("p_type").alias("category"), (F.col("p_retailprice") / 100 + F.col("p_size") / 10).alias("pct"))
+    kinds = table(spark, sf, "part").agg(F.array_sort(F.collect_set("p_type")).alias("kinds"))  # a few categories
+    k = F.col("o_orderkey")
+    karat = F.get(F.array(*map(F.lit, runs.KARATS)), (k % 3).cast("int"))
+    scenarios = table(spark, sf, "orders").crossJoin(F.broadcast(kinds)).select(k.alias("scenario"), F.get("kinds", (k % 6).cast("int")).alias("category"), karat.alias("karat"), (1 + k % 20).cast("double").alias("weight"))
+    return runs.making_dashboard(B.live_rows(spark, sf), robust.summarize(of, ["brand", "category"], "pct"), scenarios, 100_000.0)
+
+
+@query(f"WITH {DASH} SELECT * FROM prices")
+def dashboard_prices(spark, sf):
+    """Charges of parts by their supplier, with the supplier's live ladder from lineitem."""
+    return _dashboard(spark, sf)["prices"]
+
+
+@query(f"""WITH {DASH}
+SELECT scenario, min_by(name, (rate, name)) AS least_rate_brand, min_by(name, (total, name)) AS least_total_brand, {D('min_by(total, (rate, name)) - min(total)')} AS extra_cost FROM costs GROUP BY scenario""")
+def dashboard_traps(spark, sf):
+    return _dashboard(spark, sf)["traps"]

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions import tables
-from ..operators import board, extract_making, extract_rates, robust, sampling, search
+from ..operators import board, extract_making, extract_rates, pricing, robust, sampling, search
+from ..operators.selection import medians
 from ..sources import sinks
 
 
@@ -49,12 +50,28 @@ def search_report(rows: DataFrame, aged: DataFrame) -> dict[str, DataFrame]:
 
 def with_market_median(prices: DataFrame) -> DataFrame:
     """prices: name, category, karat, rate, pct; adds the median of each category and karat under a name of its own."""
-    mid = prices.groupBy("category", "karat").agg(S.rounded(F.median("rate")).alias("rate"), S.rounded(F.median("pct"), 1).alias("pct"))
+    rate, pct = (medians(prices, ["category", "karat"], c).drop("n").withColumnRenamed("m", c) for c in ("rate", "pct"))
+    mid = rate.join(pct, ["category", "karat"]).select("category", "karat", S.rounded(F.col("rate")).alias("rate"), S.rounded(F.col("pct"), 1).alias("pct"))
     return prices.unionByName(mid.withColumn("name", F.lit("Market median")))
 
 
 def top_discovered(found: DataFrame, k: int = 3) -> DataFrame:
     """found: brand, url, score, place.  The k best URLs of each brand with a score above zero; a URL counts where it came first."""
     first = found.filter("score > 0").groupBy("brand", "url").agg(F.max("score").alias("score"), F.min("place").alias("place"))
-    w = Window.partitionBy("brand").orderBy(F.desc("score"), "place")
+    w = Window.partitionBy("brand").orderBy(F.desc("score"), "place", "url")
     return first.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+#: The karats that the dashboard prices.
+KARATS = ["24K", "22K", "18K"]
+
+
+def making_dashboard(live: DataFrame, summaries: DataFrame, scenarios: DataFrame, budget: float) -> dict[str, DataFrame]:
+    """live: name, canonical (the day's rates); summaries: brand, category, median_pct, items, confidence; scenarios: scenario, category, karat, weight.
+    Charges meet the live ladder by the brand's name: brands without a rate or without charges are not priced.  prices: a row per brand, category and karat; costs: what
+    each scenario costs at each brand; traps: where the least rate is not the least total; grams: what the budget buys."""
+    ladder = board.ladder_long(live, ["name"]).filter(F.col("purity").isin(KARATS)).select("name", F.col("purity").alias("karat"), "rate")
+    charges = summaries.select(F.col("brand").alias("name"), "category", F.col("median_pct").alias("pct"), "items", "confidence")
+    prices = tables.stored(ladder.join(charges, "name"), "dashboard")
+    costs = pricing.scenario_costs(scenarios, prices)
+    return {"prices": prices, "costs": costs, "traps": pricing.cheapest_trap(costs), "grams": pricing.budget_board(prices.filter("karat = '22K'"), budget)}

@@ -51,8 +51,24 @@ def read_pages(df: DataFrame, min_len: int = 500) -> DataFrame:
     return df.filter(ok & (F.length("html") > min_len))
 
 
+#: What is read of a sitemap, whichever of the two documents it is; and of a feed.
+SITEMAP = "url array<struct<loc:string>>, sitemap array<struct<loc:string>>"
+FEED = "channel struct<item:array<struct<title:string,link:string,source:struct<_VALUE:string,_url:string>,pubDate:string>>>"
+LENIENT = {"ignoreNamespace": "true", "mode": "PERMISSIVE"}
+
+
 def locs(xml: Column) -> Column:
-    return F.transform(F.regexp_extract_all(xml, F.lit(r"(?is)<loc>\s*(?:<!\[CDATA\[)?\s*(.*?)\s*(?:\]\]>)?\s*</loc>"), F.lit(1)), S.html_unescape)
+    """The locations of a sitemap or an index of sitemaps: namespaces, CDATA, attributes and entities are XML's.  Text that is no such document is searched for loc elements."""
+    doc = F.from_xml(F.trim(xml), SITEMAP, LENIENT)
+    parsed = F.transform(F.concat(F.coalesce(doc["url"], F.array().cast("array<struct<loc:string>>")), F.coalesce(doc["sitemap"], F.array().cast("array<struct<loc:string>>"))), lambda u: F.trim(u["loc"]))
+    searched = F.transform(F.regexp_extract_all(xml, F.lit(r"(?is)<loc>\s*(?:<!\[CDATA\[)?\s*(.*?)\s*(?:\]\]>)?\s*</loc>"), F.lit(1)), S.html_unescape)
+    found = F.filter(parsed, lambda x: x.isNotNull() & (x != ""))
+    return F.when(F.size(found) > 0, F.transform(found, S.html_unescape)).otherwise(searched)
+
+
+def read_sitemap_files(spark: SparkSession, path: str) -> DataFrame:
+    """loc, lastmod, changefreq, priority of the url elements of sitemap files."""
+    return spark.read.format("xml").option("rowTag", "url").schema("loc string, lastmod date, changefreq string, priority double").load(path)
 
 
 def read_sitemaps(files: DataFrame, roots: DataFrame, depth: int = 2) -> DataFrame:
@@ -84,10 +100,21 @@ def read_rate_api_json(df: DataFrame, fields: dict[str, str] = RATE_API) -> Data
 
 
 def read_news_rss(df: DataFrame) -> DataFrame:
-    """df: body of saved feeds.  place (in the feed), title, link, source, published."""
-    items = df.select(F.posexplode(F.regexp_extract_all("body", F.lit(r"(?is)<item>(.*?)</item>"), F.lit(1))).alias("place", "i"))
-    tag = lambda t: S.clean_text(F.regexp_extract("i", rf"(?is)<{t}[^>]*>\s*(?:<!\[CDATA\[)?(.*?)(?:\]\]>)?\s*</{t}>", 1))
-    return items.select("place", tag("title").alias("title"), tag("link").alias("link"), tag("source").alias("source"), S.pub_date(tag("pubDate")).alias("published"))
+    """df: body of saved feeds, and feed (their order; 0 where it is missing).  feed, place (in the feed), title, link, source, published.  A feed that is no XML document
+    is searched for item elements."""
+    if "feed" not in df.columns:
+        df = df.withColumn("feed", F.lit(0))
+
+    def text(i, t):
+        own = F.regexp_extract(i, rf"(?is)<{t}[^>]*>\s*(.*?)\s*</{t}>", 1)
+        plain = F.regexp_extract(own, r"(?s)^<!\[CDATA\[(.*)\]\]>$", 1)
+        return F.when(own.startswith("<![CDATA["), plain).otherwise(S.html_unescape(own))
+
+    row = lambda title, link, source, day: F.struct(title.alias("title"), link.alias("link"), source.alias("source"), day.alias("day"))
+    parsed = F.transform(F.from_xml(F.trim("body"), FEED, LENIENT)["channel"]["item"], lambda i: row(i["title"], i["link"], i["source"]["_VALUE"], i["pubDate"]))
+    searched = F.transform(F.regexp_extract_all("body", F.lit(r"(?is)<item>(.*?)</item>"), F.lit(1)), lambda i: row(*(text(i, t) for t in ("title", "link", "source", "pubDate"))))
+    items = df.select("feed", F.posexplode(F.coalesce(parsed, searched)).alias("place", "i"))
+    return items.select("feed", "place", *(S.clean_text(F.col(f"i.{c}")).alias(c) for c in ("title", "link", "source")), S.pub_date(S.clean_text(F.col("i.day"))).alias("published"))
 
 
 def read_benchmarks(pages: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -123,6 +150,14 @@ def read_search_rows(df: DataFrame, key: str) -> DataFrame:
 
 
 def read_page_archive(spark: SparkSession, path: str) -> DataFrame:
-    """Saved pages with the date and place of their file names."""
-    df = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_name").alias("name"), F.decode("content", "UTF-8").alias("html"))
-    return df.select("name", "html", S.date_of_slug(F.col("name")).alias("day"), S.place_of_slug(F.col("name")).alias("place"))
+    """Saved pages with the date and place of their names: those of the files, or of the folders name=... that a partitioned writer made; and what the file system says of
+    each file."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    folder = F.regexp_extract("_metadata.file_path", r"/name=([^/]+)/[^/]+$", 1)
+    df = reader.load(path).select(F.when(folder != "", F.url_decode(folder)).otherwise(F.col("_metadata.file_name")).alias("name"), F.decode("content", "UTF-8").alias("html"), F.col("length").alias("bytes"), F.col("modificationTime").alias("saved"))
+    return df.select("name", "html", S.date_of_slug(F.col("name")).alias("day"), S.place_of_slug(F.col("name")).alias("place"), "bytes", "saved")
+
+
+def write_page_archive(pages: DataFrame, path: str) -> None:
+    """pages: name, html.  A folder for each name, with the page as its one row."""
+    pages.select("name", F.col("html").alias("value")).write.mode("overwrite").partitionBy("name").option("lineSep", "\n").text(path)

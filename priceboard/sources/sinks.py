@@ -29,8 +29,16 @@ def write_rates(rates: DataFrame, path: str) -> None:
     rates.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("rate_date").parquet(path)
 
 
-def merge_brands(target: DataFrame, seed: DataFrame, columns: list[str]) -> DataFrame:
-    """Full outer on slug: listed columns of the seed win where it has them, other rows are added."""
+def last_of_key(df: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """One row of each key: the greatest in order, and of equal ones that of the greatest columns."""
+    rest = [c for c in df.columns if c not in keys]
+    best = F.max_by(F.struct(*rest), F.struct(*([order] if order else []), *rest)).alias("__r")
+    return df.groupBy(*keys).agg(best).select(*keys, "__r.*").select(*df.columns)
+
+
+def merge_brands(target: DataFrame, seed: DataFrame, columns: list[str], order: str | None = None) -> DataFrame:
+    """Full outer on slug: listed columns of the seed win where it has them, other rows are added.  Of several seed rows of a slug the last in order counts."""
+    seed = last_of_key(seed, ["slug"], order)
     t, s = target.alias("t"), seed.alias("s")
     out = [F.coalesce(F.col(f"s.{c}"), F.col(f"t.{c}")).alias(c) if c in columns else F.col(f"t.{c}").alias(c) for c in target.columns if c != "slug"]
     return t.join(s, "slug", "full").select("slug", *out)
@@ -41,9 +49,10 @@ def backfill_rate_url(brands: DataFrame, found: DataFrame) -> DataFrame:
     return brands.join(found.groupBy("brand_id").agg(F.min("url").alias("__u")), "brand_id", "left").withColumn("rate_url", F.coalesce(S.clean_text(F.col("rate_url")), "__u")).drop("__u")
 
 
-def patch_rates(rates: DataFrame, patch: DataFrame, columns=("drift_from_median", "status", "basis_note")) -> DataFrame:
-    """patch: the keys and some columns, which replace the stored ones."""
+def patch_rates(rates: DataFrame, patch: DataFrame, columns=("drift_from_median", "status", "basis_note"), order: str | None = None) -> DataFrame:
+    """patch: the keys and some columns, which replace the stored ones.  Of several patches of a key the last in order counts."""
     own = [c for c in columns if c in patch.columns]
+    patch = last_of_key(patch, ["brand_id", "rate_date"], order)
     p = patch.select("brand_id", "rate_date", *(F.col(c).alias(f"__{c}") for c in own), F.lit(True).alias("__p"))
     j = rates.join(p, ["brand_id", "rate_date"], "left")
     return j.select(*(F.when(F.col("__p"), F.col(f"__{c}")).otherwise(F.col(c)).alias(c) if c in own else F.col(c) for c in rates.columns))
@@ -82,3 +91,18 @@ def sitemap_xml(rows: DataFrame) -> DataFrame:
     """A <url> element per row (loc, lastmod, changefreq, priority)."""
     tag = lambda n, c: F.concat(F.lit(f"<{n}>"), c, F.lit(f"</{n}>"))
     return rows.select("loc", F.concat(F.lit("<url>"), tag("loc", S.html_escape(F.col("loc"))), tag("lastmod", F.date_format("lastmod", "yyyy-MM-dd")), tag("changefreq", F.col("changefreq")), tag("priority", F.format_string("%.1f", "priority")), F.lit("</url>")).alias("xml"))
+
+
+#: The namespace of sitemaps and how many URLs a file may hold.
+SITEMAP_NAMESPACE, SITEMAP_URLS = "http://www.sitemaps.org/schemas/sitemap/0.9", 50_000
+
+
+def write_sitemap(rows: DataFrame, path: str) -> None:
+    """rows: loc, lastmod, changefreq, priority.  urlset documents of SITEMAP_URLS at most, one a file."""
+    url = rows.select("loc", F.date_format("lastmod", "yyyy-MM-dd").alias("lastmod"), "changefreq", F.format_string("%.1f", "priority").alias("priority"))
+    url.write.mode("overwrite").format("xml").option("rootTag", f'urlset xmlns="{SITEMAP_NAMESPACE}"').option("rowTag", "url").option("maxRecordsPerFile", SITEMAP_URLS).save(path)
+
+
+def write_sitemap_index(locations: DataFrame, path: str) -> None:
+    """locations: loc.  One sitemapindex document; a row for each file of write_sitemap."""
+    locations.select("loc").coalesce(1).write.mode("overwrite").format("xml").option("rootTag", f'sitemapindex xmlns="{SITEMAP_NAMESPACE}"').option("rowTag", "sitemap").save(path)
