@@ -4,15 +4,17 @@ Numbers, names and units become typed placeholders, so that a question asked aga
 has the same template.  Windows of WINDOW template words of documents and benchmark items are
 hash-joined; hits of one document and item on one diagonal (same shift) are put together, and the
 slots that they cover must be filled consistently: equal values of the item by equal values in the
-document, different ones by different ones.  A document is contaminated by an item if consistent (or
+document, and different names by different ones (numbers may become equal by chance: 3 cows and 5 sheep asked as 6 cows and 6 sheep).  A document is contaminated by an item if consistent (or
 literally equal) windows cover LEAST words of it, or all of a shorter item.  Windows are also joined by
 their words as they are, so that a copy is found whatever it is made of.
 
 Canonical words: white space separates words; marks around a word go; case goes.  A number is digits
 with separators, sign, currency or percent; a unit is a word of UNITS after a number (or glued to
 it), and both are one placeholder; a name is a capitalised word, and a run of them without marks between is one
-placeholder, so names of one and of two words are alike.  A word that begins a sentence may be a name, and counts as one
-if it is capitalised (so does each German noun: templates then have more slots, which must be filled consistently).  A template window needs LITERAL
+placeholder, so names of one and of two words are alike.  Words of NUMBERS are numbers too.  A word that begins a sentence may be a name, and counts as one
+if it is capitalised (so does each German noun: templates then have more slots, which must be filled consistently); since the same word may stand inside a
+sentence of a document, or the other way round, items have up to three forms: as they are, with their first word taken the other way, and with no name at the beginning of
+a sentence.  Scripts without capitals have no names, so their names are words like others.  A template window needs LITERAL
 words that are no placeholders, since a window of placeholders alone says nothing; a literal one needs none, and reads all words.
 
 Before the join, documents are looked up in a bitmap of BITS bits of the benchmark's window hashes:
@@ -51,6 +53,13 @@ UNITS = frozenset(
     " month months year years hz khz mhz ghz b kb mb gb tb v w kw kwh j kj cal kcal k c f % percent usd eur gbp dollar dollars euro euros pound pounds cent cents"
     " m/s km/h mph kmh degree degrees".split()
 )
+#: Number words that are no articles, of the languages read (en, de, fr, es).
+NUMBERS = frozenset(
+    "two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand"
+    " zwei drei vier fünf sechs sieben acht neun zehn elf zwölf zwanzig dreißig vierzig fünfzig sechzig siebzig achtzig neunzig hundert tausend"
+    " deux trois quatre cinq sept huit neuf dix onze douze treize quatorze quinze seize vingt trente quarante cinquante soixante cent mille"
+    " dos tres cuatro cinco seis siete ocho nueve diez once doce trece catorce quince veinte treinta cuarenta cincuenta sesenta setenta ochenta noventa cien mil".split()
+)
 _NUMBER = re.compile(rb"[+-]?(?:[$#]|\xe2\x82\xac|\xc2\xa3)?[+-]?\d[\d.,:/]*%?")
 _GLUED = re.compile(rb"[+-]?\d[\d.,]*([A-Za-z%/]+)")
 _MARKS = b".,;:!?\"'()[]{}<>"
@@ -77,13 +86,14 @@ class _Lexicon(dict):
         except UnicodeDecodeError:
             word = ""
         name = len(word) > 1 and word[0].isupper() and word[1:].islower() and word.isalpha()
-        number = bool(_NUMBER.fullmatch(core))
+        number = bool(_NUMBER.fullmatch(core)) or word.lower() in NUMBERS
+        name = name and not number
         glued = not number and bool((m := _GLUED.fullmatch(core)) and m[1].lower().decode() in UNITS)
         unit = low.decode("utf-8", "replace") in UNITS
         ends = token.rstrip(b"\"')]}")[-1:] in (b".", b"!", b"?")
         self.literal.append(xxhash.xxh3_64_intdigest(low))
         closes = token[-1:] in _CLOSING
-        self.flags.append(number | name << 1 | unit << 2 | glued << 3 | ends << 4 | (token == _LINE) << 5 | closes << 6)
+        self.flags.append(number | name << 1 | unit << 2 | glued << 3 | ends << 4 | (token == _LINE) << 5 | closes << 6 | (len(word) > 1 and word.isalpha()) << 7)
         self[token] = n = len(self.literal) - 1
         return n
 
@@ -107,7 +117,11 @@ class Form(NamedTuple):
     last: np.ndarray
 
 
-def templates(texts: list[bytes], lex: _Lexicon) -> tuple[Form, Form, list[bytes]]:
+#: How the beginnings of sentences are taken: as they are written; the text's first word the other way; none of them as a name.
+AS_WRITTEN, FIRST_TURNED, NO_NAMES = range(3)
+
+
+def templates(texts: list[bytes], lex: _Lexicon, how: int = AS_WRITTEN) -> tuple[Form, Form, list[bytes]]:
     """The texts as templates and as they are, and their words."""
     tokens, size = [], []
     for t in texts:
@@ -128,6 +142,12 @@ def templates(texts: list[bytes], lex: _Lexicon) -> tuple[Form, Form, list[bytes
     kind[flags & 2 > 0] = NAME
     kind[flags & 8 > 0] = QUANTITY
     kind[number] = NUMBER
+    if how == NO_NAMES:
+        kind[begins & (kind == NAME)] = 0
+    elif how == FIRST_TURNED:
+        first = np.concatenate([[True], doc[1:] != doc[:-1]])[: len(doc)]
+        turned = first & (flags & 128 > 0) & ((kind == NAME) | (kind == 0))
+        kind[turned] = np.where(kind[turned] == NAME, 0, NAME)
     # words that go with the one before: a unit with its number, a name with a name
     joins = np.zeros(len(words), bool)
     open_before = (flags[:-1] & 64 == 0) & (doc[1:] == doc[:-1])
@@ -139,14 +159,23 @@ def templates(texts: list[bytes], lex: _Lexicon) -> tuple[Form, Form, list[bytes
     return template, Form(literal, kind, doc, line, every, every), [tokens[i] for i in words]
 
 
-_SLOTS = pa.list_(pa.struct([("off", pa.int32()), ("value", pa.string())]))
+def _alike(a: Form, b: Form, d: int) -> bool:
+    """Whether two forms of text d are the same."""
+    return np.array_equal(a.h[a.doc == d], b.h[b.doc == d])
+
+
+_SLOTS = pa.list_(pa.struct([("off", pa.int32()), ("value", pa.string()), ("name", pa.bool_())]))
 
 
 def _found(ids: pa.Array, texts: list[bytes], lex: _Lexicon, lengths: list[int], bits: np.ndarray | None, whole: bool):
     """Windows as record batches: id, pos, h, words (of the text), len, slots, exact (h is of the words as they are; slots
     are of items only).  whole: items, of which one shorter than WINDOW is taken whole."""
     *forms, tokens = templates(texts, lex)
-    for exact, form in enumerate(forms):
+    forms = [(exact, AS_WRITTEN, form, None) for exact, form in enumerate(forms)]
+    for how in (FIRST_TURNED, NO_NAMES) if whole else ():
+        other = templates(texts, lex, how)[0]
+        forms.append((0, how, other, [not _alike(forms[0][2], other, d) for d in range(len(texts))]))
+    for exact, how, form, new in forms:
         size = np.bincount(form.doc, minlength=len(texts)) if len(form.doc) else np.zeros(len(texts), np.int64)
         start = np.cumsum(size) - size
         filled = np.concatenate([[0], np.cumsum(form.kind != 0)])
@@ -161,6 +190,8 @@ def _found(ids: pa.Array, texts: list[bytes], lex: _Lexicon, lengths: list[int],
             elif n < LITERAL:  # all of a line
                 edge = np.concatenate([[True], form.line[1:] != form.line[:-1], [True]])
                 ok &= (form.line[:k] == form.line[n - 1 :]) & edge[:k] & edge[n : n + k]
+            if new is not None:
+                ok &= np.array(new)[form.doc[:k]]
             if not exact:
                 ok &= n - (filled[n:] - filled[:-n]) >= min(LITERAL, n)
             if bits is not None:
@@ -170,11 +201,11 @@ def _found(ids: pa.Array, texts: list[bytes], lex: _Lexicon, lengths: list[int],
             if not len(at):
                 continue
             value = lambda j: b" ".join(x.strip(_MARKS).lower() for x in tokens[form.first[j] : form.last[j] + 1]).decode("utf-8", "replace")  # noqa: E731, B023
-            slots = [[] if exact and not whole else [{"off": int(j), "value": value(i + j)} for j in np.flatnonzero(form.kind[i : i + n])] for i in at]
+            slots = [[] if exact and not whole else [{"off": int(j), "value": value(i + j), "name": bool(form.kind[i + j] == NAME)} for j in np.flatnonzero(form.kind[i : i + n])] for i in at]
             d = form.doc[at]
             yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(d)), pa.array((at - start[d]).astype(np.int32)), pa.array(w[at].view(np.int64)), pa.array(size[d].astype(np.int32)), pa.array(np.full(len(at), n, np.int32)), pa.array(slots, _SLOTS), pa.array(np.full(len(at), exact > 0))],
-                names=["id", "pos", "h", "words", "len", "slots", "exact"],
+                [ids.take(pa.array(d)), pa.array((at - start[d]).astype(np.int32)), pa.array(w[at].view(np.int64)), pa.array(size[d].astype(np.int32)), pa.array(np.full(len(at), n, np.int32)), pa.array(slots, _SLOTS), pa.array(np.full(len(at), exact > 0)), pa.array(np.full(len(at), how, np.int32))],
+                names=["id", "pos", "h", "words", "len", "slots", "exact", "how"],
             )
 
 
@@ -188,7 +219,7 @@ def _windows(df: DataFrame, lengths: list[int], bits=None, whole: bool = False)
                 yield from _found(batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a).to_pylist(), lex, lengths, mask, whole)
 
     kind = df.schema["id"].dataType.simpleString()
-    return df.mapInArrow(run, f"id {kind}, pos int, h bigint, words int, len int, slots array<struct<off:int,value:string>>, exact boolean")
+    return df.mapInArrow(run, f"id {kind}, pos int, h bigint, words int, len int, slots array<struct<off:int,value:string,name:boolean>>, exact boolean, how int")
 
 
 def _covered(places, length: int = WINDOW):
@@ -215,20 +246,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     texts = rows.filter("__text is not null").select(F.struct(F.col("__key").alias("key"), F.col("__id").alias("id")).alias("id"), F.col("__text").cast("binary").alias("text"))
     hits = _windows(texts, used, spark.sparkContext.broadcast(marked))
     few = small(bench, MAX_BROADCAST_WINDOWS)
-    b = bench.select("h", F.col("len").alias("blen"), F.col("pos").alias("bpos"), F.col("id").alias("item"), F.col("words").alias("item_words"), F.col("slots").alias("bslots"), F.col("exact").alias("bexact"))
+    b = bench.select("h", F.col("len").alias("blen"), F.col("pos").alias("bpos"), F.col("id").alias("item"), F.col("words").alias("item_words"), F.col("slots").alias("bslots"), F.col("exact").alias("bexact"), "how")
     hits = hits.select(F.col("id").alias("doc"), "pos", "h", "len", "slots", "exact")
     joined = hits.join(F.broadcast(b) if few else b, "h").filter("len = blen and exact = bexact")
-    pair = F.zip_with("bslots", "slots", lambda x, y: F.struct((F.col("bpos") + x["off"]).alias("at"), x["value"].alias("a"), y["value"].alias("b")))
-    kept = F.transform("bslots", lambda x: F.struct((F.col("bpos") + x["off"]).alias("at"), x["value"].alias("a"), x["value"].alias("b")))
+    pair = F.zip_with("bslots", "slots", lambda x, y: F.struct((F.col("bpos") + x["off"]).alias("at"), x["value"].alias("a"), y["value"].alias("b"), x["name"].alias("name")))
+    kept = F.transform("bslots", lambda x: F.struct((F.col("bpos") + x["off"]).alias("at"), x["value"].alias("a"), x["value"].alias("b"), x["name"].alias("name")))
     joined = joined.withColumn("pairs", F.when(F.col("exact"), kept).otherwise(pair)).withColumn("same", F.forall("pairs", lambda p: p["a"] == p["b"]))
     place = F.struct(F.col("bpos").alias("pos"), "len")
-    runs = joined.groupBy("doc", "item", "exact", "item_words", (F.col("pos") - F.col("bpos")).alias("shift")).agg(
+    runs = joined.groupBy("doc", "item", "exact", "how", "item_words", (F.col("pos") - F.col("bpos")).alias("shift")).agg(
         F.collect_set(place).alias("places"), F.collect_set(F.when(F.col("same"), place)).alias("equal"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs")
     )
-    # a one-to-one map of the item's values to the document's
-    both = F.array_distinct(F.transform("pairs", lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b"))))
-    runs = runs.withColumn("__map", both)
-    firm = (F.size("__map") == F.size(F.array_distinct(F.transform("__map", lambda p: p["a"])))) & (F.size("__map") == F.size(F.array_distinct(F.transform("__map", lambda p: p["b"]))))
+    # each of the item's values has one value in the document, and different names have different ones
+    n_of = lambda p, *cols: F.size(F.array_distinct(F.transform(p, lambda x: F.struct(*(x[c].alias(c) for c in cols)))))
+    names = F.filter("pairs", lambda p: p["name"])
+    firm = (n_of(F.col("pairs"), "a", "b") == n_of(F.col("pairs"), "a")) & (n_of(names, "a", "b") == n_of(names, "b"))
     runs = runs.withColumn("covered", F.greatest(F.when(firm, _covered(F.col("places"))).otherwise(F.lit(0)), _covered(F.col("equal"))))
     runs = runs.filter(F.col("covered") >= F.least(F.lit(least), F.col("item_words")))
     changed = F.size(F.filter("pairs", lambda p: p["a"] != p["b"]))

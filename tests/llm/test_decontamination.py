@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from priceboard.llm import decontamination as dc
 
 ITEM = "A train leaves for Paris at 40 km and then goes on for 40 km until it meets Anna who waits with 7 apples near the old stone bridge"
@@ -98,3 +100,59 @@ def test_long_text_ties_and_clashing_columns(spark, prose):
     got = dc.contamination(docs, bench(spark)).collect()
     assert sorted(r["item"] for r in got) == [1, 5] and all(r["verbatim"] for r in got)
     assert dc.decontaminate(docs, bench(spark)).columns == docs.columns and dc.decontaminate(docs, bench(spark)).collect() == []
+
+
+ASKED = [
+    "{W} many apples does {A} have after buying {n} bags of {m} apples each today",
+    "{W} {A} has {n} cows and {m} sheep and then buys {k} more animals at the market how many are there",
+    "{W} train leaves {A} station at {n} km per hour and meets {B} after {m} hours on the line",
+    "{W} boxes hold {n} red balls and {m} blue balls so what is the chance that {A} draws {k} red ones",
+    "{W} old is {A} if {B} is {n} years older and both together are {m} years of age",
+]
+NAMES = ["Anna", "Maria", "Peter", "Olga", "Tom", "Ivan", "Lucia", "Karl"]
+FIRST = ["how", "why", "when", "what", "tell"]
+COUNTS = ["two", "three", "five", "seven", "12", "30", "7", "4", "19", "eleven"]
+
+
+def _asked(rng, layout, first, capital, topic, distinct=False):
+    a, b = rng.sample(NAMES, 2)
+    n, m, k = rng.sample(COUNTS, 3) if distinct else rng.choices(COUNTS, k=3)
+    w = first.capitalize() if capital else first
+    return layout.format(W=w, A=a, B=b, n=n, m=m, k=k) + f" {topic}"
+
+
+def test_two_hundred_questions_asked_again(spark, make, prose):
+    """With other names and numbers (digits or words, equal by chance too), and with the first word inside a sentence or at its beginning."""
+    rng = random.Random(8)
+    items, docs, want = [], [], set()
+    for i in range(200):
+        layout, first = ASKED[i % 5], FIRST[i // 5 % 5]
+        topic = "".join(rng.choice("bcdfghklmnprst") + rng.choice("aeiou") for _ in range(3)) + f" {'xyz'[i % 3]}q{chr(97 + i % 26)}{chr(97 + i // 26)} end"
+        items.append((f"i{i}", _asked(rng, layout, first, rng.random() < 0.5, topic, True)))
+        again = _asked(rng, layout, first, rng.random() < 0.5, topic)
+        docs.append((i, f"{prose(rng, 30)} so then {again} and {prose(rng, 30)}" if again[0].islower() else f"{prose(rng, 30)}. {again}. {prose(rng, 30)}"))
+        want.add((i, f"i{i}"))
+    docs += [(1000 + i, prose(rng, 80)) for i in range(50)]
+    got = {(r["id"], r["item"]) for r in dc.contamination(make(docs), spark.createDataFrame(items, "item_id string, text string")).collect()}
+    assert len(got & want) >= 190 and not {d for d, _ in got if d >= 1000}
+    # another item of the same layout shares all but its last words; none of a different layout may be found
+    assert all(int(x[1:]) % 5 == d % 5 for d, x in got)
+
+
+@pytest.mark.parametrize("item, doc", [
+    ("How many apples does Anna have after buying 3 bags today", "how many apples does Maria have after buying 7 bags today"),
+    ("how many apples does Anna have after buying 3 bags today", "How many apples does Maria have after buying 7 bags today"),
+    ("There are 3 cows and 5 sheep on the farm and the man buys 4 more of them", "There are 6 cows and 6 sheep on the farm and the man buys 2 more of them"),
+    ("A box has three red balls and it also has five blue balls and no green one", "a box has nine red balls and it also has 4 blue balls and no green one"),
+])
+def test_reported_losses(spark, make, item, doc):
+    got = dc.contamination(make([(1, f"we ask {doc} now"), (2, doc), (3, "nothing of it is here at all")]), spark.createDataFrame([("i", item)], "item_id string, text string"))
+    assert {r["id"] for r in got.collect()} == {1, 2}
+
+
+def test_values_must_not_part(spark, make):
+    """One value of the item may not become two in the document."""
+    item = "Anna gives 5 pears to Peter and then Anna takes 5 more pears from the old box of wood"
+    docs = [(1, "Olga gives 7 pears to Karl and then Olga takes 7 more pears from the old box of wood"), (2, "Olga gives 7 pears to Karl and then Ivan takes 9 more pears from the old box of wood")]
+    got = dc.contamination(make(docs), spark.createDataFrame([("i", item)], "item_id string, text string"))
+    assert {r["id"] for r in got.collect()} == {1}
