@@ -1,9 +1,10 @@
 """How the sources of each lang differ in their words.
 
 Every document becomes an exact sparse vector of term counts by Spark's CountVectorizer, with minDF and the largest integer as vocabSize, so the
-vocabulary is all that minDF keeps.  The fit, which counts documents, gets each term of a text once; the vectors are made of all.  A term carries the number of its lang, so that one fit makes the vocabularies of all langs side by
+vocabulary is all that minDF keeps.  Texts are cut to
+terms once and stored; the fit, which counts documents, reads each term of a text once, and the vectors are made of all.  A term carries the number of its lang, so that one fit makes the vocabularies of all langs side by
 side, each with its own document frequencies, and one pass over the texts serves any number of langs.  A vocabulary is on the driver and in every
-executor; therefore it is bounded: the distinct terms are estimated first, and where they are more than MOST_TERMS terms are dealt into slices
+executor; therefore it is bounded: the distinct terms are estimated first (from their least hashes), and where they are more than MOST_TERMS terms are dealt into slices
 by hash, each with a CountVectorizer of its own; all sums that follow are sums over slices.  Models and vectors are written to
 spark.checkpoint.dir.
 
@@ -19,23 +20,27 @@ pairs have the value 0; an empty table gives an empty result; texts are read who
 from __future__ import annotations
 
 import uuid
-import zlib
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.errors import IllegalArgumentException
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tables import shared_dir
-from .common import packed, stored
+from .common import byte_blocks, packed, stored
 
 MIN_DF, MOST_TERMS, MOST_LANGS = 10, 4_000_000, 10_000
 LARGEST_INT = 2**31 - 1
 UNIT = 1_000_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Bytes of text that a task cuts to terms at once.
+BLOCK_BYTES = 2_000_000
+#: Least hashes that are kept of the distinct terms, to estimate their number.
+SKETCH = 4096
 #: Terms in a block and sources in a tile of the pair evaluation.
 BLOCK, TILE = 4096, 128
 TOP = 10
@@ -53,43 +58,43 @@ def documents(docs: DataFrame, text: str = "text", lang: str = "lang", source: s
 _BYTES = bytes(i + 32 if 65 <= i <= 90 else i if 97 <= i <= 122 or i >= 128 else 32 for i in range(256))
 
 
-def _marked(whole: bool, k: int = 0, n_slices: int = 1):
-    """Terms of each row as one string with spaces between, each led by the digits of its lang; all of them, or each term of a text once.  Of several slices, slice k."""
+def _marked(batches):
+    """The terms of each row as one string with spaces between, each led by the digits of its lang: all of them (whole), and each term of the text once (once).
+    The first row of a block has the SKETCH least hashes of the block's terms."""
+    for batch in batches:
+        for a, z in byte_blocks(batch.column("text"), BLOCK_BYTES):
+            yield _marked_block(batch.slice(a, z - a))
 
-    def run(batches):
-        for b in batches:
-            out = []
-            for lang, text in zip(b.column("lang_no").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), strict=True):
-                own = text.translate(_BYTES).split()
-                if not whole:
-                    own = set(own)
-                if n_slices > 1:
-                    own = [t for t in own if zlib.crc32(t) % n_slices == k]
-                mark = str(lang).encode()
-                out.append(mark + (b" " + mark).join(own) if own else b"")
-            yield pa.RecordBatch.from_arrays([b.column("lang_no"), b.column("source"), pa.array(out, pa.binary()).view(pa.string())], ["lang_no", "source", "terms"])
 
-    return run
+def _marked_block(b: pa.RecordBatch) -> pa.RecordBatch:
+    whole, once, seen = [], [], set()
+    for lang, text in zip(b.column("lang_no").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), strict=True):
+        own, mark = text.translate(_BYTES).split(), str(lang).encode()
+        join = b" " + mark
+        whole.append(mark + join.join(own) if own else b"")
+        own = set(own)
+        once.append(mark + join.join(own) if own else b"")
+        seen.update((mark, t) for t in own)
+    least = sorted({xxhash.xxh3_64_intdigest(m + t) >> 1 for m, t in seen})[:SKETCH]
+    sketch = [least, *[None] * (b.num_rows - 1)] if b.num_rows else []
+    text = lambda x: pa.array(x, pa.binary()).view(pa.string())
+    return pa.RecordBatch.from_arrays([b.column("lang_no"), b.column("source"), text(whole), text(once), pa.array(sketch, pa.list_(pa.int64()))], ["lang_no", "source", "whole", "once", "sketch"])
 
 
-def tokens(rows: DataFrame, whole: bool, k: int = 0, n_slices: int = 1) -> DataFrame:
-    """rows: lang_no, source, text.  lang_no, source, tokens (array of strings)."""
-    made = rows.select("lang_no", "source", "text").mapInArrow(_marked(whole, k, n_slices), "lang_no int, source string, terms string")
-    return made.select("lang_no", "source", F.when(F.col("terms") == "", F.array().cast("array<string>")).otherwise(F.split("terms", " ")).alias("tokens"))
+def tokens(marked: DataFrame, column: str, k: int = 0, n_slices: int = 1) -> DataFrame:
+    """marked: the stored rows.  lang_no, source, tokens (array of strings) of a column; of several slices those of slice k."""
+    own = F.when(F.col(column) == "", F.array().cast("array<string>")).otherwise(F.split(column, " "))
+    if n_slices > 1:
+        own = F.filter(own, lambda t: F.pmod(F.xxhash64(t), F.lit(n_slices)) == k)
+    return marked.select("lang_no", "source", own.alias("tokens"))
 
 
-def _slices(rows: DataFrame, most_terms: int) -> int:
-    """Slices in which no vocabulary has more than most_terms terms: by a HyperLogLog estimate of all distinct terms, raised by six standard errors.  A task sends each term
-    of a batch once."""
-
-    def distinct(batches):
-        for b in batches:
-            seen = {(lang, t) for lang, text in zip(b.column("lang_no").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), strict=True) for t in set(text.translate(_BYTES).split())}
-            yield pa.RecordBatch.from_arrays([pa.array([str(lang).encode() + t for lang, t in seen], pa.binary())], ["t"])
-
-    found = rows.select("lang_no", "text").mapInArrow(distinct, "t binary")
-    n = found.agg(F.hll_sketch_estimate(F.hll_sketch_agg("t", F.lit(12)))).first()[0]
-    return max(1, -(-int(n * 1.1) // most_terms))
+def _slices(marked: DataFrame, most_terms: int) -> int:
+    """Slices in which no vocabulary has more than most_terms terms: by the SKETCH least hashes of all distinct terms, raised by six standard errors."""
+    least = marked.filter("sketch IS NOT NULL").select(F.explode("sketch").alias("h")).distinct().orderBy("h").limit(SKETCH)
+    n, last = least.agg(F.count("*"), F.max("h")).first()
+    distinct = n if n < SKETCH else (SKETCH - 1) * 2.0**63 / last
+    return max(1, -(-int(distinct * (1 + 6 / SKETCH**0.5)) // most_terms))
 
 
 def _langs(rows: DataFrame) -> DataFrame:
@@ -105,19 +110,21 @@ def vectors(docs: DataFrame, min_df: int = MIN_DF, most_terms: int = MOST_TERMS)
     spark = docs.sparkSession
     langs = stored(_langs(docs), "langs")
     rows = docs.join(F.broadcast(langs), "lang")
-    n_slices = _slices(rows, most_terms)
+    marked = rows.select("lang_no", "source", "text").mapInArrow(_marked, "lang_no int, source string, whole string, once string, sketch array<bigint>")
+    marked = stored(marked, "marked")
+    n_slices = _slices(marked, most_terms)
     made = [spark.createDataFrame([], "slice int, lang_no int, source string, indices array<int>, values array<double>")]
     vocabulary = [spark.createDataFrame([], "slice int, idx int, lang_no int, term string")]
     for k in range(n_slices):
         at = f"{shared_dir(spark)}/terms-{uuid.uuid4().hex}"
         try:
-            model = CountVectorizer(inputCol="tokens", outputCol="counts", minDF=float(min_df), vocabSize=LARGEST_INT).fit(tokens(rows, False, k, n_slices))
+            model = CountVectorizer(inputCol="tokens", outputCol="counts", minDF=float(min_df), vocabSize=LARGEST_INT).fit(tokens(marked, "once", k, n_slices))
         except IllegalArgumentException as e:
             if "vocabulary size should be > 0" not in str(e):
                 raise
             continue  # minDF keeps no term of this slice
         model.write().save(f"{at}/model")
-        model.transform(tokens(rows, True, k, n_slices)).select("lang_no", "source", "counts").write.parquet(f"{at}/vectors")
+        model.transform(tokens(marked, "whole", k, n_slices)).select("lang_no", "source", "counts").write.parquet(f"{at}/vectors")
         made.append(spark.read.schema(f"lang_no int, source string, counts {VECTOR}").parquet(f"{at}/vectors").select(F.lit(k).alias("slice"), "lang_no", "source", "counts.indices", "counts.values"))
         words = spark.read.parquet(f"{at}/model/data").select(F.posexplode("vocabulary").alias("idx", "word"))
         vocabulary.append(words.select(F.lit(k).alias("slice"), "idx", F.regexp_extract("word", "^[0-9]+", 0).cast("int").alias("lang_no"), F.regexp_replace("word", "^[0-9]+", "").alias("term")))
