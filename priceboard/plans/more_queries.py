@@ -92,7 +92,7 @@ def today_move_legacy(spark, sf):
 def rates_of_a_month(spark, sf):
     """Read from a table partitioned by day, which prunes partitions."""
     at = _at(spark, "rates")
-    sinks.write_rates(B.rates(spark, sf).filter("rate_date between '1995-02-20' and '1995-04-10'"), at)
+    sinks.write_rates(B.rates(spark, sf), at)
     r = readers.read_rates(spark, at, since="1995-03-01", status="published").filter(F.col("rate_date") <= _day("1995-03-31"))
     return r.select("brand_id", "rate_date", "canonical", S.rounded(S.with_gst(F.col("canonical"))).alias("with_tax"))
 
@@ -288,10 +288,10 @@ def text_functions(spark, sf):
 
 
 # ---- subscribers
-@query(f"WITH {B.SUBS} SELECT id, email FROM subs WHERE id % 2 = 0 OR id % 10 = 1")
+@query(f"WITH {B.SUBS} SELECT id, email FROM subs")
 def subscribers_deduped(spark, sf):
     """Each second subscriber is there twice; the newer one stays.  Those without an e-mail stay as they are."""
-    s = B.subscribers(spark, sf).filter("id % 2 = 0 or id % 10 = 1").select("id", "email", "updated_at")
+    s = B.subscribers(spark, sf).select("id", "email", "updated_at")
     older = s.filter("id % 2 = 0").withColumns({"updated_at": F.date_sub("updated_at", 5), "email": F.upper("email"), "id": F.col("id") + 1_000_000})
     return subscribers.dedupe_subscribers(s.unionByName(older), _day("2024-02-01")).select("id", "email")
 

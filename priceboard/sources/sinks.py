@@ -25,8 +25,8 @@ def merge_rates(target: DataFrame, new: DataFrame, seq: str = "scraped_at", keys
 
 
 def write_rates(rates: DataFrame, path: str) -> None:
-    """Overwrites the days it holds and no others."""
-    rates.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("rate_date").parquet(path)
+    """Overwrites the days it holds and no others.  A day's rows are gathered first, so that not every task writes a file for every day; large days are split."""
+    rates.hint("rebalance", "rate_date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("rate_date").parquet(path)
 
 
 def last_of_key(df: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
