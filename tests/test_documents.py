@@ -45,9 +45,9 @@ def test_sitemap_documents(spark, tmp_path):
 def test_order_of_feeds(spark):
     item = lambda t, link: f"<item><title>{t}</title><link>{link}</link><pubDate>Tue, 05 Mar 2024 10:00:00 GMT</pubDate></item>"
     rss = lambda *items: "<rss><channel>" + "".join(items) + "</channel></rss>"
-    feeds = spark.createDataFrame([(1, rss(item("Second feed", "s"), item("Same", "late"))), (0, rss(item("Same", "early"), item("A &amp; B", "ab"))), (2, "")], "feed int, body string")
+    feeds = spark.createDataFrame([(1, rss(item("Second feed has news", "s"), item("Gold is the same today", "late"))), (0, rss(item("Gold is the same today", "early"), item("Gold &amp; silver prices", "ab"))), (2, "")], "feed int, body string")
     got = pages.dedupe_news(readers.read_news_rss(feeds)).collect()
-    assert [(r["feed"], r["place"], r["title"], r["link"]) for r in got] == [(0, 0, "Same", "early"), (0, 1, "A & B", "ab"), (1, 0, "Second feed", "s")]
+    assert [(r["feed"], r["place"], r["title"], r["link"]) for r in got] == [(0, 0, "Gold is the same today", "early"), (0, 1, "Gold & silver prices", "ab"), (1, 0, "Second feed has news", "s")]
 
 
 def test_dashboard_prices_only_brands_with_both(spark):
