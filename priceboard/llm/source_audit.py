@@ -30,12 +30,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tables import shared_dir
-from .common import packed, stored
+from .common import byte_blocks, packed, stored
 
 MIN_DF, MOST_TERMS, MOST_LANGS = 10, 4_000_000, 10_000
 LARGEST_INT = 2**31 - 1
 UNIT = 1_000_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Bytes of text that a task cuts to terms at once.
+BLOCK_BYTES = 4_000_000
 #: Terms in a block and sources in a tile of the pair evaluation.
 BLOCK, TILE = 4096, 128
 TOP = 10
@@ -57,17 +59,18 @@ def _marked(whole: bool, k: int = 0, n_slices: int = 1):
     """Terms of each row as one string with spaces between, each led by the digits of its lang; all of them, or each term of a text once.  Of several slices, slice k."""
 
     def run(batches):
-        for b in batches:
-            out = []
-            for lang, text in zip(b.column("lang_no").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), strict=True):
-                own = text.translate(_BYTES).split()
-                if not whole:
-                    own = set(own)
-                if n_slices > 1:
-                    own = [t for t in own if zlib.crc32(t) % n_slices == k]
-                mark = str(lang).encode()
-                out.append(mark + (b" " + mark).join(own) if own else b"")
-            yield pa.RecordBatch.from_arrays([b.column("lang_no"), b.column("source"), pa.array(out, pa.binary()).view(pa.string())], ["lang_no", "source", "terms"])
+        for batch in batches:
+            for first, last in byte_blocks(batch.column("text"), BLOCK_BYTES):
+                b, out = batch.slice(first, last - first), []
+                for lang, text in zip(b.column("lang_no").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), strict=True):
+                    own = text.translate(_BYTES).split()
+                    if not whole:
+                        own = set(own)
+                    if n_slices > 1:
+                        own = [t for t in own if zlib.crc32(t) % n_slices == k]
+                    mark = str(lang).encode()
+                    out.append(mark + (b" " + mark).join(own) if own else b"")
+                yield pa.RecordBatch.from_arrays([b.column("lang_no"), b.column("source"), pa.array(out, pa.binary()).view(pa.string())], ["lang_no", "source", "terms"])
 
     return run
 
