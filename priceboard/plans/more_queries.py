@@ -118,12 +118,15 @@ def brands_backfilled(spark, sf):
     return sinks.backfill_rate_url(shops, found).select("brand_id", "rate_url")
 
 
-@query(f"WITH {B.LIVE} SELECT name, canonical FROM live")
+@query(f"""WITH {B.LIVE}, {B.STATS} SELECT DATE '{B.AS_OF}' AS day, {D("m", 6)} AS median_24k, {D("m")} AS rate_24k, {D("m * CAST(0.75 AS DOUBLE)")} AS rate_18k, stats.lowest, stats.lowest_brand, stats.highest, stats.highest_brand, stats.n, name, canonical
+FROM live, stats""")
 def feed_of_the_day(spark, sf):
-    """The day's document, read again."""
+    """The day's document, read again: its numbers and its board."""
     rows = B.live_rows(spark, sf)
     body = sinks.rates_feed(rows.select("name", "canonical"), board.market_snapshot(rows), _day(B.AS_OF))
-    return body.select(F.explode(F.from_json("body", "struct<rates:array<struct<name:string,canonical:double>>>")["rates"]).alias("r")).select("r.*")
+    kind = "struct<date:date,median_24k:double,rate_24k:double,rate_18k:double,lowest:double,lowest_brand:string,highest:double,highest_brand:string,n:bigint,rates:array<struct<name:string,canonical:double>>>"
+    read = body.select(F.from_json("body", kind).alias("d"))
+    return read.select(F.col("d.date").alias("day"), *(f"d.{c}" for c in ("median_24k", "rate_24k", "rate_18k", "lowest", "lowest_brand", "highest", "highest_brand", "n")), F.inline("d.rates"))
 
 
 @query(f"""WITH p AS (SELECT p_brand AS name, p_type AS category, CASE WHEN p_size % 2 = 0 THEN '22K' ELSE '18K' END AS karat, p_retailprice AS rate, CAST(p_size AS DOUBLE) AS pct FROM part)
@@ -206,16 +209,17 @@ def profiles_kept(spark, sf):
     return readers.read_profiles(spark, at).drop("last_ok")
 
 
-@query("SELECT p_brand AS brand, p_type AS category, count(*) AS items, least(count(*), 3) AS n_examples FROM part GROUP BY ALL")
+@query("""WITH p AS (SELECT p_brand AS brand, p_type AS category, '/p/' || p_partkey AS url, CAST(p_size AS DOUBLE) AS pct FROM part),
+e AS (SELECT *, count(*) OVER (PARTITION BY brand, category) AS items, row_number() OVER (PARTITION BY brand, category ORDER BY pct DESC, url) AS rn FROM p) SELECT brand, category, items, url, pct FROM e WHERE rn <= 3""")
 def charges_document(spark, sf):
-    """The document of making charges, written and read again."""
+    """The document of making charges, written and read again, with its examples."""
     p = table(spark, sf, "part").select(F.col("p_brand").alias("brand"), F.col("p_type").alias("category"), F.concat(F.lit("/p/"), F.col("p_partkey").cast("string")).alias("url"), F.col("p_size").cast("double").alias("pct"))
     summary = p.groupBy("brand", "category").agg(F.count("*").alias("items"))
     docs = sinks.making_charges_document(summary, sampling.top_examples(p, ["brand", "category"], "pct", "url").select("brand", "category", "url", "pct"))
     at = _at(spark, "charges")
     sinks.write_json_rows(docs.select(F.concat(F.lit("["), "body", F.lit("]")).alias("body")), at)
     read = readers.flat_charges(spark.read.text(at).withColumnRenamed("value", "body"))
-    return read.select("brand", "category", "items", F.size("examples").cast("long").alias("n_examples"))
+    return read.select("brand", "category", "items", F.inline("examples"))
 
 
 @query("SELECT '/p/' || o_custkey AS page, count(*) AS clicks FROM orders WHERE o_custkey % 3 = 0 GROUP BY 1 ORDER BY clicks DESC, page LIMIT 30")
