@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import board, subscribers
-from ..sources import sinks
+from ..sources import readers, sinks
 from ..streaming import jobs
 from ..streaming.store import Store, by_hash, by_month, snapshot_step
 from . import bindings as B
@@ -119,3 +119,13 @@ def stream_profiles(spark, sf):
         q.foreachBatch(lambda b, n: b.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{out}/v{n}")).start().awaitTermination()
     rows = spark.read.parquet(f"{out}/v*")
     return rows.groupBy("brand").agg(F.max_by(F.struct("strategy", "hits", "misses", "seen"), F.struct("batch", F.col("hits") + F.col("misses"))).alias("r")).select("brand", "r.*")
+
+
+@query(f"{V} SELECT day, page, count(*) AS views FROM views GROUP BY ALL")
+def stream_log(spark, sf):
+    """Views appended by a stream, a folder for each day, and read as a log."""
+    at = _at(spark, "log")
+    v = B.views(spark, sf).select("id", F.col("ts").alias("created_at"), "day", "page")
+    sinks.append_events(_files(spark, v, "views", 2), at, _at(spark, "checkpoint")).awaitTermination()
+    log = readers.read_log(spark, at)
+    return log.groupBy("day", "page").agg(F.count("*").alias("views"))
