@@ -8,7 +8,8 @@ A line counts as its words joined by one space.  Lines of fewer than WORDS words
 SITES_SHORT sites.  Equality of lines is equality of 64-bit hashes.
 
 Defined cases: a null text stays null and has no lines; empty lines stay; a null site is a site of its
-own; repeated rows show a line at one site once; an empty table gives an empty result; other columns
+own; repeated rows show a line at one site once; a line shown by exactly SITES sites (a tie) goes; texts of any length are
+split whole, and a text of many removed lines costs no more than its lines; an empty table gives an empty result; other columns
 pass through unread.
 """
 

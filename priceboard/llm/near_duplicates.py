@@ -25,7 +25,7 @@ not meet at all.  Equal texts meet by their 64-bit hash alone and are compared o
 
 Defined cases: a null text counts as an empty one; empty or blank texts have no shingles and are copies of equal texts only;
 a text of one to four words is one shingle; class_id is the least id of the class (null ids count
-last); repeated rows are copies; an empty table gives an empty result; other columns are not read.
+last); repeated rows are copies; texts of any length are read whole, in blocks of bytes; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations

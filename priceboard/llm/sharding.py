@@ -9,7 +9,8 @@ The table depends on the parameters alone and has at most MAX_SLOTS rows, which
 broadcast; placing a document takes one hash and one probe, without a shuffle.
 
 Defined cases: a null key is placed by the hash of the text (so such rows do not pile up on one
-shard); null key and null text go to the slot of the empty text; repeated rows and repeated keys go
+shard); null key and null text go to the slot of the empty text; a text is
+hashed whole, however long, and only where the key is null; repeated rows and repeated keys go
 to one shard; an empty table gives an empty result; extra columns pass through, also when they are
 called ``slot`` or ``shard`` (the new column then replaces them).
 """

@@ -119,3 +119,11 @@ def test_ties_and_no_statistic_beyond_its_floor(make):
     """Repeated rows only: nothing is an outlier."""
     docs = make([(i, "ten words make a row of this table and more", "en", "a") for i in range(50)])
     assert qr.quality_rules(docs, min_docs=10).count() == 50
+
+
+def test_very_long_text(make, prose):
+    long = prose(random.Random(2), 150_000)
+    docs = [(i, prose(random.Random(i), 120), "en", "s") for i in range(60)] + [(100, long, "en", "s"), (101, "word " * 100_000, "en", "s"), (102, long, "en", "s")]
+    got = {r["__row"]["doc_id"]: r for r in qr.judge(make(docs), columns=["doc_id"]).collect()}
+    assert got[100]["__nw"] == len(long.split()) and got[100]["__wc"] == sum(map(len, long.split())) and got[101]["__fail"] and not got[101]["__kept"]
+    assert {k: v for k, v in got[100].asDict().items() if k != "__row"} == {k: v for k, v in got[102].asDict().items() if k != "__row"}

@@ -137,3 +137,18 @@ def test_offending_sentences_of_many_in_one_text(spark, make):
     text = " ".join(("It is vile." if i % 100 == 0 else f"Sentence {i} is calm.") for i in range(20_000))
     got = {r["id"]: r["offending"] for r in tx.score(make([(1, text), (2, "All calm. Here too.")]), model, spans=True).collect()}
     assert [x["sentence"] for x in got[1]] == ["It is vile."] * 200 and got[2] == []
+
+
+def test_very_long_repeated_and_clashing(spark, make, prose):
+    docs, labels = corpus(prose)
+    model = tx.train(make(docs), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    long = prose(random.Random(1), 120_000)
+    rows = [(1, long), (2, long + " Such a vilescum foulmouth vilescumming foulmouthed."), (3, docs[6][1]), (3, docs[6][1])]
+    got = tx.score(make(rows), model, spans=True).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["id"], []).append(r)
+    assert len(by[3]) == 2 and by[3][0] == by[3][1] and by[3][0]["score"] >= 0.5
+    assert by[2][0]["score"] >= 0.5 and any("vilescum" in s["sentence"] for s in by[2][0]["offending"])
+    clash = spark.createDataFrame([(6, docs[6][1], 0.5, "x", "y", 1)], "doc_id long, text string, score double, id string, `a.b` string, __row int")
+    assert abs(tx.score(clash, model).first()["score"] - by[3][0]["score"]) < 1e-12
