@@ -60,6 +60,7 @@ NUMBERS = frozenset(
     " deux trois quatre cinq sept huit neuf dix onze douze treize quatorze quinze seize vingt trente quarante cinquante soixante cent mille"
     " dos tres cuatro cinco seis siete ocho nueve diez once doce trece catorce quince veinte treinta cuarenta cincuenta sesenta setenta ochenta noventa cien mil".split()
 )
+_UNITS = frozenset(u.encode() for u in UNITS)
 _NUMBER = re.compile(rb"[+-]?(?:[$#]|\xe2\x82\xac|\xc2\xa3)?[+-]?\d[\d.,:/]*%?")
 _GLUED = re.compile(rb"[+-]?\d[\d.,]*([A-Za-z%/]+)")
 _MARKS = b".,;:!?\"'()[]{}<>"
@@ -81,15 +82,16 @@ class _Lexicon(dict):
         core = token.strip(_MARKS)
         low = core.lower() or token
         # name: one capital (of any script) and no other
+        plain = core.isalpha()  # ASCII letters alone: no number
         try:
             word = core.decode()
         except UnicodeDecodeError:
             word = ""
         name = len(word) > 1 and word[0].isupper() and word[1:].islower() and word.isalpha()
-        number = bool(_NUMBER.fullmatch(core)) or word.lower() in NUMBERS
+        number = (not plain and bool(_NUMBER.fullmatch(core))) or word.lower() in NUMBERS
         name = name and not number
-        glued = not number and bool((m := _GLUED.fullmatch(core)) and m[1].lower().decode() in UNITS)
-        unit = low.decode("utf-8", "replace") in UNITS
+        glued = not plain and not number and bool((m := _GLUED.fullmatch(core)) and m[1].lower().decode() in UNITS)
+        unit = low in _UNITS
         ends = token.rstrip(b"\"')]}")[-1:] in (b".", b"!", b"?")
         self.literal.append(xxhash.xxh3_64_intdigest(low))
         closes = token[-1:] in _CLOSING
