@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,15 +19,19 @@ def rounded(c: Column, places: int = 2) -> Column:
     return F.round(c.cast("decimal(24,6)"), places).cast("double")
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with value made once: within a lambda Spark makes an expression anew wherever it is read."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def parse_amount(c: Column) -> Column:
     """Text with thousands commas to a finite double, else null."""
-    v = F.replace(c, F.lit(","), F.lit("")).try_cast("double")
-    return F.when(~F.isnan(v) & (F.abs(v) < float("inf")), v)
+    return once(F.replace(c, F.lit(","), F.lit("")).try_cast("double"), lambda v: F.when(~F.isnan(v) & (F.abs(v) < float("inf")), v))
 
 
 def per_gram(v: Column, gram=GRAM, ten=TEN_GRAMS) -> Column:
     """A per-gram price as it is, a ten-gram price by ten, anything else null."""
-    return F.when(v.between(*gram), v).when(v.between(*ten), v / 10)
+    return once(v, lambda x: F.when(x.between(*gram), x).when(x.between(*ten), x / 10))
 
 
 def _lookup(c: Column, table: dict) -> Column:

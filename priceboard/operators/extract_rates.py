@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..functions.tables import stored
+from ..functions.tables import spread, stored
 from . import page_tokens as T
 from .board import ordering_sane
 
@@ -68,41 +68,48 @@ def rate_cards(page: T.Page) -> Column:
 def rows(page: T.Page) -> Column:
     """A purity binds to the prices of its own table row, where that row names one purity."""
 
-    def purities(cell):
-        found = T.tokens(cell)
-        canon = T.canonical(found)
+    def purities(found, canon):
         named = F.transform(found, lambda t, i: F.when(t.isin(PURITIES) & (F.get(canon, i + 1) == "K"), F.concat(t, F.lit("K"))))
         return F.filter(named, lambda x: x.isNotNull())
 
+    def read(cell):
+        """The tokens of a cell, and its purities."""
+        return S.once(T.tokens(cell), lambda t: S.once(T.canonical(t), lambda c: F.struct(t.alias("t"), purities(t, c).alias("p"))))
+
+    def prices(cells):
+        priced = F.filter(cells, lambda c: F.size(c["p"]) == 0)
+        return F.flatten(F.transform(priced, lambda c: F.filter(c["t"], lambda t: t.rlike(r"^\d") & F.length(F.replace(t, F.lit(","), F.lit(""))).between(4, 15))))
+
     def one(cells):
-        named = F.array_distinct(F.flatten(F.transform(cells, purities)))
-        priced = F.filter(cells, lambda c: F.size(purities(c)) == 0)
-        values = F.flatten(F.transform(priced, lambda c: F.filter(T.tokens(c), lambda t: t.rlike(r"^\d") & F.length(F.replace(t, F.lit(","), F.lit(""))).between(4, 15))))
-        found = F.transform(values, lambda v: F.struct(F.get(named, F.lit(0)).alias("purity"), S.per_gram(S.parse_amount(v)).alias("value")))
-        return F.when((F.size(cells) >= 2) & (F.size(named) == 1), found).otherwise(_none())
+        def of(named):
+            found = F.transform(prices(cells), lambda v: F.struct(F.get(named, F.lit(0)).alias("purity"), S.per_gram(S.parse_amount(v)).alias("value")))
+            return F.when((F.size(cells) >= 2) & (F.size(named) == 1), found).otherwise(_none())
+
+        return S.once(F.array_distinct(F.flatten(F.transform(cells, lambda c: c["p"]))), of)
 
-    return _valid(F.flatten(F.transform(T.table_rows(page.html), one)))
+    rows = F.transform(T.table_rows(page.html), lambda cells: F.transform(cells, read))
+    return _valid(F.flatten(F.transform(rows, one)))
 
 
 def product_breakup(page: T.Page) -> Column:
     """Metal price over net weight, of a product without stones.  Keys of a script may be unquoted."""
     loose = lambda read, *keys: F.coalesce(read, S.parse_amount(T.loose_member(page.html, *keys)))
     stone = T.amount(T.member(page, "diamond_price", "diamond_value", "diamondprice", "diamondvalue", "stone_price", "stone_value", "stoneprice", "stonevalue"))
-    option = F.regexp_extract(T.member(page, "option1"), r"^(\d+)\s*K", 1)
+    option = S.once(F.regexp_extract(T.member(page, "option1"), r"^(\d+)\s*K", 1), lambda k: F.nullif(k, F.lit("")))
     named = F.get(F.filter(page.numbers, _is_purity), F.lit(0))["s"]
     stone = loose(stone, "diamond_?price", "diamond_?value", "stone_?price", "stone_?value")
     value = F.try_divide(loose(T.amount(T.member(page, "metal_price", "metalprice")), "metal_?price"), loose(T.amount(T.member(page, "net_weight", "netweight")), "net_?weight"))
-    return F.when(F.coalesce(stone, F.lit(0.0)) > 0, _none()).otherwise(_one(F.concat(F.coalesce(F.nullif(option, F.lit("")), named), F.lit("K")), value))
+    return F.when(F.coalesce(stone, F.lit(0.0)) > 0, _none()).otherwise(_one(F.concat(F.coalesce(option, named), F.lit("K")), value))
 
 
 def json_breakup(page: T.Page) -> Column:
     """Objects whose title names yellow gold by its fineness, with a rate a gram."""
 
     def one(m):
-        title, rate = T.canonical(T.tokens(F.try_element_at(m, F.lit("title")))), F.try_element_at(m, F.lit("rate"))
-        mark = F.get(T.tokens(F.try_element_at(m, F.lit("title"))), F.lit(0))
+        rate = F.try_element_at(m, F.lit("rate"))
         value = F.when(rate.endswith("/g"), T.amount(F.substring_index(rate, "/", 1)))
-        return F.struct(F.when(F.array_join(title, " ") == "# K yellow gold", S.fineness_to_karat(mark)).alias("purity"), S.per_gram(value).alias("value"))
+        purity = S.once(T.tokens(F.try_element_at(m, F.lit("title"))), lambda t: F.when(F.array_join(T.canonical(t), " ") == "# K yellow gold", S.fineness_to_karat(F.get(t, F.lit(0)))))
+        return F.struct(purity.alias("purity"), S.per_gram(value).alias("value"))
 
     return _valid(F.transform(T.objects(page.html), one))
 
@@ -128,8 +135,8 @@ def value_per_gm(page: T.Page) -> Column:
     """A currency and a price of four digits a gram, then its karat; a bracket may open right before the karat and nowhere else between."""
 
     def one(x, p, a, b):
-        between = F.regexp_replace(F.regexp_replace(x["then"], PER_UNIT, ""), BRACKET, "")
-        return F.when(T.marked(x) & (x["digits"] >= 4) & x["post"].rlike("^(/ )?G") & (a["unit"] == "kt") & (F.length(between) <= PHRASE) & ~F.contains(between, F.lit("(")), _quote(a["s"], x["v"]))
+        fits = S.once(F.regexp_replace(F.regexp_replace(x["then"], PER_UNIT, ""), BRACKET, ""), lambda between: (F.length(between) <= PHRASE) & ~F.contains(between, F.lit("(")))
+        return F.when(T.marked(x) & (x["digits"] >= 4) & x["post"].rlike("^(/ )?G") & (a["unit"] == "kt") & fits, _quote(a["s"], x["v"]))
 
     return _rule(page, one)
 
@@ -185,11 +192,12 @@ def proximity(page: T.Page) -> Column:
     def one(x, i):
         start = F.greatest(i - NEAR // 2, F.lit(0))
         around = F.filter(F.slice(n, start + 1, NEAR), _is_purity)
-        first = x["start"] - F.length(F.regexp_extract(x["gap"], rf"{T.CURRENCY}\s*$", 0)) - NEAR
+        begins = x["start"] - F.length(F.regexp_extract(x["gap"], rf"{T.CURRENCY}\s*$", 0)) - NEAR
         unit = lambda y: F.length(F.regexp_extract(y["then"], r"^\s*[A-Za-z]+", 0))
-        near = F.filter(around, lambda y: (y["start"] >= first) & (y["end"] + unit(y) <= x["end"] + NEAR))
-        named = F.array_distinct(F.transform(near, lambda y: y["s"]))
-        return F.when(T.marked(x) & x["digits"].between(4, 12) & (F.size(named) == 1), _quote(F.get(named, F.lit(0)), x["v"]))
+        near = lambda first: F.filter(around, lambda y: (y["start"] >= first) & (y["end"] + unit(y) <= x["end"] + NEAR))
+        distinct = S.once(begins, lambda first: F.array_distinct(F.transform(near(first), lambda y: y["s"])))
+        only = S.once(distinct, lambda named: F.when(F.size(named) == 1, _quote(F.get(named, F.lit(0)), x["v"])))
+        return F.when(T.marked(x) & x["digits"].between(4, 12), only)
 
     return _valid(F.transform(n, one))
 
@@ -200,7 +208,7 @@ EXTRACTORS = {f.__name__: f for f in (rate_cards, rows, product_breakup, json_br
 
 def found_rates(pages: DataFrame, extractors: dict | None = None) -> DataFrame:
     """page_id, extractor, purity, value: what the first extractor with a result finds on each page."""
-    p, page = T.read(pages)
+    p, page = T.read(spread(pages, "page_id"))
     pick = F.lit(None).cast("struct<extractor:string,found:array<struct<purity:string,value:double>>>")
     for name, f in reversed(list((extractors or EXTRACTORS).items())):
         arr = f(page)

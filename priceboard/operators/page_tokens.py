@@ -117,7 +117,7 @@ def member(page: Page, *keys: str) -> Column:
 
 def loose_member(html: Column, *keys: str) -> Column:
     """The number after the first of these keys as scripts write them: quoted or not, with a colon, quotes and spaces between (four characters at most)."""
-    return F.nullif(F.regexp_extract(html, r"(?i)\b(?:" + "|".join(keys) + r")['\"\s:]{1,4}([0-9.]+)", 1), F.lit(""))
+    return S.once(F.regexp_extract(html, r"(?i)\b(?:" + "|".join(keys) + r")['\"\s:]{1,4}([0-9.]+)", 1), lambda v: F.nullif(v, F.lit("")))
 
 
 def amount(text: Column) -> Column:
@@ -138,11 +138,15 @@ def marked(number: Column) -> Column:
 
 def promotional(text: Column) -> Column:
     """Whether a text advertises a reduction."""
-    said = F.array_join(tokens(text), " ")
-    low = F.lower(said)
-    words = F.transform(F.split(low, " "), lambda w: F.rtrim(w, F.lit("s")))
-    code = said.rlike(r"(?:^| )[Uu]se [A-Z]{4,}")
-    return F.arrays_overlap(words, F.array(*map(F.lit, PROMO_WORDS))) | F.contains(low, F.lit("% off")) | F.contains(low, F.lit("off on")) | code
+
+    def one(said):
+        def of_low(low):
+            words = F.transform(F.split(low, " "), lambda w: F.rtrim(w, F.lit("s")))
+            return F.arrays_overlap(words, F.array(*map(F.lit, PROMO_WORDS))) | F.contains(low, F.lit("% off")) | F.contains(low, F.lit("off on"))
+
+        return S.once(F.lower(said), of_low) | said.rlike(r"(?:^| )[Uu]se [A-Z]{4,}")
+
+    return S.once(F.array_join(tokens(text), " "), one)
 
 
 def advertised(said: Column, label: Column) -> Column:
