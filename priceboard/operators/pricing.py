@@ -67,12 +67,40 @@ def stamp(code: Column) -> Column:
     return F.when(c.rlike("24K|999"), "24K").when(c.rlike("18K|750"), "18K").when(c.rlike("14K|585"), "14K").otherwise("22K")
 
 
+KIND = ["category", "karat", "weight"]
+
+
+def _kind_costs(scenarios: DataFrame, prices: DataFrame) -> DataFrame:
+    """KIND, name, rate, pct, total: the cost of each brand for each kind of scenario.  Scenarios of one category, karat and weight cost the same, so brands meet
+    kinds and not scenarios."""
+    kinds = scenarios.select(*KIND).distinct()
+    return kinds.join(prices.select("name", "category", "karat", "rate", "pct"), ["category", "karat"]).withColumn("total", S.rounded(item_price(F.col("weight"), F.col("rate"), F.col("pct"))))
+
+
+def _of_kind(scenarios: DataFrame, kinds: DataFrame) -> DataFrame:
+    """Scenarios with what is known of their kind; weights that are missing are equal."""
+    k = kinds.withColumnsRenamed({c: f"__{c}" for c in KIND})
+    same = (F.col("category") == F.col("__category")) & (F.col("karat") == F.col("__karat")) & F.col("weight").eqNullSafe(F.col("__weight"))
+    return scenarios.join(k, same).drop(*(f"__{c}" for c in KIND))
+
+
 def scenario_costs(scenarios: DataFrame, prices: DataFrame) -> DataFrame:
     """scenarios: scenario, category, karat, weight; prices: name, category, karat, rate, pct.  All-in cost of each brand, and what it is over the
-    cheapest of the scenario."""
-    j = scenarios.join(prices, ["category", "karat"]).withColumn("total", S.rounded(item_price(F.col("weight"), F.col("rate"), F.col("pct"))))
+    cheapest of the scenario (of all its rows, where it has several).  Only scenarios are shuffled; their rows for each brand come last."""
+    costs = _kind_costs(scenarios, prices)
+    ends = costs.groupBy(*KIND).agg(F.min("total").alias("__least"), F.max("total").alias("__most"))
     w = Window.partitionBy("scenario")
-    return j.select("scenario", "name", "rate", "pct", "total", S.rounded(F.col("total") - F.min("total").over(w)).alias("over_best"), S.rounded(F.col("total") / F.max("total").over(w), 4).alias("bar"))
+    s = _of_kind(scenarios.select("scenario", *KIND), ends).withColumns({"__least": F.min("__least").over(w), "__most": F.max("__most").over(w)})
+    return _of_kind(s, costs).select("scenario", "name", "rate", "pct", "total", S.rounded(F.col("total") - F.col("__least")).alias("over_best"), S.rounded(F.col("total") / F.col("__most"), 4).alias("bar"))
+
+
+def scenario_traps(scenarios: DataFrame, prices: DataFrame) -> DataFrame:
+    """cheapest_trap(scenario_costs(scenarios, prices)), without a row for each scenario and brand."""
+    cheap, least = F.min(F.struct("rate", "name", "total")), F.min(F.struct("total", "name"))
+    kinds = _kind_costs(scenarios, prices).groupBy(*KIND).agg(cheap.alias("cheap"), least.alias("least"), F.min("total").alias("total"))
+    s = _of_kind(scenarios.select("scenario", *KIND), kinds)
+    s = s.groupBy("scenario").agg(F.min("cheap").alias("cheap"), F.min("least").alias("least"), F.min("total").alias("total"))
+    return s.select("scenario", F.col("cheap.name").alias("least_rate_brand"), F.col("least.name").alias("least_total_brand"), S.rounded(F.col("cheap.total") - F.col("total")).alias("extra_cost"))
 
 
 def cheapest_trap(costs: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..functions.tables import shared_dir
+from ..functions.tables import shared_dir, stored
 from ..operators import board, click_debounce as click_debounce_, pages, pricing, robust, sampling, search, subscribers, traffic
 from ..sources import readers, sinks
 from . import bindings as B
@@ -230,15 +230,20 @@ def _prices(spark, sf):
 
 @query(f"WITH {PRICES} SELECT * FROM ic")
 def item_cost_board(spark, sf):
-    p = _prices(spark, sf)
+    return pricing.scenario_costs(*_scenarios(spark, sf))
+
+
+def _scenarios(spark, sf):
+    """An item of each order, and the prices."""
+    p = stored(_prices(spark, sf), "prices")
     kinds, k = p.agg(F.array_sort(F.collect_set("category")).alias("kinds")), F.col("o_orderkey")  # one row of a few categories
     s = table(spark, sf, "orders").crossJoin(F.broadcast(kinds))
-    return pricing.scenario_costs(s.select(k.alias("scenario"), F.get("kinds", (k % 6).cast("int")).alias("category"), F.lit("24K").alias("karat"), (1 + k % 20).cast("double").alias("weight")), p)
+    return s.select(k.alias("scenario"), F.get("kinds", (k % 6).cast("int")).alias("category"), F.lit("24K").alias("karat"), (1 + k % 20).cast("double").alias("weight")), p
 
 
 @query(f"""WITH {PRICES} SELECT scenario, min_by(name, (rate, name)) AS least_rate_brand, min_by(name, (total, name)) AS least_total_brand, {D('min_by(total, (rate, name)) - min(total)')} AS extra_cost FROM ic GROUP BY scenario""")
 def cheapest_trap(spark, sf):
-    return pricing.cheapest_trap(item_cost_board(spark, sf))
+    return pricing.scenario_traps(*_scenarios(spark, sf))
 
 
 @query(f"""WITH {PRICES}, g AS (SELECT name, category, 100000 / (rate * (1 + greatest(0.0, least(60.0, pct)) / 100) * CAST(1.03 AS DOUBLE)) AS g FROM pr)

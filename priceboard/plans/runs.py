@@ -73,5 +73,4 @@ def making_dashboard(live: DataFrame, summaries: DataFrame, scenarios: DataFrame
     ladder = board.ladder_long(live, ["name"]).filter(F.col("purity").isin(KARATS)).select("name", F.col("purity").alias("karat"), "rate")
     charges = summaries.select(F.col("brand").alias("name"), "category", F.col("median_pct").alias("pct"), "items", "confidence")
     prices = tables.stored(ladder.join(charges, "name"), "dashboard")
-    costs = pricing.scenario_costs(scenarios, prices)
-    return {"prices": prices, "costs": costs, "traps": pricing.cheapest_trap(costs), "grams": pricing.budget_board(prices.filter("karat = '22K'"), budget)}
+    return {"prices": prices, "costs": pricing.scenario_costs(scenarios, prices), "traps": pricing.scenario_traps(scenarios, prices), "grams": pricing.budget_board(prices.filter("karat = '22K'"), budget)}

@@ -3,8 +3,10 @@
 import re
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from priceboard.functions import scalars as S
 from priceboard.functions.tables import spread
 from priceboard.operators import extract_making as EM
 from priceboard.operators import extract_rates as ER
@@ -29,3 +31,20 @@ def test_pages_of_one_file_are_many_tasks(spark):
     for plan in (EM.readings(pages, {"labelled_text": EM.STRATEGIES["labelled_text"]}), T.read(spread(pages, "page_id"))[0]):
         assert plan.rdd.getNumPartitions() == 4
     assert ER.found_rates(pages).count() == 1000
+
+
+def test_scenarios_meet_kinds_not_brands(spark):
+    """Traps and costs as the rows of each scenario and brand say them; repeated scenarios, missing weights and rates, ties."""
+    from priceboard.operators import pricing as P
+
+    k = F.col("id")
+    prices = spark.range(60).select(F.concat(F.lit("b"), k.cast("string")).alias("name"), F.element_at(F.array(F.lit("x"), F.lit("y")), (k % 2 + 1).cast("int")).alias("category"), F.lit("22K").alias("karat"), F.when(k != 7, 6000.0 + k % 5).alias("rate"), (k % 11).cast("double").alias("pct"))
+    scenarios = spark.range(200).select((k % 190).alias("scenario"), F.when(k % 3 > 0, "x").otherwise("y").alias("category"), F.lit("22K").alias("karat"), F.when(k % 7 > 0, (k % 7).cast("double")).alias("weight"))
+    j = scenarios.join(prices, ["category", "karat"]).withColumn("total", S.rounded(P.item_price(F.col("weight"), F.col("rate"), F.col("pct"))))
+    w = Window.partitionBy("scenario")
+    want = j.select("scenario", "name", "rate", "pct", "total", S.rounded(F.col("total") - F.min("total").over(w)).alias("over_best"), S.rounded(F.col("total") / F.max("total").over(w), 4).alias("bar"))
+    rows = lambda df: sorted((tuple(r) for r in df.collect()), key=str)
+    assert rows(P.scenario_costs(scenarios, prices)) == rows(want)
+    once = scenarios.filter("scenario >= 10")  # of a scenario of two rows cheapest_trap takes either
+    assert rows(P.scenario_traps(once, prices)) == rows(P.cheapest_trap(want.filter("scenario >= 10")))
+    assert P._kind_costs(scenarios, prices).count() == 2 * 7 * 30
