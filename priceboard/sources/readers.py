@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..functions.tables import spread
 
 #: Parts of a sitemap's path that keep it from being followed, and one that it needs.
 SKIP_INDEX, NEED_INDEX = r"(?i)page|collection|blog|author|news", r"(?i)product|sitemap"
@@ -159,5 +160,7 @@ def read_page_archive(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_page_archive(pages: DataFrame, path: str) -> None:
-    """pages: name, html.  A folder for each name, with the page as its one row."""
-    pages.select("name", F.col("html").alias("value")).write.mode("overwrite").partitionBy("name").option("lineSep", "\n").text(path)
+    """pages: name, html.  A folder for each name, with the page as its one row.  Names are dealt to all tasks, and each task moves its own files to their places when it
+    is done (the driver would move them one by one); so a job that failed may leave pages there, without _SUCCESS."""
+    rows = spread(pages.select("name", F.col("html").alias("value")), "name")
+    rows.write.mode("overwrite").partitionBy("name").option("mapreduce.fileoutputcommitter.algorithm.version", "2").option("lineSep", "\n").text(path)

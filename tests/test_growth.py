@@ -48,3 +48,12 @@ def test_scenarios_meet_kinds_not_brands(spark):
     once = scenarios.filter("scenario >= 10")  # of a scenario of two rows cheapest_trap takes either
     assert rows(P.scenario_traps(once, prices)) == rows(P.cheapest_trap(want.filter("scenario >= 10")))
     assert P._kind_costs(scenarios, prices).count() == 2 * 7 * 30
+
+
+def test_pages_of_an_archive_are_written_by_all_tasks(spark, tmp_path):
+    from priceboard.sources import readers
+
+    pages = spark.range(100).select(F.concat(F.lit("p"), F.col("id").cast("string"), F.lit("-gold-rate-pune-1-jan-2024.html")).alias("name"), F.lit("x").alias("html")).coalesce(1)
+    readers.write_page_archive(pages, f"{tmp_path}/a")
+    files = list((tmp_path / "a").glob("name=*/part-*"))
+    assert len(files) == 100 and len({f.name.split("-")[1] for f in files}) == 4
