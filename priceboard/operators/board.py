@@ -41,9 +41,15 @@ def ladder_long(rates: DataFrame, keys: list[str]) -> DataFrame:
 
 def ordering_sane(values: DataFrame, by: list[str]) -> DataFrame:
     """values: by..., purity, value (one per purity).  sane: no lower purity costs over ORDER_SLACK times the next higher one."""
-    w = Window.partitionBy(*by).orderBy(S.purity_fraction(F.col("purity")))
-    lower = F.lag("value").over(w)
-    return values.withColumn("ok", F.coalesce(lower <= F.col("value") * ORDER_SLACK, F.lit(True))).groupBy(*by).agg(F.bool_and("ok").alias("sane"))
+    known = sorted(S.FRACTION, key=S.FRACTION.get)  # from the lowest
+    own = lambda k: F.when(F.col("purity") == k, F.col("value"))
+    # numbers of a key in place of sorted rows: a hash aggregation with a fixed row for each key
+    ends = [c for k in known for c in (F.max(own(k)).alias(f"__most_{k}"), F.min(own(k)).alias(f"__least_{k}"), F.max(F.when(F.col("purity") == k, 1).otherwise(0)).alias(f"__has_{k}"))]
+    ok = F.lit(True)
+    for i, k in enumerate(known):
+        lower = F.coalesce(*(F.when(F.col(f"__has_{x}") == 1, F.struct(F.col(f"__most_{x}").alias("v"))) for x in reversed(known[:i])))["v"] if i else F.lit(None).cast("double")
+        ok = ok & F.coalesce(lower <= F.col(f"__least_{k}") * ORDER_SLACK, F.lit(True))
+    return values.groupBy(*by).agg(*ends).select(*by, ok.alias("sane"))
 
 
 def basis_confirmed(values: DataFrame, by: list[str]) -> DataFrame:

@@ -57,3 +57,19 @@ def test_pages_of_an_archive_are_written_by_all_tasks(spark, tmp_path):
     readers.write_page_archive(pages, f"{tmp_path}/a")
     files = list((tmp_path / "a").glob("name=*/part-*"))
     assert len(files) == 100 and len({f.name.split("-")[1] for f in files}) == 4
+
+
+def test_the_order_of_purities_needs_no_sort(spark):
+    from priceboard.operators import board
+
+    rows = [(1, "24K", 100.0), (1, "18K", 101.0), (2, "24K", 100.0), (2, "22K", None), (2, "18K", 101.0), (3, "14K", 9.0), (4, "24K", 100.0), (4, "22K", 92.0), (5, "9K", 1.0)]
+    got = board.ordering_sane(spark.createDataFrame(rows, "k int, purity string, value double"), ["k"])
+    assert {r["k"]: r["sane"] for r in got.collect()} == {1: False, 2: True, 3: True, 4: True, 5: True}
+    assert "Sort" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_batches_of_a_stream_are_several_files(spark):
+    from priceboard.plans import stream_queries as Q
+
+    files = Q._files(spark, spark.range(1000), "rows", 3, parts=8)
+    assert len(files.inputFiles() if not files.isStreaming else list(__import__("pathlib").Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")).glob("rows-*/**/part-*.parquet"))) == 24
