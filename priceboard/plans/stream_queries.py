@@ -7,6 +7,7 @@ from contextlib import contextmanager
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..functions.tables import stored
 from ..operators import board, subscribers
 from ..sources import readers, sinks
 from ..streaming import jobs
@@ -17,11 +18,11 @@ from .more_queries import LAST, _at
 from .queries import V, SQL, _day, query
 
 
-def _files(spark, df, name, n=3):
-    """df as a stream of n files, one a batch."""
+def _files(spark, df, name, n=3, parts=1):
+    """df as a stream of n batches of so many files, which are written by as many tasks."""
     at = _at(spark, name)
-    df.repartition(n).write.parquet(at)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(at)
+    df.repartition(n * parts).write.parquet(at)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", parts).parquet(at)
 
 
 @query(SQL["rates_merge"])
@@ -32,20 +33,20 @@ def stream_rates_merge(spark, sf):
     store, at = Store(_at(spark, "rates"), by_month("rate_date")), _at(spark, "checkpoint")
     store.begin(sinks.merge_rates(v.limit(0), v.filter("seq % 20 < 10"), seq="seq"))
     merge = lambda old, new: sinks.merge_rates(old, new, seq="seq")
-    jobs.for_each_batch(_files(spark, v.filter("seq % 20 >= 10"), "quotes"), at, store.step(merge, at)).awaitTermination()
+    jobs.for_each_batch(_files(spark, v.filter("seq % 20 >= 10"), "quotes", parts=8), at, store.step(merge, at)).awaitTermination()
     return store.read(spark)
 
 
 @query(f"WITH {B.RATES}, {B.PUBLISHED} SELECT rate_date, {D('median(canonical)', 4)} AS median_24k, count(*) AS n FROM pub GROUP BY 1")
 def stream_snapshots(spark, sf):
     """Rates of a third of the brands are stored, with their snapshots; the others are merged batch by batch, and the snapshots of the days that a batch touches made anew."""
-    r = B.rates(spark, sf).filter("status = 'published' and canonical > 0").select("brand_id", "rate_date", "canonical").withColumn("seq", F.lit(1))
+    r = stored(B.rates(spark, sf).filter("status = 'published' and canonical > 0").select("brand_id", "rate_date", "canonical").withColumn("seq", F.lit(1)), "rates")
     snap = lambda t: t.groupBy("rate_date").agg(S.rounded(F.median("canonical"), 4).alias("median_24k"), F.count("*").alias("n"))
     store, snaps, at = Store(_at(spark, "merged"), by_month("rate_date")), Store(_at(spark, "snapshots"), by_month("rate_date")), _at(spark, "checkpoint")
     store.begin(r.filter("brand_id % 3 = 0"))
     snaps.begin(snap(store.read(spark)))
     step = snapshot_step(store, lambda a, b: sinks.merge_rates(a, b, seq="seq"), snaps, "rate_date", snap, at)
-    jobs.for_each_batch(_files(spark, r.filter("brand_id % 3 <> 0"), "quotes"), at, step).awaitTermination()
+    jobs.for_each_batch(_files(spark, r.filter("brand_id % 3 <> 0"), "quotes", parts=8), at, step).awaitTermination()
     return snaps.read(spark)
 
 
