@@ -18,7 +18,7 @@ def patterns_in(df):
     return len(re.findall(r"regexp_extract|regexp_replace|rlike", df._jdf.queryExecution().analyzed().toString(), re.I))
 
 
-@pytest.mark.parametrize("name, most", [("labelled_text", 40), ("dom_section", 40), ("direct_percent", 40), ("rsc_breakup", 40)])
+@pytest.mark.parametrize("name, most", [("labelled_text", 20), ("dom_section", 30), ("direct_percent", 12), ("rsc_breakup", 10)])
 def test_strategies_make_a_label_once(spark, name, most):
     pages = spark.createDataFrame([(1, "<p>Making Charges ₹ 500</p>")], "page_id long, html string")
     p, page = T.read(pages, drop_scripts=False)
