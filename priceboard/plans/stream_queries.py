@@ -106,7 +106,7 @@ def stream_debounce(spark, sf):
     out, at = _at(spark, "debounce"), _at(spark, "checkpoint")
     with _rocks(spark):
         c = B.clicks(spark, sf).select("session_id", "label", "ms", "id", F.col("ts").cast("timestamp").alias("ts"))
-        jobs.to_table(jobs.debounce(_files(spark, c, "clicks", 1), DAY_MS, "1 day", DAY_MS), out, at)
+        jobs.to_table(jobs.debounce(_files(spark, c, "clicks", 1, parts=8), DAY_MS, "1 day", DAY_MS), out, at)
     return spark.read.parquet(out)
 
 

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -36,49 +37,63 @@ def daily_visitors(views: DataFrame, late: str = "2 days") -> DataFrame:
 
 class Debounce(StatefulProcessor):
     """Clicks of a session wait in buckets of width_ms until the watermark has passed a bucket's end; then the bucket is gone through in order, with the label and
-    time of the session's last kept click as state.  That state ends gap_ms after the click, since no later one depends on it."""
+    time of the session's last kept click as state.  That state ends gap_ms after the click, since no later one depends on it.
+
+    Each use of state is a message to the JVM and back, so a session's new clicks are appended together, its timer is that of the first bucket alone, and a timer takes
+    all buckets that the watermark has passed.  There is always a timer at the end of the first bucket that waits, or before."""
+
+    MOST = 10_000  # rows of a session that are appended at once
 
     def __init__(self, gap_ms: int = 2000, width_ms: int = 60_000):
         self.gap, self.width = gap_ms, width_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "bucket long", "ms array<long>, id array<long>, label array<string>")
+        self.waiting = handle.getListState("waiting", "bucket long, ms array<long>, id array<long>, label array<string>")
         self.last = handle.getValueState("last", "label string, ms long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        closed = timerValues.getCurrentWatermarkInMs()
-        for frame in rows:
-            for bucket, own in frame.groupby(frame["ms"] // self.width):
-                end = (int(bucket) + 1) * self.width
-                if end <= closed:
-                    continue  # too late: its bucket has been gone through
-                new = [[int(x) for x in own["ms"]], [int(x) for x in own["id"]], [None if pd.isna(x) else str(x) for x in own["label"]]]
-                if self.waiting.containsKey((int(bucket),)):
-                    new = [[*a, *b] for a, b in zip(self.waiting.getValue((int(bucket),)), new, strict=True)]
-                else:
-                    self.handle.registerTimer(end)
-                self.waiting.updateValue((int(bucket),), tuple(new))
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        closed, first = timerValues.getCurrentWatermarkInMs(), None
+        while part := list(islice(rows, self.MOST)):
+            new = {}
+            for r in part:
+                bucket = r["ms"] // self.width
+                if (bucket + 1) * self.width > closed:  # else too late: its bucket has been gone through
+                    for to, x in zip(new.setdefault(bucket, ([], [], [])), (r["ms"], r["id"], r["label"]), strict=True):
+                        to.append(x)
+            if new:
+                self.waiting.appendList([(bucket, *own) for bucket, own in new.items()])
+                first = min(new) if first is None else min(first, *new)
+        if first is not None:
+            self.handle.registerTimer((first + 1) * self.width)
         return iter(())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now, kept = expiredTimerInfo.getExpiryTimeInMs(), []
-        label, ms = self.last.get() if self.last.exists() else (None, None)
-        for bucket in sorted(k[0] for k in self.waiting.keys()):
-            if (bucket + 1) * self.width > now:
-                break
-            for at, i, own in sorted(zip(*self.waiting.getValue((bucket,)), strict=True), key=lambda x: x[:2]):
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        closed = timerValues.getCurrentWatermarkInMs() // self.width  # buckets before this one
+        due, later = {}, []
+        for bucket, *own in self.waiting.get():
+            if bucket < closed:
+                due.setdefault(bucket, []).extend(zip(*own, strict=True))
+            else:
+                later.append((bucket, *own))
+        had = self.last.get()
+        label, ms = had or (None, None)
+        for bucket in sorted(due):
+            for at, i, own in sorted(due.pop(bucket), key=lambda x: x[:2]):
                 if ms is not None and label is not None and label == own and at - ms < self.gap:
                     continue
                 label, ms = own, at
-                kept.append(i)
-            self.waiting.removeKey((bucket,))
-        if ms is not None and ms + self.gap <= now:
-            self.last.clear()
-        elif ms is not None:
+                yield Row(session_id=key[0], id=i)
+        if later:
+            self.waiting.put(later)
+            self.handle.registerTimer((min(x[0] for x in later) + 1) * self.width)
+        else:
+            self.waiting.clear()
+        if ms is not None and ms + self.gap > closed * self.width:
             self.last.update((label, ms))
             self.handle.registerTimer(-(-(ms + self.gap) // self.width) * self.width)
-        yield pd.DataFrame({"session_id": [key[0]] * len(kept), "id": kept})
+        elif had is not None:
+            self.last.clear()
 
     def close(self) -> None:
         pass
@@ -87,7 +102,7 @@ class Debounce(StatefulProcessor):
 def debounce(clicks: DataFrame, gap_ms: int = 2000, late: str = "1 hour", width_ms: int = 60_000) -> DataFrame:
     """session_id long, label, ms, id, ts.  session_id and id of the kept clicks, once the watermark has passed them; later ones are dropped.  Needs the RocksDB state store."""
     c = clicks.select("session_id", "label", "ms", "id", "ts").withWatermark("ts", late)
-    return c.groupBy("session_id").transformWithStateInPandas(Debounce(gap_ms, width_ms), "session_id long, id long", "append", "eventTime")
+    return c.groupBy("session_id").transformWithState(Debounce(gap_ms, width_ms), "session_id long, id long", "append", "eventTime")
 
 
 class Learn(StatefulProcessor):
