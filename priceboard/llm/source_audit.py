@@ -1,14 +1,16 @@
 """How the sources of each lang differ in their words.
 
 Every document becomes an exact sparse vector of term counts by Spark's CountVectorizer, with minDF and the largest integer as vocabSize, so the
-vocabulary is all that minDF keeps.  The fit, which counts documents, gets each term of a text once; the vectors are made of all.  A term carries the number of its lang, so that one fit makes the vocabularies of all langs side by
+vocabulary is all that minDF keeps.  The fit, which counts documents, gets each term of a text once, and no term from one task in more documents than minDF asks for: a term of
+minDF documents in one task is kept whatever the others have, and of a term that no task has so often each document is counted.  The vectors are made of all.  A term carries the number of its lang, so that one fit makes the vocabularies of all langs side by
 side, each with its own document frequencies, and one pass over the texts serves any number of langs.  A vocabulary is on the driver and in every
-executor; therefore it is bounded: the distinct terms are estimated first, and where they are more than MOST_TERMS terms are dealt into slices
-by hash, each with a CountVectorizer of its own; all sums that follow are sums over slices.  Models and vectors are written to
+executor; therefore it is bounded: the first fit may keep MOST_KEPT terms, and holds if it kept fewer, since then minDF alone has chosen.  Else the
+distinct terms are estimated, and where they are more than MOST_TERMS terms are dealt into slices by hash, each with a
+CountVectorizer of its own; all sums that follow are sums over slices.  Models and vectors are written to
 spark.checkpoint.dir.
 
 The vectors are summed by (lang, source) as Summarizer does, but sparsely: a partial sum for each term that occurs, in place of arrays as long as
-the vocabulary.  Each kept term has the share p = 1 + floor(1000000000 * (count + 2) / (N + 2 * V)) in a group, and two groups differ by
+the vocabulary.  Tasks sum the vectors of an Arrow batch; Spark sums these by group and term.  Each kept term has the share p = 1 + floor(1000000000 * (count + 2) / (N + 2 * V)) in a group, and two groups differ by
 the sum of floor((p - q)**2 / (p + q)).  Pairs are evaluated on the sums: the entries of a block of terms and of two tiles of sources meet in a
 task, which returns one number for each pair; terms that no source of the tiles has add one known number each.  All numbers are integers.
 
@@ -24,20 +26,23 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import IllegalArgumentException
-from pyspark.ml.feature import CountVectorizer
+from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tables import shared_dir
 from .common import byte_blocks, packed, stored
 
-MIN_DF, MOST_TERMS, MOST_LANGS = 10, 4_000_000, 10_000
+MIN_DF, MOST_TERMS, MOST_KEPT, MOST_LANGS = 10, 4_000_000, 1_000_000, 10_000
 LARGEST_INT = 2**31 - 1
 UNIT = 1_000_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes of text that a task cuts to terms at once.
 BLOCK_BYTES = 4_000_000
+#: Terms whose documents a task of the fit counts before it begins anew.
+MOST_COUNTED = 300_000
 #: Terms in a block and sources in a tile of the pair evaluation.
 BLOCK, TILE = 4096, 128
 TOP = 10
@@ -55,19 +60,36 @@ def documents(docs: DataFrame, text: str = "text", lang: str = "lang", source: s
 _BYTES = bytes(i + 32 if 65 <= i <= 90 else i if 97 <= i <= 122 or i >= 128 else 32 for i in range(256))
 
 
-def _marked(whole: bool, k: int = 0, n_slices: int = 1):
-    """Terms of each row as one string with spaces between, each led by the digits of its lang; all of them, or each term of a text once.  Of several slices, slice k."""
+def _marked(min_df: int | None, k: int = 0, n_slices: int = 1):
+    """Terms of each row as one string with spaces between, each led by the digits of its lang; all of them, or each term of a text once, with min_df, and of a term that
+    min_df texts of the task have had no more.  Of several slices, slice k."""
 
     def run(batches):
+        had, counted = {}, 0
+
+        def wanted(lang, terms):
+            nonlocal had, counted
+            of, out = had.setdefault(lang, {}), []
+            get, before = of.get, len(of)
+            for t in terms:
+                n = get(t, 0)
+                if n < min_df:
+                    of[t] = n + 1
+                    out.append(t)
+            counted += len(of) - before
+            if counted > MOST_COUNTED:
+                had, counted = {}, 0
+            return out
+
         for batch in batches:
             for first, last in byte_blocks(batch.column("text"), BLOCK_BYTES):
                 b, out = batch.slice(first, last - first), []
                 for lang, text in zip(b.column("lang_no").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), strict=True):
                     own = text.translate(_BYTES).split()
-                    if not whole:
-                        own = set(own)
                     if n_slices > 1:
                         own = [t for t in own if zlib.crc32(t) % n_slices == k]
+                    if min_df is not None:
+                        own = wanted(lang, set(own))
                     mark = str(lang).encode()
                     out.append(mark + (b" " + mark).join(own) if own else b"")
                 yield pa.RecordBatch.from_arrays([b.column("lang_no"), b.column("source"), pa.array(out, pa.binary()).view(pa.string())], ["lang_no", "source", "terms"])
@@ -75,9 +97,9 @@ def _marked(whole: bool, k: int = 0, n_slices: int = 1):
     return run
 
 
-def tokens(rows: DataFrame, whole: bool, k: int = 0, n_slices: int = 1) -> DataFrame:
-    """rows: lang_no, source, text.  lang_no, source, tokens (array of strings)."""
-    made = rows.select("lang_no", "source", "text").mapInArrow(_marked(whole, k, n_slices), "lang_no int, source string, terms string")
+def tokens(rows: DataFrame, min_df: int | None, k: int = 0, n_slices: int = 1) -> DataFrame:
+    """rows: lang_no, source, text.  lang_no, source, tokens (array of strings): all, or with min_df what a fit needs."""
+    made = rows.select("lang_no", "source", "text").mapInArrow(_marked(min_df, k, n_slices), "lang_no int, source string, terms string")
     return made.select("lang_no", "source", F.when(F.col("terms") == "", F.array().cast("array<string>")).otherwise(F.split("terms", " ")).alias("tokens"))
 
 
@@ -87,8 +109,10 @@ def _slices(rows: DataFrame, most_terms: int) -> int:
 
     def distinct(batches):
         for b in batches:
-            seen = {(lang, t) for lang, text in zip(b.column("lang_no").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), strict=True) for t in set(text.translate(_BYTES).split())}
-            yield pa.RecordBatch.from_arrays([pa.array([str(lang).encode() + t for lang, t in seen], pa.binary())], ["t"])
+            seen = {}
+            for lang, text in zip(b.column("lang_no").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), strict=True):
+                seen.setdefault(lang, set()).update(text.translate(_BYTES).split())
+            yield pa.RecordBatch.from_arrays([pa.array([mark + t for mark, own in ((str(lang).encode(), own) for lang, own in seen.items()) for t in own], pa.binary())], ["t"])
 
     found = rows.select("lang_no", "text").mapInArrow(distinct, "t binary")
     n = found.agg(F.hll_sketch_estimate(F.hll_sketch_agg("t", F.lit(12)))).first()[0]
@@ -102,25 +126,35 @@ def _langs(rows: DataFrame) -> DataFrame:
     return rows.sparkSession.createDataFrame(list(enumerate(sorted(names))), "lang_no int, lang string")
 
 
-def vectors(docs: DataFrame, min_df: int = MIN_DF, most_terms: int = MOST_TERMS) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _fitted(rows: DataFrame, min_df: int, most: int, k: int = 0, n_slices: int = 1) -> tuple[CountVectorizerModel | None, str, int]:
+    """The model of slice k, its folder (it lies in model) and its number of terms; no model where minDF keeps no term.  Of more than most terms it has most."""
+    at = f"{shared_dir(rows.sparkSession)}/terms-{uuid.uuid4().hex}"
+    try:
+        model = CountVectorizer(inputCol="tokens", outputCol="counts", minDF=float(min_df), vocabSize=most).fit(tokens(rows, min_df, k, n_slices))
+    except IllegalArgumentException as e:
+        if "vocabulary size should be > 0" not in str(e):
+            raise
+        return None, at, 0
+    model.write().save(f"{at}/model")
+    return model, at, rows.sparkSession.read.parquet(f"{at}/model/data").select(F.size("vocabulary")).first()[0]
+
+
+def vectors(docs: DataFrame, min_df: int = MIN_DF, most_terms: int = MOST_TERMS, most_kept: int = MOST_KEPT) -> tuple[DataFrame, DataFrame, DataFrame]:
     """docs: lang, source, text.  Vectors (slice, lang_no, source, indices, values: a row for each document and slice), vocabulary (slice, idx, lang_no, term)
     and langs (lang_no, lang)."""
     spark = docs.sparkSession
     langs = stored(_langs(docs), "langs")
     rows = docs.join(F.broadcast(langs), "lang")
-    n_slices = _slices(rows, most_terms)
     made = [spark.createDataFrame([], "slice int, lang_no int, source string, indices array<int>, values array<double>")]
     vocabulary = [spark.createDataFrame([], "slice int, idx int, lang_no int, term string")]
+    most = min(most_kept, most_terms)
+    first = _fitted(rows, min_df, most)
+    n_slices = 1 if first[2] < most else _slices(rows, most_terms)  # as many as it may keep: there may be more
     for k in range(n_slices):
-        at = f"{shared_dir(spark)}/terms-{uuid.uuid4().hex}"
-        try:
-            model = CountVectorizer(inputCol="tokens", outputCol="counts", minDF=float(min_df), vocabSize=LARGEST_INT).fit(tokens(rows, False, k, n_slices))
-        except IllegalArgumentException as e:
-            if "vocabulary size should be > 0" not in str(e):
-                raise
-            continue  # minDF keeps no term of this slice
-        model.write().save(f"{at}/model")
-        model.transform(tokens(rows, True, k, n_slices)).select("lang_no", "source", "counts").write.parquet(f"{at}/vectors")
+        model, at, _ = first if first[2] < most else _fitted(rows, min_df, LARGEST_INT, k, n_slices)
+        if model is None:
+            continue
+        model.transform(tokens(rows, None, k, n_slices)).select("lang_no", "source", "counts").write.parquet(f"{at}/vectors")
         made.append(spark.read.schema(f"lang_no int, source string, counts {VECTOR}").parquet(f"{at}/vectors").select(F.lit(k).alias("slice"), "lang_no", "source", "counts.indices", "counts.values"))
         words = spark.read.parquet(f"{at}/model/data").select(F.posexplode("vocabulary").alias("idx", "word"))
         vocabulary.append(words.select(F.lit(k).alias("slice"), "idx", F.regexp_extract("word", "^[0-9]+", 0).cast("int").alias("lang_no"), F.regexp_replace("word", "^[0-9]+", "").alias("term")))
@@ -134,10 +168,26 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
+def _batch_sums(batches):
+    """Of the vectors of each batch: the sum of each group and term."""
+    for b in batches:
+        number = {}
+        group = [number.setdefault(x, len(number)) for x in zip(*(b.column(c).to_pylist() for c in ("slice", "lang_no", "source")), strict=True)]
+        each = np.repeat(np.array(group, np.int64), pc.list_value_length(b.column("indices")).to_numpy(zero_copy_only=False))
+        key = each << 32 | b.column("indices").flatten().to_numpy().astype(np.int64)
+        t = pa.table({"key": key, "n": b.column("values").flatten().cast(pa.int64())}).group_by("key", use_threads=False).aggregate([("n", "sum")])
+        key = t.column("key").to_numpy()
+        names = pa.table(list(map(pa.array, zip(*number, strict=True))) or [[], [], []], ["slice", "lang_no", "source"]).cast(pa.schema([("slice", pa.int32()), ("lang_no", pa.int32()), ("source", pa.string())]))
+        names = names.take(pa.array(key >> 32))
+        out = pa.table([*names.columns, pa.array((key & 0xFFFFFFFF).astype(np.int32)), t.column("n_sum")], ["slice", "lang_no", "source", "idx", "n"])
+        yield from out.combine_chunks().to_batches()
+
+
 def group_sums(found: DataFrame) -> DataFrame:
     """slice, lang_no, source, idx, n: the sparse sums of the vectors of each group."""
-    each = found.select("slice", "lang_no", "source", F.explode(F.arrays_zip("indices", "values")).alias("x"))
-    return each.groupBy("slice", "lang_no", "source", F.col("x.indices").alias("idx")).agg(F.sum(F.col("x.values").cast("long")).alias("n"))
+    keys = ["slice", "lang_no", "source", "idx"]
+    part = found.select("slice", "lang_no", "source", "indices", "values").mapInArrow(_batch_sums, "slice int, lang_no int, source string, idx int, n long")
+    return part.repartition(*keys).groupBy(*keys).agg(F.sum("n").alias("n"))
 
 
 def _share(n: Column) -> Column:
