@@ -208,11 +208,10 @@ EXTRACTORS = {f.__name__: f for f in (rate_cards, rows, product_breakup, json_br
 
 def found_rates(pages: DataFrame, extractors: dict | None = None) -> DataFrame:
     """page_id, extractor, purity, value: what the first extractor with a result finds on each page."""
-    p, page = T.read(spread(pages, "page_id"))
-    pick = F.lit(None).cast("struct<extractor:string,found:array<struct<purity:string,value:double>>>")
-    for name, f in reversed(list((extractors or EXTRACTORS).items())):
-        arr = f(page)
-        pick = F.when(F.size(arr) > 0, F.struct(F.lit(name).alias("extractor"), arr.alias("found"))).otherwise(pick)
+    chosen = extractors or EXTRACTORS
+    p, page = T.read(spread(pages, "page_id"), said=any(f not in EXTRACTORS.values() for f in chosen.values()))  # none of the twelve reads it
+    tried = lambda name, f: S.once(f(page), lambda arr: F.when(F.size(arr) > 0, F.struct(F.lit(name).alias("extractor"), arr.alias("found"))))
+    pick = F.coalesce(*(tried(name, f) for name, f in chosen.items()))  # the first that is not null; those after it are not made
     # stored before anything filters it: a filter moved below would make the tokens anew wherever a rule reads them
     read = stored(p.select("page_id", pick.alias("r")), "read")
     return read.filter("r is not null").select("page_id", "r.extractor", F.inline("r.found"))

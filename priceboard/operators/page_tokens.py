@@ -57,15 +57,11 @@ def canonical(tokens: Column) -> Column:
     return F.transform(tokens, one)
 
 
-def numbers(text: Column, tokens: Column, canon: Column) -> Column:
-    """array<struct<at, s, v, digits, unit, pre, post, said, start, end, gap, then>>."""
+def numbers(text: Column, tokens: Column, canon: Column, said: bool = True) -> Column:
+    """array<struct<at, s, v, digits, unit, pre, post, said, start, end, gap, then>>; without said where no rule reads it."""
     text = F.coalesce(text, F.lit(""))
     every = F.when(F.size(tokens) > 0, F.sequence(F.lit(0), F.size(tokens) - 1)).otherwise(F.array().cast("array<int>"))
     places = F.filter(every, lambda i: F.get(canon, i) == "#")
-    found, between = F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0)), F.split(text, NUMBER)
-    # a piece is what lies between and the number after it; ends are their running lengths
-    pieces = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda g, s: F.concat(g, s))
-    sums = F.aggregate(pieces, F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("ends")), lambda a, p: F.struct((a["n"] + F.length(p)).alias("n"), F.concat(a["ends"], F.array(a["n"] + F.length(p))).alias("ends")))
 
     def before(of, i, n):
         start = F.greatest(i - n, F.lit(0))
@@ -74,15 +70,19 @@ def numbers(text: Column, tokens: Column, canon: Column) -> Column:
     def one(i, j, x):
         s, gap, end = F.get(tokens, i), F.get(x["between"], j), F.get(x["ends"], j)
         first = F.greatest(j - SAID // 2, F.lit(0))  # a piece has two characters or more, but for the first one
-        said = F.right(F.concat(F.array_join(F.slice(x["pieces"], first + 1, j - first), ""), gap), F.lit(SAID))
+        until = [F.right(F.concat(F.array_join(F.slice(x["pieces"], first + 1, j - first), ""), gap), F.lit(SAID)).alias("said")] if said else []
         return F.struct(
             i.alias("at"), s.alias("s"), S.parse_amount(s).alias("v"), F.length(F.replace(F.substring_index(s, ".", 1), F.lit(","), F.lit(""))).alias("digits"), F.lower(F.get(tokens, i + 1)).alias("unit"),
-            before(canon, i, EARLIER).alias("pre"), F.array_join(F.slice(canon, i + 2, LATER), " ").alias("post"), said.alias("said"),
+            before(canon, i, EARLIER).alias("pre"), F.array_join(F.slice(canon, i + 2, LATER), " ").alias("post"), *until,
             (end - F.length(s)).alias("start"), end.alias("end"), gap.alias("gap"), F.get(x["between"], j + 1).alias("then"),
         )
 
-    made = F.array(F.struct(places.alias("places"), between.alias("between"), pieces.alias("pieces"), sums["ends"].alias("ends")))
-    return F.get(F.transform(made, lambda x: F.transform(x["places"], lambda i, j: one(i, j, x))), F.lit(0))
+    # a piece is what lies between and the number after it; ends are their running lengths.  The text is cut once, and so are the pieces
+    cut = F.struct(F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0)).alias("found"), F.split(text, NUMBER).alias("between"))
+    both = lambda x: F.struct(x["between"].alias("between"), F.zip_with(F.slice(x["between"], 1, F.size(x["found"])), x["found"], lambda g, s: F.concat(g, s)).alias("pieces"))
+    sums = lambda of: F.aggregate(of, F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("ends")), lambda a, p: F.struct((a["n"] + F.length(p)).alias("n"), F.concat(a["ends"], F.array(a["n"] + F.length(p))).alias("ends")))
+    made = S.once(S.once(cut, both), lambda x: F.struct(places.alias("places"), x["between"].alias("between"), x["pieces"].alias("pieces"), sums(x["pieces"])["ends"].alias("ends")))
+    return S.once(made, lambda x: F.transform(x["places"], lambda i, j: one(i, j, x)))
 
 
 def members(html: Column) -> Column:
@@ -92,11 +92,11 @@ def members(html: Column) -> Column:
     return F.zip_with(keys, values, lambda k, v: F.struct(k.alias("key"), F.trim(v, F.lit('"')).alias("value")))
 
 
-def read(pages: DataFrame, html: str = "html", drop_scripts: bool = True) -> tuple[DataFrame, Page]:
-    """pages with the columns of Page, and these columns."""
+def read(pages: DataFrame, html: str = "html", drop_scripts: bool = True, said: bool = True) -> tuple[DataFrame, Page]:
+    """pages with the columns of Page, and these columns; said: whether a rule reads what is said before a number."""
     p = pages.withColumns({"__t": S.visible_text(F.col(html), drop_scripts), "__m": members(F.col(html))})
     p = p.withColumn("__tokens", tokens(F.col("__t"))).withColumn("__canon", canonical(F.col("__tokens")))
-    p = p.withColumn("__numbers", numbers(F.col("__t"), F.col("__tokens"), F.col("__canon")))
+    p = p.withColumn("__numbers", numbers(F.col("__t"), F.col("__tokens"), F.col("__canon"), said))
     return p, Page(F.col(html), *(F.col(c) for c in ("__t", "__tokens", "__canon", "__numbers", "__m")))
 
 
