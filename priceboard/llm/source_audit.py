@@ -2,15 +2,16 @@
 
 Every document becomes an exact sparse vector of term counts by Spark's CountVectorizer, with minDF and the largest integer as vocabSize, so the
 vocabulary is all that minDF keeps.  The fit, which counts documents, gets each term of a text once, and no term from one task in more documents than minDF asks for: a term of
-minDF documents in one task is kept whatever the others have, and of a term that no task has so often each document is counted.  The vectors are made of all.  A term carries the number of its lang, so that one fit makes the vocabularies of all langs side by
+minDF documents in one task is kept whatever the others have, and of a term that no task has so often each document is counted.  Terms that the first task's texts show
+to be kept are certain: the fit gets them in minDF rows of their own, and from no text.  The vectors are made of all.  A term carries the number of its lang, so that one fit makes the vocabularies of all langs side by
 side, each with its own document frequencies, and one pass over the texts serves any number of langs.  A vocabulary is on the driver and in every
 executor; therefore it is bounded: the first fit may keep MOST_KEPT terms, and holds if it kept fewer, since then minDF alone has chosen.  Else the
 distinct terms are estimated, and where they are more than MOST_TERMS terms are dealt into slices by hash, each with a
-CountVectorizer of its own; all sums that follow are sums over slices.  Models and vectors are written to
-spark.checkpoint.dir.
+CountVectorizer of its own; all sums that follow are sums over slices.  Models and the sums of
+vectors are written to spark.checkpoint.dir.
 
 The vectors are summed by (lang, source) as Summarizer does, but sparsely: a partial sum for each term that occurs, in place of arrays as long as
-the vocabulary.  Tasks sum the vectors of an Arrow batch; Spark sums these by group and term.  Each kept term has the share p = 1 + floor(1000000000 * (count + 2) / (N + 2 * V)) in a group, and two groups differ by
+the vocabulary.  Each kept term has the share p = 1 + floor(1000000000 * (count + 2) / (N + 2 * V)) in a group, and two groups differ by
 the sum of floor((p - q)**2 / (p + q)).  Pairs are evaluated on the sums: the entries of a block of terms and of two tiles of sources meet in a
 task, which returns one number for each pair; terms that no source of the tiles has add one known number each.  All numbers are integers.
 
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -29,7 +31,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.errors import IllegalArgumentException
 from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.tables import shared_dir
@@ -38,16 +40,18 @@ from .common import byte_blocks, packed, stored
 MIN_DF, MOST_TERMS, MOST_KEPT, MOST_LANGS = 10, 4_000_000, 1_000_000, 10_000
 LARGEST_INT = 2**31 - 1
 UNIT = 1_000_000_000
+#: The largest count of which UNIT times two more fits 64 bits.
+LONG_COUNT = (2**63 - 1) // UNIT - 2
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes of text that a task cuts to terms at once.
 BLOCK_BYTES = 4_000_000
 #: Terms whose documents a task of the fit counts before it begins anew.
 MOST_COUNTED = 300_000
+#: Bytes of the first task's text in which terms are looked for that are certain to be kept, and such terms in a row of the fit.
+CERTAIN_BYTES, CERTAIN_ROW = 24_000_000, 1000
 #: Terms in a block and sources in a tile of the pair evaluation.
 BLOCK, TILE = 4096, 128
 TOP = 10
-#: A vector as it lies in a file: pyspark has no sparse way from the vector type to arrays.
-VECTOR = "struct<type:tinyint,size:int,indices:array<int>,values:array<double>>"
 
 
 def documents(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
@@ -60,12 +64,13 @@ def documents(docs: DataFrame, text: str = "text", lang: str = "lang", source: s
 _BYTES = bytes(i + 32 if 65 <= i <= 90 else i if 97 <= i <= 122 or i >= 128 else 32 for i in range(256))
 
 
-def _marked(min_df: int | None, k: int = 0, n_slices: int = 1):
+def _marked(min_df: int | None, k: int = 0, n_slices: int = 1, certain: dict[int, bytes] | None = None):
     """Terms of each row as one string with spaces between, each led by the digits of its lang; all of them, or each term of a text once, with min_df, and of a term that
-    min_df texts of the task have had no more.  Of several slices, slice k."""
+    min_df texts of the task have had no more, nor of one that is certain.  Of several slices, slice k."""
 
     def run(batches):
         had, counted = {}, 0
+        known = {lang: frozenset(terms.split()) for lang, terms in (certain or {}).items()}
 
         def wanted(lang, terms):
             nonlocal had, counted
@@ -89,7 +94,7 @@ def _marked(min_df: int | None, k: int = 0, n_slices: int = 1):
                     if n_slices > 1:
                         own = [t for t in own if zlib.crc32(t) % n_slices == k]
                     if min_df is not None:
-                        own = wanted(lang, set(own))
+                        own = wanted(lang, set(own).difference(known.get(lang, ())))
                     mark = str(lang).encode()
                     out.append(mark + (b" " + mark).join(own) if own else b"")
                 yield pa.RecordBatch.from_arrays([b.column("lang_no"), b.column("source"), pa.array(out, pa.binary()).view(pa.string())], ["lang_no", "source", "terms"])
@@ -97,10 +102,60 @@ def _marked(min_df: int | None, k: int = 0, n_slices: int = 1):
     return run
 
 
-def tokens(rows: DataFrame, min_df: int | None, k: int = 0, n_slices: int = 1) -> DataFrame:
+def _lists(marked):
+    """What marked gives, with its terms as a list; null for none."""
+
+    def run(batches):
+        for b in marked(batches):
+            terms = b.column("terms")
+            lists = pc.split_pattern(pc.if_else(pc.equal(terms, ""), pa.scalar(None, pa.string()), terms), " ")
+            yield pa.RecordBatch.from_arrays([b.column("lang_no"), b.column("source"), lists], ["lang_no", "source", "tokens"])
+
+    return run
+
+
+def tokens(rows: DataFrame, min_df: int | None, k: int = 0, n_slices: int = 1, certain: dict[int, bytes] | None = None) -> DataFrame:
     """rows: lang_no, source, text.  lang_no, source, tokens (array of strings): all, or with min_df what a fit needs."""
-    made = rows.select("lang_no", "source", "text").mapInArrow(_marked(min_df, k, n_slices), "lang_no int, source string, terms string")
-    return made.select("lang_no", "source", F.when(F.col("terms") == "", F.array().cast("array<string>")).otherwise(F.split("terms", " ")).alias("tokens"))
+    made = rows.select("lang_no", "source", "text").mapInArrow(_lists(_marked(min_df, k, n_slices, certain)), "lang_no int, source string, tokens array<string>")
+    return made.select("lang_no", "source", F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens"))
+
+
+def _certain(rows: DataFrame, min_df: int) -> dict[int, bytes]:
+    """By lang, terms with spaces between that min_df documents have among the first ones of the first task that has rows: whatever the others have, they are kept.  One task
+    reads, CERTAIN_BYTES or MOST_COUNTED terms at most."""
+
+    def found(batches):
+        had, read, any_row = {}, 0, False
+        for batch in batches:
+            any_row = any_row or batch.num_rows > 0
+            for first, last in byte_blocks(batch.column("text"), BLOCK_BYTES):
+                if read >= CERTAIN_BYTES or sum(map(len, had.values())) > MOST_COUNTED:
+                    break
+                b = batch.slice(first, last - first)
+                for lang, text in zip(b.column("lang_no").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), strict=True):
+                    had.setdefault(lang, Counter()).update(set(text.translate(_BYTES).split()))
+                    read += len(text)
+        if any_row:
+            terms = [b" ".join(t for t, n in of.items() if n >= min_df) for of in had.values()]
+            yield pa.RecordBatch.from_arrays([pa.array([list(had)], pa.list_(pa.int32())), pa.array([terms], pa.list_(pa.binary()))], ["langs", "terms"])
+
+    row = rows.select("lang_no", "text").mapInArrow(found, "langs array<int>, terms array<binary>").first()
+    return {lang: bytes(terms) for lang, terms in zip(row["langs"], row["terms"], strict=True) if terms} if row else {}
+
+
+def _certain_tokens(spark: SparkSession, certain: dict[int, bytes], min_df: int, k: int, n_slices: int) -> DataFrame:
+    """tokens: each certain term of slice k in min_df rows."""
+
+    def run(batches):
+        for b in batches:
+            for lang, terms in certain.items():
+                mark = str(lang).encode()
+                own = [mark + t for t in terms.split() if zlib.crc32(t) % n_slices == k]
+                rows = [[t.decode() for t in own[i : i + CERTAIN_ROW]] for i in range(0, len(own), CERTAIN_ROW)]
+                for _ in range(b.num_rows):
+                    yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.string()))], ["tokens"])
+
+    return spark.range(0, min_df, 1, 1).mapInArrow(run, "tokens array<string>")
 
 
 def _slices(rows: DataFrame, most_terms: int) -> int:
@@ -123,14 +178,17 @@ def _langs(rows: DataFrame) -> DataFrame:
     names = [r[0] for r in rows.select("lang").distinct().limit(MOST_LANGS + 1).collect()]
     if len(names) > MOST_LANGS:
         raise ValueError(f"more than {MOST_LANGS} langs")
-    return rows.sparkSession.createDataFrame(list(enumerate(sorted(names))), "lang_no int, lang string")
+    return rows.sparkSession.createDataFrame(list(enumerate(sorted(names))), "lang_no int, lang string").coalesce(1)
 
 
-def _fitted(rows: DataFrame, min_df: int, most: int, k: int = 0, n_slices: int = 1) -> tuple[CountVectorizerModel | None, str, int]:
+def _fitted(rows: DataFrame, min_df: int, most: int, k: int = 0, n_slices: int = 1, certain: dict[int, bytes] | None = None) -> tuple[CountVectorizerModel | None, str, int]:
     """The model of slice k, its folder (it lies in model) and its number of terms; no model where minDF keeps no term.  Of more than most terms it has most."""
     at = f"{shared_dir(rows.sparkSession)}/terms-{uuid.uuid4().hex}"
+    given = tokens(rows, min_df, k, n_slices, certain).select("tokens")
+    if certain:
+        given = given.unionByName(_certain_tokens(rows.sparkSession, certain, min_df, k, n_slices))
     try:
-        model = CountVectorizer(inputCol="tokens", outputCol="counts", minDF=float(min_df), vocabSize=most).fit(tokens(rows, min_df, k, n_slices))
+        model = CountVectorizer(inputCol="tokens", outputCol="counts", minDF=float(min_df), vocabSize=most).fit(given)
     except IllegalArgumentException as e:
         if "vocabulary size should be > 0" not in str(e):
             raise
@@ -148,14 +206,15 @@ def vectors(docs: DataFrame, min_df: int = MIN_DF, most_terms: int = MOST_TERMS,
     made = [spark.createDataFrame([], "slice int, lang_no int, source string, indices array<int>, values array<double>")]
     vocabulary = [spark.createDataFrame([], "slice int, idx int, lang_no int, term string")]
     most = min(most_kept, most_terms)
-    first = _fitted(rows, min_df, most)
+    certain = _certain(rows, min_df)
+    first = _fitted(rows, min_df, most, certain=certain)
     n_slices = 1 if first[2] < most else _slices(rows, most_terms)  # as many as it may keep: there may be more
     for k in range(n_slices):
-        model, at, _ = first if first[2] < most else _fitted(rows, min_df, LARGEST_INT, k, n_slices)
+        model, at, _ = first if first[2] < most else _fitted(rows, min_df, LARGEST_INT, k, n_slices, certain)
         if model is None:
             continue
-        model.transform(tokens(rows, None, k, n_slices)).select("lang_no", "source", "counts").write.parquet(f"{at}/vectors")
-        made.append(spark.read.schema(f"lang_no int, source string, counts {VECTOR}").parquet(f"{at}/vectors").select(F.lit(k).alias("slice"), "lang_no", "source", "counts.indices", "counts.values"))
+        counts = model.transform(tokens(rows, None, k, n_slices)).select("lang_no", "source", F.unwrap_udt("counts").alias("counts"))
+        made.append(counts.select(F.lit(k).alias("slice"), "lang_no", "source", "counts.indices", "counts.values"))
         words = spark.read.parquet(f"{at}/model/data").select(F.posexplode("vocabulary").alias("idx", "word"))
         vocabulary.append(words.select(F.lit(k).alias("slice"), "idx", F.regexp_extract("word", "^[0-9]+", 0).cast("int").alias("lang_no"), F.regexp_replace("word", "^[0-9]+", "").alias("term")))
     return _union(made), _union(vocabulary), langs
@@ -168,32 +227,19 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _batch_sums(batches):
-    """Of the vectors of each batch: the sum of each group and term."""
-    for b in batches:
-        number = {}
-        group = [number.setdefault(x, len(number)) for x in zip(*(b.column(c).to_pylist() for c in ("slice", "lang_no", "source")), strict=True)]
-        each = np.repeat(np.array(group, np.int64), pc.list_value_length(b.column("indices")).to_numpy(zero_copy_only=False))
-        key = each << 32 | b.column("indices").flatten().to_numpy().astype(np.int64)
-        t = pa.table({"key": key, "n": b.column("values").flatten().cast(pa.int64())}).group_by("key", use_threads=False).aggregate([("n", "sum")])
-        key = t.column("key").to_numpy()
-        names = pa.table(list(map(pa.array, zip(*number, strict=True))) or [[], [], []], ["slice", "lang_no", "source"]).cast(pa.schema([("slice", pa.int32()), ("lang_no", pa.int32()), ("source", pa.string())]))
-        names = names.take(pa.array(key >> 32))
-        out = pa.table([*names.columns, pa.array((key & 0xFFFFFFFF).astype(np.int32)), t.column("n_sum")], ["slice", "lang_no", "source", "idx", "n"])
-        yield from out.combine_chunks().to_batches()
-
-
 def group_sums(found: DataFrame) -> DataFrame:
     """slice, lang_no, source, idx, n: the sparse sums of the vectors of each group."""
     keys = ["slice", "lang_no", "source", "idx"]
-    part = found.select("slice", "lang_no", "source", "indices", "values").mapInArrow(_batch_sums, "slice int, lang_no int, source string, idx int, n long")
-    return part.repartition(*keys).groupBy(*keys).agg(F.sum("n").alias("n"))
+    each = found.select("slice", "lang_no", "source", F.inline(F.arrays_zip(F.col("indices").alias("idx"), F.col("values").alias("n"))))
+    return each.groupBy(*keys).agg(F.sum(F.col("n").cast("long")).alias("n"))
 
 
 def _share(n: Column) -> Column:
-    """1 + floor(UNIT * (n + 2) / (N + 2 V)), exact beyond 64 bits."""
-    over, under = F.lit(UNIT).cast("decimal(10,0)") * (n + 2).cast("decimal(20,0)"), (F.col("words") + 2 * F.col("kept")).cast("decimal(20,0)")
-    return F.lit(1).cast("long") + F.call_function("div", over, under)
+    """1 + floor(UNIT * (n + 2) / (N + 2 V)), exact beyond 64 bits; by long integers where they hold it."""
+    size = F.col("words") + 2 * F.col("kept")
+    over = F.lit(UNIT).cast("decimal(10,0)") * (n + 2).cast("decimal(20,0)")
+    short = F.call_function("div", F.lit(UNIT).cast("long") * (n + 2).cast("long"), size.cast("long"))
+    return F.lit(1).cast("long") + F.when(n <= LONG_COUNT, short).otherwise(F.call_function("div", over, size.cast("decimal(20,0)")))
 
 
 def _apart(p: Column, q: Column) -> Column:
@@ -265,8 +311,11 @@ def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     lang_n = sums.groupBy("lang_no").agg(F.sum("n").alias("words")).join(size, "lang_no")
     whole = whole.join(F.broadcast(lang_n), "lang_no")  # a row for each lang, MOST_LANGS at most
     whole = whole.select("slice", "lang_no", "idx", _share(F.col("n")).alias("q"))
-    marks = entries.join(whole, ["slice", "lang_no", "idx"]).filter("p > q").join(vocabulary, ["slice", "lang_no", "idx"])
-    marks = marks.select("lang_no", "source", F.lit("term").alias("part"), F.col("term").alias("item"), _apart(F.col("p"), F.col("q")).alias("value"))
+    marks = entries.join(whole, ["slice", "lang_no", "idx"]).filter("p > q").select("slice", "lang_no", "idx", "source", _apart(F.col("p"), F.col("q")).alias("value"))
+    # by value first, with all that tie, so that few need their term
+    best = F.rank().over(Window.partitionBy("lang_no", "source").orderBy(F.desc("value")))
+    marks = marks.withColumn("best", best).filter(F.col("best") <= top).join(vocabulary, ["slice", "lang_no", "idx"])
+    marks = marks.select("lang_no", "source", F.lit("term").alias("part"), F.col("term").alias("item"), "value")
     order = Window.partitionBy("lang_no", "source", "part").orderBy(F.desc("value"), "item")
     marks = marks.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
     out = pairs.withColumn("rank", F.row_number().over(order)).unionByName(marks)
