@@ -1,9 +1,9 @@
 """How the sources of each lang differ in their words.
 
 Every document becomes an exact sparse vector of term counts by Spark's CountVectorizer, with minDF and the largest integer as vocabSize, so the
-vocabulary is all that minDF keeps.  The fit, which counts documents, gets each term of a text once, and no term from one task in more documents than minDF asks for: a term of
+vocabulary is all that minDF keeps; the audit, which needs sums alone, lets the texts that a task holds of a (lang, source) be one document when vectors are made.  The fit, which counts documents, gets each term of a text once, and no term from one task in more documents than minDF asks for: a term of
 minDF documents in one task is kept whatever the others have, and of a term that no task has so often each document is counted.  Terms that the first task's texts show
-to be kept are certain: the fit gets them in minDF rows of their own, and from no text.  The vectors are made of all.  A term carries the number of its lang, so that one fit makes the vocabularies of all langs side by
+to be kept are certain: the fit gets them in minDF rows of their own, and from no text.  The vectors are made of all occurrences.  A term carries the number of its lang, so that one fit makes the vocabularies of all langs side by
 side, each with its own document frequencies, and one pass over the texts serves any number of langs.  A vocabulary is on the driver and in every
 executor; therefore it is bounded: the first fit may keep MOST_KEPT terms, and holds if it kept fewer, since then minDF alone has chosen.  Else the
 distinct terms are estimated, and where they are more than MOST_TERMS terms are dealt into slices by hash, each with a
@@ -49,6 +49,8 @@ BLOCK_BYTES = 4_000_000
 MOST_COUNTED = 300_000
 #: Bytes of the first task's text in which terms are looked for that are certain to be kept, and such terms in a row of the fit.
 CERTAIN_BYTES, CERTAIN_ROW = 24_000_000, 1000
+#: Bytes of text that a task holds to join the texts of a group, bytes of joined text in a row, and bytes that a held text counts besides its own.
+HELD_BYTES, JOINED_BYTES, HELD_TEXT = 24_000_000, 1_000_000, 100
 #: Terms in a block and sources in a tile of the pair evaluation.
 BLOCK, TILE = 4096, 128
 TOP = 10
@@ -102,14 +104,63 @@ def _marked(min_df: int | None, k: int = 0, n_slices: int = 1, certain: dict[int
     return run
 
 
-def _lists(marked):
+def _joined(k: int = 0, n_slices: int = 1):
+    """As _marked, all terms, but by grp in place of source, and the texts of a group joined while a task holds them."""
+
+    def run(batches):
+        held, size = {}, 0
+
+        def batch_of(keys):
+            out = []
+            for key in keys:
+                own = b" ".join(held.pop(key)[1]).translate(_BYTES).split()
+                if n_slices > 1:
+                    own = [t for t in own if zlib.crc32(t) % n_slices == k]
+                mark = str(key[0]).encode()
+                out.append(mark + (b" " + mark).join(own) if own else b"")
+            langs, groups = (pa.array([key[i] for key in keys], pa.int32()) for i in range(2))
+            return pa.RecordBatch.from_arrays([langs, groups, pa.array(out, pa.binary()).view(pa.string())], ["lang_no", "grp", "terms"])
+
+        def all_held():
+            keys, n = [], 0
+            for key in list(held):
+                keys.append(key)
+                n += held[key][0]
+                if n >= JOINED_BYTES:
+                    yield batch_of(keys)
+                    keys, n = [], 0
+            if keys:
+                yield batch_of(keys)
+
+        for batch in batches:
+            for first, last in byte_blocks(batch.column("text"), BLOCK_BYTES):
+                b = batch.slice(first, last - first)
+                for lang, grp, text in zip(b.column("lang_no").to_pylist(), b.column("grp").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), strict=True):
+                    if not text:
+                        continue
+                    of = held.setdefault((lang, grp), [0, []])
+                    of[0] += len(text) + HELD_TEXT
+                    of[1].append(text)
+                    size += len(text) + HELD_TEXT
+                    if of[0] >= JOINED_BYTES:
+                        size -= of[0]
+                        yield batch_of([(lang, grp)])
+                if size >= HELD_BYTES:
+                    yield from all_held()
+                    size = 0
+        yield from all_held()
+
+    return run
+
+
+def _lists(marked, key: str = "source"):
     """What marked gives, with its terms as a list; null for none."""
 
     def run(batches):
         for b in marked(batches):
             terms = b.column("terms")
             lists = pc.split_pattern(pc.if_else(pc.equal(terms, ""), pa.scalar(None, pa.string()), terms), " ")
-            yield pa.RecordBatch.from_arrays([b.column("lang_no"), b.column("source"), lists], ["lang_no", "source", "tokens"])
+            yield pa.RecordBatch.from_arrays([b.column("lang_no"), b.column(key), lists], ["lang_no", key, "tokens"])
 
     return run
 
@@ -120,6 +171,12 @@ def tokens(rows: DataFrame, min_df: int | None, k: int = 0, n_slices: int = 1, c
     return made.select("lang_no", "source", F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens"))
 
 
+def joined_tokens(rows: DataFrame, k: int = 0, n_slices: int = 1) -> DataFrame:
+    """rows: lang_no, grp, text.  lang_no, grp, tokens: all tokens of the texts of a group that a task holds, in a row or several."""
+    made = rows.select("lang_no", "grp", "text").mapInArrow(_lists(_joined(k, n_slices), "grp"), "lang_no int, grp int, tokens array<string>")
+    return made.filter("tokens IS NOT NULL")
+
+
 def _certain(rows: DataFrame, min_df: int) -> dict[int, bytes]:
     """By lang, terms with spaces between that min_df documents have among the first ones of the first task that has rows: whatever the others have, they are kept.  One task
     reads, CERTAIN_BYTES or MOST_COUNTED terms at most."""
@@ -199,11 +256,12 @@ def _fitted(rows: DataFrame, min_df: int, most: int, k: int = 0, n_slices: int =
 
 def vectors(docs: DataFrame, min_df: int = MIN_DF, most_terms: int = MOST_TERMS, most_kept: int = MOST_KEPT) -> tuple[DataFrame, DataFrame, DataFrame]:
     """docs: lang, source, text.  Vectors (slice, lang_no, source, indices, values: a row for each document and slice), vocabulary (slice, idx, lang_no, term)
-    and langs (lang_no, lang)."""
+    and langs (lang_no, lang).  Of docs with grp, the number of a group within its lang, vectors have grp for source, and one is of all texts of a group that a task holds."""
     spark = docs.sparkSession
+    key, of = ("grp", "int") if "grp" in docs.columns else ("source", "string")
     langs = stored(_langs(docs), "langs")
     rows = docs.join(F.broadcast(langs), "lang")
-    made = [spark.createDataFrame([], "slice int, lang_no int, source string, indices array<int>, values array<double>")]
+    made = [spark.createDataFrame([], f"slice int, lang_no int, {key} {of}, indices array<int>, values array<double>")]
     vocabulary = [spark.createDataFrame([], "slice int, idx int, lang_no int, term string")]
     most = min(most_kept, most_terms)
     certain = _certain(rows, min_df)
@@ -213,8 +271,9 @@ def vectors(docs: DataFrame, min_df: int = MIN_DF, most_terms: int = MOST_TERMS,
         model, at, _ = first if first[2] < most else _fitted(rows, min_df, LARGEST_INT, k, n_slices, certain)
         if model is None:
             continue
-        counts = model.transform(tokens(rows, None, k, n_slices)).select("lang_no", "source", F.unwrap_udt("counts").alias("counts"))
-        made.append(counts.select(F.lit(k).alias("slice"), "lang_no", "source", "counts.indices", "counts.values"))
+        given = joined_tokens(rows, k, n_slices) if key == "grp" else tokens(rows, None, k, n_slices)
+        counts = model.transform(given).select("lang_no", key, F.unwrap_udt("counts").alias("counts"))
+        made.append(counts.select(F.lit(k).alias("slice"), "lang_no", key, "counts.indices", "counts.values"))
         words = spark.read.parquet(f"{at}/model/data").select(F.posexplode("vocabulary").alias("idx", "word"))
         vocabulary.append(words.select(F.lit(k).alias("slice"), "idx", F.regexp_extract("word", "^[0-9]+", 0).cast("int").alias("lang_no"), F.regexp_replace("word", "^[0-9]+", "").alias("term")))
     return _union(made), _union(vocabulary), langs
@@ -228,10 +287,10 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 
 def group_sums(found: DataFrame) -> DataFrame:
-    """slice, lang_no, source, idx, n: the sparse sums of the vectors of each group."""
-    keys = ["slice", "lang_no", "source", "idx"]
-    each = found.select("slice", "lang_no", "source", F.inline(F.arrays_zip(F.col("indices").alias("idx"), F.col("values").alias("n"))))
-    return each.groupBy(*keys).agg(F.sum(F.col("n").cast("long")).alias("n"))
+    """slice, lang_no, grp, idx, n: the sparse sums of the vectors of each group.  A task has few vectors of a group, so entries are dealt before they are summed."""
+    keys = ["slice", "lang_no", "grp", "idx"]
+    each = found.select("slice", "lang_no", "grp", F.inline(F.arrays_zip(F.col("indices").alias("idx"), F.col("values").alias("n"))))
+    return each.select(*keys, F.col("n").cast("long").alias("n")).repartition(*keys).groupBy(*keys).agg(F.sum("n").alias("n"))
 
 
 def _share(n: Column) -> Column:
@@ -247,60 +306,58 @@ def _apart(p: Column, q: Column) -> Column:
 
 
 def _pair_sums(key, rows: pd.DataFrame) -> pd.DataFrame:
-    """One block of terms and two tiles of sources: for each pair the sum over the block's terms that a source of the tiles has, and the number of these terms.
-    A row without idx says that a source is there."""
-    names = rows.groupby(["tile", "source"], sort=True)["p0"].first()
+    """One block of terms and two tiles of groups: for each pair the sum over the block's terms that a group of the tiles has, and the number of these terms.
+    A row without idx says that a group is there."""
+    there = rows[rows["idx"].isna()].sort_values("grp")
     rows = rows[rows["idx"].notna()]
     term, cols = np.unique(rows["idx"].to_numpy(np.int64), return_inverse=True)
-    place = {k: i for i, k in enumerate(names.index)}
-    at = np.fromiter((place[k] for k in zip(rows["tile"], rows["source"], strict=True)), np.int64, len(rows))
-    p = np.repeat(names.to_numpy(np.int64)[:, None], len(term), axis=1)
-    p[at, cols] = rows["p"].to_numpy(np.int64)
-    tiles, who = names.index.get_level_values(0).to_numpy(), names.index.get_level_values(1)
+    who, tiles = there["grp"].to_numpy(np.int64), there["tile"].to_numpy(np.int64)
+    p = np.repeat(there["p0"].to_numpy(np.int64)[:, None], len(term), axis=1)
+    p[np.searchsorted(who, rows["grp"].to_numpy(np.int64)), cols] = rows["p"].to_numpy(np.int64)
     left, right = np.flatnonzero(tiles == key[3]), np.flatnonzero(tiles == key[4])
     out = []
     for i in left:
         d, s = p[right] - p[i], p[right] + p[i]
         v = (d * d // s).sum(axis=1)
         out += [(key[0], who[i], who[j], int(x), len(term)) for j, x in zip(right, v, strict=True) if key[3] != key[4] or i < j]
-    return pd.DataFrame(out, columns=["lang_no", "source", "item", "value", "terms"])
+    return pd.DataFrame(out, columns=["lang_no", "grp", "other", "value", "terms"])
 
 
 def _blocks(entries: DataFrame, groups: DataFrame) -> DataFrame:
-    """entries: slice, lang_no, source, idx, p, p0, tile.  Each goes to all pairs of tiles that its own is in; and each source says in each block that it is there, since
+    """entries: slice, lang_no, grp, idx, p, p0, tile.  Each goes to all pairs of tiles that its own is in; and each group says in each block that it is there, since
     it differs from others also where it has none of their terms."""
-    each = entries.withColumn("block", F.floor(F.col("idx") / BLOCK).cast("int")).select("slice", "lang_no", "source", "idx", "p", "p0", "tile", "block")
+    each = entries.withColumn("block", F.floor(F.col("idx") / BLOCK).cast("int")).select("slice", "lang_no", "grp", "idx", "p", "p0", "tile", "block")
     there = groups.join(each.select("slice", "lang_no", "block").distinct(), "lang_no")
     none = F.lit(None)
-    each = each.unionByName(there.select("slice", "lang_no", "source", none.cast("int").alias("idx"), none.cast("long").alias("p"), "p0", "tile", "block"))
+    each = each.unionByName(there.select("slice", "lang_no", "grp", none.cast("int").alias("idx"), none.cast("long").alias("p"), "p0", "tile", "block"))
     tiles = groups.groupBy("lang_no").agg((F.max("tile") + 1).alias("tiles"))
     pair = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(F.least(t, F.col("tile")).alias("a"), F.greatest(t, F.col("tile")).alias("b")))
     each = each.join(F.broadcast(tiles), "lang_no").withColumn("x", F.explode(pair))  # a row for each lang, MOST_LANGS at most
-    return each.select("slice", "lang_no", "source", "idx", "p", "p0", "tile", "block", F.col("x.a").alias("a"), F.col("x.b").alias("b"))
+    return each.select("slice", "lang_no", "grp", "idx", "p", "p0", "tile", "block", F.col("x.a").alias("a"), F.col("x.b").alias("b"))
 
 
 def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", min_df: int = MIN_DF, top: int = TOP, most_terms: int = MOST_TERMS, tile: int = TILE) -> DataFrame:
     """lang, source, part ('pair': all other sources of the lang; 'term': the terms that mark the source), item, value, rank."""
     rows = documents(docs, text, lang, source)
-    made, vocabulary, langs = vectors(rows, min_df, most_terms)
+    number = F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1
+    seen = stored(rows.select("lang", "source").distinct().withColumn("grp", number.cast("int")), "seen")
+    made, vocabulary, langs = vectors(rows.join(seen, ["lang", "source"]), min_df, most_terms)
     sums, vocabulary = stored(group_sums(made), "sums"), stored(vocabulary, "vocabulary")
 
-    seen = rows.select("lang", "source").distinct().join(F.broadcast(langs), "lang")
     size = vocabulary.groupBy("lang_no").agg(F.count("*").alias("kept"))
-    n = sums.groupBy("lang_no", "source").agg(F.sum("n").alias("words"))
+    n = sums.groupBy("lang_no", "grp").agg(F.sum("n").alias("words"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    groups = seen.join(n, ["lang_no", "source"], "left").join(size, "lang_no", "left").select("lang_no", "source", zero("words"), zero("kept"))
-    number = F.row_number().over(Window.partitionBy("lang_no").orderBy("source")) - 1
-    groups = groups.withColumn("p0", F.when(F.col("kept") > 0, _share(F.lit(0)))).withColumn("tile", F.floor(number / tile).cast("int"))
+    groups = seen.join(F.broadcast(langs), "lang").join(n, ["lang_no", "grp"], "left").join(size, "lang_no", "left").select("lang_no", "grp", "source", zero("words"), zero("kept"))
+    groups = groups.withColumn("p0", F.when(F.col("kept") > 0, _share(F.lit(0)))).withColumn("tile", F.floor(F.col("grp") / tile).cast("int"))
     groups = stored(groups, "groups")
-    entries = stored(sums.join(groups, ["lang_no", "source"]).select("slice", "lang_no", "source", "idx", "n", _share(F.col("n")).alias("p"), "p0", "tile"), "entries")
+    entries = sums.join(groups, ["lang_no", "grp"]).select("slice", "lang_no", "grp", "idx", _share(F.col("n")).alias("p"), "p0", "tile")
 
     # pairs: sums over the blocks, and one known number for each term that neither tile has
-    part = _blocks(entries, groups).groupBy("lang_no", "slice", "block", "a", "b").applyInPandas(_pair_sums, "lang_no int, source string, item string, value long, terms long")
-    part = part.groupBy("lang_no", "source", "item").agg(F.sum("value").alias("value"), F.sum("terms").alias("terms"))
-    g = groups.select("lang_no", "source", "kept", "p0")
-    both = g.join(g.select("lang_no", F.col("source").alias("item"), F.col("p0").alias("q0")), "lang_no").filter("source < item")
-    both = both.join(part, ["lang_no", "source", "item"], "left")
+    part = _blocks(entries, groups).groupBy("lang_no", "slice", "block", "a", "b").applyInPandas(_pair_sums, "lang_no int, grp int, other int, value long, terms long")
+    part = part.groupBy("lang_no", "grp", "other").agg(F.sum("value").alias("value"), F.sum("terms").alias("terms"))
+    g = groups.select("lang_no", "grp", "source", "kept", "p0")
+    both = g.join(g.select("lang_no", F.col("grp").alias("other"), F.col("source").alias("item"), F.col("p0").alias("q0")), "lang_no").filter("grp < other")
+    both = both.join(part, ["lang_no", "grp", "other"], "left")
     rest = (F.col("kept") - F.coalesce("terms", F.lit(0))) * _apart(F.col("p0"), F.col("q0"))
     both = both.withColumn("value", F.coalesce(F.col("value"), F.lit(0)) + F.when(F.col("kept") > 0, rest).otherwise(0))
     both = both.withColumn("x", F.explode(F.array(F.struct("source", "item"), F.struct(F.col("item").alias("source"), F.col("source").alias("item")))))
@@ -311,11 +368,11 @@ def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     lang_n = sums.groupBy("lang_no").agg(F.sum("n").alias("words")).join(size, "lang_no")
     whole = whole.join(F.broadcast(lang_n), "lang_no")  # a row for each lang, MOST_LANGS at most
     whole = whole.select("slice", "lang_no", "idx", _share(F.col("n")).alias("q"))
-    marks = entries.join(whole, ["slice", "lang_no", "idx"]).filter("p > q").select("slice", "lang_no", "idx", "source", _apart(F.col("p"), F.col("q")).alias("value"))
+    marks = entries.join(whole.hint("shuffle_hash"), ["slice", "lang_no", "idx"]).filter("p > q").select("slice", "lang_no", "idx", "grp", _apart(F.col("p"), F.col("q")).alias("value"))
     # by value first, with all that tie, so that few need their term
-    best = F.rank().over(Window.partitionBy("lang_no", "source").orderBy(F.desc("value")))
+    best = F.rank().over(Window.partitionBy("lang_no", "grp").orderBy(F.desc("value")))
     marks = marks.withColumn("best", best).filter(F.col("best") <= top).join(vocabulary, ["slice", "lang_no", "idx"])
-    marks = marks.select("lang_no", "source", F.lit("term").alias("part"), F.col("term").alias("item"), "value")
+    marks = marks.join(groups, ["lang_no", "grp"]).select("lang_no", "source", F.lit("term").alias("part"), F.col("term").alias("item"), "value")
     order = Window.partitionBy("lang_no", "source", "part").orderBy(F.desc("value"), "item")
     marks = marks.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
     out = pairs.withColumn("rank", F.row_number().over(order)).unionByName(marks)
