@@ -24,9 +24,9 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[app]
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """df's rows dealt by key to as many tasks as a shuffle has, before work that takes long for each row: a file of a few MB is one task however many rows it has."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df's rows dealt by keys to as many tasks as a shuffle has, before work that takes long for each row: a file of a few MB is one task however many rows it has."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -408,12 +408,12 @@ def news_feeds(spark, sf):
 
 @query("SELECT page_id, DATE '2024-01-01' + CAST(page_id % 300 AS INT) AS day, CASE page_id % 2 WHEN 0 THEN 'Navi Mumbai' ELSE 'Pune' END AS place, length(html) AS characters FROM pages")
 def page_archive(spark, sf):
-    """A page a place and day, one file each, read back with what the file system says."""
+    """A file for each page, in the folder of its place and day, read back with what the file system says."""
     k, at = F.col("page_id"), _at(spark, "archive")
     day = F.date_add(_day("2024-01-01"), (k % 300).cast("int"))
     name = F.concat(F.lit("gold-rate-"), F.when(k % 2 == 0, "navi-mumbai").otherwise("pune"), F.lit("-"), S.date_slug(day), F.lit(".html"))
-    own = table(spark, sf, "pages").select(k, F.concat(F.lit("p"), k.cast("string"), F.lit("/")).alias("id"), name.alias("name"), "html")
-    readers.write_page_archive(own.select(F.concat("id", "name").alias("name"), F.concat("id", F.translate("html", "\n\r", "  ")).alias("html")), at)
+    html = F.concat(F.lit("p"), k.cast("string"), F.lit("/"), F.translate("html", "\n\r", "  "))
+    readers.write_page_archive(table(spark, sf, "pages").select(name.alias("name"), html.alias("html")), at)
     a = readers.read_page_archive(spark, at).filter("bytes > 0 AND saved IS NOT NULL")
     text = F.regexp_replace("html", "\n$", "")
     return a.select(F.regexp_extract("html", r"^p(\d+)/", 1).cast("long").alias("page_id"), "day", "place", F.length(F.regexp_replace(text, r"^p\d+/", "")).cast("long").alias("characters"))

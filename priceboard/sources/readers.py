@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import re
+from urllib.parse import quote
+
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,6 +61,8 @@ def read_pages(df: DataFrame, min_len: int = 500) -> DataFrame:
 SITEMAP = "url array<struct<loc:string>>, sitemap array<struct<loc:string>>"
 FEED = "channel struct<item:array<struct<title:string,link:string,source:struct<_VALUE:string,_url:string>,pubDate:string>>>"
 LENIENT = {"ignoreNamespace": "true", "mode": "PERMISSIVE"}
+#: The folder of pages without a name, as Spark's writers call it.
+NO_NAME = "__HIVE_DEFAULT_PARTITION__"
 
 
 def locs(xml: Column) -> Column:
@@ -150,17 +157,60 @@ def read_search_rows(df: DataFrame, key: str) -> DataFrame:
     return df.select(F.try_element_at("keys", F.lit(1)).alias(key), "clicks", "impressions", "ctr", "position")
 
 
+def _unquoted(c: Column) -> Column:
+    """%XX as characters; + is itself."""
+    return F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+
+
 def read_page_archive(spark: SparkSession, path: str) -> DataFrame:
     """Saved pages with the date and place of their names: those of the files, or of the folders name=... that a partitioned writer made; and what the file system says of
     each file."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    folder = F.regexp_extract("_metadata.file_path", r"/name=([^/]+)/[^/]+$", 1)
-    df = reader.load(path).select(F.when(folder != "", F.url_decode(folder)).otherwise(F.col("_metadata.file_name")).alias("name"), F.decode("content", "UTF-8").alias("html"), F.col("length").alias("bytes"), F.col("modificationTime").alias("saved"))
+    at = _unquoted(F.col("_metadata.file_path"))
+    folder = F.regexp_extract(at, r"/name=([^/]+)/[^/]+$", 1)
+    name = F.when(folder != "", F.coalesce(_unquoted(folder), folder)).otherwise(F.regexp_extract(at, r"[^/]*$", 0))
+    df = reader.load(path).select(name.alias("name"), F.decode("content", "UTF-8").alias("html"), F.col("length").alias("bytes"), F.col("modificationTime").alias("saved"))
     return df.select("name", "html", S.date_of_slug(F.col("name")).alias("day"), S.place_of_slug(F.col("name")).alias("place"), "bytes", "saved")
 
 
+def _local_folder(spark: SparkSession, path: str) -> str | None:
+    """Where a path of the local (or mounted) file system is; None for other file systems and relative paths."""
+    if path.startswith("/"):
+        return path if spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS").startswith("file:") else None
+    found = re.fullmatch(r"file:(?://[^/]*)?(/.*)", path)
+    return found and found[1]
+
+
+def _saved(root: str):
+    """Saves the rows of a task (name, value, digest; equal ones in a row), each as a file below root.  A page's file is named by its text, so a task that is run again
+    or twice saves the same files, each of which appears whole."""
+
+    def run(rows):
+        task, last, n = TaskContext.get(), None, 0
+        for r in rows:
+            n, last = n + 1 if (r["name"], r["digest"]) == last else 0, (r["name"], r["digest"])
+            folder = f"{root}/name={quote(r['name'] or NO_NAME, safe='')}"
+            file = f"part-{task.partitionId():05d}-{r['digest']}-{n}.txt"
+            os.makedirs(folder, exist_ok=True)
+            hidden = f"{folder}/.{file}.{task.taskAttemptId()}"
+            with open(hidden, "wb") as f:
+                f.write(r["value"] + b"\n")
+            os.replace(hidden, f"{folder}/{file}")
+
+    return run
+
+
 def write_page_archive(pages: DataFrame, path: str) -> None:
-    """pages: name, html.  A folder for each name, with the page as its one row.  Names are dealt to all tasks, and each task moves its own files to their places when it
-    is done (the driver would move them one by one); so a job that failed may leave pages there, without _SUCCESS."""
-    rows = spread(pages.select("name", F.col("html").alias("value")), "name")
-    rows.write.mode("overwrite").partitionBy("name").option("mapreduce.fileoutputcommitter.algorithm.version", "2").option("lineSep", "\n").text(path)
+    """pages: name, html.  A folder for each name, with a file for each of its pages, equal ones too.  Pages are dealt to all tasks, and each task puts its own files in
+    their places (the driver would move them one by one); so a job that failed may leave pages there, without _SUCCESS.  For a local file Hadoop starts a process that sets
+    its mode, and one more for its checksum, which take a hundred times as long as a small page; there tasks save the files themselves."""
+    rows = pages.select("name", F.coalesce("html", F.lit("")).alias("value"))
+    writer = lambda df: df.select("name", "value").write.mode("overwrite").partitionBy("name").option("mapreduce.fileoutputcommitter.algorithm.version", "2").option("lineSep", "\n")
+    dealt = spread(rows.withColumn("digest", F.md5("value")), "name", "digest")
+    root = _local_folder(pages.sparkSession, path)
+    if root is None:
+        writer(dealt).option("maxRecordsPerFile", 1).text(path)
+        return
+    writer(dealt.limit(0)).option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").text(path)  # what was there goes
+    dealt.select("name", F.col("value").cast("binary").alias("value"), "digest").sortWithinPartitions("name", "digest").foreachPartition(_saved(root))
+    open(f"{root}/_SUCCESS", "w").close()
