@@ -37,3 +37,9 @@ def test_a_task_that_runs_twice_saves_the_same_files(spark, tmp_path):
     for order in (["name"], ["value"]):
         rows.sortWithinPartitions(*order).foreachPartition(readers._saved(str(tmp_path)))
     assert sorted(p.relative_to(tmp_path).as_posix() for p in tmp_path.rglob("*.txt*")) == ["name=m/part-00000-e-0.txt", "name=n/part-00000-d-0.txt", "name=n/part-00000-d-1.txt"]
+
+
+def test_small_files_are_read_by_few_tasks(spark, tmp_path):
+    readers.write_page_archive(spark.range(300).selectExpr(f"'{DAILY}' AS name", "string(id) AS html"), f"file://{tmp_path}/a")
+    got = readers.read_page_archive(spark, f"file://{tmp_path}/a")
+    assert got.rdd.getNumPartitions() == 4 and got.select("html").distinct().count() == 300
