@@ -63,8 +63,8 @@ FEED = "channel struct<item:array<struct<title:string,link:string,source:struct<
 LENIENT = {"ignoreNamespace": "true", "mode": "PERMISSIVE"}
 #: The folder of pages without a name, as Spark's writers call it.
 NO_NAME = "__HIVE_DEFAULT_PARTITION__"
-#: How many of the shares that Spark makes of small files one task reads.
-SPLITS_A_TASK = 64
+#: How many times as many tasks as a shuffle has read an archive at most.
+TASKS = 8
 
 
 def locs(xml: Column) -> Column:
@@ -166,10 +166,10 @@ def _unquoted(c: Column) -> Column:
 
 def read_page_archive(spark: SparkSession, path: str) -> DataFrame:
     """Saved pages with the date and place of their names: those of the files, or of the folders name=... that a partitioned writer made; and what the file system says of
-    each file.  Spark gives a task some 4 to 30 files of any small size, which takes less time than to start it; so a task reads some
-    SPLITS_A_TASK of those shares, and there are as many tasks as a shuffle has at least."""
+    each file.  Spark gives a task some 4 to 30 files of any small size, which takes less time than to start it; so there are TASKS times
+    as many tasks as a shuffle has at most.  The driver lists the files (900,000 fit a driver of 1,500 MB)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    tasks = max(files.select("length").rdd.getNumPartitions() // SPLITS_A_TASK, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    tasks = TASKS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     at = _unquoted(F.col("_metadata.file_path"))
     folder = F.regexp_extract(at, r"/name=([^/]+)/[^/]+$", 1)
     name = F.when(folder != "", F.coalesce(_unquoted(folder), folder)).otherwise(F.regexp_extract(at, r"[^/]*$", 0))

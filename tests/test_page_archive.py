@@ -40,6 +40,12 @@ def test_a_task_that_runs_twice_saves_the_same_files(spark, tmp_path):
 
 
 def test_small_files_are_read_by_few_tasks(spark, tmp_path):
+    """Spark would make a task for each file here."""
     readers.write_page_archive(spark.range(300).selectExpr(f"'{DAILY}' AS name", "string(id) AS html"), f"file://{tmp_path}/a")
-    got = readers.read_page_archive(spark, f"file://{tmp_path}/a")
-    assert got.rdd.getNumPartitions() == 4 and got.select("html").distinct().count() == 300
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")
+    try:
+        got = readers.read_page_archive(spark, f"file://{tmp_path}/a")
+        assert got.rdd.getNumPartitions() == 32 and got.select("html").distinct().count() == 300
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
