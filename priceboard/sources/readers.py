@@ -207,7 +207,7 @@ def _saved(root: str):
 def write_page_archive(pages: DataFrame, path: str) -> None:
     """pages: name, html.  A folder for each name, with a file for each of its pages, equal ones too.  Pages are dealt to all tasks, and each task puts its own files in
     their places (the driver would move them one by one); so a job that failed may leave pages there, without _SUCCESS.  For a local file Hadoop starts a process that sets
-    its mode, and one more for its checksum, which take a hundred times as long as a small page; there tasks save the files themselves."""
+    its mode, and one more for its checksum, which take far longer than a small page; there tasks save the files themselves."""
     rows = pages.select("name", F.coalesce("html", F.lit("")).alias("value"))
     writer = lambda df: df.select("name", "value").write.mode("overwrite").partitionBy("name").option("mapreduce.fileoutputcommitter.algorithm.version", "2").option("lineSep", "\n")
     dealt = spread(rows.withColumn("digest", F.md5("value")), "name", "digest")
